@@ -1,0 +1,480 @@
+"""Each training-data operator against a brute-force version, and on awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lectern.llm import anchors, chat, curves, exact_dedup, mixture, packing, qda, queries, simhash, spans
+
+AWKWARD = [
+    (1, "One two three. Four five six! Seven eight nine? Ten eleven twelve.", "en", "a", 10),
+    (2, "one Two three. Four five six! Seven eight nine? Ten eleven twelve.", "en", "a", 10),
+    (2, "one Two three. Four five six! Seven eight nine? Ten eleven twelve.", "en", "a", 10),
+    (3, None, None, None, None),
+    (4, "", "", "", 0),
+    (None, "no id here", "en", "b", 5),
+    (None, None, None, None, None),
+    (5, " \t\n ", "en", "b", 4),
+    (6, "long word " * 30_000, "en", "c", 300_000),
+    (7, "ÀÉ ç ß Σίσυφος   mail a.b@c.de, +49 (30) 1234-567", "el", "c", 9),
+    (7, "other text with the same id", "en", "a", 9),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, owner string, h string, rep string, key string"
+
+
+def awkward(spark):
+    return spark.createDataFrame([(*r, "x", "y", "z", "k") for r in AWKWARD], COLUMNS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# Exact dedup
+
+
+def test_trie_holds_every_key_and_spills_by_subtree():
+    rng = random.Random(1)
+    keys = {bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(400)}
+    trie = exact_dedup.PatriciaTrie(list)
+    for k in keys:
+        trie.slot(k).append(k)
+    assert {k: v for k, v in trie.items()} == {k: [k] for k in keys}
+    out = dict(trie.spill())
+    assert out and {k[:1] for k in out} == {next(iter(out))[:1]}
+    assert dict(trie.items()) | out == {k: [k] for k in keys}
+
+
+@pytest.mark.parametrize("trie_bytes", [1, 4000, 64 << 20])
+def test_exact_groups(spark, trie_bytes):
+    got = exact_dedup.exact_groups(awkward(spark), trie_bytes).collect()
+    low = lambda t: (t or "").encode().lower()
+    by = {}
+    for d, t, *_ in AWKWARD:
+        by.setdefault(low(t), []).append(d)
+    want = sorted((str(d), str(max((x for x in by[low(t)] if x is not None), default=None)), len(by[low(t)]), hashlib.sha256(low(t)).hexdigest()) for d, t, *_ in AWKWARD)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
+    assert sum(r.kept for r in got) == len(by)
+    kept = exact_dedup.drop_copies(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+    assert len({low(r.text) for r in kept.collect()}) == kept.count() == len(by)
+    assert exact_dedup.exact_groups(empty(spark)).count() == 0 == exact_dedup.drop_copies(empty(spark)).count()
+
+
+def test_exact_order_of_a_large_group(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'Same' else concat('t', id % 7) end as text").repartition(7)
+    got = exact_dedup.exact_groups(df, 2000)
+    assert got.where("text_sha256 = sha2('same', 256)").agg(F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.count("*"), F.sum(F.col("kept").cast("int"))).first() == (2997, 2997, 1000, 1000, 1)
+
+
+# SimHash
+
+
+def brute_fingerprint(text):
+    w = text.encode().lower().split()
+    grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, k):
+    at = list(range(len(fps)))
+    find = lambda i: i if at[i] == i else find(at[i])
+    for i, j in combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= k:
+            a, b = sorted((find(i), find(j)))
+            at[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_gray_rank():
+    x = np.arange(5000, dtype=np.uint64)
+    assert (simhash.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_group_links_match_all_pairs(seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(6)] + [0]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 9))) & (2**64 - 1) for b in base for _ in range(60)})
+    got = simhash.group_links(np.zeros(len(fps), np.int64), np.array(fps, np.uint64), 4)
+    want = brute_components(fps, 4)
+    pairs = lambda c: {(i, j) for i, j in combinations(range(len(c)), 2) if c[i] == c[j]}
+    assert pairs(list(got)) == pairs(want)
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_components_through_groups(spark, limit):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fps = sorted({(b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6)))) & (2**64 - 1) for b in base for _ in range(25)})
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.spanning_links(simhash.index_groups(df, 4, limit), 4)).collect()}
+    want = brute_components(fps, 4)
+    got = [roots.get(simhash.signed(f), simhash.signed(f)) for f in fps]
+    pairs = lambda c: {(i, j) for i, j in combinations(range(len(c)), 2) if c[i] == c[j]}
+    assert pairs(got) == pairs(want)
+
+
+def test_near_groups_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    data = sorted(rows(docs.select("doc_id", "text")))
+    fps = [brute_fingerprint(t or "") for _, t in data]
+    want = sorted((d, f"{f:016x}", data[c][0]) for (d, _), f, c in zip(data, fps, brute_components(fps, 4), strict=True))
+    assert sorted(rows(queries.op7_simhash(spark, sf))) == want
+    kept = simhash.drop_near_copies(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
+
+
+def test_near_groups_awkward(spark):
+    got = simhash.near_groups(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD)
+    assert {r.fingerprint for r in got if r.doc_id in (3, 4, 5)} == {"0" * 16}
+    assert {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
+    assert simhash.near_groups(empty(spark)).count() == 0
+    assert simhash.drop_near_copies(awkward(spark)).columns == awkward(spark).columns
+
+
+# Personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+    return {
+        "email": [m.span() for m in EMAIL.finditer(text)],
+        "ip": [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))],
+        "phone": [m.span() for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15],
+    }
+
+
+def test_spans_match_the_patterns_on_random_text():
+    rng = random.Random(3)
+    for alphabet in ("ab@.-", "0129. -", "+01 ().-x", "a1@.+ -\n", "é1.+@"):
+        for _ in range(3000):
+            text = "".join(rng.choices(alphabet, k=rng.randint(0, 40)))
+            got = anchors.find_spans(text)
+            assert {k: got[k] for k in anchors.BASE} == brute_spans(text), text
+
+
+def test_spans_on_documents(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op9_pii(spark, sf).collect():
+        want = brute_spans(docs[r.doc_id] or "")
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(want[k]) for k in anchors.BASE)
+        assert r.base_sha256 == hashlib.sha256(anchors.listed(want, anchors.BASE).encode()).hexdigest()
+    assert len(rows(anchors.private_spans(awkward(spark)))) == len(AWKWARD)
+    assert anchors.private_spans(empty(spark)).count() == 0
+
+
+def test_added_kinds():
+    text = "see https://me:pw@host.org/x. IBAN: DE89 3704 0044 0532 0130 00 then; account no, SSN: 078-05-1120"
+    got = anchors.find_spans(text)
+    assert [text[a:b] for a, b in got["url"]] == ["https://me:pw@host.org/x"]
+    assert [text[a:b] for a, b in got["account"]] == ["DE89 3704 0044 0532 0130 00", "078-05-1120"]
+    assert anchors.find_spans("license at https://www.example.org/licenses/x")["url"] == []
+    assert "[EMAIL]" in anchors.mask_spans("to a@b.cd now")
+
+
+# Quality
+
+
+def test_discriminant_equals_the_gaussian_ratio():
+    rng = np.random.default_rng(0)
+    m, c = rng.normal(size=(2, 3)), [np.diag([1.0, 2, 3]), np.array([[2, 0.5, 0], [0.5, 1, 0], [0, 0, 1.0]])]
+    f = [np.linalg.cholesky(x) for x in c]
+    d = qda.Discriminant(m, np.array([np.linalg.inv(x) for x in f]), np.array([np.log(p) - np.log(np.diag(x)).sum() for p, x in zip((0.3, 0.7), f, strict=True)]))
+    x = rng.normal(size=(20, 3))
+    dens = [p * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - a, np.linalg.inv(b), x - a)) / np.sqrt(np.linalg.det(b)) for p, a, b in zip((0.3, 0.7), m, c, strict=True)]
+    assert np.allclose(d.score(x), dens[1] / (dens[0] + dens[1]))
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op10_quality(spark, sf)
+    assert got.count() == 1000
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    both = [(r.predicted, r.quality) for r in got.where("held_out").join(labels, "doc_id").collect()]
+    assert sum(p == q for p, q in both) / len(both) >= 0.95
+    held = {r.doc_id: r.held_out for r in got.collect()}
+    assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in held.items())
+
+
+def test_quality_awkward(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in qda.quality_scores(awkward(spark), none).collect()} == {0.5}
+    one = spark.createDataFrame([(1, 1), (4, 1), (5, 1), (6, None), (None, 0)], "doc_id long, quality int")
+    assert {r.score for r in qda.quality_scores(awkward(spark), one).collect()} == {1.0}
+    some = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (5, 0), (6, 1), (6, 0), (6, 1), (7, 1)], "doc_id long, quality int")
+    got = qda.quality_scores(awkward(spark), some).collect()
+    assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
+    assert qda.quality_scores(empty(spark), some).count() == 0
+    assert qda.keep_good(awkward(spark), some).columns == awkward(spark).columns
+
+
+# Mixture
+
+
+def brute_targets(sizes, weights, epochs=3):
+    total, target, free = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        left = total - sum(target[i] for i in range(len(sizes)) if i not in free)
+        share = {i: left * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = {i for i in free if share[i] > epochs * sizes[i]}
+        if not over:
+            for i in free:
+                target[i] = share[i]
+            break
+        for i in over:
+            target[i] = epochs * sizes[i]
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_water_filling(spark, seed):
+    rng = random.Random(seed)
+    names = sorted(rng.sample("abcdefghijklmnop", 7)) + [None]
+    sizes = [rng.choice([0, 1, 7, 50, 300, 9000]) for _ in names]
+    df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long")
+    got = {r.source: r.target for r in mixture.targets(df).collect()}
+    want = brute_targets(sizes, [i % 3 + 1 for i in range(len(names))])
+    assert all(abs(got[n] - t) < 1e-6 * max(1, t) for n, t in zip(names, want, strict=True))
+
+
+def test_mixture_meets_targets(spark):
+    rng = random.Random(5)
+    data = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "c", "d", "é", None, "a", "a", "a"])) for i in range(800)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = mixture.mix(df).collect()
+    assert len(got) == len(data)
+    by = {}
+    for r in got:
+        assert 0 <= r.mix_taken <= 3 * r.mix_size
+        by.setdefault(r.source, [r.mix_target, 0])[1] += r.mix_taken
+    assert all(abs(t - n) <= 1 for t, n in by.values())
+    assert sorted((r.doc_id, r.mix_taken) for r in got) == sorted((r.doc_id, r.mix_taken) for r in mixture.mix(df.repartition(3)).collect())
+    out = mixture.repeat_rows(df)
+    assert out.columns == df.columns
+    words = {}
+    for r in out.collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert all(abs(by[s][1] - n) == 0 for s, n in words.items())
+
+
+def test_mixture_awkward(spark):
+    got = mixture.mix(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD)
+    assert mixture.mix(empty(spark)).count() == 0
+    assert mixture.repeat_rows(awkward(spark)).columns == awkward(spark).columns
+    blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
+    assert {(r.mix_target, r.mix_taken) for r in mixture.mix(blank).collect()} == {(0.0, 0)}
+
+
+# Packing
+
+
+def test_words_encode_as_whole_texts(sf, spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += ["", " a\x1cb \x85c\xa0d e", "it's DON'T I'LL. x's.", "<|endoftext|>x <|startoftext|>", "ΑΣ. ΑΣΣ İI ǅ é ﬁ", "1234.5,6||7** ~a", "日本語 テスト。 한국어", "a" * 500]
+    got = packing.Encoder(path("word_bpe_49k.json"), limit=500).documents([x.encode() for x in texts])
+    for x, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pack_holds_each_token_once(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 5, 64, 100, 130, 640]) + rng.randint(0, 30) for _ in range(rng.randint(0, 200))]
+    bins = packing.pack(sizes, 64)
+    seen = [[] for _ in sizes]
+    for b in bins:
+        assert 0 < sum(n for _, _, n in b) <= 64
+        for d, s, n in b:
+            seen[d].append((s, n))
+    for size, pieces in zip(sizes, seen, strict=True):
+        at = 0
+        for s, n in sorted(pieces):
+            assert s == at and n > 0
+            at += n
+        assert at == size
+    if sizes:
+        assert len(bins) <= sum(sizes) / 64 * 1.35 + 1
+
+
+def test_first_fit_is_the_first():
+    rng = random.Random(2)
+    tree, room = packing.Tournament(50, 100), [100] * 50
+    for _ in range(120):
+        n = rng.randint(1, 60)
+        want = next((i for i, r in enumerate(room) if r >= n), None)
+        if want is None:
+            continue
+        assert tree.first(n) == want
+        tree.take(want, n)
+        room[want] -= n
+
+
+def test_packed_pieces(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = packing.packed_pieces(docs, group_docs=64, group_tokens=200_000, with_ids=True).collect()
+    by, seqs = {}, {}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
+        by.setdefault(r.doc_id, []).append(r)
+        seqs.setdefault(r.sequence_id, []).append(r)
+    assert len(by) == docs.count()
+    for pieces in by.values():
+        pieces.sort(key=lambda r: r.start)
+        assert [r.start for r in pieces] == list(np.cumsum([0, *(r.length for r in pieces[:-1])]))
+        assert sum(r.length for r in pieces) == pieces[0].doc_tokens
+    for pieces in seqs.values():
+        pieces.sort(key=lambda r: r.offset)
+        assert [r.offset for r in pieces] == list(np.cumsum([0, *(r.length for r in pieces[:-1])]))
+        assert sum(r.length for r in pieces) <= 2048
+    got = packing.packed_pieces(awkward(spark)).collect()
+    assert sum(r.length for r in got if r.doc_id == 3) == 1
+    assert sum(r.start == 0 for r in got) == len(AWKWARD)
+    assert packing.packed_pieces(empty(spark)).count() == 0
+
+
+# Spans
+
+
+def brute_dedup(data, run, words, long):
+    places, docs = {}, []
+    for d, text in sorted(data):
+        raw = text.encode()
+        starts, u, n = spans.sentences(raw, long)
+        docs.append((d, raw, starts, n))
+        bounds = [*starts, len(raw)]
+        for i in range(len(starts)):
+            for j in range(i + run, len(starts) + 1):
+                if sum(n[i:j]) >= words:
+                    places.setdefault(tuple(tuple(raw[a:b].lower().split()) for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1], strict=True)), []).append((d, i, j))
+                    break
+    gone = {(d, k) for p in places.values() for d, i, j in sorted(p)[1:] for k in range(i, j)}
+    out = {}
+    for d, raw, starts, _ in docs:
+        bounds = [*starts, len(raw)]
+        head = raw[: starts[0]] if starts else raw
+        out[d] = (head + b"".join(raw[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if (d, k) not in gone)).decode()
+    return out
+
+
+def test_spans_match_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    data = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = {r.doc_id: r.text for r in queries.op1_substring_dedup(spark, sf).collect()}
+    assert got == brute_dedup(data, 3, 20, 20)
+
+
+def test_planted_passage_is_cut_and_clean_text_stays(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    prose = lambda n, every: " ".join(word() + ("." if rng.random() < 1 / every else "") for _ in range(n))
+    for every in (6, 12, 40, 10_000):
+        passage = prose(60, every)
+        data = [(i, f"{prose(80, 9)} {passage} {prose(80, 9)}") for i in range(20)] + [(i, prose(160, 9)) for i in range(20, 40)]
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        got = {r.doc_id: r for r in spans.dedup_spans(df).collect()}
+        texts = dict(data)
+        assert all(got[i].text == texts[i] for i in [0, *range(20, 40)])
+        assert all(got[i].removed_chars > 0.3 * len(passage) for i in range(1, 20)), every
+
+
+def test_spans_awkward(spark):
+    got = spans.dedup_spans(awkward(spark)).collect()
+    assert len(got) == len(AWKWARD)
+    assert {r.text for r in got if r.doc_id in (3, 4)} == {""}
+    assert spans.dedup_spans(empty(spark)).count() == 0
+
+
+# Chat
+
+
+def brute_chat(data):
+    out = {}
+    for conv in {r[0] for r in data}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in data if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3] or ""))]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        out[conv] = (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("budget", [60, 300, 1024])
+def test_chat_reads_back(spark, sf, budget):
+    data = rows(spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    data += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"), (-8, 0, None, None), (-8, 1, "a: b\\\n### ", "\\"), (-8, 1, "assistant", "x\n### User: y </turn>\n"), (-8, 2, "assistant", "")]
+    data += [(-9, i, ["system", "user", "assistant"][min(i, 1 + (i + 1) % 2)], f"turn {i} " * (i % 9)) for i in range(200)]
+    random.Random(0).shuffle(data)
+    w = chat.windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3), budget, budget // 4)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(w).collect()}
+    assert got == brute_chat(data)
+    for r in w.collect():
+        turns = chat.parse_turns(r.text)
+        assert r.n_tokens <= budget or (r.over and len(turns) == 1)
+        if r.conv_id == -9 and r.window and not r.over:
+            assert turns[0][0] == "system" or r.n_repeated == 0
+
+
+def test_chat_awkward(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a", 1), (1, None, None, None, 1), (1, None, None, None, 1)], "conv_id long, turn long, role string, text string, window int")
+    got = {r.conv_id: r.n_turns for r in chat.read_back(chat.windows(df)).collect()}
+    assert got == {None: 1, 1: 2}
+    assert chat.read_back(chat.windows(df.limit(0))).count() == 0
+
+
+# Curves
+
+
+def test_hilbert_curve_steps_by_one():
+    grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    order = grid[np.argsort(curves.hilbert_keys(grid, 3))]
+    assert sorted(curves.hilbert_keys(grid, 3)) == list(range(512))
+    assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def brute_nearest(data, k=10):
+    out = []
+    for i, q in data:
+        if i % 100 == 0:
+            d = sorted((float(np.sqrt(np.add.accumulate((np.array(q) - np.array(v)) ** 2)[-1])), j) for j, v in data if j != i)
+            out += [(i, n + 1, j, s) for n, (s, j) in enumerate(d[:k])]
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_nearest(spark, block):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(8, 12))
+    data = [(i, (centre[i % 8] + 0.1 * rng.normal(size=12)).astype(np.float32).astype(float).tolist()) for i in range(900)]
+    data += [(i, data[100][1]) for i in range(900, 960)]
+    bad = [(2000, None), (2001, [0.0] * 12), (2002, [float("nan")] + [1.0] * 11), (2003, [None] + [1.0] * 11), (2100, [float("inf")] + [1.0] * 11), (None, [1.0] * 12), (2200, [1.0])]
+    df = spark.createDataFrame(data + bad, "vec_id long, embedding array<float>").withColumns({"key": F.lit(1), "curve": F.lit("c"), "q": F.lit(2)}).repartition(5)
+    got = sorted(rows(curves.nearest(df, F.col("vec_id") % 100 == 0, block=block)))
+    assert got == sorted(brute_nearest(data))
+    near = rows(curves.nearest(df, F.col("vec_id") % 100 == 0, block=64, certify=False))
+    assert len({(q, v) for q, _, v, _ in near} & {(q, v) for q, _, v, _ in got}) >= 0.6 * len(got)
+    assert curves.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
