@@ -1 +1,349 @@
-def score_documents(docs): raise NotImplementedError
+"""A Katz back-off language model over bigrams and unigrams, fitted and applied in Spark.
+
+Model. Counts up to ``K`` are discounted by Good-Turing; larger counts are kept. A bigram seen in training has its discounted
+relative frequency; an unseen one has the unigram probability times the back-off weight of its history, which is the
+mass that discounting freed over the unigram mass of the words not seen after it, so every history sums to one exactly
+(all unknown words together are one class, with the unigram mass that discounting freed). A history without a discounted
+follower, and every hot one, counts one follower more than it had, which is never seen. A history not seen at all
+has weight one.
+
+Jobs. (1) Documents are read in batches of bounded size; a batch is stored as word hashes, training counts and a token stream
+of local numbers. (2) Batch vocabularies are dealt by hash range, added up, and answered: each batch gets the corpus count
+and a dense number of each of its words. (3) Each batch sorts its bigrams and deals them, once per distinct bigram with its
+training count and the documents it stands in, to tables partitioned by history; a history above one in ``HOT`` of all tokens is
+spread by bigram. (4) A table's task adds up its bigrams and keeps, per document, what seen bigrams give, and per history
+what its back-off weight needs. (5) With corpus-wide counts of counts and the hot histories' sums (at most ``HOT`` of them), unseen
+bigrams are evaluated from bigram to unigram, and everything is added up per document.
+Only counts of counts, sizes of tables and hot histories' sums reach the driver; all else is dealt and bounded by its parameters.
+
+Defined results: a null text counts as empty, which is its end token alone; a null id is trained on and scored; equal rows each count
+and each get a row; without training rows every probability is one; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm._common import as_bytes, chunks, remainder, stage, unstage
+
+K = 5
+HOT = 500
+END = 1  # the hash of the end token
+BATCH_TOKENS = 2_000_000
+TABLE_TOKENS = 2_500_000
+KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def freeze(*arrays: np.ndarray) -> bytes:
+    """Non-negative integer arrays as compressed bytes, each in its smallest type and by byte planes."""
+    parts = []
+    for a in arrays:
+        top = int(a.max()) if len(a) else 0
+        kind = next(i for i, t in enumerate(KINDS) if top <= np.iinfo(t).max)
+        raw = np.ascontiguousarray(a.astype(KINDS[kind])).view(np.uint8).reshape(-1, 1 << kind).T.tobytes()
+        parts += [bytes([kind]), len(a).to_bytes(8, "little"), raw]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def thaw(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        kind, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+        size = n << kind
+        planes = np.frombuffer(raw, np.uint8, size, at + 9).reshape(1 << kind, n)
+        out.append(np.ascontiguousarray(planes.T).view(KINDS[kind]).ravel().astype(np.int64 if kind < 3 else np.uint64))
+        at += 9 + size
+    return out
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """d[r] for counts r = 0..K from the numbers of types n[r] with count r, r up to K + 1; one half off where Good-Turing is not defined."""
+    d = np.array([1.0, *((r - 0.5) / r for r in range(1, K + 1))])
+    if (n[1 : K + 2] > 0).all():
+        a = (K + 1) * n[K + 1] / n[1]
+        good = np.array([((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if a < 1 else -1.0 for r in range(1, K + 1)])
+        if ((good > 0) & (good < 1)).all():
+            d[1:] = good
+    return d
+
+
+@dataclass(frozen=True)
+class Unigrams:
+    """Discounted word probabilities as a function of the training count; count 0 is the class of unknown words."""
+
+    total: int
+    types: int
+    d: np.ndarray
+    unknown: float
+    scale: float
+
+    @staticmethod
+    def of(total: int, types: int, n: np.ndarray) -> Unigrams:
+        d = discounts(n)
+        free = float(sum(r * n[r] * (1 - d[r]) for r in range(1, K + 1)))
+        if not total:
+            return Unigrams(0, 0, d, 1.0, 1.0)
+        if free > 0:
+            return Unigrams(total, types, d, free / total, 1.0)
+        return Unigrams(total, types, d, 0.5 / (total + 0.5), total / (total + 0.5))
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        d = np.where(c <= K, self.d[np.minimum(c, K)], 1.0)
+        return np.where(c > 0, self.scale * d * c / max(self.total, 1), self.unknown)
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.total + 0.5 * (self.types + 1)))
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """One row per batch: doc_ids, held, and frozen sizes, vocabulary with training counts, and tokens."""
+
+    def shaped(rows: list[tuple]) -> dict:
+        ids, held, words = zip(*rows, strict=True)
+        index = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        hashes = np.array([*map(xxhash.xxh64_intdigest, index), END], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        index[None] = len(index)
+        sizes = np.array([len(w) + 1 for w in words])
+        tokens = rank[np.fromiter((index[w] for ws in words for w in (*ws, None)), np.int64, int(sizes.sum()))]
+        train = np.repeat(~np.array(held), sizes)
+        seen = np.bincount(tokens[train], minlength=len(order))
+        return {"doc_ids": list(ids), "held": list(held), "sizes": freeze(sizes), "vocab": freeze(hashes[order], seen), "tokens": freeze(tokens), "n_types": len(order), "n_tokens": len(tokens), "n_train": int(train.sum()), "n_train_docs": int((~np.array(held)).sum())}
+
+    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("vocab", pa.binary()), ("tokens", pa.binary()), *((c, pa.int64()) for c in ("n_types", "n_tokens", "n_train", "n_train_docs"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, h, (t or b"").lower().split()) for b in batches for d, t, h in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True))
+        for some in chunks(rows, lambda r: len(r[2]) + 1, BATCH_TOKENS):
+            yield pa.RecordBatch.from_pylist([shaped(some)], schema)
+
+    held = F.coalesce(remainder(F.col("doc_id").cast("long"), 5) == 1, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
+    return rows.mapInArrow(run, "doc_ids array<long>, held array<boolean>, sizes binary, vocab binary, tokens binary, n_types long, n_tokens long, n_train long, n_train_docs long").withColumn("batch", F.monotonically_increasing_id())
+
+
+def count_words(encoded: DataFrame, tables: int) -> DataFrame:
+    """bucket, batch, data: to each batch its words' counts and numbers in the bucket; batch -1 holds the bucket's own sums."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(b << 64) // tables for b in range(1, tables)], np.uint64)
+        for row in (r for b in batches for r in b.to_pylist()):
+            hashes, seen = thaw(row["vocab"])
+            hashes = hashes.astype(np.uint64)
+            cut = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+            found = [(b, row["batch"], freeze(hashes[x:y], seen[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "batch", "data"])
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [thaw(d) for d in frame["data"]]
+        hashes = np.concatenate([p[0].astype(np.uint64) for p in parts])
+        types, number = np.unique(hashes, return_inverse=True)
+        total = np.zeros(len(types), np.int64)
+        np.add.at(total, number, np.concatenate([p[1] for p in parts]))
+        n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
+        out, at = [], 0
+        for p in parts:
+            some = number[at : at + len(p[0])]
+            at += len(p[0])
+            out.append(freeze(total[some], some))
+        sums = freeze(np.array([len(types), int((total > 0).sum()), *n]))
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "batch": [*frame["batch"], -1], "data": [*out, sums]})
+
+    dealt = encoded.select("batch", "vocab").mapInArrow(deal, "bucket int, batch long, data binary")
+    return dealt.groupBy("bucket").applyInPandas(answer, "bucket int, batch long, data binary")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
+
+
+def spread_bigrams(encoded: DataFrame, words: DataFrame, offsets: list[int], uni: Unigrams, tables: int, train_docs: int) -> DataFrame:
+    """kind, bucket, batch, data: each batch's bigrams by table, and its documents' base scores."""
+    hot_count = max(1000, uni.total // HOT)
+
+    def shaped(row: dict) -> list[tuple]:
+        sizes, tokens = thaw(row["sizes"])[0], thaw(row["tokens"])[0]
+        answers = [(thaw(a["data"]), a["bucket"]) for a in sorted(row["answers"], key=lambda a: a["bucket"])]
+        count = np.concatenate([a[0] for a, _ in answers]).astype(np.int64)
+        number = np.concatenate([a[1] + offsets[b] + 1 for a, b in answers]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        c = count[tokens]
+        base, known = np.add.reduceat(uni.base(c), starts), np.add.reduceat((c > 0).astype(np.int64), starts)
+        w = number[tokens]
+        h, hc = np.concatenate(([0], w[:-1])), np.concatenate(([0], c[:-1]))
+        h[starts], hc[starts] = 0, train_docs  # the start of a text
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        train = np.repeat(~np.array(row["held"]), sizes)
+        hot = hc > hot_count
+        table = (mixed(np.where(hot, h * 1_000_003 + w, h)) % np.uint64(tables)).astype(np.int64)
+        order = np.lexsort((w, h, table))
+        table, h, hc, hot, w, c, doc, train = (a[order] for a in (table, h, hc, hot, w, c, doc, train))
+        out = [("base", row["batch"] % tables, row["batch"], base.tobytes() + known.tobytes())]
+        cut = np.searchsorted(table, np.arange(tables + 1)).tolist()
+        for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+            if x == y:
+                continue
+            H, W = h[x:y], w[x:y]
+            first = np.flatnonzero(np.concatenate(([True], (H[1:] != H[:-1]) | (W[1:] != W[:-1]))))
+            head = np.flatnonzero(np.concatenate(([True], H[first][1:] != H[first][:-1])))
+            occurrences = np.diff(np.append(first, y - x))
+            trained = np.add.reduceat(train[x:y].astype(np.int64), first)
+            heads = first[head]
+            out.append(("grams", b, row["batch"], freeze(np.diff(H[heads], prepend=0), np.diff(np.append(head, len(first))), hc[x:y][heads], hot[x:y][heads], W[first], c[x:y][first], trained, occurrences, doc[x:y])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = shaped(batch.slice(i, 1).to_pylist()[0])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kind", "bucket", "batch", "data"])
+
+    answers = words.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
+    both = encoded.select("batch", "held", "sizes", "tokens").join(answers, "batch")
+    return both.mapInArrow(run, "kind string, bucket int, batch long, data binary")
+
+
+def per_doc(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    docs, at = np.unique(doc, return_inverse=True)
+    return docs, *(np.bincount(at, v, minlength=len(docs)) for v in values)
+
+
+def add_tables(grams: DataFrame, uni: Unigrams) -> DataFrame:
+    """kind, batch, h, v, data: what each table gives.
+
+    ``seen``: per batch, its documents with the log of the undiscounted seen bigrams and how many had each count up to K.
+    ``open``: unseen bigrams with their history's sums. ``stat``: numbers of bigrams by count. ``hot``: a hot history's sums here.
+    """
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [("base", r.batch, None, None, r.data) for r in frame[frame["kind"] == "base"].itertuples()]
+        grams = frame[frame["kind"] == "grams"].sort_values("batch")
+        if len(grams):
+            cols: list[list] = [[] for _ in range(8)]
+            lengths = []
+            batches = grams["batch"].to_numpy()
+            for data in grams["data"]:
+                h, n, hc, hot, w, c, trained, occurrences, doc = thaw(data)
+                h = np.cumsum(h.astype(np.int64))
+                for col, v in zip(cols, (np.repeat(h, n), np.repeat(hc, n), np.repeat(hot, n), w, c, trained, occurrences, doc), strict=True):
+                    col.append(v.astype(np.int64))
+                del h, n, hc, hot, w, c, trained, occurrences
+                lengths.append(len(doc))
+            which = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            h, hc, hot, w, c, trained, occurrences, doc = (np.concatenate(x) for x in cols)
+            del cols
+            order = np.lexsort((w, h))
+            new = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)))
+            kind = np.empty(len(h), np.int64)
+            kind[order] = np.cumsum(new) - 1
+            first = order[new]
+            H, HC, HOTS, C1 = h[first], hc[first], hot[first] > 0, c[first]
+            count = np.bincount(kind, trained, minlength=len(first)).astype(np.int64)
+            rows.append(("stat", None, None, [float(x) for x in np.bincount(np.minimum(count, K + 2), minlength=K + 3)], None))
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(H) != 0)))
+            of = np.cumsum(np.concatenate(([True], np.diff(H) != 0))) - 1
+            low = np.array([np.add.reduceat((count == r).astype(np.float64), starts) for r in range(1, K + 1)])
+            mass = np.add.reduceat(np.where(count > 0, uni.p(C1), 0.0), starts)
+            hot_h = HOTS[starts]
+            extra = (hot_h | (low.sum(0) == 0)).astype(np.float64)  # the follower that is never seen
+            rows += [("hot", None, int(H[s]), [float(HC[s]), *low[:, i].tolist(), float(mass[i])], None) for i, s in enumerate(starts) if hot_h[i]]
+            kind_of = np.repeat(kind, occurrences)
+            n = count[kind_of]
+            logs = np.log10(np.maximum(count, 1) / np.maximum(HC + extra[of], 1))[kind_of]
+            bounds = np.searchsorted(which, np.arange(len(batches) + 1))
+            for k, b in enumerate(batches):
+                at = slice(bounds[k], bounds[k + 1])
+                seen = n[at] > 0
+                docs, total, *each = per_doc(doc[at][seen], logs[at][seen], *((n[at][seen] == r).astype(float) for r in range(1, K + 1)))
+                rows.append(("seen", int(b), None, None, len(docs).to_bytes(8, "little") + total.tobytes() + freeze(docs, *(e.astype(np.int64) for e in each))))
+            lost = np.flatnonzero(n == 0)
+            if len(lost):
+                heads, index = np.unique(of[kind_of[lost]], return_inverse=True)
+                sums = np.stack([HC[starts[heads]], *low[:, heads], mass[heads], extra[heads], np.where(hot_h[heads], H[starts[heads]], -1)]).astype(np.float64)
+                rows.append(("open", None, None, None, len(heads).to_bytes(8, "little") + sums.tobytes() + freeze(index, C1[kind_of[lost]], batches[which[lost]], doc[lost])))
+        return pd.DataFrame(rows, columns=["kind", "batch", "h", "v", "data"]).astype({"batch": "Int64", "h": "Int64"})
+
+    return grams.groupBy("bucket").applyInPandas(add, "kind string, batch long, h long, v array<double>, data binary")
+
+
+def backoff(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Back-off weights from rows (history count, types with counts 1..K, unigram mass of followers, never-seen follower)."""
+    hc, low, mass, extra = sums[0], sums[1 : K + 1], sums[K + 1], sums[K + 2]
+    free = ((1 - d[1:, None]) * np.arange(1, K + 1)[:, None] * low).sum(0) + extra
+    return np.where(hc > 0, free / np.maximum(hc + extra, 1) / np.maximum(1 - mass, 1e-300), 1.0)
+
+
+def open_scores(tables: DataFrame, d: np.ndarray, hot: dict[int, float], uni: Unigrams) -> DataFrame:
+    """kind, batch, data: per batch its documents with the log probability of their unseen bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (x for b in batches for x in b.column(0).to_pylist()):
+            n = int.from_bytes(data[:8], "little")
+            width = K + 4
+            sums = np.frombuffer(data, np.float64, n * width, 8).reshape(width, n)
+            index, c, batch, doc = thaw(data[8 + 8 * n * width :])
+            weight = backoff(sums, d)
+            for i in np.flatnonzero(sums[-1] >= 0):
+                weight[i] = hot[int(sums[-1, i])]
+            logs = np.log10(weight)[index] + np.log10(uni.p(c))
+            batch = batch.astype(np.int64)
+            out = []
+            for b in np.unique(batch):
+                docs, total = per_doc(doc[batch == b], logs[batch == b])
+                out.append((int(b), len(docs).to_bytes(8, "little") + total.tobytes() + freeze(docs)))
+            yield pa.record_batch([pa.array(["unseen"] * len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["kind", "batch", "data"])
+
+    return tables.where("kind = 'open'").select("data").mapInArrow(run, "kind string, batch long, data binary")
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
+    encoded = stage(encode(docs), "encoded")
+    size = encoded.agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_train"), F.sum("n_train_docs")).first()
+    types, tokens, train, train_docs = (int(x or 0) for x in size)
+    words = stage(count_words(encoded, max(1, -(-types // TABLE_TOKENS))), "words")
+    sums = {r["bucket"]: thaw(r["data"])[0] for r in words.where("batch < 0").collect()}  # a few numbers per table
+    offsets, at = [0] * (max(sums, default=0) + 1), 0
+    for b in sorted(sums):
+        offsets[b], at = at, at + int(sums[b][0])
+    n = sum((s[2:].astype(np.int64) for s in sums.values()), np.zeros(K + 3, np.int64))
+    uni = Unigrams.of(train, int(sum(int(s[1]) for s in sums.values())), n)
+    grams = spread_bigrams(encoded, words, offsets, uni, max(1, -(-tokens // TABLE_TOKENS)), train_docs)
+    tables = stage(add_tables(grams, uni), "tables")
+    people = stage(encoded.select("batch", "doc_ids", "held", "sizes"), "people")
+    unstage(encoded, words)
+    counts = tables.where("kind = 'stat'").agg(*[F.sum(F.col("v")[r]) for r in range(K + 3)]).first()
+    d = discounts(np.array([x or 0 for x in counts]))
+    rows = tables.where("kind = 'hot'").groupBy("h").agg(F.max(F.col("v")[0]), *[F.sum(F.col("v")[r]) for r in range(1, K + 2)]).collect()  # at most HOT
+    hot = {r["h"]: float(backoff(np.array([[float(x)] for x in (*r[1:], 1.0)]), d)[0]) for r in rows}
+    parts = tables.where("kind in ('base', 'seen')").select("kind", "batch", "data").unionByName(open_scores(tables, d, hot, uni))
+    log_d = np.log10(d[1:])
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, held, sizes = left["doc_ids"].iloc[0], left["held"].iloc[0], thaw(left["sizes"].iloc[0])[0]
+        total = np.zeros(len(sizes))
+        for kind, data in zip(right["kind"], right["data"], strict=True):
+            if kind == "base":
+                base, known = np.frombuffer(data, np.float64, len(sizes)), np.frombuffer(data, np.int64, len(sizes), 8 * len(sizes))
+                continue
+            n = int.from_bytes(data[:8], "little")
+            values, found = np.frombuffer(data, np.float64, n, 8).copy(), thaw(data[8 + 8 * n :])
+            for log, each in zip(log_d, found[1:], strict=False):
+                values += log * each
+            np.add.at(total, found[0], values)
+        return pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], "Int64"), "held_out": list(held), "n_tokens": sizes, "n_known": known, "train_tokens": train, "base_score": base, "score": total})
+
+    return people.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
