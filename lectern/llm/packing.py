@@ -30,58 +30,57 @@ TAIL = ".,!?;:*&%$#|"  # never part of a token that begins with a letter, and no
 
 
 class Encoder:
-    """Token ids word by word: no token crosses ASCII white space, so a word's ids are looked up where it was met before.
+    """Token ids word by word: no token crosses ASCII white space, so each distinct word of many texts is encoded once.
 
-    Two generations of a bounded table are kept. A word of letters with stops behind it is the ids of both parts.
+    A word of letters with stops behind it is the ids of both parts. Ids of parts are kept, as bytes, in two generations of a
+    bounded table.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.new, self.old = limit, {}, {}
 
-    def known(self, key: bytes) -> np.ndarray | None:
-        ids = self.new.get(key)
-        if ids is None and (ids := self.old.get(key)) is not None:
-            self.put(key, ids)
-        return ids
-
-    def put(self, key: bytes, ids: np.ndarray) -> None:
-        if len(self.new) >= self.limit:
-            self.new, self.old = {}, self.new
-        self.new[key] = ids
-
-    @staticmethod
-    def parts(word: bytes) -> list[str]:
-        text = word.decode("utf-8", "replace")
-        core = text.rstrip(TAIL)
-        if core and core.isalpha() and "Σ" not in core:
-            return [core.lower(), text[len(core) :]] if len(core) < len(text) else [core.lower()]
-        return [text]
-
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        out = [self.known(w) for w in words]
-        todo = [i for i, ids in enumerate(out) if ids is None]
-        split = [self.parts(words[i]) for i in todo]
-        missing = [p for p in dict.fromkeys(p for ps in split for p in ps) if self.known(b"\0" + p.encode()) is None]
-        got = {}
+    def parts(self, keys: list[str]) -> dict[str, bytes]:
+        """The ids of distinct parts of words."""
+        out, missing = {}, []
+        for k in keys:
+            ids = self.new.get(k)
+            if ids is None:
+                ids = self.old.get(k)
+            if ids is None:
+                missing.append(k)
+            else:
+                out[k] = ids
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            got |= {p: np.array(e.ids, np.int32) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
-        for p, ids in got.items():
-            self.put(b"\0" + p.encode(), ids)
-        for i, ps in zip(todo, split, strict=True):
-            ids = [got[p] if p in got else self.known(b"\0" + p.encode()) for p in ps]
-            out[i] = ids[0] if len(ids) == 1 else np.concatenate(ids)
+            out |= {k: np.array(e.ids, np.int32).tobytes() for k, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        self.new |= out
         return out
 
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words without ASCII white space."""
+        text = b"\n".join(words).decode("utf-8", "replace")
+        full = text.split("\n")
+        cores = [w.rstrip(TAIL) for w in full]
+        plain = [c.isalpha() for c in cores]
+        if "Σ" in text:  # its lower case depends on its place
+            plain = [p and "Σ" not in c for p, c in zip(plain, cores, strict=True)]
+        low = "\n".join(cores).lower().split("\n")
+        keys = [k if p else w for k, p, w in zip(low, plain, full, strict=True)]
+        tails = [w[len(c) :] if p else "" for w, c, p in zip(full, cores, plain, strict=True)]
+        ids = self.parts(list(dict.fromkeys([*keys, *set(tails)])))
+        return [ids[k] + ids[t] if t else ids[k] for k, t in zip(keys, tails, strict=True)]
+
     def documents(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         split = [t.split() for t in texts]
         every = [w for ws in split for w in ws]
         index = {w: i for i, w in enumerate(dict.fromkeys(every))}
-        ids = self.words(list(index))
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        ids = self.words(list(index)) if index else []
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         begins = np.cumsum(sizes) - sizes
         code = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
         n = sizes[code]
