@@ -38,8 +38,8 @@ from lectern.llm._common import as_bytes, chunks, remainder, stage, unstage
 K = 5
 HOT = 500
 END = 1  # the hash of the end token
-BATCH_TOKENS = 2_000_000
-TABLE_TOKENS = 2_500_000
+BATCH_TOKENS = 1_500_000
+TABLE_TOKENS = 2_200_000
 KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
 
@@ -180,9 +180,8 @@ def spread_bigrams(encoded: DataFrame, words: DataFrame, offsets: list[int], uni
         count = np.concatenate([a[0] for a, _ in answers]).astype(np.int64)
         number = np.concatenate([a[1] + offsets[b] + 1 for a, b in answers]).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        c = count[tokens]
+        c, w = count[tokens], number[tokens]
         base, known = np.add.reduceat(uni.base(c), starts), np.add.reduceat((c > 0).astype(np.int64), starts)
-        w = number[tokens]
         h, hc = np.concatenate(([0], w[:-1])), np.concatenate(([0], c[:-1]))
         h[starts], hc[starts] = 0, train_docs  # the start of a text
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -190,7 +189,8 @@ def spread_bigrams(encoded: DataFrame, words: DataFrame, offsets: list[int], uni
         hot = hc > hot_count
         table = (mixed(np.where(hot, h * 1_000_003 + w, h)) % np.uint64(tables)).astype(np.int64)
         order = np.lexsort((w, h, table))
-        table, h, hc, hot, w, c, doc, train = (a[order] for a in (table, h, hc, hot, w, c, doc, train))
+        table, h, hc, hot, w, c, doc, train = table[order], h[order], hc[order], hot[order], w[order], c[order], doc[order], train[order]
+        del order, tokens, count, number, answers
         out = [("base", row["batch"] % tables, row["batch"], base.tobytes() + known.tobytes())]
         cut = np.searchsorted(table, np.arange(tables + 1)).tolist()
         for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
@@ -243,8 +243,7 @@ def add_tables(grams: DataFrame, uni: Unigrams) -> DataFrame:
                 del h, n, hc, hot, w, c, trained, occurrences
                 lengths.append(len(doc))
             which = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-            h, hc, hot, w, c, trained, occurrences, doc = (np.concatenate(x) for x in cols)
-            del cols
+            h, hc, hot, w, c, trained, occurrences, doc = (np.concatenate(cols.pop(0)) for _ in range(8))
             order = np.lexsort((w, h))
             new = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)))
             kind = np.empty(len(h), np.int64)
@@ -260,6 +259,7 @@ def add_tables(grams: DataFrame, uni: Unigrams) -> DataFrame:
             hot_h = HOTS[starts]
             extra = (hot_h | (low.sum(0) == 0)).astype(np.float64)  # the follower that is never seen
             rows += [("hot", None, int(H[s]), [float(HC[s]), *low[:, i].tolist(), float(mass[i])], None) for i, s in enumerate(starts) if hot_h[i]]
+            del h, hc, hot, w, c, order, new, trained
             kind_of = np.repeat(kind, occurrences)
             n = count[kind_of]
             logs = np.log10(np.maximum(count, 1) / np.maximum(HC + extra[of], 1))[kind_of]
