@@ -4,7 +4,7 @@ A text is cut into sentences, and a sentence over ``long`` words again after wor
 a passage set into other text is cut alike wherever it stands. From each sentence on, the shortest run of at least
 ``run`` sentences with ``words`` words is hashed. Hashes are counted over the whole corpus (added up within tasks first); each
 hash's first place, by document id and position, is its owner. Every other place is found by joining the runs to the
-repeated hashes, where Spark splits a hot hash's rows, and the sentences that such a run covers are cut out.
+repeated hashes, written as a table before, so that Spark splits a hot hash's rows in the join, and the sentences that such a run covers are cut out.
 
 Defined results: a null text counts as empty; a text with fewer sentences or words than a run stays; a run repeated in
 its own document goes too; of rows that repeat an id, all count as one document; null ids come last in order and are
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import as_bytes
+from lectern.llm._common import as_bytes, stage
 
 BREAK = re.compile(rb"[.!?]+[ \t\r\x0b\x0c]+|\n+")
 WORD_AND_SPACE = re.compile(rb"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
@@ -95,6 +95,8 @@ def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20, long: int = 20)
     places = rows.mapInArrow(emit, "h long, doc_id long, i int")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("i").alias("i"))
     owners = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    # As a table, the repeated hashes are shuffled for the join alone, so that Spark can split a hot hash's rows there.
+    owners = stage(owners, "repeated-spans")
     again = places.join(owners, "h").where(~place.eqNullSafe(F.col("first")))
     again = again.groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("i", "h")).alias("again"))
 
