@@ -4,8 +4,8 @@ Sources get weights 1, 2, 3, repeating, in code point order (null last), and sha
 ``max_epochs`` times its own size and its excess goes to the others by weight, until none is above. That fixed point is
 closed: in the order of cap over weight, the sources that stop are a prefix, so one window over the per-source totals
 finds the level. A source is then repeated whole times, and the rest of its target is taken from its documents in the
-order of a seeded hash, down to a cutoff hash. The cutoff is found from per-bucket sums of the hash's first digits and
-then within one bucket, so no window ever spans a source's documents. The document at the cutoff gives the words
+order of a seeded hash, down to a cutoff hash. The cutoff is found from sums by the hash's first two digits, then by the
+next two, then within one bucket of four, so a window sees at most 256 sums of a source, and never its documents. The document at the cutoff gives the words
 still missing, so that a source meets its target to the word.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; a source without words
@@ -50,20 +50,32 @@ def hash_order(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-"))).cast("binary"))
 
 
+def crossing(parts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """source, bucket, missing: the bucket of (source, bucket, size) in which a source's running sum first exceeds ``wanted``'s missing."""
+    run = F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    rows = parts.withColumn("upto", run).join(wanted, F.col("source").eqNullSafe(F.col(key)))
+    before = F.col("upto") - F.col("size")
+    rows = rows.where((F.col("upto") > F.col("missing")) & (before <= F.col("missing")))
+    return rows.select("source", "bucket", (F.col("missing") - before).alias("missing"))
+
+
 def plan(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     """One row per source from a table of (source, size, h): source_size, target, whole repetitions, cutoff hash, words missing and words at the cutoff."""
-    of = lambda a, b: a["source"].eqNullSafe(b["source"])
-    buckets = stage(sizes.groupBy("source", F.substring("h", 1, 4).alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
+    digits = F.substring("h", 1, 4)
+    buckets = stage(sizes.groupBy("source", digits.alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
     goals = targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs)
     words = F.round("target").cast("long")
     goals = goals.withColumn("whole", F.coalesce(F.expr("cast(round(target) as long) div nullif(source_size, 0)"), F.lit(0)))
     goals = goals.withColumn("extra", words - F.col("whole") * F.col("source_size"))
     goals = stage(goals, "goals")
-    b = buckets.withColumnRenamed("source", "b_source")
-    run = F.sum("size").over(W.partitionBy("b_source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    b = b.withColumn("upto", run).join(goals, F.col("b_source").eqNullSafe(F.col("source")))
-    # The bucket where the running sum first exceeds what is to be taken.
-    edge = b.where((F.col("upto") > F.col("extra")) & (F.col("upto") - F.col("size") <= F.col("extra"))).select(F.col("b_source").alias("e_source"), "bucket", (F.col("extra") - F.col("upto") + F.col("size")).alias("missing"))
+    first = buckets.groupBy("source", F.substring("bucket", 1, 2).alias("bucket")).agg(F.sum("size").alias("size"))
+    edge = crossing(first, goals.select(F.col("source").alias("g_source"), F.col("extra").alias("missing")), "g_source")
+    within = buckets.join(
+        edge.select(F.col("source").alias("f_source"), F.col("bucket").alias("f_bucket")),
+        F.col("source").eqNullSafe(F.col("f_source")) & (F.substring("bucket", 1, 2) == F.col("f_bucket")),
+    ).select("source", "bucket", "size")
+    edge = crossing(within, edge.select(F.col("source").alias("g_source"), "missing"), "g_source")
+    edge = edge.select(F.col("source").alias("e_source"), "bucket", "missing")
     inside = sizes.select("source", "h", "size", F.substring("h", 1, 4).alias("s_bucket"))
     inside = inside.join(edge, inside["source"].eqNullSafe(edge["e_source"]) & (inside["s_bucket"] == edge["bucket"]))
     inside = inside.groupBy("source", "h").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
