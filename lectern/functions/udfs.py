@@ -10,35 +10,84 @@ from pyspark.sql import types as T
 FOUND = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("similarity", T.DoubleType()), T.StructField("is_unique", T.BooleanType())])
 
 
-def best_window(text: str | None, quote: str | None) -> dict:
+def end_distances(text: str, quote: str) -> list[int]:
+    """Edit distance of ``quote`` to the nearest window of ``text`` that ends at each character.
+
+    Myers' bit vectors: one column of the distance table is two integers with a bit per character of the quote.
+    """
+    m = len(quote)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(quote):
+        where[c] = where.get(c, 0) | 1 << i
+    up, down, d = full, 0, m
+    out = []
+    for c in text:
+        eq = where.get(c, 0)
+        x = eq | down
+        zero = (((x & up) + up) ^ up) | x
+        more, less = down | ~(zero | up), up & zero
+        if more & top:
+            d += 1
+        elif less & top:
+            d -= 1
+        more, less = more << 1, less << 1
+        up, down = (less | ~(zero | more)) & full, more & zero & full
+        out.append(d)
+    return out
+
+
+def window_starts(text: str, quote: str, ends: list[int], d: int) -> list[int]:
+    """Start of the window at distance ``d`` behind each of ``ends``.
+
+    Sellers' edit distance over the stretches that can hold such windows (none is longer than the quote and ``d``).
+    """
+    q, m = np.array([ord(c) for c in quote]), len(quote)
+    steps, reach = np.arange(m + 1), len(quote) + d
+    starts: list[int] = []
+    wanted, at = set(ends), 0
+    for end in ends:
+        if starts and end < at:
+            continue  # seen in the stretch before
+        last = end
+        while (more := [e for e in range(last + 1, min(last + reach, len(text) - 1) + 1) if e in wanted]):
+            last = more[-1]
+        first = max(0, end + 1 - reach)
+        col, start = steps.copy(), np.full(m + 1, first, np.int64)
+        for j in range(first, last + 1):
+            diag, left = col[:-1] + (q != ord(text[j])), col[1:] + 1
+            new = np.concatenate(([0], np.minimum(diag, left)))
+            begun = np.concatenate(([j + 1], np.where(diag <= left, start[:-1], start[1:])))
+            low = np.minimum.accumulate(new - steps)  # steps down within the column
+            came = np.maximum.accumulate(np.where(new - steps == low, steps, 0))
+            col, start = low + steps, begun[came]
+            if j in wanted:
+                starts.append(int(start[m]))
+        at = last + 1
+    return starts
+
+
+def best_window(text: str | None, quote: str | None, least: float = 0.0) -> dict:
     """1-based start of the window of ``text`` nearest to ``quote``, its similarity, and whether no other window away from it is as near.
 
-    Sellers' edit distance: a column of the distance table per character of the text, computed as a vector over the quote.
+    Where the similarity is below ``least`` no place is given.
     """
     if not text or not quote:
         return {"pos": None, "similarity": 0.0, "is_unique": False}
-    q, m = np.array([ord(c) for c in quote]), len(quote)
-    steps = np.arange(m + 1)
-    col, start = steps.copy(), np.zeros(m + 1, np.int64)
-    best: list[tuple[int, int]] = []
-    for j, c in enumerate(text):
-        diag, left = col[:-1] + (q != ord(c)), col[1:] + 1
-        new = np.concatenate(([0], np.minimum(diag, left)))
-        begun = np.concatenate(([j + 1], np.where(diag <= left, start[:-1], start[1:])))
-        low = np.minimum.accumulate(new - steps)  # steps down within the column
-        came = np.maximum.accumulate(np.where(new - steps == low, steps, 0))
-        col, start = low + steps, begun[came]
-        best.append((int(col[m]), int(start[m])))
-    d = min(b[0] for b in best)
-    starts = [s for x, s in best if x == d]
-    unique = max(starts) - min(starts) < m
-    return {"pos": min(starts) + 1, "similarity": 1 - d / m, "is_unique": unique}
+    m, distances = len(quote), end_distances(text, quote)
+    d = min(distances)
+    near = 1 - d / m
+    if near < least:
+        return {"pos": None, "similarity": near, "is_unique": False}
+    starts = window_starts(text, quote, [j for j, x in enumerate(distances) if x == d], d)
+    return {"pos": min(starts) + 1, "similarity": near, "is_unique": max(starts) - min(starts) < m}
 
 
 @F.pandas_udf(FOUND)
-def fuzzy_locate(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+def fuzzy_locate(text: pd.Series, quote: pd.Series, least: pd.Series) -> pd.DataFrame:
     """``best_window`` over columns."""
-    return pd.DataFrame([best_window(t, q) for t, q in zip(text, quote, strict=True)], columns=["pos", "similarity", "is_unique"]).astype({"pos": "Int32"})
+    rows = [best_window(*r) for r in zip(text, quote, least, strict=True)]
+    return pd.DataFrame(rows, columns=["pos", "similarity", "is_unique"]).astype({"pos": "Int32"})
 
 
 @F.pandas_udf(T.DoubleType())

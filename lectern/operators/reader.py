@@ -83,7 +83,7 @@ def recover_anchors(anchors: DataFrame, blocks: DataFrame, threshold: float | No
     if threshold is not None:
         # Only anchors whose quote is nowhere get here, each with the blocks of three pages at most.
         left = rows.where("method = 'unresolved' and absent").select("anchor_id", "document_id", "quote", F.explode(F.sequence(F.col("a_page") - 1, F.col("a_page") + 1)).alias("page_index"))
-        tried = left.join(b, ["document_id", "page_index"]).select("anchor_id", "block_index", fuzzy_locate("text", "quote").alias("f")).where(F.col("f.similarity") >= threshold)
+        tried = left.join(b, ["document_id", "page_index"]).select("anchor_id", "block_index", fuzzy_locate("text", "quote", F.lit(threshold)).alias("f")).where(F.col("f.similarity") >= threshold)
         top = F.max("f.similarity").over(W.partitionBy("anchor_id"))
         tried = tried.withColumn("top", top).where(F.col("f.similarity") == F.col("top"))
         best = tried.groupBy("anchor_id").agg(F.count("*").alias("k"), F.min("f.is_unique").alias("u"), F.min(F.struct("block_index", F.col("f.pos").alias("pos"))).alias("fuzzy")).where("k = 1 and u")

@@ -16,7 +16,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "fx_document": "SELECT doc_id AS document_id, substr(text, 1, 40) AS title, source AS journal, CAST(2000 + doc_id % 25 AS INT) AS year, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('10.1000/', CAST(doc_id % 700 AS STRING)) END AS doi, CAST(1 + floor(n_chars / 400) AS INT) AS n_pages FROM documents",
     "fx_activity": "SELECT user_id, (user_id * 7 + event_id % 5) % 200 AS document_id, CAST(event_id % 12 AS INT) AS page_index, ts FROM events",
     "fx_reading": "SELECT event_type AS tag, ts, value, CASE event_type WHEN 'click' THEN 'bar(g)' WHEN 'view' THEN 'kg/h' WHEN 'error' THEN '°C' WHEN 'signup' THEN 'wt%' ELSE CASE WHEN event_id % 2 = 0 THEN 't/h' ELSE 'kg/h' END END AS unit, event_id FROM events",
-    "fx_shift_event": "SELECT event_id, event_type AS tag, ts FROM events WHERE event_id % 50 = 0",
+    "fx_shift_event": "SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END AS tag, ts FROM events",
     "fx_shift": (
         "SELECT DISTINCT date_trunc('day', ts) + INTERVAL '8' HOUR AS start_ts, date_trunc('day', ts) + INTERVAL '16' HOUR AS end_ts FROM (SELECT CAST(ts AS TIMESTAMP_NTZ) AS ts FROM events)",
         "SELECT DISTINCT CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL '8' HOUR AS start_ts, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL '16' HOUR AS end_ts FROM events",
@@ -34,7 +34,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "fx_evidence": "SELECT concat('variable:', CAST(l_suppkey AS STRING)) AS source, concat('result:', CAST(l_partkey AS STRING)) AS target, concat('paper:', CAST(l_orderkey AS STRING)) AS document_id, l_linenumber AS page_index, 1 - 5 * l_discount AS confidence, l_shipdate AS created_at FROM lineitem",
     "fx_trace": "SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey % 1100 AS document_id, CASE WHEN (l_orderkey * 10 + l_linenumber) % 5 = 0 THEN NULL ELSE concat(CAST(l_orderkey % 1100 AS STRING), '-', CAST(3 * (l_linenumber % 3) AS STRING)) END AS anchor_id FROM lineitem",
     "fx_node": "SELECT concat('variable:', CAST(s_suppkey AS STRING)) AS id, 'Variable' AS kind, s_name AS title, s_acctbal / 100 AS strength FROM supplier UNION ALL SELECT concat('result:', CAST(p_partkey AS STRING)), 'Result', p_name, p_retailprice / 20 FROM part WHERE p_partkey % 97 <> 0",
-    "fx_question": "SELECT concat('question:', CAST(o_orderkey AS STRING)) AS id, o_orderstatus = 'F' AS has_answer, o_orderpriority LIKE '1%' AS unanswered_edge, concat('method:', CAST(o_custkey AS STRING)) AS about FROM orders WHERE o_orderkey % 10 = 0",
+    "fx_question": "SELECT concat('question:', CAST(o_orderkey AS STRING)) AS id, o_orderstatus = 'F' AS has_answer, o_orderpriority LIKE '1%' AS unanswered_edge, concat('method:', CAST(o_custkey AS STRING)) AS about FROM orders",
     "fx_external": "SELECT c_custkey % 4 AS provider, CASE c_custkey % 3 WHEN 0 THEN concat('https://doi.org/10.1000/', CAST(c_custkey % 500 AS STRING)) WHEN 1 THEN concat('DOI:10.1000/', CAST(c_custkey % 500 AS STRING)) ELSE NULL END AS doi, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS title, c_mktsegment AS journal, CAST(1990 + c_custkey % 30 AS INT) AS year FROM customer",
     "fx_item": "SELECT p_partkey AS id, p_name AS label, p_brand AS keyword1, p_type AS keyword2, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_type END AS item_group FROM part",
     "fx_pool": "SELECT label AS pool_id, vec_id AS document_id FROM embeddings",

@@ -237,9 +237,9 @@ def _(v, spark, sf_dir):
     return process.asof_align(v("fx_shift_event"), v("fx_reading"))
 
 
-@query("asof_align_tolerance", "WITH r AS (SELECT tag, ts, max(value) AS value FROM fx_reading WHERE event_id % 50 <> 0 GROUP BY tag, ts) SELECT e.event_id, e.tag, e.ts, CASE WHEN r.ts >= e.ts - INTERVAL '5' MINUTE THEN r.value END AS value FROM fx_shift_event e ASOF LEFT JOIN r ON e.tag = r.tag AND e.ts >= r.ts")
+@query("asof_align_tolerance", "WITH r AS (SELECT tag, ts, max(value) AS value FROM fx_reading GROUP BY tag, ts) SELECT e.event_id, e.tag, e.ts, CASE WHEN r.ts >= e.ts - INTERVAL '5' MINUTE THEN r.value END AS value FROM fx_shift_event e ASOF LEFT JOIN r ON e.tag = r.tag AND e.ts >= r.ts")
 def _(v, spark, sf_dir):
-    return process.asof_align(v("fx_shift_event"), v("fx_reading").where("event_id % 50 <> 0"), "5 minutes")
+    return process.asof_align(v("fx_shift_event"), v("fx_reading"), "5 minutes")
 
 
 CLASSIFIED = "SELECT r.tag, r.ts, r.value, r.unit, r.event_id, CASE WHEN value >= alarm THEN 'alarm' WHEN value >= warn THEN 'warn' ELSE 'normal' END AS state FROM fx_reading r LEFT JOIN fx_limit l ON r.tag = l.tag"
@@ -549,7 +549,7 @@ def _(v, spark, sf_dir):
 @query("fuzzy_locate")
 def _(v, spark, sf_dir):
     rows = v("fx_anchor").where("v = 3").select("anchor_id", "document_id", "page_index", "quote").join(v("fx_text_block").select("document_id", "page_index", "block_index", "text"), ["document_id", "page_index"])
-    return rows.select("anchor_id", "block_index", udfs.fuzzy_locate("text", "quote").alias("f")).select("anchor_id", "block_index", "f.*")
+    return rows.select("anchor_id", "block_index", udfs.fuzzy_locate("text", "quote", F.lit(0.0)).alias("f")).select("anchor_id", "block_index", "f.*")
 
 
 WEIGHTS = {"text": 0.5, "quote": 0.3, "vector": 0.4, "local": 0.1, "adjacent": 0.1, "exact_term": 0.1, "in_pool": 0.1, "authority": 0.05}
