@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,14 +63,31 @@ def metric_trend(readings: DataFrame, period: str = "day") -> DataFrame:
     return got.withColumn("change", change).withColumn("direction", F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down"))
 
 
-def sparkline_points(readings: DataFrame) -> DataFrame:
-    """tag, i, x, y: points in a 100 by 36 box in time order; a flat series lies at 36, a single point at 0."""
-    w = W.partitionBy("tag")
-    i = F.row_number().over(w.orderBy("ts", "event_id")) - 1
-    low, high, n = F.min("value").over(w), F.max("value").over(w), F.count("*").over(w)
-    span = F.when(high == low, 1.0).otherwise(high - low)
-    x = F.when(n == 1, 0.0).otherwise(i / (n - 1) * 100)
-    return readings.select("tag", i.alias("i"), F.round(x, 6).alias("x"), F.round(36 - (F.col("value") - low) / span * 30, 6).alias("y"))
+def slice_of(unit: str) -> Column:
+    return F.date_trunc(unit, F.col("ts").cast("timestamp"))
+
+
+def with_slice(rows: DataFrame, slices: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``slices`` for their tag and part; null tags meet as well."""
+    own = slices.withColumnsRenamed({"tag": "s_tag", "part": "s_part"})
+    on = F.col("tag").eqNullSafe(F.col("s_tag")) & F.col("part").eqNullSafe(F.col("s_part"))
+    return rows.join(own, on, "left").drop("s_tag", "s_part")
+
+
+def sparkline_points(readings: DataFrame, slice_by: str = "day") -> DataFrame:
+    """tag, i, x, y: points in a 100 by 36 box in time order; a flat series lies at 36, a single point at 0.
+
+    Points are numbered within a tag's time slice, after the number of points in the slices before it.
+    """
+    rows = readings.withColumn("part", slice_of(slice_by))
+    w, of_tag = W.partitionBy("tag", "part"), W.partitionBy("tag")
+    parts = rows.groupBy("tag", "part").agg(F.count("*").alias("k"), F.min("value").alias("low"), F.max("value").alias("high"))
+    earlier = F.sum("k").over(of_tag.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select("tag", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"), F.sum("k").over(of_tag).alias("n"), F.min("low").over(of_tag).alias("low"), F.max("high").over(of_tag).alias("high"))
+    rows = with_slice(rows.withColumn("i", F.row_number().over(w.orderBy("ts", "event_id")) - 1), parts).select("tag", (F.col("i") + F.col("earlier")).alias("i"), "value", "n", "low", "high")
+    span = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.col("high") - F.col("low"))
+    x = F.when(F.col("n") == 1, 0.0).otherwise(F.try_divide(F.col("i"), F.col("n") - 1) * 100)
+    return rows.select("tag", "i", F.round(x, 6).alias("x"), F.round(36 - (F.col("value") - F.col("low")) / span * 30, 6).alias("y"))
 
 
 def last_n_readings(readings: DataFrame, n: int = 7) -> DataFrame:
@@ -81,13 +98,24 @@ def last_n_readings(readings: DataFrame, n: int = 7) -> DataFrame:
     return got.select("tag", k.alias("k"), "ts", "value")
 
 
-def alarm_transitions(classified: DataFrame) -> DataFrame:
-    """tag, ts, from_state, to_state, seconds_before: changes of a tag's state, and how long the state left had lasted."""
-    w = W.partitionBy("tag").orderBy("ts", "event_id")
-    rows = classified.withColumn("from_state", F.lag("state").over(w)).where("from_state is null or from_state <> state")
-    since = F.lag("ts").over(w)
+def alarm_transitions(classified: DataFrame, slice_by: str = "day") -> DataFrame:
+    """tag, ts, from_state, to_state, seconds_before: changes of a tag's state, and how long the state left had lasted.
+
+    Rows are compared within a tag's time slice; its first one is compared with the last state, and the last change, of
+    the slices before, which are one row per tag and slice.
+    """
+    w, by_part = W.partitionBy("tag", "part").orderBy("ts", "event_id"), W.partitionBy("tag").orderBy("part")
+    rows = classified.withColumn("part", slice_of(slice_by))
+    ends = rows.groupBy("tag", "part").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
+    ends = ends.select("tag", "part", F.lag("state").over(by_part).alias("held"))
+    changes = with_slice(rows.withColumn("lagged", F.lag("state").over(w)), ends)
+    changes = changes.select("tag", "part", "ts", "event_id", "state", F.coalesce("lagged", "held").alias("from_state")).where("from_state is null or from_state <> state")
+    latest = changes.groupBy("tag", "part").agg(F.max("ts").alias("ts"))
+    latest = latest.select("tag", "part", F.lag("ts").over(by_part).alias("before"))
+    both = with_slice(changes.withColumn("lagged", F.lag("ts").over(w)), latest)
+    since = F.coalesce("lagged", "before")
     seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 1e6
-    return rows.withColumn("seconds_before", F.round(seconds, 3)).where("from_state is not null").select("tag", "ts", "from_state", F.col("state").alias("to_state"), "seconds_before", "event_id")
+    return both.where("from_state is not null").select("tag", "ts", "from_state", F.col("state").alias("to_state"), F.round(seconds, 3).alias("seconds_before"), "event_id")
 
 
 def alarm_queue(classified: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import columns as C
-from lectern.functions.udfs import best_window
+from lectern.functions.udfs import best_window, end_distances
 from lectern.operators import graph, library, process, reader
 from lectern.plans import registry
 from lectern.sources import tables
@@ -100,6 +102,29 @@ def test_best_window():
     got = best_window("the quick brXwn fox", "quick brown")
     assert got["pos"] == 5 and abs(got["similarity"] - 10 / 11) < 1e-9
     assert not best_window("abc ..... abc", "abd")["is_unique"]
+    assert best_window("the quick brXwn fox", "quick brown", 0.95)["pos"] is None
+    assert best_window("", "abc")["similarity"] == 0.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", max_size=25), st.text("ab c", min_size=1, max_size=8))
+def test_end_distances_match_the_full_table(text, quote):
+    col = list(range(len(quote) + 1))
+    want = []
+    for c in text:
+        new = [0]
+        for i, k in enumerate(quote):
+            new.append(min(col[i] + (k != c), col[i + 1] + 1, new[i] + 1))
+        col = new
+        want.append(col[-1])
+    assert end_distances(text, quote) == want
+
+
+def test_alarm_changes_across_slices(spark):
+    rows = [("t", "2024-01-01 10:00:00", "normal"), ("t", "2024-01-02 10:00:00", "normal"), ("t", "2024-01-04 10:00:00", "alarm"), ("t", "2024-01-04 11:00:00", "normal"), ("u", "2024-01-04 10:00:00", "warn")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "tag string, at string, state string, event_id long").withColumn("ts", F.col("at").cast("timestamp_ntz"))
+    got = process.alarm_transitions(df).orderBy("ts").collect()
+    assert [(r.tag, r.from_state, r.to_state, r.seconds_before) for r in got] == [("t", "normal", "alarm", 259200.0), ("t", "alarm", "normal", 3600.0)]
 
 
 def test_anchor_methods(spark):
