@@ -1,6 +1,6 @@
 """Packing token sequences by first-fit decreasing, with a tournament tree over bin capacities.
 
-Documents are dealt to random groups by a seeded hash of their id; each group is tokenised and packed by itself in one
+Documents are dealt to random groups by a seeded hash of id and text (so that rows without an id spread); each group is tokenised and packed by itself in one
 task, in one pass over its texts, so the only shuffle is that of the texts. A document is first cut into full
 sequences; the rest of each, in decreasing order, goes to the first bin with room, which the tree finds in a number of
 steps logarithmic in the bins. The emptiest bins are then cut up to fill gaps of others, so that about one sequence
@@ -152,6 +152,7 @@ def pack(sizes: list[int], room: int, least: int = 16) -> list[list[tuple[int, i
     return full + bins
 
 
+# A sequence's number is its group's, its part's in the group (14 bits) and its own in the part (22 bits, more than the longest text fills).
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -160,7 +161,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, room: int = 204
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     groups = max(1, -(-rows.count() // group_docs))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), F.lit(groups)))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
 
     def packed(g: int, part: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
         tokens = encoder(path).documents(texts)
@@ -169,7 +170,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, room: int = 204
             offset = 0
             for d, s, n in pieces:
                 piece = tokens[d][s : s + n]
-                for c, v in zip(cols, (ids[d], s, n, zlib.crc32(piece.astype("<u4").tobytes()), len(tokens[d]), (g << 24) + (part << 14) + k, offset), strict=False):
+                for c, v in zip(cols, (ids[d], s, n, zlib.crc32(piece.astype("<u4").tobytes()), len(tokens[d]), (g << 36) + (part << 22) + k, offset), strict=False):
                     c.append(v)
                 if with_ids:
                     cols[7].append(piece.tolist())
