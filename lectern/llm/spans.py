@@ -1,7 +1,7 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences, and a sentence over ``long`` words again after words picked by their own hash, so that
-a passage set into other text is cut alike wherever it stands. From each sentence on, the shortest run of at least
+A text is cut into sentences, and a sentence over ``long`` words again after each word that has the smallest hash of
+some ``WINDOW`` words in a row, so that a passage set into other text is cut alike wherever it stands, and often enough. From each sentence on, the shortest run of at least
 ``run`` sentences with ``words`` words is hashed. Hashes are counted over the whole corpus (added up within tasks first); each
 hash's first place, by document id and position, is its owner. Every other place is found by joining the runs to the
 repeated hashes, written as a table before, so that Spark splits a hot hash's rows in the join, and the sentences that such a run covers are cut out.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +27,54 @@ from pyspark.sql import functions as F
 from lectern.llm._common import as_bytes, stage
 
 BREAK = re.compile(rb"[.!?]+[ \t\r\x0b\x0c]+|\n+")
-WORD_AND_SPACE = re.compile(rb"[^ \t\n\r\x0b\x0c]+[ \t\n\r\x0b\x0c]*")
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+WINDOW = 12
+
+
+def cuts(sentences: list[list[bytes]]) -> list[list[int]]:
+    """Where each long sentence is cut: after the first smallest hash of every ``WINDOW`` words of it in a row."""
+    sizes = np.array([len(s) for s in sentences])
+    n = int(sizes.sum())
+    if n < WINDOW:
+        return [[] for _ in sentences]
+    least = np.fromiter((zlib.crc32(w) for s in sentences for w in s), np.int64, n) << 31 | np.arange(n)
+    span = 1
+    while span < WINDOW:
+        step = min(span, WINDOW - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = (least & ((1 << 31) - 1))[of[: n - WINDOW + 1] == of[WINDOW - 1 :]]
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+    ends = (at + 1 - (np.cumsum(sizes) - sizes)[of[at]]).tolist()
+    bounds = np.searchsorted(of[at], np.arange(len(sizes) + 1)).tolist()
+    return [ends[a:b] for a, b in pairwise(bounds)]
 
 
 def sentences(text: bytes, long: int = 20) -> tuple[list[int], list[int], list[int]]:
     """Start, hash and number of words of each sentence; a sentence goes on to the next one's start."""
-    starts, hashes, counts = [], [], []
-    at = 0
+    pieces, at = [], 0
     for end in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
-        piece = text[at:end]
-        words = piece.lower().split()
-        if not words:
-            continue  # white space belongs to the sentence before
+        words = text[at:end].lower().split()
+        if words:  # else its white space belongs to the sentence before
+            pieces.append((at, end, words))
+            at = end
+    inner = iter(cuts([words for _, _, words in pieces if len(words) > long]))
+    starts, hashes, counts = [], [], []
+    for at, end, words in pieces:
         if len(words) <= long:
             starts.append(at)
             hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
             counts.append(len(words))
-        else:
-            cuts = [i + 1 for i, w in enumerate(words) if not zlib.crc32(w) & 7]
-            where = [at + m.start() for m in WORD_AND_SPACE.finditer(piece)]
-            for a, b in zip([0, *cuts], [*cuts, len(words)], strict=True):
-                if a < b:
-                    starts.append(where[a] if a else at)
-                    hashes.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])))
-                    counts.append(b - a)
-        at = end
+            continue
+        where = [m.start() for m in WORD.finditer(text, at, end)]
+        where[0] = at
+        for a, b in pairwise([0, *(e for e in next(inner) if e < len(words)), len(words)]):
+            starts.append(where[a])
+            hashes.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])))
+            counts.append(b - a)
     return starts, hashes, counts
 
 

@@ -404,6 +404,28 @@ def test_planted_passage_is_cut_and_clean_text_stays(spark):
         assert all(got[i].removed_chars > 0.3 * len(passage) for i in range(1, 20)), every
 
 
+def test_long_sentences_are_cut_at_window_minima():
+    rng = random.Random(3)
+    for _ in range(100):
+        texts = [[str(rng.randint(0, 30)).encode() for _ in range(rng.randint(21, 60))] for _ in range(rng.randint(1, 4))]
+        for words, got in zip(texts, spans.cuts(texts), strict=True):
+            h = [zlib.crc32(w) for w in words]
+            windows = range(len(h) - spans.WINDOW + 1)
+            assert got == sorted({min(range(i, i + spans.WINDOW), key=h.__getitem__) + 1 for i in windows})
+
+
+def test_passages_inside_one_long_sentence_share_a_run():
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    for _ in range(300):
+        passage = words(51)
+        found = []
+        for _ in range(2):
+            _, u, n = spans.sentences(f"{words(40)} {passage} {words(40)}".encode())
+            found.append(set(spans.runs(u, n, 3, 20)[0].tolist()))
+        assert found[0] & found[1]
+
+
 def test_spans_awkward(spark):
     got = spans.dedup_spans(awkward(spark)).collect()
     assert len(got) == len(AWKWARD)
