@@ -114,7 +114,7 @@ def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20, long: int = 20)
             cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (hs, at)]
             yield pa.record_batch([cols[0], pa.array(ids, pa.int64()), cols[1].cast(pa.int32())], names=["h", "doc_id", "i"])
 
-    places = rows.mapInArrow(emit, "h long, doc_id long, i int")
+    places = stage(rows.mapInArrow(emit, "h long, doc_id long, i int"), "runs")  # read twice, cut and hashed once
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("i").alias("i"))
     owners = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     # As a table, the repeated hashes are shuffled for the join alone, so that Spark can split a hot hash's rows there.
