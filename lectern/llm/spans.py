@@ -1,8 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences, and a sentence over ``long`` words again after each word that has the smallest hash of
-some ``WINDOW`` words in a row, so that a passage set into other text is cut alike wherever it stands, and often enough. From each sentence on, the shortest run of at least
-``run`` sentences with ``words`` words is hashed. Hashes are counted over the whole corpus (added up within tasks first); each
+A text is cut into sentences, and also after each word that has the smallest hash of some ``WINDOW`` words in a row, over
+sentence ends too, whatever the sentences' lengths. So a passage set into other text is cut alike wherever it stands: its
+windows are the same in each copy, and 4 x ``WINDOW`` words in a row hold three common pieces. From each piece ("sentence"
+below) on, the shortest run of at least ``run`` pieces with ``words`` words is hashed. Hashes are counted over the whole corpus (added up within tasks first); each
 hash's first place, by document id and position, is its owner. Every other place is found by joining the runs to the
 repeated hashes, written as a table before, so that Spark splits a hot hash's rows in the join, and the sentences that such a run covers are cut out.
 
@@ -13,10 +14,9 @@ one document; an empty table gives an empty result; long texts are cut whole.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +26,20 @@ from pyspark.sql import functions as F
 
 from lectern.llm._common import as_bytes, stage
 
-BREAK = re.compile(rb"[.!?]+[ \t\r\x0b\x0c]+|\n+")
-WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+STOP = np.isin(np.arange(256), list(b".!?"))
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 WINDOW = 12
 
 
 def cuts(sentences: list[list[bytes]]) -> list[list[int]]:
-    """Where each long sentence is cut: after the first smallest hash of every ``WINDOW`` words of it in a row."""
+    """Where each list of words is cut: after the first smallest hash of every ``WINDOW`` words of it in a row."""
     sizes = np.array([len(s) for s in sentences])
     n = int(sizes.sum())
     if n < WINDOW:
         return [[] for _ in sentences]
-    least = np.fromiter((zlib.crc32(w) for s in sentences for w in s), np.int64, n) << 31 | np.arange(n)
+    least = np.fromiter(map(zlib.crc32, chain.from_iterable(sentences)), np.int64, n) << 31 | np.arange(n)
     span = 1
     while span < WINDOW:
         step = min(span, WINDOW - span)
@@ -53,29 +53,34 @@ def cuts(sentences: list[list[bytes]]) -> list[list[int]]:
     return [ends[a:b] for a, b in pairwise(bounds)]
 
 
+def pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Start of each word of the text, the words that a piece starts with, and the words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), words
+    raw = np.frombuffer(text, np.uint8)
+    space = np.concatenate(([True], SPACE[raw], [True]))
+    where, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    lines = np.searchsorted(np.flatnonzero(raw == 10), where)
+    new = np.ones(len(words) + 1, bool)
+    new[1:-1] = STOP[raw[ends[:-1] - 1]] | (lines[1:] > lines[:-1])
+    new[cuts([words])[0]] = True
+    return where, np.flatnonzero(new[:-1]), words
+
+
 def sentences(text: bytes, long: int = 20) -> tuple[list[int], list[int], list[int]]:
-    """Start, hash and number of words of each sentence; a sentence goes on to the next one's start."""
-    pieces, at = [], 0
-    for end in [*(m.end() for m in BREAK.finditer(text)), len(text)]:
-        words = text[at:end].lower().split()
-        if words:  # else its white space belongs to the sentence before
-            pieces.append((at, end, words))
-            at = end
-    inner = iter(cuts([words for _, _, words in pieces if len(words) > long]))
-    starts, hashes, counts = [], [], []
-    for at, end, words in pieces:
-        if len(words) <= long:
-            starts.append(at)
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            counts.append(len(words))
-            continue
-        where = [m.start() for m in WORD.finditer(text, at, end)]
-        where[0] = at
-        for a, b in pairwise([0, *(e for e in next(inner) if e < len(words)), len(words)]):
-            starts.append(where[a])
-            hashes.append(xxhash.xxh64_intdigest(b" ".join(words[a:b])))
-            counts.append(b - a)
-    return starts, hashes, counts
+    """Start, hash and number of words of each piece; a piece goes on to the next one's start.
+
+    ``long`` has no effect: cuts depend on the words around them alone, never on the length of a sentence.
+    """
+    where, at, words = pieces(text)
+    bounds = [*at.tolist(), len(words)]
+    return begins(where, at), [xxhash.xxh64_intdigest(b" ".join(words[a:b])) for a, b in pairwise(bounds)] if words else [], np.diff(at, append=len(words)).tolist()
+
+
+def begins(where: np.ndarray, at: np.ndarray) -> list[int]:
+    """Start of each piece; white space before the first word belongs to the first piece."""
+    return [0, *where[at[1:]].tolist()] if len(at) else []
 
 
 def runs(hashes: list[int], counts: list[int], run: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def runs(hashes: list[int], counts: list[int], run: int, words: int) -> tuple[np
     return (h ^ (h >> np.uint64(32))).view(np.int64), last
 
 
-def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20, long: int = 20) -> DataFrame:
+def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20) -> DataFrame:
     """doc_id, text (without repeated spans), n_sentences, removed_sentences, removed_chars: one row per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -106,7 +111,7 @@ def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20, long: int = 20)
         for batch in batches:
             ids, hs, at = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                _, u, n = sentences(text, long)
+                _, u, n = sentences(text)
                 h, _ = runs(u, n, run, words)
                 hs.append(h)
                 at.append(np.arange(len(h)))
@@ -126,7 +131,7 @@ def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20, long: int = 20)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                starts, u, n = sentences(text, long)
+                starts, u, n = sentences(text) if found else (begins(*pieces(text)[:2]), [], [])
                 gone = np.zeros(len(starts) + 1, np.int64)
                 if found:
                     h, last = runs(u, n, run, words)

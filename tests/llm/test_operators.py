@@ -426,6 +426,36 @@ def test_passages_inside_one_long_sentence_share_a_run():
         assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("every", [14, 15, 17, 20, 25])
+def test_passages_that_start_and_end_inside_other_sentences_share_a_run(every):
+    rng = random.Random(every)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    for _ in range(300):
+        first = rng.randint(1, every)
+        parts = [words(first)]
+        left = rng.randint(51, 60) - first
+        while left > 0:
+            parts.append(words(min(every, left)))
+            left -= every
+        passage = ". ".join(parts)
+        found = []
+        for _ in range(2):
+            around = f"{words(30)}. {words(rng.randint(1, 9))} {passage} {words(rng.randint(1, 9))}. {words(30)}."
+            _, u, n = spans.sentences(around.encode())
+            found.append(set(spans.runs(u, n, 3, 20)[0].tolist()))
+        assert found[0] & found[1]
+
+
+def test_a_passage_of_10_20_20_10_words_set_inline_is_cut(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    passage = ". ".join(words(n) for n in (10, 20, 20, 10))
+    data = [(i, f"{words(12)}. {words(5)} {passage} {words(5)}. {words(12)}.") for i in range(4)]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0].text == data[0][1]
+    assert all(got[i].removed_chars > 0.5 * len(passage) for i in (1, 2, 3))
+
+
 def test_spans_awkward(spark):
     got = spans.dedup_spans(awkward(spark)).collect()
     assert len(got) == len(AWKWARD)
