@@ -10,11 +10,12 @@ has weight one.
 Jobs. (1) Documents are read in batches of bounded size; a batch is stored as word hashes, training counts and a token stream
 of local numbers. (2) Batch vocabularies are dealt by hash range, added up, and answered: each batch gets the corpus count
 and a dense number of each of its words. (3) Each batch sorts its bigrams and deals them, once per distinct bigram with its
-training count and the documents it stands in, to tables partitioned by history; a history above one in ``HOT`` of all tokens is
-spread by bigram. (4) A table's task adds up its bigrams and keeps, per document, what seen bigrams give, and per history
-what its back-off weight needs. (5) With corpus-wide counts of counts and the hot histories' sums (at most ``HOT`` of them), unseen
+training count and the documents it stands in, to tables partitioned by history; a history above one in ``HOT`` of all
+tokens, or above a tenth of a table, is hot: it is spread by bigram over as many parts as its count asks for. (4) A table's task adds up its bigrams and keeps, per document, what seen bigrams give, and per history
+what its back-off weight needs. (5) With corpus-wide counts of counts and the hot histories' sums (added up in Spark), unseen
 bigrams are evaluated from bigram to unigram, and everything is added up per document.
-Only counts of counts, sizes of tables and hot histories' sums reach the driver; all else is dealt and bounded by its parameters.
+Only counts of counts, sizes of tables and one row of sums per hot history (about ten per table at most, each of eight numbers)
+reach the driver. One bigram's occurrences are in one table, whatever their number; all else is dealt and bounded by its parameters.
 
 Defined results: a null text counts as empty, which is its end token alone; a null id is trained on and scored; equal rows each count
 and each get a row; without training rows every probability is one; an empty table gives an empty result.
@@ -172,7 +173,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def spread_bigrams(encoded: DataFrame, words: DataFrame, offsets: list[int], uni: Unigrams, tables: int, train_docs: int) -> DataFrame:
     """kind, bucket, batch, data: each batch's bigrams by table, and its documents' base scores."""
-    hot_count = max(1000, uni.total // HOT)
+    hot_count = max(1000, min(uni.total // HOT, TABLE_TOKENS // 10))
 
     def shaped(row: dict) -> list[tuple]:
         sizes, tokens = thaw(row["sizes"])[0], thaw(row["tokens"])[0]
@@ -187,7 +188,8 @@ def spread_bigrams(encoded: DataFrame, words: DataFrame, offsets: list[int], uni
         doc = np.repeat(np.arange(len(sizes)), sizes)
         train = np.repeat(~np.array(row["held"]), sizes)
         hot = hc > hot_count
-        table = (mixed(np.where(hot, h * 1_000_003 + w, h)) % np.uint64(tables)).astype(np.int64)
+        part = (mixed(w) % (hc // (hot_count // 8) + 1).astype(np.uint64)).astype(np.int64)
+        table = (mixed(np.where(hot, h * 1_000_003 + part, h)) % np.uint64(tables)).astype(np.int64)
         order = np.lexsort((w, h, table))
         table, h, hc, hot, w, c, doc, train = table[order], h[order], hc[order], hot[order], w[order], c[order], doc[order], train[order]
         del order, tokens, count, number, answers
@@ -327,7 +329,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     unstage(encoded, words)
     counts = tables.where("kind = 'stat'").agg(*[F.sum(F.col("v")[r]) for r in range(K + 3)]).first()
     d = discounts(np.array([x or 0 for x in counts]))
-    rows = tables.where("kind = 'hot'").groupBy("h").agg(F.max(F.col("v")[0]), *[F.sum(F.col("v")[r]) for r in range(1, K + 2)]).collect()  # at most HOT
+    rows = tables.where("kind = 'hot'").groupBy("h").agg(F.max(F.col("v")[0]), *[F.sum(F.col("v")[r]) for r in range(1, K + 2)]).collect()  # one a hot history
     hot = {r["h"]: float(backoff(np.array([[float(x)] for x in (*r[1:], 1.0)]), d)[0]) for r in rows}
     parts = tables.where("kind in ('base', 'seen')").select("kind", "batch", "data").unionByName(open_scores(tables, d, hot, uni))
     log_d = np.log10(d[1:])

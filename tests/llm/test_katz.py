@@ -89,3 +89,21 @@ def test_better_than_base_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in katz.score_documents(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_histories_of_a_table_or_more_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(katz, "HOT", 5)  # no history has a fifth of all tokens, yet each of three fills two tables
+    monkeypatch.setattr(katz, "TABLE_TOKENS", 12_000)
+    rng = random.Random(6)
+    data = [(i, " ".join(f"{rng.choice('abc')} w{rng.randrange(300)}" for _ in range(180))) for i in range(400)]
+    sizes, add_tables = Counter(), katz.add_tables
+
+    def measured(grams, uni):
+        for row in grams.where("kind = 'grams'").collect():
+            sizes[row["bucket"]] += len(katz.thaw(row["data"])[-1])
+        return add_tables(grams, uni)
+
+    monkeypatch.setattr(katz, "add_tables", measured)
+    got = found(spark.createDataFrame(data, "doc_id long, text string"))
+    assert max(sizes.values()) < 2 * katz.TABLE_TOKENS
+    same(got, brute(data, got[0][4] / 1200))
