@@ -548,7 +548,7 @@ def _(v, spark, sf_dir):
 
 @query("fuzzy_locate")
 def _(v, spark, sf_dir):
-    rows = v("fx_anchor").where("v = 3").select("anchor_id", "document_id", "page_index", "quote").join(v("fx_text_block").select("document_id", "page_index", "block_index", "text"), ["document_id", "page_index"])
+    rows = v("fx_anchor").select("anchor_id", "document_id", "page_index", "quote").join(v("fx_text_block").select("document_id", "page_index", "block_index", "text"), ["document_id", "page_index"])
     return rows.select("anchor_id", "block_index", udfs.fuzzy_locate("text", "quote", F.lit(0.0)).alias("f")).select("anchor_id", "block_index", "f.*")
 
 

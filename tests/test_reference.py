@@ -147,6 +147,12 @@ def test_every_anchor_once(spark, sf):
     assert by["fuzzy"] > 0 and by["unresolved"] > 0
 
 
+def test_fuzzy_locate_tries_every_anchor_on_its_page(spark, sf):
+    want = registry.view(spark, sf, "fx_anchor").join(registry.view(spark, sf, "fx_text_block"), ["document_id", "page_index"])
+    want = want.select("anchor_id", F.col("block_index")).exceptAll(registry.QUERIES["fuzzy_locate"](spark, sf).select("anchor_id", "block_index"))
+    assert want.count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "o").mkdir()
     (tmp_path / "o/a.pdf").write_bytes(b"one")
