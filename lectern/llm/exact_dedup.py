@@ -8,7 +8,8 @@ and each (length, hash) run is inserted into a trie of its own, whose terminals
 Only (representative, owner, size) leaves that round; members are joined to it by representative.
 
 Defined results: a null text counts as empty; a null id never owns a text while a non-null one has it; of rows that
-repeat both id and text one is the owner; an empty table gives an empty result; other columns are not read.
+repeat both id and text one is the owner; an empty table gives an empty result; other columns are not read, and ``keep_rows``
+keeps them whatever their names. A task holds its trie, ``SLICE`` bytes on their way out and ``ROWS`` rows on their way in.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm._common import as_bytes, stage
 
 LOCAL = "size int, h long, text binary, sha string, owner long, n long, ids array<long>, raws array<long>"
 OWNERS = "rep long, keep_rep long, keep_id long, group_size long"
+SLICE, RUN, ROWS = 4 << 20, 10_000, 256  # bytes of a batch that leaves a task, members of a row, rows taken in at once
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -59,12 +62,12 @@ class PatriciaTrie:
             if at == len(key):
                 if node.value is None:
                     node.value = self.new()
-                    self.weight[first] = self.weight.get(first, 0) + 200
+                    self.weight[first] = self.weight.get(first, 0) + 300
                 return node.value
             child = node.next.get(key[at])
             if child is None:
                 child = node.next[key[at]] = Node(key[at:], self.new())
-                self.weight[first] = self.weight.get(first, 0) + len(key) - at + 400
+                self.weight[first] = self.weight.get(first, 0) + len(key) - at + 700
                 return child.value
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -85,47 +88,68 @@ class PatriciaTrie:
                 yield text, node.value
             stack += [(child, text) for child in node.next.values()]
 
-    def spill(self) -> list[tuple[bytes, object]]:
+    def spill(self) -> Iterator[tuple[bytes, object]]:
         """Take out the heaviest subtree below the root."""
         first = max(self.weight, key=self.weight.get)
         del self.weight[first]
         if not first:
             value, self.root.value = self.root.value, None
-            return [(b"", value)]
-        return list(self.items(self.root.next.pop(first[0])))
+            yield b"", value
+        else:
+            yield from self.items(self.root.next.pop(first[0]))
+
+
+class Members:
+    """Ids and text hashes of the rows that share a text."""
+
+    __slots__ = ("ids", "raws")
 
+    def __init__(self):
+        self.ids, self.raws = [], []
 
-def _rows(found) -> pa.RecordBatch:
-    cols = [[] for _ in range(8)]
-    for text, (ids, raws) in found:
-        k = max(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
-        ids[0], ids[k], raws[0], raws[k] = ids[k], ids[0], raws[k], raws[0]  # the owner comes first
-        for c, v in zip(cols, (len(text), xxhash.xxh64_intdigest(text) - 2**63, text, hashlib.sha256(text).hexdigest(), ids[0], len(ids), ids, raws), strict=True):
-            c.append(v)
+
+def _rows(found: Iterator[tuple[bytes, Members]]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``SLICE`` bytes; a row holds at most ``RUN`` members, the owner of a text's rows first in its own."""
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["size", "h", "text", "sha", "owner", "n", "ids", "raws"])
+    names = ["size", "h", "text", "sha", "owner", "n", "ids", "raws"]
+    cols: list[list] = [[] for _ in kinds]
+    held = 0
+    for text, m in found:
+        key = (len(text), xxhash.xxh64_intdigest(text) - 2**63, text, hashlib.sha256(text).hexdigest())
+        for at in range(0, len(m.ids), RUN):
+            ids, raws = m.ids[at : at + RUN], m.raws[at : at + RUN]
+            k = max(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+            ids[0], ids[k], raws[0], raws[k] = ids[k], ids[0], raws[k], raws[0]
+            for c, v in zip(cols, (*key, ids[0], len(ids), ids, raws), strict=True):
+                c.append(v)
+            held += len(text) + 16 * len(ids) + 200
+            if held >= SLICE:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                cols, held = [[] for _ in kinds], 0
+    if held:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 def _local(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie(lambda: ([], []))
+        trie = PatriciaTrie(Members)
         members = 0
-        for batch in batches:
+
+        def out(found: Iterator[tuple[bytes, Members]]) -> Iterator[tuple[bytes, Members]]:
+            nonlocal members
+            for text, m in found:
+                members -= len(m.ids)
+                yield text, m
+
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                text = text or b""
-                low = text.lower()
-                ids, raws = trie.slot(low)
-                ids.append(doc_id)
-                raws.append(xxhash.xxh64_intdigest(text, 42) - (1 << 64) * (xxhash.xxh64_intdigest(text, 42) >> 63))
+                m = trie.slot(text.lower())
+                m.ids.append(doc_id)
+                m.raws.append(xxhash.xxh64_intdigest(text, 42) - (1 << 64) * (xxhash.xxh64_intdigest(text, 42) >> 63))
                 members += 1
-                while sum(trie.weight.values()) + 80 * members > limit and trie.weight:
-                    out = trie.spill()
-                    members -= sum(len(v[0]) for _, v in out)
-                    for i in range(0, len(out), 2000):
-                        yield _rows(out[i : i + 2000])
-        rest = list(trie.items())
-        for i in range(0, len(rest), 2000):
-            yield _rows(rest[i : i + 2000])
+                while sum(trie.weight.values()) + 96 * members > limit and trie.weight:
+                    yield from _rows(out(trie.spill()))
+        yield from _rows(trie.items())
 
     return run
 
@@ -160,7 +184,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def exact_groups(docs: DataFrame, trie_bytes: int = 64 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, trie_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 (of the text with A-Z lower-cased), raw_hash: one row per row of ``docs``.
 
     Of equal texts the row with the largest id stays. ``raw_hash`` is Spark's xxhash64 of the text as it is, by which
@@ -186,14 +210,15 @@ def exact_groups(docs: DataFrame, trie_bytes: int = 64 << 20) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the (doc_id, raw_hash) of ``rows``; one row of those that repeat both."""
-    found = docs.withColumn("__raw", F.xxhash64(F.coalesce("text", F.lit(""))))
-    want = rows.select(F.col("doc_id").alias("__id"), F.col("raw_hash").alias("__hash"))
-    out = found.join(want, found["doc_id"].eqNullSafe(want["__id"]) & (found["__raw"] == want["__hash"]), "left_semi")
-    repeats = found.groupBy("doc_id", "__raw").count().where("count > 1").limit(1).count()
-    if repeats:
-        out = out.dropDuplicates(["doc_id", "__raw"])
-    return out.drop("__raw")
+    """The rows of ``docs`` with the (doc_id, raw_hash) of ``rows``; of those that repeat both the first by all their columns."""
+    key = (F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
+    found = docs.select(*key, F.struct(*docs.columns).alias("row"))
+    want = rows.select(F.col("doc_id").alias("want_id"), F.col("raw_hash").alias("want_raw"))
+    out = found.join(want, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("raw") == F.col("want_raw")), "left_semi")
+    if docs.select(*key).groupBy("id", "raw").count().where("count > 1").limit(1).count():
+        place = F.row_number().over(W.partitionBy("id", "raw").orderBy(F.to_json("row")))  # only a task's first go to the shuffle
+        out = out.withColumn("place", place).where("place = 1")
+    return out.select("row.*")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
