@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from itertools import combinations
 
@@ -291,16 +292,29 @@ def test_mixture_awkward(spark):
 # Packing
 
 
-def test_words_encode_as_whole_texts(sf, spark):
+def test_words_encode_as_whole_texts(sf, spark, monkeypatch):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path("word_bpe_49k.json"))
     texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     texts += ["", " a\x1cb \x85c\xa0d e", "it's DON'T I'LL. x's.", "<|endoftext|>x <|startoftext|>", "ΑΣ. ΑΣΣ İI ǅ é ﬁ", "1234.5,6||7** ~a", "日本語 テスト。 한국어", "a" * 500]
+    texts += [f"{chr(c)}. a{chr(c)}, {chr(c)}b" for c in range(0x80, 0x11000) if unicodedata.category(chr(c))[0] in "LMNPZ"]
+    texts += ["TATİ. SON", "word " * 9000 + "x" * 9000]
+    monkeypatch.setattr(packing, "SEGMENT", 20_000)
     got = packing.Encoder(path("word_bpe_49k.json"), limit=500).documents([x.encode() for x in texts])
     for x, ids in zip(texts, got, strict=True):
-        assert ids.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert ids.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["Hello Big World, yes.", "", " a  b\n", "é İ. 12"]
+    got = packing.Encoder(path("byte_bpe_50k.json")).documents([x.encode() for x in texts])
+    assert [g.tolist() for g in got] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
 
 
 @pytest.mark.parametrize("seed", range(5))
