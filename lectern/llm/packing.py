@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +31,9 @@ from lectern.llm._common import as_bytes, chunks, partitions
 
 END_ID = 1
 TAIL = ".,!?;:*&%$#|"  # never part of a token that begins with a letter, and no apostrophe
+# Latin and Cyrillic letters that composing and lower-casing leave letters; without U+0130, whose lower case ends in a mark.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ԯ"
+ALL_LETTERS = "".join(re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x530)))))
 SEGMENT = 2 << 20  # bytes of text encoded at once
 
 # What a tokenizer file must say for its texts to be encoded word by word.
@@ -71,11 +73,11 @@ def segments(text: bytes) -> Iterator[bytes]:
 
 class Encoder:
     """Token ids of texts. Where the file splits words as ``BY_WORDS`` says, no token crosses ASCII white space, and a word of
-    ASCII letters with stops behind it is the ids of both parts, so each distinct part is encoded once and kept in a
+    ``LETTERS`` with stops behind it is the ids of both parts, so each distinct part is encoded once and kept in a
     table of about ``limit`` parts; all other words are encoded as they are. Any other file encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
@@ -118,14 +120,14 @@ class Encoder:
     def parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the two parts of each word; the second is often the empty one."""
         cores = pc.ascii_rtrim(words, characters=TAIL)
-        plain = pc.ascii_is_alpha(cores)
+        plain = pc.match_substring_regex(cores, f"^[{LETTERS}]+$")
         keys = pc.if_else(plain, pc.ascii_lower(cores), words)
-        tails = pc.if_else(plain, pc.ascii_ltrim(words, characters=string.ascii_letters), "")
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=ALL_LETTERS), "")
         both = pa.concat_arrays([keys, tails]).dictionary_encode()
         distinct = both.dictionary.to_pylist()
         missing = [w for w in distinct if w not in self.slot]
-        letters = [w for w in missing if w.isascii() and w.isalpha()]
-        self.add(letters, [w for w in missing if not (w.isascii() and w.isalpha())])
+        is_letters = re.compile(f"[{LETTERS}]+").fullmatch
+        self.add([w for w in missing if is_letters(w)], [w for w in missing if not is_letters(w)])
         slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[both.indices.to_numpy()]
         return slots[: len(words)], slots[len(words) :]
 
