@@ -9,8 +9,8 @@ next two, then within one bucket of four, so a window sees at most 256 sums of a
 still missing, so that a source meets its target to the word.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; a source without words
-has target 0; rows that repeat the id at the cutoff share what is missing by size, rounded down; without any words all
-targets are 0; an empty table gives an empty result.
+has target 0; rows that repeat id and text at the cutoff share what is missing, and their source meets its target nearly; without any
+words all targets are 0; an empty table gives an empty result; columns of any name are allowed.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ def targets(totals: DataFrame, max_epochs: int = 3) -> DataFrame:
     return rows.select("source", "source_size", F.coalesce(F.least(F.col("cap"), common * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def hash_order(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-"))).cast("binary"))
+def hash_order(doc_id: Column, text: Column, seed: int) -> Column:
+    """Hash of id and text, so that only rows equal in both share it."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
 def crossing(parts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -60,7 +61,7 @@ def crossing(parts: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def plan(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """One row per source from a table of (source, size, h): source_size, target, whole repetitions, cutoff hash, words missing and words at the cutoff."""
+    """One row per source from a table of (source, size, h): source_size, target, whole repetitions, cutoff hash, words missing and rows at the cutoff."""
     digits = F.substring("h", 1, 4)
     buckets = stage(sizes.groupBy("source", digits.alias("bucket")).agg(F.sum("size").alias("size")), "buckets")
     goals = targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs)
@@ -78,45 +79,56 @@ def plan(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     edge = edge.select(F.col("source").alias("e_source"), "bucket", "missing")
     inside = sizes.select("source", "h", "size", F.substring("h", 1, 4).alias("s_bucket"))
     inside = inside.join(edge, inside["source"].eqNullSafe(edge["e_source"]) & (inside["s_bucket"] == edge["bucket"]))
-    inside = inside.groupBy("source", "h").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"))
+    inside = inside.groupBy("source", "h").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.first("missing").alias("missing"))
     upto = F.sum("size").over(W.partitionBy("source").orderBy("h").rowsBetween(W.unboundedPreceding, 0))
     inside = inside.withColumn("upto", upto).where((F.col("upto") > F.col("missing")) & (F.col("upto") - F.col("size") <= F.col("missing")))
-    cut = inside.select(F.col("source").alias("c_source"), F.col("h").alias("cutoff"), (F.col("missing") - F.col("upto") + F.col("size")).alias("rest"), F.col("size").alias("cut_size"))
+    cut = inside.select(F.col("source").alias("c_source"), F.col("h").alias("cutoff"), (F.col("missing") - F.col("upto") + F.col("size")).alias("rest"), F.col("n").alias("cut_rows"))
     return goals.join(cut, goals["source"].eqNullSafe(cut["c_source"]), "left").drop("c_source")
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target, whole (repetitions) and extra (words of one more, partial or whole) and taken.
+def planned(docs: DataFrame, max_epochs: int, seed: int) -> DataFrame:
+    """``row`` (all columns of ``docs``) with size, source_size, target, whole (repetitions), extra (words of one more, partial or whole) and taken.
 
-    The added columns have the prefix ``mix_``. The plan has a row per source; it is broadcast if it has at most
-    ``MAX_BROADCAST_SOURCES`` rows, and joined by shuffle (where Spark splits a hot source) beyond.
+    The plan has a row per source; it is broadcast if it has at most ``MAX_BROADCAST_SOURCES`` rows, and joined by shuffle (where
+    Spark splits a hot source) beyond. Rows equal in id and text that share the cutoff get equal parts of what is missing, and
+    each gets one word more with a chance that makes up the rest, by a hash of its row number.
     """
-    own = docs.withColumns({"mix_size": word_count(F.col("text")), "mix_h": hash_order(F.col("doc_id"), seed)})
-    sizes = stage(own.select("source", F.col("mix_size").alias("size"), F.col("mix_h").alias("h")), "sizes")
-    p = stage(plan(sizes, max_epochs), "plan")
-    p = p.select(*[F.col(c).alias(f"mix_{c}" if c != "source" else "mix_source") for c in p.columns])
+    own = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), hash_order(F.col("doc_id"), F.col("text"), seed).alias("h"))
+    sizes = stage(own.select("source", "size", "h"), "sizes")
+    p = stage(plan(sizes, max_epochs), "plan").withColumnRenamed("source", "p_source")
     if p.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         p = F.broadcast(p)
-    rows = own.join(p.drop("mix_extra"), own["source"].eqNullSafe(p["mix_source"]))
-    h, cut = F.col("mix_h"), F.col("mix_cutoff")
-    part = F.expr("mix_rest * mix_size div nullif(mix_cut_size, 0)")
-    extra = F.when(h < cut, F.col("mix_size")).when(h == cut, F.coalesce(part, F.lit(0))).otherwise(0).cast("long")
-    rows = rows.withColumn("mix_extra", extra).withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + F.col("mix_extra"))
-    return rows.drop("mix_source", "mix_h", "mix_cutoff", "mix_rest", "mix_cut_size")
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    rows = own.withColumn("chance", chance).join(p.drop("extra"), F.col("source").eqNullSafe(F.col("p_source")))
+    share, left = F.expr("rest div cut_rows"), F.expr("(rest % cut_rows) / cut_rows")
+    part = F.when(F.col("size") > 0, share + F.when(F.col("chance") < left, 1).otherwise(0)).otherwise(0)
+    extra = F.when(F.col("h") < F.col("cutoff"), F.col("size")).when(F.col("h") == F.col("cutoff"), part).otherwise(0).cast("long")
+    rows = rows.select("row", "size", "source_size", "target", "whole", extra.alias("extra"))
+    return rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+
+
+def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` with mix_size, mix_source_size, mix_target, mix_whole, mix_extra and mix_taken, as ``planned`` has them.
+
+    Columns of ``docs`` with these names give way.
+    """
+    added = ("size", "source_size", "target", "whole", "extra", "taken")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in {f"mix_{a}" for a in added}]
+    return planned(docs, max_epochs, seed).select(*own, *[F.col(a).alias(f"mix_{a}") for a in added])
 
 
 def repeat_rows(docs: DataFrame, max_epochs: int = 3, seed: int = 42) -> DataFrame:
-    """The mixed corpus: rows of ``docs`` as often as the mix takes them; the one at a source's cutoff
-    holds its first words up to what is taken, space-joined."""
-    rows = mix(docs, max_epochs, seed)
-    none = F.col("mix_size") == 0
-    full = F.col("mix_whole") + F.when(~none & (F.col("mix_extra") == F.col("mix_size")), 1).otherwise(0)
-    part = (F.col("mix_extra") > 0) & (F.col("mix_extra") < F.col("mix_size"))
-    times = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(part, F.array(F.col("mix_extra"))).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("mix_cut", F.explode(times))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.greatest(F.col("mix_cut"), F.lit(1)).cast("int")), " ")
-    cut = F.col("mix_cut") > 0
-    fix = {"text": F.when(cut, head).otherwise(F.col("text"))}
+    """The mixed corpus: rows of ``docs`` as often as the mix takes them; one at a source's cutoff
+    holds its first words up to what is taken, space-joined. All columns of ``docs`` stay, whatever their names."""
+    rows = planned(docs, max_epochs, seed)
+    none = F.col("size") == 0
+    full = F.col("whole") + F.when(~none & (F.col("extra") == F.col("size")), 1).otherwise(0)
+    part = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
+    times = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(part, F.array(F.col("extra"))).otherwise(F.array().cast("array<long>")))
+    rows = rows.select("row", F.explode(times).alias("cut"))
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), 0), 1, F.greatest(F.col("cut"), F.lit(1)).cast("int")), " ")
+    cut = F.col("cut") > 0
+    fix = {"text": F.when(cut, head).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        fix["n_chars"] = F.when(cut, F.length(head).cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns(fix).select(*docs.columns)
+        fix["n_chars"] = F.when(cut, F.length(head).cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*[fix.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

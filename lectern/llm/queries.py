@@ -80,7 +80,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixture": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                   md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS h FROM documents),
+                   md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')) AS h FROM documents),
         s AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
                    CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(3 * sum(size) AS DOUBLE) AS cap
@@ -96,10 +96,10 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
         u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM k),
         c AS (
-            SELECT u.source, u.h AS cutoff, x.extra - u.upto + u.size AS rest, u.size AS cut_size
+            SELECT u.source, u.h AS cutoff, x.extra - u.upto + u.size AS rest
             FROM u JOIN x ON u.source IS NOT DISTINCT FROM x.source WHERE u.upto > x.extra AND u.upto - u.size <= x.extra)
         SELECT d.doc_id, d.size, x.source_size, x.target,
-               CAST(x.whole * d.size + CASE WHEN d.h < c.cutoff THEN d.size WHEN d.h = c.cutoff THEN coalesce(c.rest * d.size // nullif(c.cut_size, 0), 0) ELSE 0 END AS BIGINT) AS taken
+               CAST(x.whole * d.size + CASE WHEN d.h < c.cutoff THEN d.size WHEN d.h = c.cutoff THEN c.rest ELSE 0 END AS BIGINT) AS taken
         FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS raw, {LOWER} AS t FROM documents)

@@ -285,10 +285,24 @@ def test_mixture_awkward(spark):
     assert len(got) == len(AWKWARD)
     assert mixture.mix(empty(spark)).count() == 0
     assert mixture.repeat_rows(awkward(spark)).columns == awkward(spark).columns
+    named = awkward(spark).withColumns({"mix_size": F.lit(7), "row": F.lit(8), "cut": F.lit(9), "p_source": F.lit("p"), "size": F.lit(3)})
+    out = mixture.repeat_rows(named)
+    assert out.columns == named.columns
+    assert {(r.mix_size, r.row, r.cut, r.p_source, r.size) for r in out.collect()} == {(7, 8, 9, "p", 3)}
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert {(r.mix_target, r.mix_taken) for r in mixture.mix(blank).collect()} == {(0.0, 0)}
 
 
+def test_mixture_of_rows_without_ids_meets_targets(spark):
+    data = [(None, "w", s, i) for s in "abc" for i in range(200)] + [(None, "one two three four five", "a", i) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n int").repartition(3)
+    by = {}
+    for r in mixture.mix(df).collect():
+        assert 0 <= r.mix_taken <= 3 * r.mix_size
+        by.setdefault(r.source, [r.mix_target, 0])[1] += r.mix_taken
+    assert len(by) == 3 and all(abs(t - n) < 40 for t, n in by.values()), by
+
+
 # Packing
 
 
