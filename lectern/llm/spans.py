@@ -7,16 +7,18 @@ below) on, the shortest run of at least ``run`` pieces with ``words`` words is h
 hash's first place, by document id and position, is its owner. Every other place is found by joining the runs to the
 repeated hashes, written as a table before, so that Spark splits a hot hash's rows in the join, and the sentences that such a run covers are cut out.
 
+Words, windows and runs of many texts are hashed at once: sums of powers over bytes give the hash of every word, and sums over words that of
+every run (64 bits each, both odd-base polynomials over random bytes, mixed at the end).
+
 Defined results: a null text counts as empty; a text with fewer sentences or words than a run stays; a run repeated in
-its own document goes too; of rows that repeat an id, all count as one document; null ids come last in order and are
-one document; an empty table gives an empty result; long texts are cut whole.
+its own document goes too; a row is known by the hash of its id and text, so rows without an id, and rows that share one, are documents of
+their own; null ids come last in order; of rows equal in id and text one stays and the others lose what repeats (one per task stays where Spark splits a
+hot one); an empty table gives an empty result; long texts are cut whole; other columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,128 +26,171 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import as_bytes, stage
+from lectern.llm._common import as_bytes, chunks, stage
 
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 STOP = np.isin(np.arange(256), list(b".!?"))
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 WINDOW = 12
+BLOCK = 1 << 20  # bytes whose words are hashed at once
+CHUNK = 1 << 20  # bytes of texts that are cut at once
+NO_ID = 2**63 - 1
+# A random number for each byte, the same for both cases of A-Z.
+BYTES = np.random.default_rng(42).integers(1, 2**64, 256, np.uint64)
+BYTES[65:91] = BYTES[97:123]
+
+
+class Powers:
+    """Powers of ``BASE`` and of its inverse modulo 2^64, as many as have been asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, b, np.uint64))), dtype=np.uint64) for b in (BASE, INVERSE))
+        return cls.up[:n], cls.down[:n]
+
+
+def mixed(h: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9) + extra.astype(np.uint64)
+    return h ^ (h >> np.uint64(32))
+
 
+def stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each stretch of ``values``, whatever is before it."""
+    up, down = Powers.of(len(values) + 1)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return (upto[end] - upto[begin]) * down[begin]
 
-def cuts(sentences: list[list[bytes]]) -> list[list[int]]:
-    """Where each list of words is cut: after the first smallest hash of every ``WINDOW`` words of it in a row."""
-    sizes = np.array([len(s) for s in sentences])
-    n = int(sizes.sum())
+
+def word_hashes(raw: np.ndarray, where: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word from ``where`` to ``ends``, A-Z lower-cased."""
+    out, a = np.empty(len(where), np.uint64), 0
+    while a < len(where):
+        b = int(np.searchsorted(ends, where[a] + BLOCK, "right"))
+        if b == a:  # a word longer than a block
+            out[a] = xxhash.xxh64_intdigest(raw[where[a] : ends[a]].tobytes().lower())
+            b = a + 1
+        else:
+            base = where[a]
+            out[a:b] = stretches(BYTES[raw[base : ends[b - 1]]], where[a:b] - base, ends[a:b] - base)
+        a = b
+    return mixed(out, ends - where)
+
+
+def cuts(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The words (of texts ``of``, one behind the other) after which a cut is: the first smallest hash of every ``WINDOW`` of a text in a row."""
+    n = len(hashes)
     if n < WINDOW:
-        return [[] for _ in sentences]
-    least = np.fromiter(map(zlib.crc32, chain.from_iterable(sentences)), np.int64, n) << 31 | np.arange(n)
+        return np.zeros(0, np.int64)
+    least = (hashes >> np.uint64(33)).astype(np.int64) << 31 | np.arange(n)
     span = 1
     while span < WINDOW:
         step = min(span, WINDOW - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    of = np.repeat(np.arange(len(sizes)), sizes)
     at = (least & ((1 << 31) - 1))[of[: n - WINDOW + 1] == of[WINDOW - 1 :]]
-    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    ends = (at + 1 - (np.cumsum(sizes) - sizes)[of[at]]).tolist()
-    bounds = np.searchsorted(of[at], np.arange(len(sizes) + 1)).tolist()
-    return [ends[a:b] for a, b in pairwise(bounds)]
-
-
-def pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Start of each word of the text, the words that a piece starts with, and the words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), words
-    raw = np.frombuffer(text, np.uint8)
-    space = np.concatenate(([True], SPACE[raw], [True]))
-    where, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    lines = np.searchsorted(np.flatnonzero(raw == 10), where)
-    new = np.ones(len(words) + 1, bool)
-    new[1:-1] = STOP[raw[ends[:-1] - 1]] | (lines[1:] > lines[:-1])
-    new[cuts([words])[0]] = True
-    return where, np.flatnonzero(new[:-1]), words
-
-
-def sentences(text: bytes, long: int = 20) -> tuple[list[int], list[int], list[int]]:
-    """Start, hash and number of words of each piece; a piece goes on to the next one's start.
-
-    ``long`` has no effect: cuts depend on the words around them alone, never on the length of a sentence.
-    """
-    where, at, words = pieces(text)
-    bounds = [*at.tolist(), len(words)]
-    return begins(where, at), [xxhash.xxh64_intdigest(b" ".join(words[a:b])) for a, b in pairwise(bounds)] if words else [], np.diff(at, append=len(words)).tolist()
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
-def begins(where: np.ndarray, at: np.ndarray) -> list[int]:
-    """Start of each piece; white space before the first word belongs to the first piece."""
-    return [0, *where[at[1:]].tolist()] if len(at) else []
+class Pieces:
+    """The sentences of some texts: ``first[d]`` to ``first[d + 1]`` are those of text d, each from byte ``starts`` of its text on.
 
+    ``begin`` has run starts (numbers of sentences), ``last`` the sentence after each run, ``hash`` the run's hash.
+    """
 
-def runs(hashes: list[int], counts: list[int], run: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the run from each sentence on, and the sentence after it; sentences too near the end have none."""
-    n = len(hashes)
-    total = np.concatenate(([0], np.cumsum(counts)))
-    last = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(n) + run)
-    ok = last <= n
-    start, last = np.flatnonzero(ok), last[ok]
-    if not len(start):
-        return np.zeros(0, np.int64), last
-    u = np.array(hashes, np.uint64)
-    one = np.ones(1, np.uint64)
-    up = np.cumprod(np.concatenate((one, np.full(n, BASE, np.uint64))), dtype=np.uint64)
-    down = np.cumprod(np.concatenate((one, np.full(n, INVERSE, np.uint64))), dtype=np.uint64)
-    g = np.concatenate((np.zeros(1, np.uint64), np.cumsum(u * up[:n], dtype=np.uint64)))
-    h = (g[last] - g[start]) * down[start]
-    h ^= h >> np.uint64(29)
-    h = h * np.uint64(0xBF58476D1CE4E5B9) + (last - start).astype(np.uint64)
-    return (h ^ (h >> np.uint64(32))).view(np.int64), last
+    def __init__(self, texts: list[bytes], run: int, words: int):
+        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        offset = np.cumsum(sizes) - sizes
+        space = np.concatenate(([True], SPACE[raw], [True]))
+        where, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        of = np.searchsorted(offset, where, "right") - 1
+        hashes = word_hashes(raw, where, ends)
+        lines = np.searchsorted(np.flatnonzero(raw == 10), where)
+        new = np.ones(len(where) + 1, bool)
+        if len(where):
+            new[1:-1] = STOP[raw[ends[:-1] - 1]] | (lines[1:] > lines[:-1]) | (of[1:] != of[:-1])
+            new[cuts(hashes, of) + 1] = True
+        at = np.flatnonzero(new[:-1])
+        self.first = np.searchsorted(of[at], np.arange(len(texts) + 1))
+        self.starts = where[at] - offset[of[at]]
+        # White space before the first word belongs to the first piece.
+        self.starts[self.first[:-1][self.first[:-1] < self.first[1:]]] = 0
+        bounds = np.append(at, len(where))
+        last = np.maximum(np.searchsorted(bounds, at + words), np.arange(len(at)) + run)
+        ok = last <= self.first[1:][of[at]]
+        self.begin, self.last = np.flatnonzero(ok), last[ok]
+        self.of = of[at]
+        self.hash = mixed(stretches(hashes, bounds[self.begin], bounds[self.last]), self.last - self.begin).view(np.int64)
 
 
 def dedup_spans(docs: DataFrame, run: int = 3, words: int = 20) -> DataFrame:
     """doc_id, text (without repeated spans), n_sentences, removed_sentences, removed_chars: one row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.xxhash64(doc_id, text).alias("key"))
+
+    def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            at = 0
+            for some in chunks(iter(as_bytes(batch.column(column))), len, CHUNK):
+                yield batch.slice(at, len(some)), some
+                at += len(some)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hs, at = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                _, u, n = sentences(text)
-                h, _ = runs(u, n, run, words)
-                hs.append(h)
-                at.append(np.arange(len(h)))
-                ids += [doc_id] * len(h)
-            cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (hs, at)]
-            yield pa.record_batch([cols[0], pa.array(ids, pa.int64()), cols[1].cast(pa.int32())], names=["h", "doc_id", "i"])
-
-    places = stage(rows.mapInArrow(emit, "h long, doc_id long, i int"), "runs")  # read twice, cut and hashed once
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("i").alias("i"))
-    owners = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+        for batch, texts in sliced(batches, 2):
+            p = Pieces(texts, run, words)
+            of = p.of[p.begin]
+            ids, keys = (batch.column(k).to_numpy()[of] for k in (0, 1))
+            yield pa.record_batch([pa.array(p.hash), pa.array(ids), pa.array(keys), pa.array((p.begin - p.first[of]).astype(np.int32))], names=["h", "id", "key", "i"])
+
+    places = stage(rows.select("id", "key", "text").mapInArrow(emit, "h long, id long, key long, i int"), "runs")  # read twice, cut and hashed once
+    owners = places.groupBy("h").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("h", "first_id")
     # As a table, the repeated hashes are shuffled for the join alone, so that Spark can split a hot hash's rows there.
-    owners = stage(owners, "repeated-spans")
-    again = places.join(owners, "h").where(~place.eqNullSafe(F.col("first")))
-    again = again.groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("i", "h")).alias("again"))
+    found = stage(places.join(stage(owners, "repeated-spans"), "h"), "repeated-places")
+    first = stage(found.where("id = first_id").groupBy("h").agg(F.min("key").alias("first_key")), "owners")
+    again = found.join(first, "h").select("key", "i", "h", ((F.col("id") == F.col("first_id")) & (F.col("key") == F.col("first_key"))).alias("own"))
+    again = again.groupBy(F.col("key").alias("r_key")).agg(F.collect_set(F.struct("i", "h", "own")).alias("again"))
+
+    def gone(p: Pieces, batch: pa.RecordBatch, copies: np.ndarray) -> np.ndarray:
+        """Which sentences a repeated run covers; the owner's first place of a hash stays, but in a copy of the row before."""
+        lists = batch.column(3)
+        entries = lists.flatten()
+        i, h, own = (entries.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        n = np.diff(lists.offsets.to_numpy())
+        doc = np.repeat(np.arange(len(n)), np.where(np.array(lists.is_valid()), n, 0))
+        at = p.first[doc] + i
+        order = np.lexsort((at, h, doc))
+        doc, h, own, at = doc[order], h[order], own[order].astype(bool), at[order]
+        head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(doc) else np.zeros(0, bool)
+        cut = ~(own & head) | copies[doc]
+        cover = np.zeros(len(p.starts) + 1, np.int64)
+        k = np.searchsorted(p.begin, at[cut])
+        np.add.at(cover, at[cut], 1)
+        np.add.at(cover, p.last[k], -1)
+        return np.cumsum(cover)[:-1] > 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                starts, u, n = sentences(text) if found else (begins(*pieces(text)[:2]), [], [])
-                gone = np.zeros(len(starts) + 1, np.int64)
-                if found:
-                    h, last = runs(u, n, run, words)
-                    for p in found:
-                        if p["i"] < len(h) and h[p["i"]] == p["h"]:
-                            gone[p["i"]] += 1
-                            gone[last[p["i"]]] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                kept = text
-                if gone.any():
-                    kept = text[: starts[0]] + b"".join(text[a:b] for a, b, g in zip(starts, [*starts[1:], len(text)], gone, strict=True) if not g)
-                for c, v in zip(out, (kept.decode(), len(starts), int(gone.sum()), len(text.decode()) - len(kept.decode())), strict=True):
-                    c.append(v)
-            yield pa.record_batch([batch.column(0), pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "text", "n_sentences", "removed_sentences", "removed_chars"])
-
-    both = rows.join(again, rows["doc_id"].eqNullSafe(again["r_id"]), "left").select("doc_id", "text", "again")
+        before = None
+        for batch, texts in sliced(batches, 2):
+            keys = batch.column(1).to_numpy()
+            copies = keys == np.concatenate(([keys[0] if before is None else before], keys[:-1]))
+            copies[0] &= before is not None
+            before = keys[-1]
+            p = Pieces(texts, run, words)
+            lost = gone(p, batch, copies)
+            sizes = np.diff(p.first)
+            removed = np.diff(np.concatenate(([0], np.cumsum(lost)))[p.first])
+            chars = np.zeros(len(texts), np.int64)
+            for d in np.flatnonzero(removed).tolist():
+                text, a, b = texts[d], p.first[d], p.first[d + 1]
+                bounds = [*p.starts[a:b].tolist(), len(text)]
+                texts[d] = b"".join(text[x:y] for x, y, g in zip(bounds, bounds[1:], lost[a:b].tolist(), strict=False) if not g)
+                chars[d] = len(text.decode()) - len(texts[d].decode())
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *map(pa.array, (sizes, removed, chars))], names=["doc_id", "text", "n_sentences", "removed_sentences", "removed_chars"])
+
+    both = rows.hint("merge").join(again, F.col("key") == F.col("r_key"), "left").select("doc_id", "key", "text", "again")
     return both.mapInArrow(cut, "doc_id long, text string, n_sentences long, removed_sentences long, removed_chars long")

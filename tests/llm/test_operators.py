@@ -390,32 +390,71 @@ def test_packed_pieces(spark, sf):
 # Spans
 
 
-def brute_dedup(data, run, words, long):
+def brute_pieces(raw):
+    """(start, words) of each piece, by reading the rule: sentence ends, line ends and window minima."""
+    words = [(m.start(), m.group().lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    hashes = [int(spans.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> 33 for _, w in words]
+    new = {0}
+    for k in range(1, len(words)):
+        end = words[k - 1][0] + len(words[k - 1][1])
+        if words[k - 1][1][-1:] in b".!?" or b"\n" in raw[end : words[k][0]]:
+            new.add(k)
+    for k in range(len(words) - spans.WINDOW + 1):
+        new.add(min(range(k, k + spans.WINDOW), key=hashes.__getitem__) + 1)
+    at = sorted(k for k in new if k < len(words))
+    bounds = [*at, len(words)]
+    return [(0 if n == 0 else words[a][0], tuple(w for _, w in words[a:b])) for n, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+
+
+def brute_dedup(data, run, words):
     places, docs = {}, []
-    for d, text in sorted(data):
+    for row, (d, text) in enumerate(sorted(data)):
         raw = text.encode()
-        starts, u, n = spans.sentences(raw, long)
-        docs.append((d, raw, starts, n))
-        bounds = [*starts, len(raw)]
-        for i in range(len(starts)):
-            for j in range(i + run, len(starts) + 1):
-                if sum(n[i:j]) >= words:
-                    places.setdefault(tuple(tuple(raw[a:b].lower().split()) for a, b in zip(bounds[i:j], bounds[i + 1 : j + 1], strict=True)), []).append((d, i, j))
+        cut = brute_pieces(raw)
+        docs.append((d, raw, cut))
+        for i in range(len(cut)):
+            for j in range(i + run, len(cut) + 1):
+                if sum(len(w) for _, w in cut[i:j]) >= words:
+                    places.setdefault((j - i, sum((w for _, w in cut[i:j]), ())), []).append((row, i, j))
                     break
-    gone = {(d, k) for p in places.values() for d, i, j in sorted(p)[1:] for k in range(i, j)}
-    out = {}
-    for d, raw, starts, _ in docs:
-        bounds = [*starts, len(raw)]
-        head = raw[: starts[0]] if starts else raw
-        out[d] = (head + b"".join(raw[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if (d, k) not in gone)).decode()
-    return out
+    gone = {(row, k) for p in places.values() for row, i, j in sorted(p)[1:] for k in range(i, j)}
+    out = []
+    for row, (d, raw, cut) in enumerate(docs):
+        bounds = [*(s for s, _ in cut), len(raw)]
+        kept = b"".join(raw[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if (row, k) not in gone) if cut else raw
+        out.append((d, kept.decode()))
+    return sorted(out)
 
 
 def test_spans_match_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     data = [(r.doc_id, r.text or "") for r in docs.collect()]
-    got = {r.doc_id: r.text for r in queries.op1_substring_dedup(spark, sf).collect()}
-    assert got == brute_dedup(data, 3, 20, 20)
+    got = sorted((r.doc_id, r.text) for r in queries.op1_substring_dedup(spark, sf).collect())
+    assert got == brute_dedup(data, 3, 20)
+
+
+def test_rows_without_ids_and_equal_rows(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)) + "."
+    shared = text(60)
+    data = [(None, f"{text(30)} {shared}") for _ in range(40)] + [(i, text(60)) for i in range(60)] + [(7000, text(50))] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = spans.dedup_spans(df).collect()
+    assert len(got) == len(data)
+    assert sorted(r.removed_chars > 150 for r in got if r.doc_id is None) == [False] + [True] * 39
+    assert sorted(r.removed_chars > 0 for r in got if r.doc_id == 7000) == [False, True, True]
+    assert all(r.removed_chars == 0 for r in got if r.doc_id is not None and r.doc_id < 60)
+
+
+def test_hashes_do_not_depend_on_what_stands_around(monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 64)
+    rng = random.Random(2)
+    texts = [b" ".join(bytes(rng.choices(b"abAB.\xc3\xa9", k=rng.choice([1, 3, 9, 80]))) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    each = [spans.Pieces([t], 3, 20) for t in texts]
+    every = spans.Pieces(texts, 3, 20)
+    assert [h for p in each for h in p.hash.tolist()] == every.hash.tolist()
+    assert [s for p in each for s in p.starts.tolist()] == every.starts.tolist()
+    assert every.starts.tolist() == [s for t in texts for s, _ in brute_pieces(t)]
 
 
 def test_planted_passage_is_cut_and_clean_text_stays(spark):
@@ -432,16 +471,6 @@ def test_planted_passage_is_cut_and_clean_text_stays(spark):
         assert all(got[i].removed_chars > 0.3 * len(passage) for i in range(1, 20)), every
 
 
-def test_long_sentences_are_cut_at_window_minima():
-    rng = random.Random(3)
-    for _ in range(100):
-        texts = [[str(rng.randint(0, 30)).encode() for _ in range(rng.randint(21, 60))] for _ in range(rng.randint(1, 4))]
-        for words, got in zip(texts, spans.cuts(texts), strict=True):
-            h = [zlib.crc32(w) for w in words]
-            windows = range(len(h) - spans.WINDOW + 1)
-            assert got == sorted({min(range(i, i + spans.WINDOW), key=h.__getitem__) + 1 for i in windows})
-
-
 def test_passages_inside_one_long_sentence_share_a_run():
     rng = random.Random(5)
     words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
@@ -449,8 +478,7 @@ def test_passages_inside_one_long_sentence_share_a_run():
         passage = words(51)
         found = []
         for _ in range(2):
-            _, u, n = spans.sentences(f"{words(40)} {passage} {words(40)}".encode())
-            found.append(set(spans.runs(u, n, 3, 20)[0].tolist()))
+            found.append(set(spans.Pieces([f"{words(40)} {passage} {words(40)}".encode()], 3, 20).hash.tolist()))
         assert found[0] & found[1]
 
 
@@ -469,8 +497,7 @@ def test_passages_that_start_and_end_inside_other_sentences_share_a_run(every):
         found = []
         for _ in range(2):
             around = f"{words(30)}. {words(rng.randint(1, 9))} {passage} {words(rng.randint(1, 9))}. {words(30)}."
-            _, u, n = spans.sentences(around.encode())
-            found.append(set(spans.runs(u, n, 3, 20)[0].tolist()))
+            found.append(set(spans.Pieces([around.encode()], 3, 20).hash.tolist()))
         assert found[0] & found[1]
 
 
