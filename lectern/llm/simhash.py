@@ -8,6 +8,10 @@ them keeps the bits its members share (mask and pattern). The search goes down p
 both sides share accumulate to a lower bound that drops a whole pair of groups, and an upper bound that accepts one whole.
 A group sends out a spanning forest of its links, never all pairs. Components are found by large-star / small-star.
 
+That is exact for few bits, which only near-identical texts are within. ``drop_near_copies`` reaches down to a given similarity of shingle sets:
+it takes 128 bits, groups by masks drawn at random (as many as the recall asks for), searches each group by the same tree, and confirms
+links on the whole texts.
+
 Defined results: a null or blank text has fingerprint zero and is linked like any other; null ids are kept and never
 are a component's id unless all of it is null; repeated rows each get a row; an empty table gives an empty result.
 """
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import as_bytes, stage
+from lectern.llm._common import as_bytes, partitions, stage
 from lectern.llm.exact_dedup import keep_rows
 
 U64 = np.uint64
@@ -67,57 +71,110 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def group_links(group: np.ndarray, x: np.ndarray, k: int, fan: int = 4, most: int = 1 << 19) -> np.ndarray:
+class Index:
+    """Trees over the codes of groups: rows in Gray order, and above them nodes of ``fan`` with the bits that their members share.
+
+    ``x`` has one row of one or more 64-bit words per code; groups are ordered by the Gray rank of the first word.
+    """
+
+    def __init__(self, group: np.ndarray, x: np.ndarray, fan: int = 4):
+        self.order = np.lexsort((gray_rank(x[:, 0]), group))
+        g, v = group[self.order], x[self.order]
+        starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        heads, counts = starts, np.diff(np.append(starts, len(v)))
+        self.levels = [(np.arange(len(v)), np.arange(len(v)) + 1, v, v, None)]  # first row, end, AND, OR, first child
+        while counts.max() > 1:
+            up = -(-counts // fan)
+            step = np.arange(up.sum()) - np.repeat(np.cumsum(up) - up, up)
+            child = np.repeat(heads, up) + step * fan
+            low, high, a, o, _ = self.levels[-1]
+            last = np.append(child[1:], len(low)) - 1
+            self.levels.append((low[child], high[last], np.bitwise_and.reduceat(a, child), np.bitwise_or.reduceat(o, child), np.append(child, len(low))))
+            heads, counts = np.cumsum(up) - up, up
+
+    def near(self, k: int, most: int = 1 << 19) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """Down pairs of nodes: (False, rows, rows, distances) of pairs within ``k`` bits, or (True, nodes, nodes, level) where all of both nodes are.
+
+        Whether to go on below such a pair of nodes is sent back: by default not.
+        """
+        root = np.arange(len(self.levels[-1][0]))
+        stack = [(len(self.levels) - 1, root, root)]
+        while stack:
+            depth, a, b = stack.pop()
+            if len(a) > most:
+                stack += [(depth, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
+                continue
+            _, _, both, any_, child = self.levels[depth]
+            shared = ~(both[a] ^ any_[a]) & ~(both[b] ^ any_[b])
+            differ = (both[a] ^ both[b]) & shared
+            far = np.bitwise_count(differ).sum(1)  # the lower bound: differences in shared bits
+            ok = far <= k
+            if depth == 0:
+                yield False, a[ok], b[ok], far[ok]
+                continue
+            whole = ok & (np.bitwise_count(differ | ~shared).sum(1) <= k)  # even if all other bits differed
+            if whole.any() and not (yield True, a[whole], b[whole], depth):
+                ok &= ~whole
+            a, b = a[ok], b[ok]
+            if not len(a):
+                continue
+            ca, cb = child[a + 1] - child[a], child[b + 1] - child[b]
+            n = ca * cb
+            pair = np.repeat(np.arange(len(a)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            na, nb = child[a][pair] + at // cb[pair], child[b][pair] + at % cb[pair]
+            stack.append((depth - 1, na[na <= nb], nb[na <= nb]))
+
+
+def group_links(group: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     """For each row the smallest row index of its group that it is linked to within ``k`` bits, over chains of links."""
-    order = np.lexsort((gray_rank(x), group))
-    g, v = group[order], x[order]
-    starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    sizes = np.diff(np.append(starts, len(v)))
-    levels = [(np.arange(len(v)), np.arange(len(v)) + 1, v, v, None)]  # first row, end, AND, OR, first child
-    heads, counts = starts.copy(), sizes
-    while counts.max() > 1:
-        up = -(-counts // fan)
-        base = np.repeat(heads, up)
-        step = np.arange(up.sum()) - np.repeat(np.cumsum(up) - up, up)
-        child = base + step * fan
-        low, high, a, o, _ = levels[-1]
-        last = np.append(child[1:], len(low)) - 1
-        levels.append((low[child], high[last], np.bitwise_and.reduceat(a, child), np.bitwise_or.reduceat(o, child), np.append(child, len(low))))
-        heads, counts = np.cumsum(up) - up, up
-    label = np.arange(len(v))
-    root = np.arange(len(levels[-1][0]))
-    stack = [(len(levels) - 1, root, root)]
-    while stack:
-        depth, a, b = stack.pop()
-        if len(a) > most:
-            stack += [(depth, a[i : i + most], b[i : i + most]) for i in range(0, len(a), most)]
-            continue
-        low, high, both, any_, child = levels[depth]
-        shared = ~(both[a] ^ any_[a]) & ~(both[b] ^ any_[b])
-        differ = (both[a] ^ both[b]) & shared
-        near = np.bitwise_count(differ) <= k  # the lower bound: differences in shared bits
-        whole = near & (np.bitwise_count(differ | ~shared) <= k)  # even if all other bits differed
-        if depth == 0:
-            join(label, a[near], b[near])
+    index = Index(group, x[:, None])
+    label = np.arange(len(x))
+    for whole, a, b, depth in index.near(k):
+        if not whole:
+            join(label, a, b)
             continue
-        for i, j in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
+        low, high = index.levels[depth][:2]
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
             rows = np.concatenate((np.arange(low[i], high[i]), np.arange(low[j], high[j])))
             join(label, rows, np.full(len(rows), low[i]))
-        a, b = a[near & ~whole], b[near & ~whole]
-        if not len(a):
-            continue
-        ca, cb = child[a + 1] - child[a], child[b + 1] - child[b]
-        n = ca * cb
-        pair = np.repeat(np.arange(len(a)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        na, nb = child[a][pair] + at // cb[pair], child[b][pair] + at % cb[pair]
-        ok = na <= nb
-        stack.append((depth - 1, na[ok], nb[ok]))
-    out = np.empty(len(v), np.int64)
-    out[order] = order[label]
+    out = np.empty(len(x), np.int64)
+    out[index.order] = index.order[label]
     return out
 
 
+def group_forest(group: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that form, in each group, a smallest spanning forest of its links within ``k`` bits."""
+    index = Index(group, x)
+    found, walk = [], index.near(k)
+    step = next(walk, None)
+    while step is not None:
+        if not step[0]:
+            keep = step[1] != step[2]
+            found.append(tuple(c[keep] for c in step[1:]))
+        try:
+            step = walk.send(True)  # all pairs are wanted: the forest is chosen by distance
+        except StopIteration:
+            step = None
+    a, b, d = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((b, a, d))
+    a, b = a[order], b[order]
+    label, out = np.arange(len(x)), [np.zeros(0, np.int64)]
+    at = np.arange(len(a))
+    while True:  # each component takes its nearest link out, all at once
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            break
+        best = np.full(len(x), len(a))
+        np.minimum.at(best, label[a[at]], at)
+        np.minimum.at(best, label[b[at]], at)
+        taken = np.unique(best[best < len(a)])
+        join(label, a[taken], b[taken])
+        out.append(taken)
+    taken = np.concatenate(out)
+    return index.order[a[taken]], index.order[b[taken]]
+
+
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the classes of ``a`` and ``b`` pairwise; ``label`` keeps the smallest row of each class."""
     while True:
@@ -234,7 +291,135 @@ def near_groups(docs: DataFrame, words: int = 4, k: int = 4, limit: int = 4096)
     return table.join(by_fp, table["fp"] == by_fp["__fp"]).select("doc_id", digits.alias("fingerprint"), "component_id", "fp", "root", "raw_hash")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id, all columns kept."""
-    best = near_groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw_hash")).alias("m"))
+# Near copies by similarity: fingerprints of 128 bits, masks drawn at random, links confirmed on the texts.
+
+
+def shingles(text: bytes, words: int) -> list[bytes]:
+    """All runs of ``words`` words, A-Z lower-cased; the whole sequence if it is shorter, none if it is empty."""
+    w = text.lower().split()
+    line = b" ".join(w)
+    if len(w) <= words:
+        return [line] if w else []
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [line[a:b] for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def wide_fingerprint(text: bytes, words: int) -> bytes:
+    """Majority bits of the 128-bit XXH3 over all shingles, repeats included."""
+    every = shingles(text, words)
+    total = np.zeros(128, np.int64)
+    for i in range(0, len(every), 1 << 14):
+        part = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in every[i : i + (1 << 14)]]), np.uint8)
+        total += np.unpackbits(part.reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(every), bitorder="little").tobytes()
+
+
+def similar(a: set[bytes], b: set[bytes]) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def masks_for(n: int, differ: float, recall: float) -> tuple[int, int]:
+    """Bits of a mask and number of masks for ``n`` fingerprints: about 16 fingerprints share a pattern, and two whose bits differ
+    with probability ``differ`` share one of their patterns with probability ``recall``. More rows get longer and more masks, so recall does not fall."""
+    bits = max(12, min(40, int(np.ceil(np.log2(max(n, 16) / 16)))))
+    return bits, min(255, int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differ) ** bits)))))
+
+
+def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chunk: int = 1024, rows_at_once: int = 4096, seed: int = 42) -> DataFrame:
+    """u, v: links between near ``nodes`` (node, hi, lo), a smallest spanning forest for each group of each mask.
+
+    A row's sort key is its mask's number, its bits under the mask, and the Gray rank of some other bits. Range partitions split groups of any size;
+    a task cuts a group above ``chunk`` rows along its Gray order, which differs from mask to mask.
+    """
+    bits, n_masks = masks_for(n, differ, recall)
+    k = int(128 * differ + 2 * np.sqrt(128 * differ * (1 - differ)))
+    rng = np.random.default_rng(seed)
+    places = [rng.permutation(128)[:55] for _ in range(n_masks)]
+    rest = 55 - bits
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in (1, 2)], axis=1) if batch.num_rows else np.zeros((0, 2), np.int64)
+            each = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+            for m, at in enumerate(places):
+                code = np.ascontiguousarray(np.packbits(np.pad(each[:, at], ((0, 0), (9, 0))), axis=1)).view(">u8").ravel().astype(U64)
+                low = code & U64((1 << rest) - 1)
+                key = U64(m << 55) | (code ^ low) | gray_rank(low)
+                yield pa.record_batch([pa.array(key.view(np.int64)), *batch.columns], names=["key", "node", "hi", "lo"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(key: np.ndarray, node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            group = key >> rest
+            head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            size = np.diff(np.append(head, len(group)))
+            in_group = np.arange(len(group)) - np.repeat(head, size)
+            part = np.cumsum((in_group % chunk) == 0)
+            more = np.repeat(size > 1, size)
+            u, v = group_forest(part[more], x[more], k) if more.any() else (np.zeros(0, np.int64),) * 2
+            pair = np.sort(np.stack([node[more][u], node[more][v]]), axis=0)
+            return pa.record_batch([pa.array(pair[1]), pa.array(pair[0])], names=["u", "v"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in (b.slice(i, rows_at_once) for b in batches for i in range(0, b.num_rows, rows_at_once)):
+            key, node, hi, lo = (c.to_numpy() for c in batch.columns)
+            held.append((key, node, np.stack([hi, lo], axis=1).view(U64)))
+            if sum(len(c[0]) for c in held) < rows_at_once:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            new = np.flatnonzero(np.diff(cols[0] >> rest))
+            cut = new[-1] + 1 if len(new) else len(cols[0])  # the last group may go on, unless it fills the block
+            yield found(*(c[:cut] for c in cols))
+            held = [tuple(c[cut:] for c in cols)]
+        if held and len(held[0][0]):
+            yield found(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    rows = nodes.select("node", "hi", "lo").mapInArrow(keys, "key long, node long, hi long, lo long")
+    dealt = rows.repartitionByRange(partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``links`` (u, v) whose texts (node, text) have that similarity of their sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine = None, set()
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            ok = []
+            for u, a, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+                if u != at:
+                    at, mine = u, set(shingles(a, words))
+                ok.append(similar(mine, set(shingles(b, words))) >= similarity)
+            yield pa.record_batch(batch.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    end = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+    return links.join(end("v"), "v").join(end("u"), "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """``docs`` with one row of each component of near copies, that of the smallest id, all columns kept.
+
+    Two documents are linked if their sets of ``words``-word shingles have at least ``similarity`` (Jaccard) and a mask of the index brings them together,
+    which it does for pairs at that similarity with about the probability ``recall``, and for nearer ones more often. Links of a forest are confirmed on the whole texts;
+    texts with equal 128-bit fingerprints are taken as linked.
+    """
+    text = F.coalesce("text", F.lit(""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            x = np.frombuffer(b"".join([wide_fingerprint(t, words) for t in as_bytes(batch.column(1))]), np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, x.T.copy())], names=["doc_id", "raw_hash", "hi", "lo"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw_hash"))
+    prints = rows.mapInArrow(run, "doc_id long, raw_hash long, hi long, lo long")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw_hash")).alias("m")
+    nodes = stage(prints.groupBy("hi", "lo").agg(least).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    links = stage(candidate_links(nodes, nodes.count(), differ, recall), "links")
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    wanted = nodes.join(ends, "node").select("node", F.col("m.doc_id").alias("w_id"), F.col("m.raw_hash").alias("w_raw"))
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_id"]) & (rows["raw_hash"] == wanted["w_raw"])).select("node", "text")
+    texts = stage(texts.dropDuplicates(["node"]), "texts")
+    roots = components(confirmed(links, texts, words, similarity))
+    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
     return keep_rows(docs, best.select("m.doc_id", "m.raw_hash"))

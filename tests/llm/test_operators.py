@@ -134,8 +134,6 @@ def test_near_groups_on_documents(spark, sf):
     fps = [brute_fingerprint(t or "") for _, t in data]
     want = sorted((d, f"{f:016x}", data[c][0]) for (d, _), f, c in zip(data, fps, brute_components(fps, 4), strict=True))
     assert sorted(rows(queries.op7_simhash(spark, sf))) == want
-    kept = simhash.drop_near_copies(docs)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
 
 
 def test_near_groups_awkward(spark):
@@ -147,6 +145,61 @@ def test_near_groups_awkward(spark):
     assert simhash.drop_near_copies(awkward(spark)).columns == awkward(spark).columns
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_forest_is_a_smallest_one(seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(128) for _ in range(4)]
+    codes = [(b ^ sum(1 << rng.randrange(128) for _ in range(rng.randint(0, 14)))) & (2**128 - 1) for b in base for _ in range(30)]
+    group = np.array([i % 2 for i in range(len(codes))])
+    x = np.array([[c & (2**64 - 1), c >> 64] for c in codes], np.uint64)
+    a, b = simhash.group_forest(group, x, 24)
+    far = lambda i, j: (codes[i] ^ codes[j]).bit_count()
+    want, at = 0, list(range(len(codes)))
+    find = lambda i: i if at[i] == i else find(at[i])
+    pairs = sorted((far(i, j), i, j) for i, j in combinations(range(len(codes)), 2) if group[i] == group[j])
+    for d, i, j in pairs:
+        if d <= 24 and find(i) != find(j):
+            at[find(i)] = find(j)
+            want += d
+    assert sum(far(i, j) for i, j in zip(a, b, strict=True)) == want
+    assert len(a) == len(codes) - len({find(i) for i in range(len(codes))})
+
+
+def test_near_copies_down_to_the_similarity_go(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    data, near, far = [], [], []
+    for g in range(250):
+        first = words(200)
+        other = list(first)
+        edits = rng.choice([1, 2, 3, 4, 5, 14, 18])
+        for at in rng.sample(range(0, 200, 6), edits):
+            other[at] = words(1)[0]
+        data += [(3 * g, " ".join(first)), (3 * g + 1, " ".join(other)), (3 * g + 2, " ".join(words(60)))]
+        s = simhash.similar(*(set(simhash.shingles(" ".join(t).encode(), 5)) for t in (first, other)))
+        (near if s >= 0.8 else far).append(3 * g + 1)
+    df = spark.createDataFrame([(*r, "k") for r in data], "doc_id long, text string, __raw string").repartition(6)
+    out = simhash.drop_near_copies(df)
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == df.columns
+    assert {d for d, _ in data if d % 3 != 1} | set(far) <= kept
+    assert len(near) > 100 and sum(d not in kept for d in near) >= 0.95 * len(near)
+    assert simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_a_large_group_of_near_copies_goes_whole(spark):
+    rng = random.Random(10)
+    first = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(150)]
+    data = []
+    for i in range(3000):
+        other = list(first)
+        for at in rng.sample(range(150), 1):
+            other[at] = f"w{i}"
+        data.append((i, " ".join(other)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in simhash.drop_near_copies(df).collect()] == [0]
+
+
 # Personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
