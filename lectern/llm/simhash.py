@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import as_bytes, partitions, stage
+from lectern.llm._common import as_bytes, partitions, stage, unstage
 from lectern.llm.exact_dedup import keep_rows
 
 U64 = np.uint64
@@ -272,7 +272,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = stage(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, stage(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstage(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
@@ -320,9 +321,9 @@ def similar(a: set[bytes], b: set[bytes]) -> float:
 
 
 def masks_for(n: int, differ: float, recall: float) -> tuple[int, int]:
-    """Bits of a mask and number of masks for ``n`` fingerprints: about 16 fingerprints share a pattern, and two whose bits differ
+    """Bits of a mask and number of masks for ``n`` fingerprints: about 64 fingerprints share a pattern (fewer in small tables), and two whose bits differ
     with probability ``differ`` share one of their patterns with probability ``recall``. More rows get longer and more masks, so recall does not fall."""
-    bits = max(12, min(40, int(np.ceil(np.log2(max(n, 16) / 16)))))
+    bits = max(12, min(40, int(np.ceil(np.log2(max(n, 64) / 64)))))
     return bits, min(255, int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differ) ** bits)))))
 
 
@@ -333,7 +334,7 @@ def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chun
     a task cuts a group above ``chunk`` rows along its Gray order, which differs from mask to mask.
     """
     bits, n_masks = masks_for(n, differ, recall)
-    k = int(128 * differ + 2 * np.sqrt(128 * differ * (1 - differ)))
+    k = int(128 * differ + 3 * np.sqrt(128 * differ * (1 - differ)))
     rng = np.random.default_rng(seed)
     places = [rng.permutation(128)[:55] for _ in range(n_masks)]
     rest = 55 - bits
@@ -396,7 +397,7 @@ def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return links.join(end("v"), "v").join(end("u"), "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
     """``docs`` with one row of each component of near copies, that of the smallest id, all columns kept.
 
     Two documents are linked if their sets of ``words``-word shingles have at least ``similarity`` (Jaccard) and a mask of the index brings them together,
