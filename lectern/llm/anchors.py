@@ -1,7 +1,7 @@
 """Personal data found by anchors: an Aho-Corasick pass marks places, small deterministic parsers expand each.
 
-Anchors are at-signs (email), plus signs (phone), digits (ip, card), address schemes (url) and identifier cues
-(account). A parser walks out from its anchor to the span's bounds, then validates; nothing is matched away from an
+Anchors are at-signs (email), plus signs (phone), digits (ip, card), address schemes (url), identifier cues
+(account), and cues and starts of credentials (secret). A parser walks out from its anchor to the span's bounds, then validates; nothing is matched away from an
 anchor. The four base kinds give exactly the leftmost non-overlapping matches of their patterns:
 
     email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
@@ -9,11 +9,12 @@ anchor. The four base kinds give exactly the leftmost non-overlapping matches of
     card   [0-9]([\\x20-]?[0-9])+, 16 to 19 digits that pass the Luhn check
     phone  \\+[0-9][\\x20().0-9-]+[0-9], 8 to 15 digits
 
-and two kinds are added: url (an address that carries user information) and account (an identifier after a cue,
-or an IBAN whose check digits hold). Offsets count code points, ends are exclusive.
+and three kinds are added: url (an address that carries user information), account (an identifier after a cue,
+or an IBAN whose check digits hold) and secret (the value set after a cue such as "password", or a key by its well-known start). Offsets count code points, ends are exclusive.
 
 Defined results: a null text counts as empty and has no spans; a failed check drops a match without a second try;
-long texts are scanned whole, each character a bounded number of times per kind; repeated rows each get a row.
+long texts are scanned whole, each character a bounded number of times per kind; repeated rows each get a row; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +36,12 @@ PHONE = DIGITS | frozenset(" ().-")
 ALNUM = frozenset(string.ascii_letters + string.digits)
 URL_END = frozenset(' \t\n\r\x0b\x0c"<>`{}|\\^')
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account")
+KINDS = (*BASE, "url", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
 CUES = ("account", "acct", "iban", "ssn", "passport")
+SECRET_CUES = ("password", "passwd", "pwd", "secret", "token", "key")
+KEY_STARTS = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "github_pat_": 22, "xoxb-": 20, "xoxp-": 20}  # letters and digits that follow, at least
+SECRET = ALNUM | frozenset("_-./+")
 
 
 @lru_cache(maxsize=1)
@@ -47,10 +51,12 @@ def automaton() -> ahocorasick.Automaton:
         out.add_word(c, ("digit", 1))
     out.add_word("@", ("at", 1))
     out.add_word("+", ("plus", 1))
-    for words, kind in ((SCHEMES, "url"), (CUES, "account")):
+    for words, kind in ((SCHEMES, "url"), (CUES, "account"), (SECRET_CUES, "secret")):
         for w in words:
             for form in {w, w.upper(), w.capitalize()}:
                 out.add_word(form, (kind, len(w)))
+    for start in KEY_STARTS:
+        out.add_word(start, ("key", len(start)))
     out.make_automaton()
     return out
 
@@ -157,10 +163,39 @@ def account_at(text: str, after: int) -> tuple[int, int] | None:
     return None
 
 
+def secret_at(text: str, after: int) -> tuple[int, int] | None:
+    """The value set after a cue by a colon or an equals sign, quoted or not: 8 characters or more, with a digit."""
+    n, start = len(text), after
+    while start < n and start - after < 3 and text[start] in " \"'":
+        start += 1
+    if start >= n or text[start] not in ":=":
+        return None
+    start += 1
+    sign = start
+    while start < n and start - sign < 3 and text[start] in " \"'":
+        start += 1
+    end = start
+    while end < n and text[end] in SECRET:
+        end += 1
+    while end > start and text[end - 1] in ".-/":
+        end -= 1
+    return (start, end) if end - start >= 8 and any(c in DIGITS for c in text[start:end]) else None
+
+
+def key_at(text: str, at: int, after: int) -> tuple[int, int] | None:
+    """A key by its well-known start, if it does not go on from a word before it."""
+    end = after
+    while end < len(text) and text[end] in SECRET and text[end] not in "./+":
+        end += 1
+    if (at and text[at - 1] in ALNUM) or end - after < KEY_STARTS[text[at:after]]:
+        return None
+    return at, end
+
+
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order of start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email = ip = card = phone = url = account = 0  # where each kind's scan may go on
+    email = ip = card = phone = url = account = secret = 0  # where each kind's scan may go on
     for last, (what, size) in automaton().iter(text):
         at = last - size + 1
         if what == "digit":
@@ -186,6 +221,11 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 url, ok = url_at(text, at, last + 1)
                 if ok:
                     out["url"].append((at, url))
+        elif what in ("secret", "key"):
+            found = key_at(text, at, last + 1) if what == "key" else secret_at(text, last + 1)
+            if found and found[0] >= secret:
+                out["secret"].append(found)
+                secret = found[1]
         elif at >= account and (at == 0 or text[at - 1] not in ALNUM) and (found := account_at(text, last + 1)):
             out["account"].append(found)
             account = found[1]
@@ -197,17 +237,18 @@ def listed(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base kinds), n_url, n_account, base_sha256, spans: one row per row of ``docs``."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base kinds), n_url, n_account, n_secret, n_spans (all kinds), base_sha256, spans: one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             found = [find_spans(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([len(s[k]) for s in found], pa.int64()) for k in KINDS]
+            total = pa.array([sum(map(len, s.values())) for s in found], pa.int64())
             digest = [hashlib.sha256(listed(s, BASE).encode()).hexdigest() for s in found]
-            yield pa.record_batch([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array([listed(s, KINDS) for s in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.record_batch([batch.column(0), *counts, total, pa.array(digest, pa.string()), pa.array([listed(s, KINDS) for s in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "n_spans", "base_sha256", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_spans long, base_sha256 string, spans string")
 
 
 def mask_spans(text: str, kinds: tuple[str, ...] = KINDS) -> str:
