@@ -37,6 +37,38 @@ def end_distances(text: str, quote: str) -> list[int]:
     return out
 
 
+def end_distances_many(texts: list[str], quotes: list[str]) -> np.ndarray:
+    """``end_distances`` of many pairs at once, one row each; quotes have 1 to 63 characters. Ends beyond a text are 32767."""
+    sizes = np.array([len(t) for t in texts])
+    m = np.array([len(q) for q in quotes])
+    chars, code = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    inside = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    at = np.full(inside.shape, len(chars))
+    at[inside] = code
+    distinct = {q: i for i, q in enumerate(dict.fromkeys(quotes))}
+    of = np.array([distinct[q] for q in quotes])
+    length = np.array([len(q) for q in distinct])
+    letters = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.searchsorted(chars, letters)
+    known = (place < len(chars)) & (chars[np.minimum(place, len(chars) - 1)] == letters)
+    bit = np.uint64(1) << (np.arange(len(letters)) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint64)
+    where = np.zeros((len(distinct), len(chars) + 1), np.uint64)
+    np.bitwise_or.at(where, (np.repeat(np.arange(len(distinct)), length)[known], place[known]), bit[known])
+    one = np.uint64(1)
+    full, top = (one << m.astype(np.uint64)) - one, one << (m - 1).astype(np.uint64)
+    up, down, d = full.copy(), np.zeros_like(full), m.astype(np.int16)
+    out = np.full(inside.shape, 32767, np.int16)
+    for j in range(inside.shape[1]):
+        x = where[of, at[:, j]] | down
+        zero = (((x & up) + up) ^ up) | x
+        more, less = down | ~(zero | up), up & zero
+        d = d + ((more & top) != 0) - ((less & top) != 0)
+        more, less = more << one, less << one
+        up, down = (less | ~(zero | more)) & full, more & zero & full
+        out[:, j] = np.where(inside[:, j], d, 32767)
+    return out
+
+
 def window_starts(text: str, quote: str, ends: list[int], d: int) -> list[int]:
     """Start of the window at distance ``d`` behind each of ``ends``.
 
@@ -67,15 +99,11 @@ def window_starts(text: str, quote: str, ends: list[int], d: int) -> list[int]:
     return starts
 
 
-def best_window(text: str | None, quote: str | None, least: float = 0.0) -> dict:
-    """1-based start of the window of ``text`` nearest to ``quote``, its similarity, and whether no other window away from it is as near.
+NO_WINDOW = {"pos": None, "similarity": 0.0, "is_unique": False}
 
-    Where the similarity is below ``least`` no place is given.
-    """
-    if not text or not quote:
-        return {"pos": None, "similarity": 0.0, "is_unique": False}
-    m, distances = len(quote), end_distances(text, quote)
-    d = min(distances)
+
+def window_at(text: str, quote: str, distances: list[int], least: float) -> dict:
+    m, d = len(quote), min(distances)
     near = 1 - d / m
     if near < least:
         return {"pos": None, "similarity": near, "is_unique": False}
@@ -83,10 +111,32 @@ def best_window(text: str | None, quote: str | None, least: float = 0.0) -> dict
     return {"pos": min(starts) + 1, "similarity": near, "is_unique": max(starts) - min(starts) < m}
 
 
+def best_window(text: str | None, quote: str | None, least: float = 0.0) -> dict:
+    """1-based start of the window of ``text`` nearest to ``quote``, its similarity, and whether no other window away from it is as near.
+
+    Where the similarity is below ``least`` no place is given.
+    """
+    return window_at(text, quote, end_distances(text, quote), least) if text and quote else NO_WINDOW
+
+
+def best_windows(texts: list, quotes: list, least: list[float]) -> list[dict]:
+    """``best_window`` of many pairs; distances of those with quotes of up to 63 characters are found together."""
+    out: list = [None] * len(texts)
+    short = sorted((i for i, (t, q) in enumerate(zip(texts, quotes, strict=True)) if t and q and len(q) < 64), key=lambda i: len(texts[i]))
+    for at in range(0, len(short), 2048):
+        some = short[at : at + 2048]
+        for i, row in zip(some, end_distances_many([texts[i] for i in some], [quotes[i] for i in some]), strict=True):
+            n = len(texts[i])
+            d = int(row[:n].min())
+            near = 1 - d / len(quotes[i])
+            out[i] = {"pos": None, "similarity": near, "is_unique": False} if near < least[i] else window_at(texts[i], quotes[i], row[:n].tolist(), least[i])
+    return [w or best_window(t, q, x) for w, t, q, x in zip(out, texts, quotes, least, strict=True)]
+
+
 @F.pandas_udf(FOUND)
 def fuzzy_locate(text: pd.Series, quote: pd.Series, least: pd.Series) -> pd.DataFrame:
     """``best_window`` over columns."""
-    rows = [best_window(*r) for r in zip(text, quote, least, strict=True)]
+    rows = best_windows(text.tolist(), quote.tolist(), least.tolist())
     return pd.DataFrame(rows, columns=["pos", "similarity", "is_unique"]).astype({"pos": "Int32"})
 
 

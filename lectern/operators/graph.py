@@ -59,26 +59,42 @@ def new_evidence(evidence: DataFrame, since: str) -> DataFrame:
     return got.where("n_new > 0")
 
 
-def open_questions(questions: DataFrame) -> DataFrame:
-    """Questions without a confirmed answer, or with an unanswered-by edge."""
-    open_ = ~F.coalesce("has_answer", F.lit(False)) | F.coalesce("unanswered_edge", F.lit(False))
-    return questions.where(open_).select("id", "about", F.when(F.col("unanswered_edge"), "unanswered_by").otherwise("no_answer").alias("reason"))
+def open_questions(questions: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, about, reason: question nodes (id, about) without a confirmed answered-by edge, or with an unanswered-by edge that is not rejected."""
+    live = F.coalesce(F.col("status") != "rejected", F.lit(True))
+    answered = F.max((F.col("kind") == "answered-by") & (F.col("status") == "confirmed"))
+    marks = edges.where(F.col("kind").isin("answered-by", "unanswered-by")).groupBy(F.col("source").alias("id")).agg(F.coalesce(answered, F.lit(False)).alias("answered"), F.max((F.col("kind") == "unanswered-by") & live).alias("unanswered"))
+    rows = questions.select("id", "about").join(marks, "id", "left")
+    unanswered = F.coalesce("unanswered", F.lit(False))
+    return rows.where(~F.coalesce("answered", F.lit(False)) | unanswered).select("id", "about", F.when(unanswered, "unanswered_by").otherwise("no_answer").alias("reason"))
+
+
+def rare_first(edges: DataFrame) -> DataFrame:
+    """source, items: the targets of each source, those of fewest sources first."""
+    degree = edges.groupBy("target").agg(F.count("*").alias("degree"))
+    item = F.struct("degree", "target")
+    return edges.join(degree, "target").groupBy("source").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["target"]).alias("items"))
 
 
-def method_overlaps(edges: DataFrame, min_shared: int = 2, max_degree: int = 200) -> DataFrame:
-    """paper_a, paper_b, shared, jaccard, hubs_left_out: pairs of papers that share methods.
+def sharing_pairs(left: DataFrame, right: DataFrame, ordered: bool, min_shared: int = 2) -> DataFrame:
+    """a, b, common, na, nb: pairs of sources of two ``rare_first`` tables that share ``min_shared`` targets or more, each pair once.
 
-    A hub method above ``max_degree`` papers says little and would make degree-squared pairs; it is left out and counted.
+    Two such sources share a target among all but the last ``min_shared`` - 1 of each list, so a target that most sources have, which
+    stands last, makes no pairs. A pair is met at its first common target only.
     """
-    degree = edges.groupBy("target").agg(F.count("*").alias("degree"))
-    hubs = degree.where(F.col("degree") > max_degree).agg(F.count("*").alias("hubs_left_out"))
-    kept = edges.join(degree.where(F.col("degree") <= max_degree), "target").select("target", "source")
-    size = edges.groupBy("source").agg(F.count("*").alias("n"))
-    a, b = kept.select("target", F.col("source").alias("paper_a")), kept.select("target", F.col("source").alias("paper_b"))
-    pairs = a.join(b, "target").where("paper_a < paper_b").groupBy("paper_a", "paper_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    pairs = pairs.join(size.select(F.col("source").alias("paper_a"), F.col("n").alias("na")), "paper_a").join(size.select(F.col("source").alias("paper_b"), F.col("n").alias("nb")), "paper_b")
-    jaccard = F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)
-    return pairs.select("paper_a", "paper_b", "shared", jaccard.alias("jaccard")).join(F.broadcast(hubs))
+    cut = lambda df, name: df.select(F.col("source").alias(name), F.col("items").alias(f"{name}_items"), F.explode(F.slice("items", 1, F.greatest(F.size("items") - (min_shared - 1), F.lit(0)))).alias("at"))
+    rows = cut(left, "a").join(cut(right, "b"), "at")
+    rows = rows.where("a < b") if ordered else rows
+    rows = rows.withColumn("common", F.array_intersect("a_items", "b_items")).where((F.size("common") >= min_shared) & (F.col("common")[0] == F.col("at")))
+    return rows.select("a", "b", "common", F.size("a_items").alias("na"), F.size("b_items").alias("nb"))
+
+
+def method_overlaps(edges: DataFrame, min_shared: int = 2) -> DataFrame:
+    """paper_a, paper_b, shared, jaccard: pairs of papers that share methods, whatever the number of papers of a method."""
+    sets = rare_first(edges)
+    shared = F.size("common")
+    jaccard = F.round(shared / (F.col("na") + F.col("nb") - shared), 6)
+    return sharing_pairs(sets, sets, True, min_shared).select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), shared.cast("long").alias("shared"), jaccard.alias("jaccard"))
 
 
 def weak_connections(edges: DataFrame, evidence: DataFrame, min_evidence: int, min_conf: float, min_degree: int) -> DataFrame:
@@ -92,13 +108,13 @@ def weak_connections(edges: DataFrame, evidence: DataFrame, min_evidence: int, m
     return rows.where((n < min_evidence) | (c < min_conf)).select("source", "target", n.alias("n_evidence"), F.round(c, 6).alias("confidence"), label.alias("label"))
 
 
-def evidence_signals(edges: DataFrame, evidence: DataFrame, questions: DataFrame, uses: DataFrame, since: str) -> DataFrame:
+def evidence_signals(edges: DataFrame, evidence: DataFrame, questions: DataFrame, answers: DataFrame, uses: DataFrame, since: str) -> DataFrame:
     """signal, subject, object, score, detail: the five signals in one schema."""
     shape = lambda df, s, subject, obj, score, detail: df.select(F.lit(s).alias("signal"), F.col(subject).alias("subject"), F.expr(obj).cast("string").alias("object"), F.expr(score).cast("double").alias("score"), F.expr(detail).cast("string").alias("detail"))
     parts = [
         shape(contradictions(edges), "contradiction", "source", "target", "1", "reason"),
         shape(new_evidence(evidence, since), "new_evidence", "source", "target", "n_new", "if(is_first, 'first', 'more')"),
-        shape(open_questions(questions), "open_question", "id", "about", "1", "reason"),
+        shape(open_questions(questions, answers), "open_question", "id", "about", "1", "reason"),
         shape(method_overlaps(uses), "method_overlap", "paper_a", "paper_b", "jaccard", "concat('shared ', shared)"),
         shape(weak_connections(edges, evidence, 2, 0.6, 2), "weak_connection", "source", "target", "confidence", "label"),
     ]
@@ -134,7 +150,7 @@ def illegal_transitions(log: DataFrame, allowed: DataFrame) -> DataFrame:
     w = W.partitionBy("source", "target").orderBy("ts", "seq", "status")
     steps = log.select("source", "target", F.lag("status").over(w).alias("from_status"), F.col("status").alias("to_status"), "ts", "seq")
     steps = steps.where("from_status is not null and from_status <> to_status")
-    return steps.join(F.broadcast(allowed.limit(1000)), ["from_status", "to_status"], "left_anti")
+    return steps.join(allowed, ["from_status", "to_status"], "left_anti")
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
@@ -151,16 +167,23 @@ def graph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return mark(n.exceptAll(o), "added").union(mark(o.exceptAll(n), "removed")).union(mark(o.intersect(n), "kept"))
 
 
-def recommend_papers(uses: DataFrame, questions: DataFrame, read: DataFrame, k: int = 5, max_degree: int = 200) -> DataFrame:
-    """paper, related, n_shared, why, n_questions: for papers read (paper), unread ones that share concepts, and the open questions about those.
+def recommend_papers(uses: DataFrame, questions: DataFrame, answers: DataFrame, read: DataFrame, k: int = 5) -> DataFrame:
+    """paper, related, n_shared, why, n_questions, rank: for papers read (paper), unread ones that share concepts, and the open questions about those.
 
-    Concepts above ``max_degree`` papers are left out, as in method overlaps.
+    Pairs that share two concepts or more are met as in ``sharing_pairs``. Of those that share one, the first ``k`` by name can count only if fewer than
+    ``k`` share more, so the first 2k - 1 unread papers of each concept hold them all; so no concept is left out, however common.
     """
-    degree = uses.groupBy("target").agg(F.count("*").alias("degree")).where(F.col("degree") <= max_degree)
-    kept = uses.join(degree, "target").select("target", "source")
-    mine = kept.join(read.select(F.col("paper").alias("source")), "source", "left_semi").select("target", F.col("source").alias("paper"))
-    other = kept.join(read.select(F.col("paper").alias("source")), "source", "left_anti").select("target", F.col("source").alias("related"))
-    asked = open_questions(questions).groupBy(F.col("about").alias("target")).agg(F.count("*").alias("asked"))
-    pairs = mine.join(other, "target").join(asked, "target", "left").groupBy("paper", "related").agg(F.count("*").alias("n_shared"), F.array_join(F.sort_array(F.collect_set("target")), ",").alias("why"), F.sum(F.coalesce("asked", F.lit(0))).alias("n_questions"))
-    rank = F.row_number().over(W.partitionBy("paper").orderBy(F.desc("n_shared"), "related"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    sets = rare_first(uses)
+    papers = read.select(F.col("paper").alias("source")).distinct()
+    mine, other = sets.join(papers, "source", "left_semi"), sets.join(papers, "source", "left_anti")
+    more = sharing_pairs(mine, other, False).select("a", "b", "common")
+    place = F.row_number().over(W.partitionBy("at").orderBy("source"))
+    first = other.select("source", "items", F.explode("items").alias("at")).withColumn("place", place).where(F.col("place") <= 2 * k - 1)
+    ones = mine.select(F.col("source").alias("a"), F.col("items").alias("a_items"), F.explode("items").alias("at")).join(first, "at")
+    ones = ones.select("a", F.col("source").alias("b"), F.array_intersect("a_items", "items").alias("common")).where(F.size("common") == 1)
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc(F.size("common")), "b"))
+    best = more.union(ones).withColumn("rank", rank).where(F.col("rank") <= k)
+    asked = open_questions(questions, answers).groupBy(F.col("about").alias("at")).agg(F.count("*").alias("asked"))
+    counted = best.select("a", "b", "rank", "common", F.explode("common").alias("at")).join(asked, "at", "left")
+    got = counted.groupBy(F.col("a").alias("paper"), F.col("b").alias("related"), "rank").agg(F.first("common").alias("common"), F.sum(F.coalesce("asked", F.lit(0))).alias("n_questions"))
+    return got.select("paper", "related", F.size("common").cast("long").alias("n_shared"), F.array_join(F.sort_array("common"), ",").alias("why"), "n_questions", "rank")

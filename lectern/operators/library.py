@@ -155,7 +155,7 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
 
 
 def group_items(items: DataFrame) -> DataFrame:
-    """group_name, first_pos, n_items, labels (joined by '|'): groups in order of first item, items in input order; no group is 'Commands'."""
-    rows = items.withColumn("group_name", F.coalesce(F.nullif("item_group", F.lit("")), F.lit("Commands")))
-    labels = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "label"))), lambda x: x["label"]), "|")
-    return rows.groupBy("group_name").agg(F.min("id").alias("first_pos"), F.count("*").alias("n_items"), labels.alias("labels"))
+    """group_name, first_pos, n_items, id, label: one row per item with its group; groups go by first item, items by id; no group is 'Commands'."""
+    rows = items.select(F.coalesce(F.nullif("item_group", F.lit("")), F.lit("Commands")).alias("group_name"), "id", "label")
+    groups = rows.groupBy("group_name").agg(F.min("id").alias("first_pos"), F.count("*").alias("n_items"))
+    return rows.join(groups, "group_name").select("group_name", "first_pos", "n_items", "id", "label")

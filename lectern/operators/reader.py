@@ -30,19 +30,36 @@ def apply_glossary(terms: DataFrame, glossary: DataFrame) -> DataFrame:
     return rows.select("term", F.coalesce("user", "model", "term").alias("rendering"), scope.alias("scope"))
 
 
-def spot_terms(blocks: DataFrame, glossary: DataFrame, max_words: int = 2) -> DataFrame:
-    """document_id, block_index, pos, term, n_words: every place of a glossary term, the longest at a place."""
+#: Up to this many glossary terms go along as constants; more are joined. The result is the same.
+MAX_TERMS = 2000
+
+
+def spot_terms(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
+    """document_id, block_index, pos, term, n_words: every place of a glossary term, of any number of words, the longest at a place."""
     tokens = F.transform(F.split("text", r"[ \t]+"), lambda t: F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     rows = blocks.select("document_id", "block_index", tokens.alias("t"))
-    def grams_of(n: int) -> Column:
-        gram = lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n_words"), F.array_join(F.slice(F.col("t"), i + 1, n), " ").alias("term"))
-        return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), gram)).otherwise(F.array())
-
-    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, max_words + 1)]))
-    terms = glossary.select("term").distinct()
-    hits = rows.select("document_id", "block_index", F.explode(grams).alias("g")).select("document_id", "block_index", "g.*").join(terms, "term")
-    best = F.row_number().over(W.partitionBy("document_id", "block_index", "pos").orderBy(F.desc("n_words")))
-    return hits.withColumn("best", best).where("best = 1").select("document_id", "block_index", "pos", "term", "n_words")
+    terms = glossary.select("term", F.size(F.split("term", " ")).alias("n_words")).where("term is not null").distinct()
+    gram = lambda t, i, n: F.when(i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " "))
+    places = F.sequence(F.lit(0), F.size("t") - 1)
+    cols = ["document_id", "block_index", "pos", "term", "n_words"]
+    some = terms.limit(MAX_TERMS + 1).collect()
+    if len(some) <= MAX_TERMS:
+        by_words: dict[int, list[str]] = {}
+        for r in some:
+            by_words.setdefault(r["n_words"], []).append(r["term"])
+        place = lambda i, n: F.when(gram(F.col("t"), i, F.lit(n)).isin(by_words[n]), F.struct(i.alias("pos"), F.lit(n).alias("n_words")))
+        longest = lambda i: F.coalesce(*[place(i, n) for n in sorted(by_words, reverse=True)])
+        if not some:
+            return rows.select("document_id", "block_index", F.lit(0).alias("pos"), F.lit("").alias("term"), F.lit(0).alias("n_words")).where("false")
+        hits = rows.select("document_id", "block_index", "t", F.explode(F.filter(F.transform(places, longest), lambda x: x.isNotNull())).alias("g"))
+        return hits.select("document_id", "block_index", "g.pos", F.array_join(F.slice("t", F.col("g.pos") + 1, F.col("g.n_words")), " ").alias("term"), "g.n_words").select(*cols)
+    longest = terms.groupBy(F.substring_index("term", " ", 1).alias("first")).agg(F.max("n_words").alias("most"))
+    starts = rows.select("document_id", "block_index", F.posexplode("t").alias("pos", "first"))
+    starts = starts.join(longest, "first").groupBy("document_id", "block_index").agg(F.collect_list(F.struct("pos", "most")).alias("at"))  # of one block
+    grams = rows.join(starts, ["document_id", "block_index"]).select("document_id", "block_index", "t", F.explode("at").alias("a"))
+    grams = grams.select("document_id", "block_index", "a.pos", F.explode(F.transform(F.sequence(F.lit(1), F.col("a.most")), lambda n: gram(F.col("t"), F.col("a.pos"), n))).alias("term"))
+    hits = grams.join(terms, "term").groupBy("document_id", "block_index", "pos").agg(F.max(F.struct("n_words", "term")).alias("m"))
+    return hits.select("document_id", "block_index", "pos", "m.term", "m.n_words").select(*cols)
 
 
 def rect_hits(anchors: DataFrame, blocks: DataFrame) -> DataFrame:

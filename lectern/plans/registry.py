@@ -43,9 +43,9 @@ SINCE = "1998-01-01"
 # Sources and sinks
 
 
-@query("load_table", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("load_table", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(v, spark, sf_dir):
-    return tables.load_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return tables.load_table(spark, sf_dir, "documents")
 
 
 @query("register_originals", "SELECT sha256(text) AS digest, min(doc_id) AS document_id FROM documents GROUP BY 1 HAVING sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 0)")
@@ -154,18 +154,14 @@ def _(v, spark, sf_dir):
     return graph.validate_edges(v("fx_effect_edge"), v("fx_node"), ["uses", "increases", "decreases"])
 
 
-def late_evidence(v) -> DataFrame:
-    return v("fx_evidence").where("created_at >= timestamp_ntz'1998-11-20'")
-
-
-@query("nodes_without_evidence", "SELECT id, kind, title, strength FROM fx_node WHERE id NOT IN (SELECT source FROM fx_evidence WHERE created_at >= TIMESTAMP '1998-11-20')")
+@query("nodes_without_evidence", "SELECT id, kind, title, strength FROM fx_node WHERE id NOT IN (SELECT source FROM fx_evidence)")
 def _(v, spark, sf_dir):
-    return graph.nodes_without_evidence(v("fx_node"), late_evidence(v))
+    return graph.nodes_without_evidence(v("fx_node"), v("fx_evidence"))
 
 
-@query("nodes_with_evidence", "SELECT id, kind, title, strength FROM fx_node WHERE id IN (SELECT source FROM fx_evidence WHERE created_at >= TIMESTAMP '1998-11-20')")
+@query("nodes_with_evidence", "SELECT id, kind, title, strength FROM fx_node WHERE id IN (SELECT source FROM fx_evidence)")
 def _(v, spark, sf_dir):
-    return graph.nodes_with_evidence(v("fx_node"), late_evidence(v))
+    return graph.nodes_with_evidence(v("fx_node"), v("fx_evidence"))
 
 
 @query("resolve_aliases", "WITH a AS (SELECT lower(p_name) AS k, min(p_partkey) AS concept_id FROM part GROUP BY 1) SELECT m.mention, a.concept_id FROM (SELECT concat('  ', CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' x') ELSE p_name END, ' ') AS mention, lower(CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' x') ELSE p_name END) AS k FROM part) m LEFT JOIN a ON m.k = a.k")
@@ -184,9 +180,9 @@ def _(v, spark, sf_dir):
 @query("spot_terms", r"""
     WITH t AS (SELECT document_id, block_index, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS raw FROM (SELECT document_id, block_index, regexp_split_to_array(text, '[ \t]+') AS a FROM fx_text_block)),
     w AS (SELECT document_id, block_index, pos, lower(regexp_replace(raw, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS token FROM t),
-    g AS (SELECT document_id, block_index, pos, token AS term, 1 AS n_words FROM w UNION ALL
-          SELECT document_id, block_index, pos, concat(token, ' ', lead(token) OVER (PARTITION BY document_id, block_index ORDER BY pos)), CASE WHEN lead(token) OVER (PARTITION BY document_id, block_index ORDER BY pos) IS NULL THEN NULL ELSE 2 END FROM w),
-    h AS (SELECT g.*, row_number() OVER (PARTITION BY document_id, block_index, pos ORDER BY n_words DESC) AS r FROM g WHERE n_words IS NOT NULL AND term IN (SELECT term FROM fx_glossary))
+    l AS (SELECT *, lead(token) OVER p AS second, lead(token, 2) OVER p AS third FROM w WINDOW p AS (PARTITION BY document_id, block_index ORDER BY pos)),
+    g AS (SELECT document_id, block_index, pos, token AS term, 1 AS n_words FROM l UNION ALL SELECT document_id, block_index, pos, token || ' ' || second, 2 FROM l UNION ALL SELECT document_id, block_index, pos, token || ' ' || second || ' ' || third, 3 FROM l),
+    h AS (SELECT g.*, row_number() OVER (PARTITION BY document_id, block_index, pos ORDER BY n_words DESC) AS r FROM g WHERE term IN (SELECT term FROM fx_glossary))
     SELECT document_id, block_index, pos, term, n_words FROM h WHERE r = 1""")
 def _(v, spark, sf_dir):
     return reader.spot_terms(v("fx_text_block"), v("fx_glossary"))
@@ -326,16 +322,16 @@ def _(v, spark, sf_dir):
     return graph.new_evidence(v("fx_evidence"), SINCE)
 
 
-OPEN = "SELECT id, about, CASE WHEN unanswered_edge THEN 'unanswered_by' ELSE 'no_answer' END AS reason FROM fx_question WHERE NOT has_answer OR unanswered_edge"
+OPEN = """SELECT id, about, CASE WHEN u THEN 'unanswered_by' ELSE 'no_answer' END AS reason FROM (SELECT *, id IN (SELECT source FROM fx_answer_edge WHERE kind = 'answered-by' AND status = 'confirmed') AS a, id IN (SELECT source FROM fx_answer_edge WHERE kind = 'unanswered-by' AND status <> 'rejected') AS u FROM fx_question) WHERE NOT a OR u"""
 
 
 @query("open_questions", OPEN)
 def _(v, spark, sf_dir):
-    return graph.open_questions(v("fx_question"))
+    return graph.open_questions(v("fx_question"), v("fx_answer_edge"))
 
 
-OVERLAP = """SELECT p.paper_a, p.paper_b, p.shared, round(p.shared / CAST(a.n + b.n - p.shared AS DOUBLE), 6) AS jaccard, (SELECT count(*) FROM (SELECT target FROM fx_uses GROUP BY 1 HAVING count(*) > 200)) AS hubs_left_out
-    FROM (SELECT x.source AS paper_a, y.source AS paper_b, count(*) AS shared FROM fx_uses x JOIN fx_uses y ON x.target = y.target AND x.source < y.source WHERE x.target NOT IN (SELECT target FROM fx_uses GROUP BY 1 HAVING count(*) > 200) GROUP BY 1, 2 HAVING count(*) >= 2) p
+OVERLAP = """SELECT p.paper_a, p.paper_b, p.shared, round(p.shared / CAST(a.n + b.n - p.shared AS DOUBLE), 6) AS jaccard
+    FROM (SELECT x.source AS paper_a, y.source AS paper_b, count(*) AS shared FROM fx_uses x JOIN fx_uses y ON x.target = y.target AND x.source < y.source GROUP BY 1, 2 HAVING count(*) >= 2) p
     JOIN (SELECT source, count(*) AS n FROM fx_uses GROUP BY 1) a ON a.source = p.paper_a JOIN (SELECT source, count(*) AS n FROM fx_uses GROUP BY 1) b ON b.source = p.paper_b"""
 
 
@@ -361,7 +357,7 @@ def _(v, spark, sf_dir):
     SELECT 'method_overlap', paper_a, paper_b, jaccard, concat('shared ', shared) FROM ({OVERLAP}) UNION ALL
     SELECT 'weak_connection', source, target, confidence, label FROM ({WEAK})""")
 def _(v, spark, sf_dir):
-    return graph.evidence_signals(v("fx_effect_edge"), v("fx_evidence"), v("fx_question"), v("fx_uses"), SINCE)
+    return graph.evidence_signals(v("fx_effect_edge"), v("fx_evidence"), v("fx_question"), v("fx_answer_edge"), v("fx_uses"), SINCE)
 
 
 @query("node_degrees", "WITH e AS (SELECT source AS id, 1 AS o, 0 AS i FROM fx_effect_edge UNION ALL SELECT target, 0, 1 FROM fx_effect_edge), g AS (SELECT id, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, count(*) AS degree FROM e GROUP BY id) SELECT *, degree = max(degree) OVER () AS is_hub FROM g")
@@ -416,7 +412,7 @@ def _(v, spark, sf_dir):
     return library.pool_summary(v("fx_pool"), v("fx_document"), v("fx_activity"))
 
 
-@query("group_items", "SELECT coalesce(nullif(item_group, ''), 'Commands') AS group_name, min(id) AS first_pos, count(*) AS n_items, string_agg(label, '|' ORDER BY id) AS labels FROM fx_item GROUP BY 1")
+@query("group_items", "SELECT group_name, min(id) OVER (PARTITION BY group_name) AS first_pos, count(*) OVER (PARTITION BY group_name) AS n_items, id, label FROM (SELECT coalesce(nullif(item_group, ''), 'Commands') AS group_name, id, label FROM fx_item)")
 def _(v, spark, sf_dir):
     return library.group_items(v("fx_item"))
 
@@ -493,6 +489,12 @@ BM25 = f"""
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INT) AS rank FROM s)"""
 
 
+def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def texts(v) -> DataFrame:
     return v("documents").select(F.col("doc_id").alias("document_id"), "text")
 
@@ -556,11 +558,10 @@ WEIGHTS = {"text": 0.5, "quote": 0.3, "vector": 0.4, "local": 0.1, "adjacent": 0
 
 
 @query("hybrid_search", f"""{BM25},
-    tx AS (SELECT query_id, document_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) AS text FROM (SELECT * FROM r WHERE rank <= 50)),
+    tx AS (SELECT query_id, document_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) AS text FROM s),
     qt AS (SELECT q.query_id, d.doc_id AS document_id, 1.0::DOUBLE AS quote FROM fx_query q JOIN documents d ON contains(d.text, q.quote)),
     vs AS (SELECT q.query_id, e.vec_id AS document_id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM fx_query q JOIN embeddings x ON x.vec_id = q.query_id JOIN embeddings e ON true),
-    vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS k FROM vs),
-    vn AS (SELECT query_id, document_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) AS vector FROM vr WHERE k <= 50),
+    vn AS (SELECT query_id, document_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) AS vector FROM vs WHERE score IS NOT NULL),
     u AS (SELECT query_id, document_id, text, NULL AS quote, NULL AS vector FROM tx UNION ALL SELECT query_id, document_id, NULL, quote, NULL FROM qt UNION ALL SELECT query_id, document_id, NULL, NULL, vector FROM vn),
     g AS (SELECT query_id, document_id, coalesce(max(text), 0) AS text, coalesce(max(quote), 0) AS quote, coalesce(max(vector), 0) AS vector FROM u GROUP BY 1, 2),
     c AS (SELECT g.*, CASE WHEN d.document_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS "local", CASE WHEN g.document_id % 7 = g.query_id % 7 THEN 1.0 ELSE 0.0 END AS adjacent, CASE WHEN contains(d.title, split_part(q.text, ' ', 1)) THEN 1.0 ELSE 0.0 END AS exact_term, CASE WHEN p.pool_id IS NOT NULL THEN 1.0 ELSE 0.0 END AS in_pool, CASE WHEN d.doi IS NOT NULL THEN 1.0 ELSE 0.0 END AS authority
@@ -570,9 +571,10 @@ WEIGHTS = {"text": 0.5, "quote": 0.3, "vector": 0.4, "local": 0.1, "adjacent": 0
     SELECT query_id, document_id, {', '.join(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in WEIGHTS)}, score, rank FROM k WHERE rank <= 10""")
 def _(v, spark, sf_dir):
     q, d = v("fx_query"), v("fx_document")
-    text = search.fulltext_search(texts(v), q, k=50)
+    text = search.fulltext_search(texts(v), q, k=None)
     quote = search.quote_search(texts(v), q)
-    vector = search.vector_search(vectors(v), v("embeddings").join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"), k=50)
+    vector = search.vector_search(vectors(v), v("embeddings").join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"), k=None)
+    text, quote, vector = (staged(spark, df, f"hits-{n}") for n, df in enumerate((text, quote, vector)))  # each is read twice
     found = text.select("query_id", "document_id").union(quote.select("query_id", "document_id")).union(vector.select("query_id", "document_id")).distinct()
     rows = found.join(q.select("query_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("first"), "pool_id"), "query_id").join(d.select("document_id", "title", "doi"), "document_id", "left")
     rows = rows.join(v("fx_pool").withColumn("pooled", F.lit(True)), ["document_id", "pool_id"], "left")
@@ -587,7 +589,7 @@ def _(v, spark, sf_dir):
 
 
 @query("recommend_papers", f"""
-    WITH k AS (SELECT * FROM fx_uses WHERE target NOT IN (SELECT target FROM fx_uses GROUP BY 1 HAVING count(*) > 200)), o AS (SELECT about, count(*) AS n FROM ({OPEN}) GROUP BY 1),
+    WITH k AS (SELECT * FROM fx_uses), o AS (SELECT about, count(*) AS n FROM ({OPEN}) GROUP BY 1),
     rd AS (SELECT DISTINCT source AS paper FROM fx_uses WHERE CAST(substr(source, 7) AS BIGINT) % 20 = 0),
     p AS (SELECT a.source AS paper, b.source AS related, count(*) AS n_shared, string_agg(a.target, ',' ORDER BY a.target) AS why, CAST(sum(coalesce(o.n, 0)) AS BIGINT) AS n_questions
           FROM k a JOIN k b ON a.target = b.target LEFT JOIN o ON o.about = a.target WHERE a.source IN (SELECT paper FROM rd) AND b.source NOT IN (SELECT paper FROM rd) GROUP BY 1, 2),
@@ -595,7 +597,7 @@ def _(v, spark, sf_dir):
 def _(v, spark, sf_dir):
     uses = v("fx_uses")
     read = uses.select(F.col("source").alias("paper")).distinct().where(F.substring("paper", 7, 20).cast("long") % 20 == 0)
-    return graph.recommend_papers(uses, v("fx_question"), read)
+    return graph.recommend_papers(uses, v("fx_question"), v("fx_answer_edge"), read)
 
 
 # Set operations
@@ -612,10 +614,10 @@ def _(v, spark, sf_dir):
     return library.notebook(n.where("author_kind = 'user'").drop("author_kind"), n.where("author_kind = 'ai'").drop("author_kind"))
 
 
-@query("graph_diff", "WITH o AS (SELECT source, kind, target FROM fx_uses WHERE CAST(substr(source, 7) AS BIGINT) % 2 = 0), n AS (SELECT source, kind, target FROM fx_uses WHERE CAST(substr(source, 7) AS BIGINT) % 3 = 0) SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT *, 'kept' FROM (SELECT * FROM n INTERSECT SELECT * FROM o)")
+@query("graph_diff", "WITH o AS (SELECT source, kind, target FROM fx_uses WHERE CAST(substr(source, 7) AS BIGINT) % 3 <> 0), n AS (SELECT source, kind, target FROM fx_uses WHERE CAST(substr(source, 7) AS BIGINT) % 3 <> 1) SELECT *, 'added' AS change FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT *, 'kept' FROM (SELECT * FROM n INTERSECT SELECT * FROM o)")
 def _(v, spark, sf_dir):
     number = F.substring("source", 7, 20).cast("long")
-    return graph.graph_diff(v("fx_uses").where(number % 2 == 0), v("fx_uses").where(number % 3 == 0))
+    return graph.graph_diff(v("fx_uses").where(number % 3 != 0), v("fx_uses").where(number % 3 != 1))
 
 
 # Streaming, run over all that is there
@@ -626,12 +628,8 @@ def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.read_stream(spark, sf_dir, "events").select(F.col("event_type").alias("tag"), "ts", "value", unit.alias("unit"), "event_id")
 
 
-def played(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
-    path = scratch(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    jobs.run_to_table(stream, mode, table, f"{path}/checkpoint")
-    out = spark.table(table)
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in out.dtypes if t == "timestamp"})
+def without_zone(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
 
 
 WINDOWED = "SELECT tag, unit, round(avg(value), 6) AS mean, min(value) AS lowest, max(value) AS highest, count(*) AS n, {} AS start_ts FROM {} GROUP BY ALL"
@@ -639,23 +637,25 @@ WINDOWED = "SELECT tag, unit, round(avg(value), 6) AS mean, min(value) AS lowest
 
 @query("stream_tag_windows", WINDOWED.format("CAST(date_trunc('hour', ts) AS TIMESTAMP)", "fx_reading"))
 def _(v, spark, sf_dir):
-    return played(spark, jobs.stream_tag_windows(reading_stream(spark, sf_dir)), "complete", "tagwindows")
+    return without_zone(jobs.run_closed(jobs.stream_tag_windows, reading_stream(spark, sf_dir), scratch(spark, "tagwindows")))
 
 
 @query("stream_tag_trend", WINDOWED.format("time_bucket(INTERVAL '15' MINUTE, ts) - k * INTERVAL '15' MINUTE", "fx_reading, (VALUES (0), (1), (2), (3)) AS s(k)"))
 def _(v, spark, sf_dir):
-    return played(spark, jobs.stream_tag_trend(reading_stream(spark, sf_dir)), "complete", "tagtrend")
+    return without_zone(jobs.run_closed(jobs.stream_tag_trend, reading_stream(spark, sf_dir), scratch(spark, "tagtrend")))
 
 
 @query("stream_reading_sessions", SESSIONS + " FROM s GROUP BY user_id, s")
 def _(v, spark, sf_dir):
-    return played(spark, jobs.stream_reading_sessions(jobs.read_stream(spark, sf_dir, "events").select("user_id", "ts")), "complete", "sessions")
+    return without_zone(jobs.run_closed(jobs.stream_reading_sessions, jobs.read_stream(spark, sf_dir, "events").select("user_id", "ts"), scratch(spark, "sessions")))
 
 
 @query("stream_alarm_transitions", TRANSITIONS.replace("state AS to_state, round((epoch_us(ts) - epoch_us(since)) / 1e6, 3) AS seconds_before, event_id", "state AS to_state, event_id"))
 def _(v, spark, sf_dir):
     rows = process.classify_readings(reading_stream(spark, sf_dir), v("fx_limit"))
-    return played(spark, jobs.stream_alarm_transitions(rows), "append", "transitions")
+    base = scratch(spark, "transitions")
+    jobs.stream_alarm_transitions(rows, base).awaitTermination()
+    return without_zone(jobs.transitions(spark, base))
 
 
 @query("stream_annotation_state", "SELECT * FROM (SELECT annotation_id, document_id, page_index, tool, ts, event_id FROM fx_annotation_log QUALIFY row_number() OVER (PARTITION BY annotation_id ORDER BY ts DESC, event_id DESC) = 1) WHERE tool <> 'erase'")
@@ -666,13 +666,11 @@ def _(v, spark, sf_dir):
     path = scratch(spark, "annotations")
     q = jobs.stream_annotation_state(log, f"{path}/table", f"{path}/checkpoint")
     q.awaitTermination()
-    last = max(p.batchId for p in q.recentProgress)
-    return jobs.live_annotations(spark, f"{path}/table", last).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return without_zone(jobs.live_annotations(spark, f"{path}/table"))
 
 
-@query("late_rows")
+@query("late_rows", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_late FROM events")  # all rows come in one batch
 def _(v, spark, sf_dir):
     path = scratch(spark, "late")
-    q = jobs.run_to_table(jobs.stream_tag_windows(reading_stream(spark, sf_dir)), "append", path.rsplit("/", 1)[1].replace("-", "_"), f"{path}/checkpoint")
-    n = jobs.late_rows(q)
+    n = jobs.late_rows(spark, lambda: jobs.run_to_table(jobs.stream_tag_windows(reading_stream(spark, sf_dir)), f"{path}/table", f"{path}/checkpoint"))
     return v("events").agg(F.count("*").alias("n_rows"), F.lit(n).cast("long").alias("n_late"))

@@ -1,20 +1,23 @@
-"""Structured Streaming forms of the console, reading and annotation jobs."""
+"""Structured Streaming forms of the console, reading and annotation jobs; results go to Parquet tables in the shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from lectern.operators.process import alarm_transitions
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1000) -> DataFrame:
-    """A stream of the rows of one table's Parquet files in ``folder``, as they come; ``ts`` as a time stamp, which watermarks need."""
+    """A stream of the rows of one table (a Parquet file or a folder of them), as they come; ``ts`` as a time stamp, which watermarks need."""
     from lectern.schemas import TABLES
 
-    rows = spark.readStream.schema(TABLES[table]).option("pathGlobFilter", f"{table}*.parquet").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).parquet(folder)
+    # A pattern, as a stream takes no path of a single file.
+    rows = spark.readStream.schema(TABLES[table]).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/{table}.parque[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -40,32 +43,104 @@ def stream_reading_sessions(activity: DataFrame, gap: str = "30 minutes", delay:
     return got.drop("s")
 
 
-TRANSITIONS = "tag string, ts timestamp, from_state string, to_state string, event_id long"
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what the stream has finished to the Parquet table at ``path`` over all input that is there, and give the query back."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def run_closed(make: Callable[[DataFrame], DataFrame], rows: DataFrame, base: str) -> DataFrame:
+    """The table of ``make(rows)`` for a stream that has ended: windows and sessions still open are closed too.
+
+    A second source is read beside the rows; once they are through, it gets one row of the year 9000, which moves the
+    watermark past everything (its own window stays open). Windows leave the state as the watermark passes them.
+    """
+    spark, end = rows.sparkSession, f"{base}/end"
+    empty = spark.createDataFrame([], rows.schema)
+    empty.write.parquet(end)
+    stream = make(rows.unionByName(spark.readStream.schema(rows.schema).parquet(end)))
+    run_to_table(stream, f"{base}/table", f"{base}/checkpoint")
+    last = spark.range(1).select(*[(F.lit("9000-01-01").cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    last.write.mode("append").parquet(end)
+    run_to_table(stream, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table")
+
+
+# Tables kept in versions: version n is what batch n wrote, so a batch that runs again writes the same.
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions below ``path``, one folder each."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
+    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
+
+
+def forget(spark: SparkSession, path: str, keep_from: int) -> None:
+    """Delete the versions below number ``keep_from``."""
+    jvm = spark.sparkContext._jvm
+    for n in versions(spark, path):
+        if n < keep_from:
+            old = jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def before(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
+    """The newest version below ``number``; an empty table if there is none."""
+    older = [n for n in versions(spark, path) if n < number]
+    return spark.read.schema(schema).parquet(f"{path}/v={older[-1]}") if older else spark.createDataFrame([], schema)
+
 
+def write_version(df: DataFrame, path: str, number: int) -> None:
+    """Write version ``number``; the last two before it stay."""
+    df.write.mode("overwrite").parquet(f"{path}/v={number}")
+    older = [n for n in versions(df.sparkSession, path) if n < number]
+    if len(older) > 2:
+        forget(df.sparkSession, path, older[-2])
 
-def stream_alarm_transitions(classified: DataFrame) -> DataFrame:
-    """Changes of a tag's state; kept per tag is its last state and place, and readings before that place are skipped."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, now = (state.get[0], state.get[1]), state.get[2] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64")
-        rows = rows[[(m, e) > at for m, e in zip(micros, rows["event_id"], strict=True)]] if now is not None else rows
-        if not len(rows):
-            return
-        before = rows["state"].shift(1)
-        before.iloc[0] = now
-        change = (before != rows["state"]) & before.notna()
-        state.update((int(rows["ts"].astype("datetime64[us]").astype("int64").iloc[-1]), int(rows["event_id"].iloc[-1]), rows["state"].iloc[-1]))
-        yield pd.DataFrame({"tag": key[0], "ts": rows["ts"], "from_state": before, "to_state": rows["state"], "event_id": rows["event_id"]})[change.to_numpy()]
+STATES = "tag string, ts timestamp, state string, event_id long"
 
-    def guarded(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if not state.exists:
-            state.update((-(2**62), -1, None))
-        yield from step(key, frames, state)
 
-    rows = classified.select("tag", "ts", "state", "event_id")
-    return rows.groupBy("tag").applyInPandasWithState(guarded, TRANSITIONS, "micros long, event_id long, state string", "append", GroupStateTimeout.NoTimeout)
+def transition_step(rows: DataFrame, base: str, number: int, delay: str | None) -> None:
+    """Write the changes of state that are settled by batch ``number`` to version ``number`` of ``base``/changes.
+
+    Kept in versions are the last settled row of each tag (one row a tag) and the rows newer than ``delay`` behind the newest, which may still get
+    predecessors. Settled rows are compared by the batch operator, which slices a tag by day, so no tag is one task's.
+    Rows before a tag's last settled one are late and dropped.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("tag", "ts", "state", "event_id")
+    carry, pending = before(spark, f"{base}/carry", number, STATES), before(spark, f"{base}/pending", number, STATES)
+    newest = pending.unionByName(rows).agg(F.max("ts").alias("t")).first()["t"]
+    last = carry.select(F.col("tag").alias("c_tag"), F.struct("ts", "event_id").alias("c_at"))
+    every = pending.unionByName(rows).join(last, F.col("tag").eqNullSafe(F.col("c_tag")), "left").where("c_at is null or struct(ts, event_id) > c_at").drop("c_tag", "c_at")
+    ready = F.lit(True) if delay is None or newest is None else F.col("ts") <= F.lit(newest) - F.expr(f"interval {delay}")
+    settled = carry.unionByName(every.where(ready))
+    changes = alarm_transitions(settled).select("tag", "ts", "from_state", "to_state", "event_id")
+    changes.write.mode("overwrite").parquet(f"{base}/changes/v={number}")
+    write_version(settled.groupBy("tag").agg(F.max_by(F.struct("ts", "state", "event_id"), F.struct("ts", "event_id")).alias("r")).select("tag", "r.*"), f"{base}/carry", number)
+    write_version(every.where(~ready) if delay else every.limit(0), f"{base}/pending", number)
+
+
+def stream_alarm_transitions(classified: DataFrame, base: str, delay: str = "1 hour") -> StreamingQuery:
+    """Start a query that writes changes of a tag's state below ``base``; rows may come out of order by ``delay``. Give it back."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        transition_step(batch, base, number, delay)
+
+    return classified.select("tag", "ts", "state", "event_id").writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+
+def transitions(spark: SparkSession, base: str, ended: bool = True) -> DataFrame:
+    """tag, ts, from_state, to_state, event_id found so far; with ``ended`` what is pending is settled first."""
+    if ended:
+        done = versions(spark, f"{base}/changes")
+        transition_step(spark.createDataFrame([], STATES), base, done[-1] + 1 if done else 0, None)
+    return spark.read.parquet(f"{base}/changes").drop("v")
 
 
 def newest_annotations(log: DataFrame) -> DataFrame:
@@ -75,35 +150,72 @@ def newest_annotations(log: DataFrame) -> DataFrame:
     return got
 
 
-def stream_annotation_state(log: DataFrame, path: str, checkpoint: str, delay: str = "1 hour"):
-    """Start a query that merges the log into versions of the annotation table below ``path``; give it back.
+def stream_annotation_state(log: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", buckets: int = 64) -> StreamingQuery:
+    """Start a query that merges the log into the annotation table below ``path``; give it back.
 
-    Repeated events are dropped within the watermark; each batch writes a new version from the last one, so a batch that
-    runs again gives the same version. Tombstones stay in the table, so that a late event cannot bring an annotation back.
+    Repeated events are dropped within the watermark. The table is cut into ``buckets`` by a hash of the annotation; a batch rewrites only those
+    it touches, each from its newest version before the batch, so a batch that runs again gives the same; the last two versions before stay.
+    Tombstones stay in the table, so that a late event cannot bring an annotation back.
     """
     fresh = log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = batch
-        if number:
-            old = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}"))
-        newest_annotations(old).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        marked = batch.withColumn("bucket", F.pmod(F.xxhash64("annotation_id"), F.lit(buckets)).cast("int"))
+        marked.persist()
+        touched = [r["bucket"] for r in marked.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        for b in touched:
+            old = before(spark, f"{path}/bucket={b}", number, batch.schema)
+            both = newest_annotations(old.unionByName(marked.where(F.col("bucket") == b).drop("bucket")))
+            write_version(both.select(*batch.columns), f"{path}/bucket={b}", number)
+        marked.unpersist()
 
     return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_annotations(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={version}").where("tool <> 'erase'")
+def live_annotations(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """The annotations that are not erased, from the newest version of each bucket."""
+    newest = [f"{path}/bucket={b}/v={n[-1]}" for b in range(buckets) if (n := versions(spark, f"{path}/bucket={b}"))]
+    return spark.read.parquet(*newest).where("tool <> 'erase'")
 
 
-def late_rows(query) -> int:
-    """Rows that the query has dropped behind its watermark so far."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Adds up, over every batch, the rows that queries drop behind their watermarks."""
 
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
 
-def run_to_table(stream: DataFrame, mode: str, name: str, checkpoint: str):
-    """Run a stream over all that is there into an in-memory table (tests and small screens), and give the query back."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        n = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        with self.news:
+            run = str(event.progress.runId)
+            self.dropped[run] = self.dropped.get(run, 0) + n
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def of(self, query: StreamingQuery, wait: float = 60) -> int:
+        """Late rows of a query that has ended; its last report comes before its end does."""
+        with self.news:
+            self.news.wait_for(lambda: str(query.runId) in self.ended, wait)
+            return self.dropped.get(str(query.runId), 0)
+
+
+def late_rows(spark: SparkSession, run: Callable[[], StreamingQuery]) -> int:
+    """Rows that the query which ``run`` starts and waits for has dropped behind its watermark, over all its batches."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        return listener.of(run())
+    finally:
+        spark.streams.removeListener(listener)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import columns as C
-from lectern.functions.udfs import best_window, end_distances
-from lectern.operators import graph, library, process, reader
+from lectern.functions.udfs import best_window, best_windows, end_distances
+from lectern.operators import graph, library, process, reader, search
 from lectern.plans import registry
 from lectern.sources import tables
 from lectern.streaming import jobs
@@ -92,7 +92,7 @@ def test_graph_case(spark):
 
 def test_groups_and_backlinks(spark):
     df = spark.createDataFrame([(1, "x", None), (2, "y", "File"), (3, "z", "")], "id int, label string, item_group string")
-    assert [(r.group_name, r.labels) for r in library.group_items(df).orderBy("first_pos").collect()] == [("Commands", "x|z"), ("File", "y")]
+    assert [(r.group_name, r.n_items, r.label) for r in library.group_items(df).orderBy("first_pos", "id").collect()] == [("Commands", 2, "x"), ("Commands", 2, "z"), ("File", 1, "y")]
     links = spark.createDataFrame([("a", "t")] + [("b", "t")] * 2, "source_note string, target_note string")
     assert {r.text for r in library.backlinks(links).collect()} == {"Mentions this note in 1 linked context", "Mentions this note in 2 linked contexts"}
 
@@ -167,12 +167,102 @@ def test_files(spark, tmp_path):
     assert tables.load_table(spark, "/root/testdata/sf0.001", "events").schema == schemas.TABLES["events"]
 
 
+def in_files(e, folder, parts):
+    """Files of events, to be read in this order."""
+    (folder / "events.parquet").mkdir()
+    for n, part in enumerate(parts):
+        name = folder / "events.parquet" / f"part-{n:04d}.parquet"
+        part.coalesce(1).toPandas().to_parquet(name, coerce_timestamps="us")
+        os.utime(name, (1_000_000 + n * 100,) * 2)
+
+
 def test_late_rows_are_counted(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     low, high = e.agg(F.expr("min(ts) + interval 1 day"), F.expr("max(ts) - interval 1 day")).first()
-    for name, part in (("events1", e.where(F.col("ts") >= high)), ("events2", e.where(F.col("ts") < low)), ("events3", e.where(F.col("ts") < low))):
-        part.coalesce(1).toPandas().to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
-        os.utime(tmp_path / f"{name}.parquet", (1_000_000 + int(name[-1]) * 100,) * 2)
+    in_files(e, tmp_path, [e.where(F.col("ts") >= high), e.where(F.col("ts") < low), e.where(F.col("ts") < low)])
+    stream = jobs.read_stream(spark, str(tmp_path), "events", max_files=1).select(F.col("event_type").alias("tag"), "ts", "value", F.lit("u").alias("unit"))
+    n = jobs.late_rows(spark, lambda: jobs.run_to_table(jobs.stream_tag_windows(stream), str(tmp_path / "t"), str(tmp_path / "c")))
+    assert n > 0
+
+
+def test_late_rows_of_more_than_a_hundred_batches(spark, tmp_path):
+    rows = lambda ts: spark.createDataFrame([(1, ts, 1, "click", 1.0, "{}")], "event_id long, ts string, user_id long, event_type string, value double, payload string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    first, late = rows("2024-02-01 00:00:00").toPandas(), rows("2024-01-01 00:00:00").toPandas()
+    (tmp_path / "events.parquet").mkdir()
+    for n in range(108):
+        name = tmp_path / "events.parquet" / f"part-{n:04d}.parquet"
+        (late if n > 1 else first).to_parquet(name, coerce_timestamps="us")
+        os.utime(name, (1_000_000 + n * 100,) * 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     stream = jobs.read_stream(spark, str(tmp_path), "events", max_files=1).select(F.col("event_type").alias("tag"), "ts", "value", F.lit("u").alias("unit"))
-    q = jobs.run_to_table(jobs.stream_tag_windows(stream), "append", "late_test", str(tmp_path / "c"))
-    assert jobs.late_rows(q) > 0
+    n = jobs.late_rows(spark, lambda: jobs.run_to_table(jobs.stream_tag_windows(stream), str(tmp_path / "t"), str(tmp_path / "c")))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert n == 106
+
+
+def test_streams_of_many_batches_equal_the_batch_jobs(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    a, b = (e.agg(F.expr(f"percentile_approx(ts, {x})")).first()[0] for x in (0.4, 0.7))
+    # The second file holds rows of the half hour before its start too: they come late, within the delay.
+    in_files(e, tmp_path, [e.where((F.col("ts") < a) & (F.col("event_id") % 3 != 0) | (F.col("ts") < F.lit(a) - F.expr("interval 30 minutes"))), e.where((F.col("ts") >= F.lit(a) - F.expr("interval 30 minutes")) & (F.col("ts") < b) & ((F.col("ts") >= a) | (F.col("event_id") % 3 == 0))), e.where(F.col("ts") >= b)])
+    read = lambda: jobs.read_stream(spark, str(tmp_path), "events", max_files=1)
+    state = F.when(F.col("value") >= 200, "alarm").when(F.col("value") >= 100, "warn").otherwise("normal")
+    rows = read().select(F.col("event_type").alias("tag"), "ts", state.alias("state"), "event_id")
+    jobs.stream_alarm_transitions(rows, str(tmp_path / "changes")).awaitTermination()
+    want = process.alarm_transitions(e.select(F.col("event_type").alias("tag"), "ts", state.alias("state"), "event_id"))
+    key = lambda df: sorted((r.tag, r.event_id, r.from_state, r.to_state) for r in df.collect())
+    assert key(jobs.transitions(spark, str(tmp_path / "changes"))) == key(want)
+    assert len(jobs.versions(spark, str(tmp_path / "changes" / "carry"))) <= 3
+    log = lambda df: df.select((F.col("user_id") * 10 + F.col("event_id") % 7).alias("annotation_id"), F.col("user_id").alias("document_id"), F.lit(1).alias("page_index"), F.when(F.col("event_type") == "error", "erase").otherwise("note").alias("tool"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    jobs.stream_annotation_state(log(read()), str(tmp_path / "notes"), str(tmp_path / "c2"), buckets=5).awaitTermination()
+    got = jobs.live_annotations(spark, str(tmp_path / "notes"), buckets=5)
+    want = jobs.newest_annotations(log(e)).where("tool <> 'erase'")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    got = jobs.run_closed(lambda r: jobs.stream_tag_windows(r, delay="40 minutes"), read().select(F.col("event_type").alias("tag"), "ts", "value", F.lit("u").alias("unit")), str(tmp_path / "windows"))
+    assert got.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_rules_terms_and_hubs_have_no_cap(spark):
+    log = spark.createDataFrame([(f"s{i}", "t", s, n, n) for i in range(1500) for n, s in enumerate((f"a{i}", f"b{i}"))], "source string, target string, status string, ts int, seq int")
+    allowed = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(1499)], "from_status string, to_status string")
+    assert [r.source for r in graph.illegal_transitions(log, allowed).collect()] == ["s1499"]
+    blocks = spark.createDataFrame([(1, 0, "On the Method of least squares, and least  of all squares")], "document_id long, block_index int, text string")
+    terms = [("method of least squares",), ("least",), ("squares",), ("of all squares",), ("least of all squares now",)]
+    want = [(2, "method of least squares", 4), (4, "least", 1), (5, "squares", 1), (7, "least", 1), (8, "of all squares", 3), (10, "squares", 1)]
+    for limit in (2000, 0):
+        before, reader.MAX_TERMS = reader.MAX_TERMS, limit
+        got = reader.spot_terms(blocks, spark.createDataFrame(terms, "term string")).orderBy("pos").collect()
+        reader.MAX_TERMS = before
+        assert [(r.pos, r.term, r.n_words) for r in got] == want
+    assert reader.spot_terms(blocks, spark.createDataFrame([], "term string")).count() == 0
+    uses = [(f"p{i:03d}", "hub") for i in range(300)] + [(f"p{i:03d}", f"m{i // 2}") for i in range(300)] + [("p000", "x"), ("p100", "x")]
+    df = spark.createDataFrame(uses, "source string, target string")
+    got = {(r.paper_a, r.paper_b): (r.shared, r.jaccard) for r in graph.method_overlaps(df).collect()}
+    assert len(got) == 151 and got["p002", "p003"] == (2, 1.0) and got["p000", "p100"] == (2, 0.5)
+    asked = spark.createDataFrame([("q1", "hub"), ("q2", "x")], "id string, about string")
+    edges = spark.createDataFrame([("q2", "answered-by", "p", "proposed"), ("q3", "answered-by", "p", "confirmed")], "source string, kind string, target string, status string")
+    read = spark.createDataFrame([("p000",)], "paper string")
+    best = graph.recommend_papers(df, asked, edges, read, k=4).orderBy("rank").collect()
+    assert [(r.related, r.n_shared, r.why, r.n_questions) for r in best] == [("p001", 2, "hub,m0", 1), ("p100", 2, "hub,x", 2), ("p002", 1, "hub", 1), ("p003", 1, "hub", 1)]
+
+
+def test_approximate_vectors_are_found(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("document_id"), "embedding")
+    q = e.where("document_id % 50 = 0").withColumnRenamed("document_id", "query_id")
+    pairs = lambda df: {(r.query_id, r.document_id) for r in df.collect() if r.query_id != r.document_id}
+    exact, near = pairs(search.vector_search(e, q, 11)), pairs(search.vector_search_lsh(e, q, 11))
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert search.vector_search_lsh(e, q.limit(0)).count() == search.vector_search(e, q.limit(0)).count() == 0
+
+
+def test_short_quotes_are_found_by_what_is_inside(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "xalpha beta gammay"), (3, "beta")], "document_id long, text string")
+    quotes = spark.createDataFrame([(1, "pha beta gam"), (2, "beta"), (3, "beta gamma"), (4, "")], "query_id long, quote string")
+    assert sorted((r.query_id, r.document_id) for r in search.quote_search(docs, quotes).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ab cé", max_size=40), st.text("ab cé", min_size=1, max_size=63)), min_size=1, max_size=6))
+def test_windows_of_many_pairs_equal_those_of_each(pairs):
+    texts, quotes = [list(x) for x in zip(*pairs, strict=True)]
+    assert best_windows(texts, quotes, [0.3] * len(pairs)) == [best_window(t, q, 0.3) for t, q in pairs]
