@@ -1,46 +1,50 @@
-"""A Katz back-off language model over bigrams and unigrams, fitted and applied in Spark.
+"""A Katz back-off language model of any order (three words by default), fitted and applied in Spark.
 
-Model. Counts up to ``K`` are discounted by Good-Turing; larger counts are kept. A bigram seen in training has its discounted
-relative frequency; an unseen one has the unigram probability times the back-off weight of its history, which is the
-mass that discounting freed over the unigram mass of the words not seen after it, so every history sums to one exactly
+Model. Counts up to ``K`` are discounted by Good-Turing, per order; larger counts are kept. An n-gram seen in training has its discounted
+relative frequency; an unseen one has the probability of its last n - 1 words times the back-off weight of its history, which is the
+mass that discounting freed over the lower-order mass of the words not seen after it, so every history sums to one exactly
 (all unknown words together are one class, with the unigram mass that discounting freed). A history without a discounted
 follower, and every hot one, counts one follower more than it had, which is never seen. A history not seen at all
-has weight one.
-
-Jobs. (1) Documents are read in batches of bounded size; a batch is stored as word hashes, training counts and a token stream
-of local numbers. (2) Batch vocabularies are dealt by hash range, added up, and answered: each batch gets the corpus count
-and a dense number of each of its words. (3) Each batch sorts its bigrams and deals them, once per distinct bigram with its
-training count and the documents it stands in, to tables partitioned by history; a history above one in ``HOT`` of all
-tokens, or above a tenth of a table, is hot: it is spread by bigram over as many parts as its count asks for. (4) A table's task adds up its bigrams and keeps, per document, what seen bigrams give, and per history
-what its back-off weight needs. (5) With corpus-wide counts of counts and the hot histories' sums (added up in Spark), unseen
-bigrams are evaluated from bigram to unigram, and everything is added up per document.
-Only counts of counts, sizes of tables and one row of sums per hot history (about ten per table at most, each of eight numbers)
-reach the driver. One bigram's occurrences are in one table, whatever their number; all else is dealt and bounded by its parameters.
+has weight one. Texts start with as many start marks as the order asks for.
+
+Jobs. (1) Documents are read in batches of bounded size; a batch is stored as a token stream of local numbers, and its words' hashes and counts.
+(2) Batch vocabularies are dealt by hash range, added up, and answered: each batch gets the corpus counts and a number of each of its words.
+(3) Order by order, each batch evaluates the orders below (recursively, per distinct n-gram) and deals its distinct n-grams to tables partitioned by history, once
+each with training count, occurrences and the count of their last n - 1 words. An n-gram's history is the number of an n-gram of the order below. A history that occurs once in
+the whole corpus has one follower, which its batch knows, so it is dealt to no table. A history above a tenth of a table is hot: it is spread by word
+over as many parts as its count asks for. (4) A table's task adds up its n-grams and answers each batch: counts, numbers, and, for histories with unseen
+followers there, the sums that their back-off weights need. Sums of hot histories are added up in Spark and joined to the batches that ask for them.
+(5) With the answers of all orders each batch adds up its documents.
+Only single rows of sums (counts of counts, sizes) reach the driver. One n-gram's row is dealt once per batch, not once per occurrence. Staged tables and shuffles
+go as soon as the step that reads them is done.
 
 Defined results: a null text counts as empty, which is its end token alone; a null id is trained on and scored; equal rows each count
-and each get a row; without training rows every probability is one; an empty table gives an empty result.
+and each get a row; without training rows every probability is one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import as_bytes, chunks, remainder, stage, unstage
+from lectern.llm._common import as_bytes, chunks, remainder, shared_dir, stage, tidied, unstage
 
 K = 5
-HOT = 500
 END = 1  # the hash of the end token
-BATCH_TOKENS = 1_500_000
-TABLE_TOKENS = 2_200_000
+BATCH_BYTES = 6 << 20  # of text
+TABLE_TOKENS = 1_600_000
+SPAN = 28  # bits of a number below its table's
 KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
 
@@ -105,64 +109,117 @@ class Unigrams:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
-def encode(docs: DataFrame) -> DataFrame:
-    """One row per batch: doc_ids, held, and frozen sizes, vocabulary with training counts, and tokens."""
-
-    def shaped(rows: list[tuple]) -> dict:
-        ids, held, words = zip(*rows, strict=True)
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        hashes = np.array([*map(xxhash.xxh64_intdigest, index), END], np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        index[None] = len(index)
-        sizes = np.array([len(w) + 1 for w in words])
-        tokens = rank[np.fromiter((index[w] for ws in words for w in (*ws, None)), np.int64, int(sizes.sum()))]
+def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged tables of batches: (batch, doc_ids, held, data, n_train, n_train_docs, n_docs, n_tokens) and (batch, data, n_types)."""
+
+    def shaped(rows: list[tuple]) -> list[dict]:
+        ids, held, texts = zip(*rows, strict=True)
+        raw = pa.array(texts, pa.large_binary())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.large_string(), len(raw), raw.buffers())))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        # The end token takes the place of the empty string, which the split gives at the borders of texts.
+        hashes = np.array([*(END if w == b"" else xxhash.xxh64_intdigest(w) for w in distinct), END], np.uint64)
+        types, rank = np.unique(hashes, return_inverse=True)
+        code = words.indices.to_numpy()
+        real = np.array([w != b"" for w in distinct] or [False])[code] if len(code) else np.zeros(0, bool)
+        upto = np.concatenate(([0], np.cumsum(real)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        n = np.diff(upto)
+        sizes = n + 1
+        tokens = np.full(int(sizes.sum()), rank[-1])
+        tokens[np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)] = rank[:-1][code[real]] if len(code) else 0
         train = np.repeat(~np.array(held), sizes)
-        seen = np.bincount(tokens[train], minlength=len(order))
-        return {"doc_ids": list(ids), "held": list(held), "sizes": freeze(sizes), "vocab": freeze(hashes[order], seen), "tokens": freeze(tokens), "n_types": len(order), "n_tokens": len(tokens), "n_train": int(train.sum()), "n_train_docs": int((~np.array(held)).sum())}
+        seen, every = np.bincount(tokens[train], minlength=len(types)), np.bincount(tokens, minlength=len(types))
+        used = np.cumsum(every > 0) - 1  # an empty string alone leaves no type
+        keep = every > 0
+        one = {"part": "tokens", "doc_ids": list(ids), "held": list(held), "data": freeze(sizes, used[tokens]), "n_train": int(train.sum()), "n_train_docs": int((~np.array(held)).sum()), "n_docs": len(ids), "n_tokens": len(tokens), "n_types": 0}
+        return [one, {**one, "part": "words", "doc_ids": [], "held": [], "data": freeze(types[keep], seen[keep], every[keep]), "n_types": int(keep.sum())}]
 
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("vocab", pa.binary()), ("tokens", pa.binary()), *((c, pa.int64()) for c in ("n_types", "n_tokens", "n_train", "n_train_docs"))])
+    numbers = ("n_train", "n_train_docs", "n_docs", "n_tokens", "n_types", "batch")
+    schema = pa.schema([("part", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("data", pa.binary()), *((c, pa.int64()) for c in numbers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((d, h, (t or b"").lower().split()) for b in batches for d, t, h in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True))
-        for some in chunks(rows, lambda r: len(r[2]) + 1, BATCH_TOKENS):
-            yield pa.RecordBatch.from_pylist([shaped(some)], schema)
+        rows = (r for b in batches for i in range(0, b.num_rows, 256) for s in [b.slice(i, 256)] for r in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), as_bytes(s.column(1)), strict=True))
+        for k, some in enumerate(chunks(rows, lambda r: len(r[2]) + 8, BATCH_BYTES)):
+            yield pa.RecordBatch.from_pylist([{**r, "batch": (TaskContext.get().partitionId() << 33) + k} for r in shaped(some)], schema)
 
     held = F.coalesce(remainder(F.col("doc_id").cast("long"), 5) == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
-    return rows.mapInArrow(run, "doc_ids array<long>, held array<boolean>, sizes binary, vocab binary, tokens binary, n_types long, n_tokens long, n_train long, n_train_docs long").withColumn("batch", F.monotonically_increasing_id())
+    path = f"{shared_dir(docs.sparkSession)}/encoded-{uuid.uuid4().hex}"
+    found = rows.mapInArrow(run, "part string, doc_ids array<long>, held array<boolean>, data binary, " + ", ".join(f"{c} long" for c in numbers))
+    with tidied(docs.sparkSession):
+        found.write.partitionBy("part").option("compression", "none").parquet(path)
+    out = []
+    for part in ("tokens", "words"):
+        one = docs.sparkSession.read.schema(found.drop("part").schema).parquet(f"{path}/part={part}") if not found_none(docs, path, part) else docs.sparkSession.createDataFrame([], found.drop("part").schema)
+        one.staged_at = f"{path}/part={part}"
+        out.append(one)
+    return out[0], out[1]
+
+
+def found_none(docs: DataFrame, path: str, part: str) -> bool:
+    """Whether nothing was written for ``part``, as for an empty table."""
+    jvm = docs.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
+    return not at.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+ANSWER = "kind string, level int, batch long, bucket int, data binary, h long, v array<double>"
+
+
+def rows_of(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.float64()))
+    cols = list(zip(*found, strict=True)) or [[]] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "level", "batch", "bucket", "data", "h", "v"])
+
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Consecutive rows of equal ``key``."""
+    held: list[dict] = []
+    for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+        if held and held[0][key] != row[key]:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
 
-def count_words(encoded: DataFrame, tables: int) -> DataFrame:
-    """bucket, batch, data: to each batch its words' counts and numbers in the bucket; batch -1 holds the bucket's own sums."""
+
+def by_bucket(rows: DataFrame, function, schema: str, tables: int) -> DataFrame:
+    """``function`` over all rows of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in grouped(batches, "bucket"):
+            yield function(some)
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables // 4)
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, schema)
+
+
+def count_words(words: DataFrame, tables: int) -> DataFrame:
+    """ANSWER rows of level 1: to each batch its words' counts and numbers in the bucket; and ``stat`` rows: types, known types, numbers of types by count."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(b << 64) // tables for b in range(1, tables)], np.uint64)
-        for row in (r for b in batches for r in b.to_pylist()):
-            hashes, seen = thaw(row["vocab"])
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            hashes, seen, every = thaw(row["data"])
             hashes = hashes.astype(np.uint64)
             cut = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-            found = [(b, row["batch"], freeze(hashes[x:y], seen[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "batch", "data"])
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [thaw(d) for d in frame["data"]]
-        hashes = np.concatenate([p[0].astype(np.uint64) for p in parts])
-        types, number = np.unique(hashes, return_inverse=True)
-        total = np.zeros(len(types), np.int64)
-        np.add.at(total, number, np.concatenate([p[1] for p in parts]))
-        n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-        out, at = [], 0
-        for p in parts:
+            yield rows_of([("words", 1, row["batch"], b, freeze(hashes[x:y], seen[x:y], every[x:y]), None, None) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y])
+
+    def answer(rows: list[dict]) -> pa.RecordBatch:
+        parts = [thaw(r["data"]) for r in rows]
+        types, number = np.unique(np.concatenate([p[0].astype(np.uint64) for p in parts]), return_inverse=True)
+        seen, every = (np.bincount(number, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
+        n = np.bincount(np.minimum(seen, K + 2), minlength=K + 3)
+        out, at, bucket = [("stat", 1, None, rows[0]["bucket"], None, None, [float(x) for x in (len(types), (seen > 0).sum(), *n)])], 0, rows[0]["bucket"]
+        for r, p in zip(rows, parts, strict=True):
             some = number[at : at + len(p[0])]
             at += len(p[0])
-            out.append(freeze(total[some], some))
-        sums = freeze(np.array([len(types), int((total > 0).sum()), *n]))
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "batch": [*frame["batch"], -1], "data": [*out, sums]})
+            out.append(("answer", 1, r["batch"], bucket, freeze(seen[some], every[some], np.diff(some, prepend=0)), None, None))
+        return rows_of(out)
 
-    dealt = encoded.select("batch", "vocab").mapInArrow(deal, "bucket int, batch long, data binary")
-    return dealt.groupBy("bucket").applyInPandas(answer, "bucket int, batch long, data binary")
+    return by_bucket(words.mapInArrow(deal, ANSWER), answer, ANSWER, tables)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -171,181 +228,241 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
 
 
-def spread_bigrams(encoded: DataFrame, words: DataFrame, offsets: list[int], uni: Unigrams, tables: int, train_docs: int) -> DataFrame:
-    """kind, bucket, batch, data: each batch's bigrams by table, and its documents' base scores."""
-    hot_count = max(1000, min(uni.total // HOT, TABLE_TOKENS // 10))
-
-    def shaped(row: dict) -> list[tuple]:
-        sizes, tokens = thaw(row["sizes"])[0], thaw(row["tokens"])[0]
-        answers = [(thaw(a["data"]), a["bucket"]) for a in sorted(row["answers"], key=lambda a: a["bucket"])]
-        count = np.concatenate([a[0] for a, _ in answers]).astype(np.int64)
-        number = np.concatenate([a[1] + offsets[b] + 1 for a, b in answers]).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        c, w = count[tokens], number[tokens]
-        base, known = np.add.reduceat(uni.base(c), starts), np.add.reduceat((c > 0).astype(np.int64), starts)
-        h, hc = np.concatenate(([0], w[:-1])), np.concatenate(([0], c[:-1]))
-        h[starts], hc[starts] = 0, train_docs  # the start of a text
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        train = np.repeat(~np.array(row["held"]), sizes)
-        hot = hc > hot_count
-        part = (mixed(w) % (hc // (hot_count // 8) + 1).astype(np.uint64)).astype(np.int64)
-        table = (mixed(np.where(hot, h * 1_000_003 + part, h)) % np.uint64(tables)).astype(np.int64)
-        order = np.lexsort((w, h, table))
-        table, h, hc, hot, w, c, doc, train = table[order], h[order], hc[order], hot[order], w[order], c[order], doc[order], train[order]
-        del order, tokens, count, number, answers
-        out = [("base", row["batch"] % tables, row["batch"], base.tobytes() + known.tobytes())]
-        cut = np.searchsorted(table, np.arange(tables + 1)).tolist()
-        for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-            if x == y:
-                continue
-            H, W = h[x:y], w[x:y]
-            first = np.flatnonzero(np.concatenate(([True], (H[1:] != H[:-1]) | (W[1:] != W[:-1]))))
-            head = np.flatnonzero(np.concatenate(([True], H[first][1:] != H[first][:-1])))
-            occurrences = np.diff(np.append(first, y - x))
-            trained = np.add.reduceat(train[x:y].astype(np.int64), first)
-            heads = first[head]
-            out.append(("grams", b, row["batch"], freeze(np.diff(H[heads], prepend=0), np.diff(np.append(head, len(first))), hc[x:y][heads], hot[x:y][heads], W[first], c[x:y][first], trained, occurrences, doc[x:y])))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                out = shaped(batch.slice(i, 1).to_pylist()[0])
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kind", "bucket", "batch", "data"])
-
-    answers = words.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
-    both = encoded.select("batch", "held", "sizes", "tokens").join(answers, "batch")
-    return both.mapInArrow(run, "kind string, bucket int, batch long, data binary")
-
-
-def per_doc(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    docs, at = np.unique(doc, return_inverse=True)
-    return docs, *(np.bincount(at, v, minlength=len(docs)) for v in values)
-
-
-def add_tables(grams: DataFrame, uni: Unigrams) -> DataFrame:
-    """kind, batch, h, v, data: what each table gives.
-
-    ``seen``: per batch, its documents with the log of the undiscounted seen bigrams and how many had each count up to K.
-    ``open``: unseen bigrams with their history's sums. ``stat``: numbers of bigrams by count. ``hot``: a hot history's sums here.
-    """
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [("base", r.batch, None, None, r.data) for r in frame[frame["kind"] == "base"].itertuples()]
-        grams = frame[frame["kind"] == "grams"].sort_values("batch")
-        if len(grams):
-            cols: list[list] = [[] for _ in range(8)]
-            lengths = []
-            batches = grams["batch"].to_numpy()
-            for data in grams["data"]:
-                h, n, hc, hot, w, c, trained, occurrences, doc = thaw(data)
-                h = np.cumsum(h.astype(np.int64))
-                for col, v in zip(cols, (np.repeat(h, n), np.repeat(hc, n), np.repeat(hot, n), w, c, trained, occurrences, doc), strict=True):
-                    col.append(v.astype(np.int64))
-                del h, n, hc, hot, w, c, trained, occurrences
-                lengths.append(len(doc))
-            which = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-            h, hc, hot, w, c, trained, occurrences, doc = (np.concatenate(cols.pop(0)) for _ in range(8))
-            order = np.lexsort((w, h))
-            new = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)))
-            kind = np.empty(len(h), np.int64)
-            kind[order] = np.cumsum(new) - 1
-            first = order[new]
-            H, HC, HOTS, C1 = h[first], hc[first], hot[first] > 0, c[first]
-            count = np.bincount(kind, trained, minlength=len(first)).astype(np.int64)
-            rows.append(("stat", None, None, [float(x) for x in np.bincount(np.minimum(count, K + 2), minlength=K + 3)], None))
-            starts = np.flatnonzero(np.concatenate(([True], np.diff(H) != 0)))
-            of = np.cumsum(np.concatenate(([True], np.diff(H) != 0))) - 1
-            low = np.array([np.add.reduceat((count == r).astype(np.float64), starts) for r in range(1, K + 1)])
-            mass = np.add.reduceat(np.where(count > 0, uni.p(C1), 0.0), starts)
-            hot_h = HOTS[starts]
-            extra = (hot_h | (low.sum(0) == 0)).astype(np.float64)  # the follower that is never seen
-            rows += [("hot", None, int(H[s]), [float(HC[s]), *low[:, i].tolist(), float(mass[i])], None) for i, s in enumerate(starts) if hot_h[i]]
-            del h, hc, hot, w, c, order, new, trained
-            kind_of = np.repeat(kind, occurrences)
-            n = count[kind_of]
-            logs = np.log10(np.maximum(count, 1) / np.maximum(HC + extra[of], 1))[kind_of]
-            bounds = np.searchsorted(which, np.arange(len(batches) + 1))
-            for k, b in enumerate(batches):
-                at = slice(bounds[k], bounds[k + 1])
-                seen = n[at] > 0
-                docs, total, *each = per_doc(doc[at][seen], logs[at][seen], *((n[at][seen] == r).astype(float) for r in range(1, K + 1)))
-                rows.append(("seen", int(b), None, None, len(docs).to_bytes(8, "little") + total.tobytes() + freeze(docs, *(e.astype(np.int64) for e in each))))
-            lost = np.flatnonzero(n == 0)
-            if len(lost):
-                heads, index = np.unique(of[kind_of[lost]], return_inverse=True)
-                sums = np.stack([HC[starts[heads]], *low[:, heads], mass[heads], extra[heads], np.where(hot_h[heads], H[starts[heads]], -1)]).astype(np.float64)
-                rows.append(("open", None, None, None, len(heads).to_bytes(8, "little") + sums.tobytes() + freeze(index, C1[kind_of[lost]], batches[which[lost]], doc[lost])))
-        return pd.DataFrame(rows, columns=["kind", "batch", "h", "v", "data"]).astype({"batch": "Int64", "h": "Int64"})
-
-    return grams.groupBy("bucket").applyInPandas(add, "kind string, batch long, h long, v array<double>, data binary")
-
-
-def backoff(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Back-off weights from rows (history count, types with counts 1..K, unigram mass of followers, never-seen follower)."""
-    hc, low, mass, extra = sums[0], sums[1 : K + 1], sums[K + 1], sums[K + 2]
+def backoff(hc: np.ndarray, low: np.ndarray, mass: np.ndarray, extra: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Back-off weights from counts of histories, their followers with counts 1..K, lower-order mass of their followers, and never-seen followers."""
     free = ((1 - d[1:, None]) * np.arange(1, K + 1)[:, None] * low).sum(0) + extra
     return np.where(hc > 0, free / np.maximum(hc + extra, 1) / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-def open_scores(tables: DataFrame, d: np.ndarray, hot: dict[int, float], uni: Unigrams) -> DataFrame:
-    """kind, batch, data: per batch its documents with the log probability of their unseen bigrams."""
+class Batch:
+    """The distinct n-grams of a batch's texts, order by order. Grams are numbered from 1; 0 is all start marks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in (x for b in batches for x in b.column(0).to_pylist()):
-            n = int.from_bytes(data[:8], "little")
-            width = K + 4
-            sums = np.frombuffer(data, np.float64, n * width, 8).reshape(width, n)
-            index, c, batch, doc = thaw(data[8 + 8 * n * width :])
-            weight = backoff(sums, d)
-            for i in np.flatnonzero(sums[-1] >= 0):
-                weight[i] = hot[int(sums[-1, i])]
-            logs = np.log10(weight)[index] + np.log10(uni.p(c))
-            batch = batch.astype(np.int64)
-            out = []
-            for b in np.unique(batch):
-                docs, total = per_doc(doc[batch == b], logs[batch == b])
-                out.append((int(b), len(docs).to_bytes(8, "little") + total.tobytes() + freeze(docs)))
-            yield pa.record_batch([pa.array(["unseen"] * len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["kind", "batch", "data"])
-
-    return tables.where("kind = 'open'").select("data").mapInArrow(run, "kind string, batch long, data binary")
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
-    encoded = stage(encode(docs), "encoded")
-    size = encoded.agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_train"), F.sum("n_train_docs")).first()
-    types, tokens, train, train_docs = (int(x or 0) for x in size)
-    words = stage(count_words(encoded, max(1, -(-types // TABLE_TOKENS))), "words")
-    sums = {r["bucket"]: thaw(r["data"])[0] for r in words.where("batch < 0").collect()}  # a few numbers per table
-    offsets, at = [0] * (max(sums, default=0) + 1), 0
-    for b in sorted(sums):
-        offsets[b], at = at, at + int(sums[b][0])
-    n = sum((s[2:].astype(np.int64) for s in sums.values()), np.zeros(K + 3, np.int64))
-    uni = Unigrams.of(train, int(sum(int(s[1]) for s in sums.values())), n)
-    grams = spread_bigrams(encoded, words, offsets, uni, max(1, -(-tokens // TABLE_TOKENS)), train_docs)
-    tables = stage(add_tables(grams, uni), "tables")
-    people = stage(encoded.select("batch", "doc_ids", "held", "sizes"), "people")
-    unstage(encoded, words)
-    counts = tables.where("kind = 'stat'").agg(*[F.sum(F.col("v")[r]) for r in range(K + 3)]).first()
-    d = discounts(np.array([x or 0 for x in counts]))
-    rows = tables.where("kind = 'hot'").groupBy("h").agg(F.max(F.col("v")[0]), *[F.sum(F.col("v")[r]) for r in range(1, K + 2)]).collect()  # one a hot history
-    hot = {r["h"]: float(backoff(np.array([[float(x)] for x in (*r[1:], 1.0)]), d)[0]) for r in rows}
-    parts = tables.where("kind in ('base', 'seen')").select("kind", "batch", "data").unionByName(open_scores(tables, d, hot, uni))
-    log_d = np.log10(d[1:])
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, held, sizes = left["doc_ids"].iloc[0], left["held"].iloc[0], thaw(left["sizes"].iloc[0])[0]
-        total = np.zeros(len(sizes))
-        for kind, data in zip(right["kind"], right["data"], strict=True):
-            if kind == "base":
-                base, known = np.frombuffer(data, np.float64, len(sizes)), np.frombuffer(data, np.int64, len(sizes), 8 * len(sizes))
+    def __init__(self, row: dict, uni: Unigrams, docs: int, train_docs: int):
+        self.sizes, self.tokens = thaw(row["data"])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.train = np.repeat(~np.array(row["held"]), self.sizes)
+        self.uni, self.level, self.d = uni, 1, {}
+        seen, every, number = self.joined(row["answers"], 1)
+        self.known, self.docs, self.train_docs = seen, docs, train_docs
+        self.word_number = number
+        self.gram = self.tokens + 1
+        self.put(seen, every, number + 1, np.zeros(len(seen), np.int64), uni.p(seen))
+
+    @staticmethod
+    def joined(answers: list[dict], level: int) -> list[np.ndarray]:
+        parts = [(thaw(a["data"]), a["bucket"]) for a in sorted((a for a in answers if a["level"] == level and a["bucket"] >= 0), key=lambda a: a["bucket"])]
+        if not parts:
+            return [np.zeros(0, np.int64)] * 3
+        return [*(np.concatenate([p[k] for p, _ in parts]).astype(np.int64) for k in (0, 1)), np.concatenate([np.cumsum(p[2].astype(np.int64)) + (b << SPAN) for p, b in parts])]
+
+    def put(self, count, every, number, base, prob) -> None:
+        """Set what is known of each gram: training count, occurrences, number, history's count with what is added, probability."""
+        first = lambda x, v: np.concatenate(([v], x))
+        self.count, self.every, self.number = first(count, self.train_docs), first(every, self.docs), first(number, 0)
+        self.base, self.prob = first(base, 0), first(prob, 1.0)
+
+    def climb(self, tables: int, hot_count: int) -> None:
+        """Go on to the next order's grams, and the order in which they are dealt out."""
+        n_types = max(len(self.word_number), 1)
+        history = np.concatenate(([0], self.gram[:-1])) if len(self.gram) else self.gram
+        history[self.starts] = 0
+        key = history * n_types + self.tokens
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+        self.next = np.empty(len(key), np.int64)
+        self.next[order] = np.cumsum(new) - 1
+        self.suffix = self.gram[order[new]]
+        self.hist, word = key[new] // n_types, key[new] % n_types
+        n = len(self.hist)
+        self.trained, self.occur = (np.bincount(self.next, w, minlength=n).astype(np.int64) for w in (self.train, None))
+        self.hc = self.count[self.hist]
+        self.hot = self.hc > hot_count
+        self.level += 1
+        at = np.flatnonzero(self.every[self.hist] > 1)
+        h, w = self.number[self.hist[at]], self.word_number[word[at]]
+        part = (mixed(w) % (self.hc[at] // (max(hot_count, 8) // 8) + 1).astype(np.uint64)).astype(np.int64)
+        table = (mixed(np.where(self.hot[at], h * 1_000_003 + part, h)) % np.uint64(tables)).astype(np.int64)
+        small = int(h.max(initial=0)).bit_length() + tables.bit_length() < 62
+        order = np.argsort(table << int(h.max(initial=0)).bit_length() | h, kind="stable") if small else np.lexsort((h, table))
+        self.sent, self.h, self.w, table = at[order], h[order], w[order], table[order]
+        self.bounds = np.searchsorted(table, np.arange(tables + 1))
+        change = np.concatenate(([True], (self.h[1:] != self.h[:-1]) | (table[1:] != table[:-1])))[: len(at)]
+        self.heads = np.flatnonzero(change)  # the first of each history in a table
+        self.of = np.cumsum(change) - 1
+
+    def fragments(self, batch: int) -> list[tuple]:
+        """Rows for the tables, and one of the numbers of grams by count that go to none."""
+        alone = np.bincount(np.minimum(np.delete(self.trained, self.sent), K + 2), minlength=K + 3)
+        out = [("stat", self.level, batch, None, None, None, [float(x) for x in alone])]
+        edges = np.searchsorted(self.heads, self.bounds).tolist()
+        for b, (x, y) in enumerate(zip(self.bounds.tolist(), self.bounds[1:].tolist(), strict=False)):
+            if x < y:
+                heads, some = self.heads[edges[b] : edges[b + 1]], self.sent[x:y]
+                first = self.sent[heads]
+                data = freeze(np.diff(self.h[heads], prepend=0), np.diff(np.append(heads, y)), self.hc[first], self.base[self.suffix[first]], self.hot[first], self.w[x:y], self.count[self.suffix[some]], self.trained[some], self.occur[some])
+                out.append(("grams", self.level, batch, b, data, None, None))
+        return out
+
+    def settle(self, answers: list[dict], d: np.ndarray) -> None:
+        """Take in the tables' answers for this order: counts, numbers and probabilities of its grams."""
+        n, heads = len(self.hist), self.sent[self.heads]
+        count, every, number = self.trained.copy(), self.occur.copy(), np.zeros(n, np.int64)
+        discounted, weight = np.ones(len(heads), bool), np.ones(len(heads))
+        mine = {a["bucket"]: a["data"] for a in answers if a["level"] == self.level and a["bucket"] >= 0}
+        edges = np.searchsorted(self.heads, self.bounds).tolist()
+        for b, (x, y) in enumerate(zip(self.bounds.tolist(), self.bounds[1:].tolist(), strict=False)):
+            if x == y:
                 continue
-            n = int.from_bytes(data[:8], "little")
-            values, found = np.frombuffer(data, np.float64, n, 8).copy(), thaw(data[8 + 8 * n :])
-            for log, each in zip(log_d, found[1:], strict=False):
-                values += log * each
-            np.add.at(total, found[0], values)
-        return pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], "Int64"), "held_out": list(held), "n_tokens": sizes, "n_known": known, "train_tokens": train, "base_score": base, "score": total})
-
-    return people.groupBy("batch").cogroup(parts.groupBy("batch")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            size = int.from_bytes(mine[b][:8], "little")
+            mass = np.frombuffer(mine[b], np.float64, size, 8)
+            c, e, step, low_any, need, *low = thaw(mine[b][8 + 8 * size :])
+            some = self.sent[x:y]
+            count[some], every[some], number[some] = c, e, np.cumsum(step.astype(np.int64)) + (b << SPAN) + 1
+            discounted[edges[b] : edges[b + 1]] = low_any > 0
+            at = edges[b] + np.flatnonzero(need)
+            hc = self.hc[heads[at]]
+            weight[at] = backoff(hc, np.array(low).reshape(K, -1), mass, (low_any[need > 0] == 0).astype(float), d)
+        hot = {a["h"]: np.array(a["v"]) for a in answers if a["level"] == self.level and a["bucket"] < 0}
+        for i in np.flatnonzero(self.hot[heads]):
+            v = hot.get(int(self.h[self.heads[i]]))
+            if v is not None:
+                weight[i] = backoff(self.hc[heads[i : i + 1]], v[:K, None], v[K:], np.ones(1), d)[0]
+        extra, back = np.zeros(n, np.int64), np.ones(n)
+        extra[self.sent] = (self.hot[self.sent] | ~discounted[self.of]).astype(np.int64)
+        back[self.sent] = weight[self.of]
+        base = np.where(self.hc > 0, self.hc + extra, 0)
+        kept = np.where(count <= K, d[np.minimum(count, K)], 1.0) * count / np.maximum(base, 1)
+        prob = np.where(count > 0, kept, back * self.prob[self.suffix])
+        self.gram = self.next + 1
+        self.put(count, every, number, base, prob)
+
+
+def add_table(rows: list[dict], level: int, uni: Unigrams, d: np.ndarray) -> pa.RecordBatch:
+    """ANSWER rows of one table: ``answer`` to each batch; ``stat``: numbers of grams by count; ``hot``: a hot history's sums here; ``ask``: batches that need them."""
+    bucket = rows[0]["bucket"]
+    cols: list[list] = [[] for _ in range(8)]
+    lens, sizes = [], []
+    for r in rows:
+        step, n, hc, base, hot, w, low, trained, occur = thaw(r.pop("data"))
+        for col, v in zip(cols, (np.cumsum(step.astype(np.int64)), hc, base, hot, w, low, trained, occur), strict=True):
+            col.append(v.astype(np.int64))
+        lens.append(n.astype(np.int64))
+        sizes.append(len(w))
+    h, hc, base, hot, w, low, trained, occur = (np.concatenate(cols.pop(0)) for _ in range(8))
+    n = np.concatenate(lens)
+    H, first, at = np.unique(h, return_index=True, return_inverse=True)
+    hc, base, hot = hc[first], base[first], hot[first] > 0
+    at = np.repeat(at, n)
+    wide = int(w.max()).bit_length()
+    order = np.argsort(at << wide | w) if wide + len(H).bit_length() < 63 else np.lexsort((w, at))
+    new = np.concatenate(([True], (np.diff(at[order]) != 0) | (np.diff(w[order]) != 0)))
+    kind = np.empty(len(w), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    one = order[new]
+    of, low = at[one], low[one]
+    count, every = (np.bincount(kind, c, minlength=len(one)).astype(np.int64) for c in (trained, occur))
+    del order, new, trained, occur, w
+    below = uni.p(low) if level == 2 else np.where(low <= K, d[np.minimum(low, K)], 1.0) * low / np.maximum(base[of], 1)
+    mass = np.bincount(of, np.where(count > 0, below, 0.0), minlength=len(H))
+    lows = np.array([np.bincount(of, count == r, minlength=len(H)) for r in range(1, K + 1)])
+    any_low = lows.sum(0) > 0
+    any_low[hot] = False
+    out = [("stat", level, None, bucket, None, None, [float(x) for x in np.bincount(np.minimum(count, K + 2), minlength=K + 3)])]
+    out += [("hot", level, None, bucket, None, int(H[i]), [*lows[:, i].tolist(), float(mass[i])]) for i in np.flatnonzero(hot)]
+    heads = np.concatenate(([0], np.cumsum(n)))[:-1]
+    grams, histories = np.cumsum([0, *sizes]), np.cumsum([0, *map(len, lens)])
+    for k, r in enumerate(rows):
+        some, mine = kind[grams[k] : grams[k + 1]], heads[histories[k] : histories[k + 1]]
+        i = at[mine]
+        need = np.logical_or.reduceat(count[some] == 0, mine - grams[k])
+        ask = need & hot[i]
+        need &= ~hot[i]
+        data = mass[i[need]]
+        out.append(("answer", level, r["batch"], bucket, len(data).to_bytes(8, "little") + data.tobytes() + freeze(count[some], every[some], np.diff(some, prepend=0), any_low[i], need, *lows[:, i[need]].astype(np.int64)), None, None))
+        out += [("ask", level, r["batch"], bucket, None, int(H[j]), None) for j in i[ask]]
+    return rows_of(out)
+
+
+def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``."""
+    tokens, words = encode(docs)
+    size = tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_train_docs", "n_docs", "n_tokens")]).first()
+    train, train_docs, n_docs, n_tokens = map(int, size)
+    types = int(words.agg(F.sum("n_types")).first()[0] or 0)
+    answered = [stage(count_words(words, max(1, -(-types // TABLE_TOKENS))), "words", "none")]
+    unstage(words)
+    sums = stats(answered[0], K + 5)
+    uni = Unigrams.of(train, int(sums[1]), sums[2:].astype(np.int64))
+    tables, hot_count, ds = max(1, -(-n_tokens // TABLE_TOKENS)), max(1000, TABLE_TOKENS // 10), []
+
+    def climbed(row: dict) -> Batch:
+        """The batch with all orders settled that have been answered."""
+        batch = Batch(row, uni, n_docs, train_docs)
+        for d in ds:
+            batch.climb(tables, hot_count)
+            batch.settle(row["answers"], d)
+        return batch
+
+    def with_answers() -> DataFrame:
+        every = None
+        for a in answered:
+            one = a.where("kind = 'answer'").select("batch", "level", "bucket", "data", "h", "v")
+            every = one if every is None else every.unionByName(one)
+        lists = every.groupBy("batch").agg(F.collect_list(F.struct("level", "bucket", "data", "h", "v")).alias("answers"))
+        return tokens.select("batch", "doc_ids", "held", "data").join(lists, "batch", "left")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            yield {**row, "answers": row["answers"] or []}
+
+    for level in range(2, order + 1):
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in each(batches):
+                batch = climbed(row)
+                batch.climb(tables, hot_count)
+                yield rows_of(batch.fragments(row["batch"]))
+
+        dealt = with_answers().mapInArrow(spread, ANSWER)
+        # Rows that go to no table pass through a bucket of their own.
+        found = add_or_pass(dealt, level, uni, ds[-1] if ds else np.ones(K + 1), tables)
+        table = stage(found, "answers", "none")
+        d = discounts(stats(table, K + 3))
+        hot = table.where("kind = 'hot'").groupBy("h").agg(F.array(*[F.sum(F.col("v")[r]) for r in range(K + 1)]).alias("v"))
+        asked = table.where("kind = 'ask'").select("batch", "h").distinct().join(hot, "h")
+        asked = asked.select(F.lit("answer").alias("kind"), F.lit(level).alias("level"), "batch", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), "h", "v")
+        answered += [table, stage(asked, "hot")]
+        ds.append(d)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            batch = climbed(row)
+            known = batch.known[batch.tokens]
+            add = lambda x, b=batch: np.add.reduceat(x, b.starts)
+            numbers = (batch.sizes, add((known > 0).astype(np.int64)), np.full(len(batch.sizes), train), add(uni.base(known)), add(np.log10(batch.prob[batch.gram])))
+            cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *(pa.array(x, t) for x, t in zip(numbers, (*[pa.int64()] * 3, *[pa.float64()] * 2), strict=True))]
+            yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return with_answers().mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def stats(table: DataFrame, n: int) -> np.ndarray:
+    row = table.where("kind = 'stat'").agg(*[F.sum(F.col("v")[r]) for r in range(n)]).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def add_or_pass(dealt: DataFrame, level: int, uni: Unigrams, d: np.ndarray, tables: int) -> DataFrame:
+    """``add_tables`` of the grams; rows without a bucket are spread and pass as they are."""
+    none = F.coalesce("bucket", F.lit(-1) - F.pmod(F.xxhash64("batch"), F.lit(64)).cast("int"))
+    rows = dealt.withColumn("bucket", none.cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in grouped(batches, "bucket"):
+            if some[0]["bucket"] < 0:
+                yield rows_of([tuple(r.values()) for r in some])
+            else:
+                yield add_table(some, level, uni, d)
+
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables // 4)
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, ANSWER)
