@@ -256,7 +256,7 @@ class Batch:
         return [*(np.concatenate([p[k] for p, _ in parts]).astype(np.int64) for k in (0, 1)), np.concatenate([np.cumsum(p[2].astype(np.int64)) + (b << SPAN) for p, b in parts])]
 
     def put(self, count, every, number, base, prob) -> None:
-        """Set what is known of each gram: training count, occurrences, number, history's count with what is added, probability."""
+        """Set what is known of each gram: training count, occurrences (above one as two, say), number, history's count with what is added, probability."""
         first = lambda x, v: np.concatenate(([v], x))
         self.count, self.every, self.number = first(count, self.train_docs), first(every, self.docs), first(number, 0)
         self.base, self.prob = first(base, 0), first(prob, 1.0)
@@ -316,13 +316,18 @@ class Batch:
                 continue
             size = int.from_bytes(mine[b][:8], "little")
             mass = np.frombuffer(mine[b], np.float64, size, 8)
-            c, e, step, low_any, need, *low = thaw(mine[b][8 + 8 * size :])
-            some = self.sent[x:y]
-            count[some], every[some], number[some] = c, e, np.cumsum(step.astype(np.int64)) + (b << SPAN) + 1
-            discounted[edges[b] : edges[b + 1]] = low_any > 0
+            more, c, step, low_any, *low = thaw(mine[b][8 + 8 * size :])
+            # What occurs once in the corpus occurs here; the table has nothing to say of it.
+            some = self.sent[x:y][bits(more, y - x)]
+            count[some], every[some] = c, 2
+            if len(step):
+                number[some] = np.cumsum(step.astype(np.int64)) + (b << SPAN) + 1
+            mine_heads = slice(edges[b], edges[b + 1])
+            low_any = bits(low_any, edges[b + 1] - edges[b])
+            discounted[mine_heads] = low_any
+            need = np.logical_or.reduceat(count[self.sent[x:y]] == 0, self.heads[mine_heads] - x) & ~self.hot[heads[mine_heads]]
             at = edges[b] + np.flatnonzero(need)
-            hc = self.hc[heads[at]]
-            weight[at] = backoff(hc, np.array(low).reshape(K, -1), mass, (low_any[need > 0] == 0).astype(float), d)
+            weight[at] = backoff(self.hc[heads[at]], np.array(low).reshape(K, -1), mass, (~low_any[need]).astype(float), d)
         hot = {a["h"]: np.array(a["v"]) for a in answers if a["level"] == self.level and a["bucket"] < 0}
         for i in np.flatnonzero(self.hot[heads]):
             v = hot.get(int(self.h[self.heads[i]]))
@@ -338,8 +343,15 @@ class Batch:
         self.put(count, every, number, base, prob)
 
 
-def add_table(rows: list[dict], level: int, uni: Unigrams, d: np.ndarray) -> pa.RecordBatch:
-    """ANSWER rows of one table: ``answer`` to each batch; ``stat``: numbers of grams by count; ``hot``: a hot history's sums here; ``ask``: batches that need them."""
+def bits(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(packed.astype(np.uint8), count=n).astype(bool)
+
+
+def add_table(rows: list[dict], level: int, uni: Unigrams, d: np.ndarray, numbers: bool) -> pa.RecordBatch:
+    """ANSWER rows of one table: ``answer`` to each batch; ``stat``: numbers of grams by count; ``hot``: a hot history's sums here; ``ask``: batches that need them.
+
+    An answer has, for each gram dealt, whether it occurs more than once, and of those that do the count and, with ``numbers``, the number.
+    """
     bucket = rows[0]["bucket"]
     cols: list[list] = [[] for _ in range(8)]
     lens, sizes = [], []
@@ -378,8 +390,9 @@ def add_table(rows: list[dict], level: int, uni: Unigrams, d: np.ndarray) -> pa.
         need = np.logical_or.reduceat(count[some] == 0, mine - grams[k])
         ask = need & hot[i]
         need &= ~hot[i]
-        data = mass[i[need]]
-        out.append(("answer", level, r["batch"], bucket, len(data).to_bytes(8, "little") + data.tobytes() + freeze(count[some], every[some], np.diff(some, prepend=0), any_low[i], need, *lows[:, i[need]].astype(np.int64)), None, None))
+        data, more = mass[i[need]], every[some] > 1
+        step = np.diff(some[more], prepend=0) if numbers else np.zeros(0, np.int64)
+        out.append(("answer", level, r["batch"], bucket, len(data).to_bytes(8, "little") + data.tobytes() + freeze(np.packbits(more), count[some[more]], step, np.packbits(any_low[i]), *lows[:, i[need]].astype(np.int64)), None, None))
         out += [("ask", level, r["batch"], bucket, None, int(H[j]), None) for j in i[ask]]
     return rows_of(out)
 
@@ -426,7 +439,7 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
 
         dealt = with_answers().mapInArrow(spread, ANSWER)
         # Rows that go to no table pass through a bucket of their own.
-        found = add_or_pass(dealt, level, uni, ds[-1] if ds else np.ones(K + 1), tables)
+        found = add_or_pass(dealt, level, uni, ds[-1] if ds else np.ones(K + 1), tables, level < order)
         table = stage(found, "answers", "none")
         d = discounts(stats(table, K + 3))
         hot = table.where("kind = 'hot'").groupBy("h").agg(F.array(*[F.sum(F.col("v")[r]) for r in range(K + 1)]).alias("v"))
@@ -452,8 +465,8 @@ def stats(table: DataFrame, n: int) -> np.ndarray:
     return np.array([x or 0.0 for x in row])
 
 
-def add_or_pass(dealt: DataFrame, level: int, uni: Unigrams, d: np.ndarray, tables: int) -> DataFrame:
-    """``add_tables`` of the grams; rows without a bucket are spread and pass as they are."""
+def add_or_pass(dealt: DataFrame, level: int, uni: Unigrams, d: np.ndarray, tables: int, numbers: bool) -> DataFrame:
+    """``add_table`` of the grams; rows without a bucket are spread and pass as they are."""
     none = F.coalesce("bucket", F.lit(-1) - F.pmod(F.xxhash64("batch"), F.lit(64)).cast("int"))
     rows = dealt.withColumn("bucket", none.cast("int"))
 
@@ -462,7 +475,7 @@ def add_or_pass(dealt: DataFrame, level: int, uni: Unigrams, d: np.ndarray, tabl
             if some[0]["bucket"] < 0:
                 yield rows_of([tuple(r.values()) for r in some])
             else:
-                yield add_table(some, level, uni, d)
+                yield add_table(some, level, uni, d, numbers)
 
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables // 4)
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, ANSWER)
