@@ -132,7 +132,10 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         seen, every = np.bincount(tokens[train], minlength=len(types)), np.bincount(tokens, minlength=len(types))
         used = np.cumsum(every > 0) - 1  # an empty string alone leaves no type
         keep = every > 0
-        one = {"part": "tokens", "doc_ids": list(ids), "held": list(held), "data": freeze(sizes, used[tokens]), "n_train": int(train.sum()), "n_train_docs": int((~np.array(held)).sum()), "n_docs": len(ids), "n_tokens": len(tokens), "n_types": 0}
+        often = np.argsort(-every[keep], kind="stable")  # small numbers for frequent words take less room
+        place = np.empty(len(often), np.int64)
+        place[often] = np.arange(len(often))
+        one = {"part": "tokens", "doc_ids": list(ids), "held": list(held), "data": freeze(sizes, place[used[tokens]], often), "n_train": int(train.sum()), "n_train_docs": int((~np.array(held)).sum()), "n_docs": len(ids), "n_tokens": len(tokens), "n_types": 0}
         return [one, {**one, "part": "words", "doc_ids": [], "held": [], "data": freeze(types[keep], seen[keep], every[keep]), "n_types": int(keep.sum())}]
 
     numbers = ("n_train", "n_train_docs", "n_docs", "n_tokens", "n_types", "batch")
@@ -238,7 +241,8 @@ class Batch:
     """The distinct n-grams of a batch's texts, order by order. Grams are numbered from 1; 0 is all start marks."""
 
     def __init__(self, row: dict, uni: Unigrams, docs: int, train_docs: int):
-        self.sizes, self.tokens = thaw(row["data"])
+        self.sizes, place, often = thaw(row["data"])
+        self.tokens = often[place]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~np.array(row["held"]), self.sizes)
         self.uni, self.level, self.d = uni, 1, {}
@@ -300,7 +304,7 @@ class Batch:
             if x < y:
                 heads, some = self.heads[edges[b] : edges[b + 1]], self.sent[x:y]
                 first = self.sent[heads]
-                data = freeze(np.diff(self.h[heads], prepend=0), np.diff(np.append(heads, y)), self.hc[first], self.base[self.suffix[first]], self.hot[first], self.w[x:y], self.count[self.suffix[some]], self.trained[some], self.occur[some])
+                data = freeze(np.diff(self.h[heads], prepend=0), np.diff(np.append(heads, y)), self.hc[first], self.base[self.suffix[first]], self.hot[first], self.w[x:y], np.where(self.trained[some] > 0, self.count[self.suffix[some]], 0), self.trained[some], self.occur[some])
                 out.append(("grams", self.level, batch, b, data, None, None))
         return out
 
@@ -372,7 +376,10 @@ def add_table(rows: list[dict], level: int, uni: Unigrams, d: np.ndarray, number
     kind = np.empty(len(w), np.int64)
     kind[order] = np.cumsum(new) - 1
     one = order[new]
-    of, low = at[one], low[one]
+    of, found = at[one], low > 0
+    known = np.zeros(len(one), np.int64)
+    known[kind[found]] = low[found]
+    low = known
     count, every = (np.bincount(kind, c, minlength=len(one)).astype(np.int64) for c in (trained, occur))
     del order, new, trained, occur, w
     below = uni.p(low) if level == 2 else np.where(low <= K, d[np.minimum(low, K)], 1.0) * low / np.maximum(base[of], 1)
