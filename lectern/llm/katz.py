@@ -42,8 +42,8 @@ from lectern.llm._common import as_bytes, chunks, remainder, shared_dir, stage,
 
 K = 5
 END = 1  # the hash of the end token
-BATCH_BYTES = 6 << 20  # of text
-TABLE_TOKENS = 1_600_000
+BATCH_BYTES = 9 << 19  # of text
+TABLE_TOKENS = 1_300_000
 SPAN = 28  # bits of a number below its table's
 KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
@@ -145,6 +145,7 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = (r for b in batches for i in range(0, b.num_rows, 256) for s in [b.slice(i, 256)] for r in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), as_bytes(s.column(1)), strict=True))
         for k, some in enumerate(chunks(rows, lambda r: len(r[2]) + 8, BATCH_BYTES)):
             yield pa.RecordBatch.from_pylist([{**r, "batch": (TaskContext.get().partitionId() << 33) + k} for r in shaped(some)], schema)
+            pa.default_memory_pool().release_unused()
 
     held = F.coalesce(remainder(F.col("doc_id").cast("long"), 5) == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"))
@@ -345,6 +346,8 @@ class Batch:
         prob = np.where(count > 0, kept, back * self.prob[self.suffix])
         self.gram = self.next + 1
         self.put(count, every, number, base, prob)
+        for name in ("next", "suffix", "hist", "trained", "occur", "hc", "hot", "sent", "h", "w", "bounds", "heads", "of"):
+            delattr(self, name)
 
 
 def bits(packed: np.ndarray, n: int) -> np.ndarray:
