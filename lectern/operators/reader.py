@@ -39,20 +39,25 @@ def spot_terms(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
     tokens = F.transform(F.split("text", r"[ \t]+"), lambda t: F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     rows = blocks.select("document_id", "block_index", tokens.alias("t"))
     terms = glossary.select("term", F.size(F.split("term", " ")).alias("n_words")).where("term is not null").distinct()
-    gram = lambda t, i, n: F.when(i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " "))
-    places = F.sequence(F.lit(0), F.size("t") - 1)
     cols = ["document_id", "block_index", "pos", "term", "n_words"]
     some = terms.limit(MAX_TERMS + 1).collect()
+    if not some:
+        return rows.select("document_id", "block_index", F.lit(0).alias("pos"), F.lit("").alias("term"), F.lit(0).alias("n_words")).where("false")
     if len(some) <= MAX_TERMS:
-        by_words: dict[int, list[str]] = {}
-        for r in some:
-            by_words.setdefault(r["n_words"], []).append(r["term"])
-        place = lambda i, n: F.when(gram(F.col("t"), i, F.lit(n)).isin(by_words[n]), F.struct(i.alias("pos"), F.lit(n).alias("n_words")))
-        longest = lambda i: F.coalesce(*[place(i, n) for n in sorted(by_words, reverse=True)])
-        if not some:
-            return rows.select("document_id", "block_index", F.lit(0).alias("pos"), F.lit("").alias("term"), F.lit(0).alias("n_words")).where("false")
-        hits = rows.select("document_id", "block_index", "t", F.explode(F.filter(F.transform(places, longest), lambda x: x.isNotNull())).alias("g"))
-        return hits.select("document_id", "block_index", "g.pos", F.array_join(F.slice("t", F.col("g.pos") + 1, F.col("g.n_words")), " ").alias("term"), "g.n_words").select(*cols)
+        most = max(r["n_words"] for r in some)
+        firsts = sorted({r["term"].split(" ")[0] for r in some})
+        # Each token beside those after it, so that no position looks into the text again.
+        beside = F.arrays_zip(*[F.slice("t", i + 1, F.greatest(F.size("t") - i, F.lit(0))).alias(f"w{i}") for i in range(most)])
+        near = F.filter(F.transform(beside, lambda x, i: F.struct(i.alias("pos"), x.alias("w"))), lambda x: x["w"]["w0"].isin(firsts))
+        places = rows.select("document_id", "block_index", F.explode(near).alias("g")).select("document_id", "block_index", "g.pos", F.array(*[F.col("g.w")[f"w{i}"] for i in range(most)]).alias("w"))
+
+        def found(n: int) -> Column:
+            words = F.array_join(F.slice("w", 1, n), " ")
+            return F.when(F.col("w")[n - 1].isNotNull() & words.isin([r["term"] for r in some if r["n_words"] == n]), F.struct(words.alias("term"), F.lit(n).alias("n_words")))
+
+        best = F.coalesce(*[found(n) for n in sorted({r["n_words"] for r in some}, reverse=True)])
+        return places.withColumn("m", best).where("m is not null").select("document_id", "block_index", "pos", "m.term", "m.n_words").select(*cols)
+    gram = lambda t, i, n: F.when(i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " "))
     longest = terms.groupBy(F.substring_index("term", " ", 1).alias("first")).agg(F.max("n_words").alias("most"))
     starts = rows.select("document_id", "block_index", F.posexplode("t").alias("pos", "first"))
     starts = starts.join(longest, "first").groupBy("document_id", "block_index").agg(F.collect_list(F.struct("pos", "most")).alias("at"))  # of one block

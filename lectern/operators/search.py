@@ -54,20 +54,20 @@ def quote_search(docs: DataFrame, quotes: DataFrame, seed: int = 6) -> DataFrame
     have no token inside and are compared with every text.
     """
     tokens = lambda c: F.split(c, r"\s+")
-    key = lambda arr, i, n: F.xxhash64(F.array_join(F.slice(arr, i, n), " "))
+    key = lambda arr, i, n: F.xxhash64(n, F.array_join(F.slice(arr, i, n), " "))
     q = quotes.where("quote is not null and quote <> ''").select("query_id", "quote", tokens(F.col("quote")).alias("t"))
     q = q.withColumn("n", F.least(F.size("t") - 2, F.lit(seed)))
     lengths = sorted(r["n"] for r in q.where("n > 0").select("n").distinct().collect())  # at most ``seed`` of them
-    wanted = q.where("n > 0").select("query_id", "quote", "n", key(F.col("t"), F.lit(2), F.col("n")).alias("k"))
+    wanted = q.where("n > 0").select("query_id", "quote", key(F.col("t"), F.lit(2), F.col("n")).alias("k"))
     text = docs.select("document_id", "text")
     d = text.select("document_id", tokens(F.col("text")).alias("t"))
-    at = lambda n: F.when(F.size("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), key(F.col("t"), i, F.lit(n)).alias("k")))))
+    at = lambda n: F.when(F.size("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: key(F.col("t"), i, F.lit(n)))))
     rest = q.where("n <= 0").select("query_id", "quote").join(text, F.contains("text", "quote"))
     cols = ["query_id", "document_id", F.instr("text", F.col("quote")).alias("pos")]
     if not lengths:
         return rest.select(*cols)
-    places = d.select("document_id", F.explode(F.flatten(F.filter(F.array(*[at(n) for n in lengths]), lambda x: x.isNotNull()))).alias("g")).select("document_id", "g.n", "g.k")
-    pairs = places.join(wanted, ["n", "k"]).select("query_id", "quote", "document_id").distinct()
+    places = d.select("document_id", F.explode(F.flatten(F.filter(F.array(*[at(n) for n in lengths]), lambda x: x.isNotNull()))).alias("k"))
+    pairs = places.join(wanted, "k").select("query_id", "quote", "document_id").distinct()
     got = pairs.join(text, "document_id").where(F.contains("text", "quote"))
     return got.select(*cols).union(rest.select(*cols))
 
