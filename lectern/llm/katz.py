@@ -15,6 +15,7 @@ the whole corpus has one follower, which its batch knows, so it is dealt to no t
 over as many parts as its count asks for. (4) A table's task adds up its n-grams and answers each batch: counts, numbers, and, for histories with unseen
 followers there, the sums that their back-off weights need. Sums of hot histories are added up in Spark and joined to the batches that ask for them.
 (5) With the answers of all orders each batch adds up its documents.
+Batches and answers are staged in buckets by batch, so that each step joins a batch with its answers where they lie: no shuffle, no second copy on disk.
 Only single rows of sums (counts of counts, sizes) reach the driver. One n-gram's row is dealt once per batch, not once per occurrence. Staged tables and shuffles
 go as soon as the step that reads them is done.
 
@@ -38,12 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import as_bytes, chunks, remainder, shared_dir, stage, tidied, unstage
+from lectern.llm._common import as_bytes, chunks, partitions, remainder, shared_dir, tidied, unstage
 
 K = 5
 END = 1  # the hash of the end token
 BATCH_BYTES = 9 << 19  # of text
 TABLE_TOKENS = 1_300_000
+BUCKET_BATCHES = 8  # batches of one bucket of a staged table, about
 SPAN = 28  # bits of a number below its table's
 KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
 
@@ -161,6 +163,21 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
+def stage_by_batch(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """A staged table in buckets by batch; rows without a batch go by their own bucket's number, below zero."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    if "bucket" in df.columns:
+        df = df.withColumn("batch", F.coalesce("batch", F.lit(-1) - F.col("bucket")))
+    with tidied(spark):
+        df.repartition(buckets, "batch").write.bucketBy(buckets, "batch").options(path=path, compression="none").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of the catalog's entry only: the files are read by path until they are unstaged
+    out.staged_at = path
+    return out
+
+
 def found_none(docs: DataFrame, path: str, part: str) -> bool:
     """Whether nothing was written for ``part``, as for an empty table."""
     jvm = docs.sparkSession.sparkContext._jvm
@@ -196,7 +213,7 @@ def by_bucket(rows: DataFrame, function, schema: str, tables: int) -> DataFrame:
         for some in grouped(batches, "bucket"):
             yield function(some)
 
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables // 4)
+    parts = max(partitions(rows.sparkSession), tables // 4)
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, schema)
 
 
@@ -413,8 +430,11 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     size = tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_train_docs", "n_docs", "n_tokens")]).first()
     train, train_docs, n_docs, n_tokens = map(int, size)
     types = int(words.agg(F.sum("n_types")).first()[0] or 0)
-    answered = [stage(count_words(words, max(1, -(-types // TABLE_TOKENS))), "words", "none")]
+    buckets = max(partitions(docs.sparkSession), -(-tokens.count() // BUCKET_BATCHES))
+    answered = [stage_by_batch(count_words(words, max(1, -(-types // TABLE_TOKENS))), "words", buckets)]
     unstage(words)
+    loose, tokens = tokens, stage_by_batch(tokens.select("batch", "doc_ids", "held", "data"), "tokens", buckets)
+    unstage(loose)
     sums = stats(answered[0], K + 5)
     uni = Unigrams.of(train, int(sums[1]), sums[2:].astype(np.int64))
     tables, hot_count, ds = max(1, -(-n_tokens // TABLE_TOKENS)), max(1000, TABLE_TOKENS // 10), []
@@ -428,12 +448,11 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
         return batch
 
     def with_answers() -> DataFrame:
-        every = None
-        for a in answered:
-            one = a.where("kind = 'answer'").select("batch", "level", "bucket", "data", "h", "v")
-            every = one if every is None else every.unionByName(one)
-        lists = every.groupBy("batch").agg(F.collect_list(F.struct("level", "bucket", "data", "h", "v")).alias("answers"))
-        return tokens.select("batch", "doc_ids", "held", "data").join(lists, "batch", "left")
+        out, lists = tokens, [f"answers_{k}" for k in range(len(answered))]
+        for a, name in zip(answered, lists, strict=True):
+            of_batch = a.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("level", "bucket", "data", "h", "v")).alias(name))
+            out = out.join(of_batch, "batch", "left")
+        return out.select(*tokens.columns, F.flatten(F.array_compact(F.array(*lists))).alias("answers"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
@@ -450,12 +469,12 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
         dealt = with_answers().mapInArrow(spread, ANSWER)
         # Rows that go to no table pass through a bucket of their own.
         found = add_or_pass(dealt, level, uni, ds[-1] if ds else np.ones(K + 1), tables, level < order)
-        table = stage(found, "answers", "none")
+        table = stage_by_batch(found, "answers", buckets)
         d = discounts(stats(table, K + 3))
         hot = table.where("kind = 'hot'").groupBy("h").agg(F.array(*[F.sum(F.col("v")[r]) for r in range(K + 1)]).alias("v"))
         asked = table.where("kind = 'ask'").select("batch", "h").distinct().join(hot, "h")
         asked = asked.select(F.lit("answer").alias("kind"), F.lit(level).alias("level"), "batch", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), "h", "v")
-        answered += [table, stage(asked, "hot")]
+        answered += [table, stage_by_batch(asked, "hot", buckets)]
         ds.append(d)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,5 +506,5 @@ def add_or_pass(dealt: DataFrame, level: int, uni: Unigrams, d: np.ndarray, tabl
             else:
                 yield add_table(some, level, uni, d, numbers)
 
-    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables // 4)
+    parts = max(partitions(dealt.sparkSession), tables // 4)
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, ANSWER)
