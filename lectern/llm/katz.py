@@ -322,7 +322,8 @@ class Batch:
             if x < y:
                 heads, some = self.heads[edges[b] : edges[b + 1]], self.sent[x:y]
                 first = self.sent[heads]
-                data = freeze(np.diff(self.h[heads], prepend=0), np.diff(np.append(heads, y)), self.hc[first], self.base[self.suffix[first]], self.hot[first], self.w[x:y], np.where(self.trained[some] > 0, self.count[self.suffix[some]], 0), self.trained[some], self.occur[some])
+                learned = np.logical_or.reduceat(self.trained[some] > 0, heads - x)
+                data = freeze(np.diff(self.h[heads], prepend=0), np.diff(np.append(heads, y)), np.where(learned, self.base[self.suffix[first]], 0), self.hot[first], self.w[x:y], np.where(self.trained[some] > 0, self.count[self.suffix[some]], 0), self.trained[some], self.occur[some])
                 out.append(("grams", self.level, batch, b, data, None, None))
         return out
 
@@ -377,18 +378,19 @@ def add_table(rows: list[dict], level: int, uni: Unigrams, d: np.ndarray, number
     An answer has, for each gram dealt, whether it occurs more than once, and of those that do the count and, with ``numbers``, the number.
     """
     bucket = rows[0]["bucket"]
-    cols: list[list] = [[] for _ in range(8)]
+    cols: list[list] = [[] for _ in range(7)]
     lens, sizes = [], []
     for r in rows:
-        step, n, hc, base, hot, w, low, trained, occur = thaw(r.pop("data"))
-        for col, v in zip(cols, (np.cumsum(step.astype(np.int64)), hc, base, hot, w, low, trained, occur), strict=True):
+        step, n, base, hot, w, low, trained, occur = thaw(r.pop("data"))
+        for col, v in zip(cols, (np.cumsum(step.astype(np.int64)), base, hot, w, low, trained, occur), strict=True):
             col.append(v.astype(np.int64))
         lens.append(n.astype(np.int64))
         sizes.append(len(w))
-    h, hc, base, hot, w, low, trained, occur = (np.concatenate(cols.pop(0)) for _ in range(8))
+    h, based, hot, w, low, trained, occur = (np.concatenate(cols.pop(0)) for _ in range(7))
     n = np.concatenate(lens)
     H, first, at = np.unique(h, return_index=True, return_inverse=True)
-    hc, base, hot = hc[first], base[first], hot[first] > 0
+    hot, base = hot[first] > 0, np.zeros(len(H), np.int64)
+    np.maximum.at(base, at, based)  # a batch that did not learn from a history says zero
     at = np.repeat(at, n)
     wide = int(w.max()).bit_length()
     order = np.argsort(at << wide | w) if wide + len(H).bit_length() < 63 else np.lexsort((w, at))
