@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import anchors, chat, curves, exact_dedup, katz, mixture, packing, qda, simhash, spans
+from lectern.llm import anchors, chat, curves, exact_dedup, katz, mixture, packing, qda, simhash, spans, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_mixture, op5_katz_lm, op6_exact_dedup, op7_simhash, op8_packing, op9_pii, op10_quality)
+    for f in (op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_mixture, op5_katz_lm, op6_exact_dedup, op7_simhash, op8_packing, op9_pii, op10_quality, op11_token_output)
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
