@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import anchors, chat, curves, exact_dedup, katz, mixture, packing, qda, simhash, spans, wavelet
+from lectern.llm import anchors, chat, curves, exact_dedup, katz, merkle, mixture, packing, qda, simhash, spans, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,14 +62,49 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_mixture, op5_katz_lm, op6_exact_dedup, op7_simhash, op8_packing, op9_pii, op10_quality, op11_token_output)
+    for f in (op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_mixture, op5_katz_lm, op6_exact_dedup, op7_simhash, op8_packing, op9_pii, op10_quality, op11_token_output, op12_merkle_manifest)
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
+    """The tree over up to eight to the power of ``levels`` rows a group, level by level."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    crc = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, strlen(s) + 1), lambda i: ord(substr(s, i, 1))::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"""
+    parts = [f"""
+        d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, coalesce('x' || lang, '') AS k, text, {" || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))} AS head FROM documents),
+        e AS (SELECT doc_id, k, sha256(head || {field("text")}) AS leaf,
+                     CASE WHEN {crc} % 3 = 0 THEN sha256(head || {field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed FROM d),
+        w0 AS (SELECT *, coalesce(changed, leaf) AS f, '' AS proof, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM e),
+        n0 AS (SELECT k, i, leaf AS h, count(*) OVER (PARTITION BY k) AS c FROM w0)"""]
+
+    def level(j: int, n: str, w: str) -> str:
+        return f"""
+        {n}{j + 1} AS (SELECT k, i // 8 AS i, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(c) + 7) // 8 AS c FROM {n}{j} GROUP BY k, i // 8),
+        {n}p{j} AS (SELECT a.k, a.i, any_value(a.c) AS c, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+                  FROM {n}{j} a JOIN {n}{j} b ON a.k = b.k AND a.i // 8 = b.i // 8 GROUP BY a.k, a.i),
+        {w}{j + 1} AS (SELECT x.* REPLACE (CASE WHEN p.c > 1 THEN sha256(p.l || x.f || p.r) ELSE x.f END AS f, x.proof || p.l || p.r AS proof) FROM {w}{j} x JOIN {n}p{j} p ON x.k = p.k AND x.i // {8**j} = p.i)"""
+
+    parts += [level(j, "n", "w") for j in range(levels)]
+    parts.append(f"""
+        m0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY k) - 1 AS i, h, count(*) OVER () AS c, k AS name FROM n{levels}),
+        u0 AS (SELECT 0 AS k, m.i, w.doc_id, w.leaf, m.h AS subroot, w.f, w.proof FROM w{levels} w JOIN m0 m ON w.k = m.name)""")
+    parts += [level(j, "m", "u") for j in range(top_levels)]
+    return f"""
+        WITH {",".join(parts)}
+        SELECT doc_id, leaf, subroot, (SELECT h FROM m{top_levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM m{top_levels}) AS verified FROM u{top_levels}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": merkle_sql(),
     "op3_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
