@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import anchors, chat, curves, exact_dedup, katz, merkle, mixture, packing, qda, simhash, spans, wavelet
+from lectern.llm import anchors, chat, curves, exact_dedup, katz, merkle, mixture, packing, qda, rtree, simhash, spans, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_rows(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_mixture, op5_katz_lm, op6_exact_dedup, op7_simhash, op8_packing, op9_pii, op10_quality, op11_token_output, op12_merkle_manifest)
+    for f in (op1_substring_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_mixture, op5_katz_lm, op6_exact_dedup, op7_simhash, op8_packing, op9_pii, op10_quality, op11_token_output, op12_merkle_manifest, op13_hard_negatives)
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +110,17 @@ def merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op12_merkle_manifest": merkle_sql(),
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        g AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT g.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, p.vec_id AS negative_id, positive_score, p.score AS negative_score
+        FROM g JOIN p ON g.anchor_id = p.anchor_id AND NOT p.same AND 80 * positive_score <= 100 * p.score AND 100 * p.score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY g.anchor_id, positive_id ORDER BY p.score DESC, p.vec_id) QUALIFY row_number() OVER w <= 5""",
     "op3_nearest_neighbours": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
