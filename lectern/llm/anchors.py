@@ -42,6 +42,7 @@ CUES = ("account", "acct", "iban", "ssn", "passport")
 SECRET_CUES = ("password", "passwd", "pwd", "secret", "token", "key")
 KEY_STARTS = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "github_pat_": 22, "xoxb-": 20, "xoxp-": 20}  # letters and digits that follow, at least
 SECRET = ALNUM | frozenset("_-./+")
+KEY = ALNUM | frozenset("_-")
 
 
 @lru_cache(maxsize=1)
@@ -182,20 +183,17 @@ def secret_at(text: str, after: int) -> tuple[int, int] | None:
     return (start, end) if end - start >= 8 and any(c in DIGITS for c in text[start:end]) else None
 
 
-def key_at(text: str, at: int, after: int) -> tuple[int, int] | None:
-    """A key by its well-known start, if it does not go on from a word before it."""
-    end = after
-    while end < len(text) and text[end] in SECRET and text[end] not in "./+":
-        end += 1
-    if (at and text[at - 1] in ALNUM) or end - after < KEY_STARTS[text[at:after]]:
-        return None
-    return at, end
+def run_end(text: str, at: int) -> int:
+    """The end of the letters, digits, hyphens and underscores from a place on."""
+    while at < len(text) and text[at] in KEY:
+        at += 1
+    return at
 
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, each list in order of start."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    email = ip = card = phone = url = account = secret = 0  # where each kind's scan may go on
+    email = ip = card = phone = url = account = secret = run = 0  # where each kind's scan may go on; end of the last run that began with a key
     for last, (what, size) in automaton().iter(text):
         at = last - size + 1
         if what == "digit":
@@ -221,8 +219,14 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 url, ok = url_at(text, at, last + 1)
                 if ok:
                     out["url"].append((at, url))
-        elif what in ("secret", "key"):
-            found = key_at(text, at, last + 1) if what == "key" else secret_at(text, last + 1)
+        elif what == "key":  # a key does not go on from a word before it; starts in one run share its end
+            if at >= secret and (at == 0 or text[at - 1] not in ALNUM):
+                run = run if last < run else run_end(text, last + 1)
+                if run - last - 1 >= KEY_STARTS[text[at : last + 1]]:
+                    out["secret"].append((at, run))
+                    secret = run
+        elif what == "secret":
+            found = secret_at(text, last + 1)
             if found and found[0] >= secret:
                 out["secret"].append(found)
                 secret = found[1]
