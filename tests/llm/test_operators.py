@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from itertools import combinations
@@ -669,3 +670,34 @@ def test_an_id_with_many_vectors_counts_once(spark):
         nearest[i] = min(d, nearest.get(i, d))
     want = [i for i, _ in sorted(nearest.items(), key=lambda x: (x[1], x[0]))[:10]]
     assert [r.vec_id for r in curves.nearest(df, F.col("vec_id") == 0, block=32).orderBy("rank").collect()] == want
+
+
+def test_masks_grow_with_the_rows():
+    differ = float(np.arccos(1.6 / 1.8) / np.pi)
+    for n in (10**4, 10**8, 10**10, 10**12):
+        bits, masks = simhash.masks_for(n, differ, 0.999)
+        assert 1 - (1 - (1 - differ) ** bits) ** masks >= 0.999
+
+
+def test_near_pairs_in_large_groups_are_found(spark):
+    """Only 40 of 128 bits vary, so that most masks put thousands of fingerprints in a group; planted pairs differ by two bits."""
+    rng = np.random.default_rng(4)
+    bits = np.zeros((9000, 128), np.uint8)
+    at = rng.permutation(128)[:40]
+    bits[:, at] = rng.integers(0, 2, (9000, 40))
+    bits[6000:] = bits[:3000]
+    for row in range(6000, 9000):
+        flip = rng.permutation(at)[:2]
+        bits[row, flip] ^= 1
+    prints = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    nodes = spark.createDataFrame([(i, int(h), int(x)) for i, (h, x) in enumerate(prints)], "node long, hi long, lo long")
+    links = {tuple(sorted((r.u, r.v))) for r in simhash.candidate_links(nodes, 9000, 0.1515, 0.999).collect()}
+    assert sum((i, i + 6000) in links for i in range(3000)) >= 0.9 * 3000
+
+
+def test_key_starts_take_bounded_work():
+    for text in ("AKIA" * 262_144, "-AKIA0000" * 100_000, " AKIA" * 200_000, "ghp_" * 250_000, "key=" * 250_000, "a@" * 500_000, "+1" * 500_000):
+        began = time.process_time()
+        spans = anchors.find_spans(text)
+        assert time.process_time() - began < 6
+        assert len(spans["secret"]) == (1 if text[:5] in ("AKIAA", "-AKIA", "ghp_g") else 0)
