@@ -318,7 +318,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = END_I
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["part", "seq", "n_tokens", "doc_ids", "sizes", "file"])
 
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
             part = batch.column(2)[0].as_py()
             texts = pc.cast(batch.column(1), pa.large_binary())
             at = 0
@@ -371,6 +371,7 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
 
 def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
     """token, n: how often each of a few ids occurs in all, by rank in each file."""
+    tokens = list(dict.fromkeys(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file in (b.column(0)[i].as_py() for b in batches for i in range(b.num_rows)):
@@ -382,6 +383,7 @@ def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
 
 def occurrences(shards: DataFrame, tokens: list[int]) -> DataFrame:
     """token, place: every place in the corpus of each of a few (rare) ids, by select in each file."""
+    tokens = list(dict.fromkeys(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
