@@ -11,6 +11,7 @@ from lectern import schemas
 from lectern.functions import columns as C
 from lectern.functions import udfs
 from lectern.operators import graph, library, process, reader, search
+from lectern.operators.index import GramIndex, TextIndex
 from lectern.plans.fixtures import duck, view
 from lectern.sources import tables
 from lectern.sources.scratch import scratch
@@ -499,14 +500,38 @@ def texts(v) -> DataFrame:
     return v("documents").select(F.col("doc_id").alias("document_id"), "text")
 
 
+INDEXES: dict[tuple, TextIndex | GramIndex] = {}
+
+
+def stored(kind: type, spark: SparkSession, sf_dir: str, name: str, rows) -> TextIndex | GramIndex:
+    """The index over ``rows()``, built by the first query of the application that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in INDEXES:
+        INDEXES[key] = kind(spark, scratch(spark, f"index-{name}")).append(rows())
+    return INDEXES[key]
+
+
+@query("index_terms", f"SELECT term, count(*) AS df, max(tf) AS max_tf FROM (SELECT document_id, term, count(*) AS tf FROM (SELECT doc_id AS document_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def _(v, spark, sf_dir):
+    return stored(TextIndex, spark, sf_dir, "terms", lambda: texts(v)).term_stats().select("term", "df", F.col("max_tf").cast("long").alias("max_tf"))
+
+
+@query("index_grams", """
+    WITH t AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
+    g AS (SELECT DISTINCT doc_id, c || lead(c) OVER w || lead(c, 2) OVER w AS gram FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT gram, count(*) AS df FROM g WHERE gram IS NOT NULL GROUP BY 1""")
+def _(v, spark, sf_dir):
+    return stored(GramIndex, spark, sf_dir, "grams", lambda: texts(v)).gram_stats(3)
+
+
 @query("fulltext_search", f"{BM25} SELECT query_id, document_id, score, rank FROM r WHERE rank <= 10")
 def _(v, spark, sf_dir):
-    return search.fulltext_search(texts(v), v("fx_query"))
+    return stored(TextIndex, spark, sf_dir, "terms", lambda: texts(v)).search(v("fx_query"), 10).select("query_id", "document_id", "score", "rank")
 
 
 @query("quote_search", "SELECT q.query_id, d.doc_id AS document_id, CAST(instr(d.text, q.quote) AS INT) AS pos FROM fx_query q JOIN documents d ON contains(d.text, q.quote)")
 def _(v, spark, sf_dir):
-    return search.quote_search(texts(v), v("fx_query"))
+    return stored(GramIndex, spark, sf_dir, "grams", lambda: texts(v)).find(v("fx_query"), texts(v))
 
 
 @query("search_in_document", """
