@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -69,68 +71,71 @@ def end_distances_many(texts: list[str], quotes: list[str]) -> np.ndarray:
     return out
 
 
-def window_starts(text: str, quote: str, ends: list[int], d: int) -> list[int]:
-    """Start of the window at distance ``d`` behind each of ``ends``.
+def hull(text: str, quote: str, edits: int) -> tuple[int, int] | None:
+    """The stretch of ``text`` that holds every window within ``edits`` of ``quote``; none where there is no such window.
 
-    Sellers' edit distance over the stretches that can hold such windows (none is longer than the quote and ``d``).
+    Of ``edits`` + 1 pieces of the quote one at least is left as it is, so a window lies around a place of a piece.
     """
-    q, m = np.array([ord(c) for c in quote]), len(quote)
-    steps, reach = np.arange(m + 1), len(quote) + d
-    starts: list[int] = []
-    wanted, at = set(ends), 0
-    for end in ends:
-        if starts and end < at:
-            continue  # seen in the stretch before
-        last = end
-        while (more := [e for e in range(last + 1, min(last + reach, len(text) - 1) + 1) if e in wanted]):
-            last = more[-1]
-        first = max(0, end + 1 - reach)
-        col, start = steps.copy(), np.full(m + 1, first, np.int64)
-        for j in range(first, last + 1):
-            diag, left = col[:-1] + (q != ord(text[j])), col[1:] + 1
-            new = np.concatenate(([0], np.minimum(diag, left)))
-            begun = np.concatenate(([j + 1], np.where(diag <= left, start[:-1], start[1:])))
-            low = np.minimum.accumulate(new - steps)  # steps down within the column
-            came = np.maximum.accumulate(np.where(new - steps == low, steps, 0))
-            col, start = low + steps, begun[came]
-            if j in wanted:
-                starts.append(int(start[m]))
-        at = last + 1
-    return starts
-
-
-NO_WINDOW = {"pos": None, "similarity": 0.0, "is_unique": False}
-
-
-def window_at(text: str, quote: str, distances: list[int], least: float) -> dict:
-    m, d = len(quote), min(distances)
-    near = 1 - d / m
-    if near < least:
-        return {"pos": None, "similarity": near, "is_unique": False}
-    starts = window_starts(text, quote, [j for j, x in enumerate(distances) if x == d], d)
-    return {"pos": min(starts) + 1, "similarity": near, "is_unique": max(starts) - min(starts) < m}
+    m = len(quote)
+    cuts = [i * m // (edits + 1) for i in range(edits + 2)]
+    if edits >= m:
+        return 0, len(text)
+    low, high = len(text), 0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first = text.find(quote[a:b])
+        if first >= 0:
+            low, high = min(low, first - a - edits), max(high, text.rfind(quote[a:b]) - a + m + edits)
+    return (max(0, low), min(len(text), high)) if high else None
+
+
+def described(distances: np.ndarray | list[int], m: int, start: int) -> dict:
+    """The nearest window by the distances of the reversed stretch, whose ends are the windows' starts."""
+    near = np.asarray(distances)
+    d = int(near.min())
+    at = np.flatnonzero(near == d)
+    return {"pos": start + len(near) - int(at[-1]), "similarity": 1 - d / m, "is_unique": bool(at[-1] - at[0] < m)}
+
+
+def grouped(tried: list[tuple], rows: int = 2048, cells: int = 4 << 20) -> Iterator[list[tuple]]:
+    """Pairs in order of their stretches' lengths, as many at once as a table of ``cells`` has room for."""
+    at = 0
+    while at < len(tried):
+        n = rows
+        while n > 1 and n * len(tried[min(at + n, len(tried)) - 1][2]) > cells:
+            n //= 2
+        yield tried[at : at + n]
+        at += n
+
+
+NO_WINDOW = {"pos": None, "similarity": None, "is_unique": False}
 
 
 def best_window(text: str | None, quote: str | None, least: float = 0.0) -> dict:
-    """1-based start of the window of ``text`` nearest to ``quote``, its similarity, and whether no other window away from it is as near.
+    """1-based start of the first window of ``text`` nearest to ``quote``, its similarity, and whether all windows as near start within a quote's length.
 
-    Where the similarity is below ``least`` no place is given.
+    Where no window has a similarity of ``least`` there is neither place nor similarity; an empty text or quote has similarity 0.
     """
-    return window_at(text, quote, end_distances(text, quote), least) if text and quote else NO_WINDOW
+    return best_windows([text], [quote], [least])[0]
 
 
 def best_windows(texts: list, quotes: list, least: list[float]) -> list[dict]:
-    """``best_window`` of many pairs; distances of those with quotes of up to 63 characters are found together."""
-    out: list = [None] * len(texts)
-    short = sorted((i for i, (t, q) in enumerate(zip(texts, quotes, strict=True)) if t and q and len(q) < 64), key=lambda i: len(texts[i]))
-    for at in range(0, len(short), 2048):
-        some = short[at : at + 2048]
-        for i, row in zip(some, end_distances_many([texts[i] for i in some], [quotes[i] for i in some]), strict=True):
-            n = len(texts[i])
-            d = int(row[:n].min())
-            near = 1 - d / len(quotes[i])
-            out[i] = {"pos": None, "similarity": near, "is_unique": False} if near < least[i] else window_at(texts[i], quotes[i], row[:n].tolist(), least[i])
-    return [w or best_window(t, q, x) for w, t, q, x in zip(out, texts, quotes, least, strict=True)]
+    """``best_window`` of many pairs; only stretches around pieces of the quotes are measured, those with quotes of up to 63 characters together."""
+    out = [dict(NO_WINDOW) for _ in texts]
+    tried = []
+    for i, (t, q, x) in enumerate(zip(texts, quotes, least, strict=True)):
+        if not t or not q:
+            out[i]["similarity"] = 0.0 if x <= 0 else None
+        elif found := hull(t, q, int((1 - x) * len(q) + 1e-9)):
+            tried.append((i, found[0], t[found[0] : found[1]][::-1], q[::-1]))
+    short = sorted((x for x in tried if len(x[3]) < 64), key=lambda x: len(x[2]))
+    groups = [[x] for x in tried if len(x[3]) >= 64] + list(grouped(short))
+    for some in groups:
+        rows = end_distances_many([x[2] for x in some], [x[3] for x in some]) if len(some[0][3]) < 64 else [end_distances(*some[0][2:])]
+        for (i, start, text, quote), row in zip(some, rows, strict=True):
+            got = described(row[: len(text)], len(quote), start)
+            if got["similarity"] >= least[i]:
+                out[i] = got
+    return out
 
 
 @F.pandas_udf(FOUND)

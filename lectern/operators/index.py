@@ -175,9 +175,10 @@ class TextIndex(Stored):
 
 def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
     """Every run of ``n`` (1 to 3) code points as one number; runs of different length differ."""
-    key = np.zeros(max(0, len(codes) - n + 1), np.int64)
+    size = max(0, len(codes) - n + 1)
+    key = np.zeros(size, np.int64)
     for i in range(n):
-        key = key << 21 | (codes[i : len(codes) - n + 1 + i].astype(np.int64) + 1)
+        key = key << 21 | (codes[i : i + size].astype(np.int64) + 1)
     return key
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,6 +80,64 @@ def rect_hits(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.where("w > 0 and h > 0").groupBy("anchor_id", "document_id", "block_index").agg(F.sum(F.col("w") * F.col("h")).cast("long").alias("area"))
 
 
+GRAM, SPAN = 6, 16  # a quote of 21 characters or more has a whole span of such runs
+
+
+def run_keys(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` code points."""
+    n = max(0, len(codes) - size + 1)
+    key = np.zeros(n, np.uint64)
+    for i in range(size):
+        key = (key ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def least_of_spans(codes: np.ndarray) -> np.ndarray:
+    """The smallest key of each span of consecutive runs: what a quote's first span gives, every text around the quote gives too."""
+    key = run_keys(codes, GRAM)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(key, SPAN).min(1)) if len(key) >= SPAN else key[:0]
+
+
+def places_of_quotes(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
+    """anchor_id, document_id, quote, page_index, block_index, text: blocks of an anchor's own document that have its quote.
+
+    A quote is joined by one key, the smallest hash among its first ``SPAN`` runs of characters, to the keys of blocks, some one in eight characters; a quote that is shorter by its first
+    three characters (or fewer) to all such runs, made for the documents alone that have such an anchor. Neither joins a document's anchors to its blocks.
+    """
+    shorter = F.char_length("quote") < GRAM + SPAN - 1
+    asked = anchors.where("quote is not null and quote <> ''").withColumn("short", shorter)
+    sizes = sorted(r["n"] for r in asked.where("short").select(F.least(F.char_length("quote"), F.lit(3)).alias("n")).distinct().collect())
+
+    def keys(of_block: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+                each = []
+                for text, short in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                    if of_block:
+                        all_runs = [np.unique(run_keys(codes, n)) + np.uint64(n) for n in sizes] if short else []
+                        each.append(np.concatenate([least_of_spans(codes), *all_runs]))
+                    elif short:
+                        n = min(3, len(text))
+                        each.append(run_keys(codes[:n], n) + np.uint64(n))
+                    else:
+                        each.append(least_of_spans(codes[: GRAM + SPAN - 1]))
+                row = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+                yield pa.record_batch([*batch.select([0, 1]).take(row).columns, pa.array(np.concatenate(each).view(np.int64))], names=["document_id", "id", "key"])
+
+        return run
+
+    b = blocks.where("text is not null")
+    small = asked.where("short").select("document_id").distinct().withColumn("short", F.lit(True))
+    places = b.select("document_id", F.col("block_index").cast("long").alias("id"), "text").join(small, "document_id", "left").select(F.col("document_id").cast("long"), "id", "text", F.coalesce("short", F.lit(False)).alias("short"))
+    places = places.mapInArrow(keys(True), "document_id long, id long, key long")
+    wanted = asked.select(F.col("document_id").cast("long"), F.col("anchor_id").cast("string").alias("id"), "quote", "short").mapInArrow(keys(False), "document_id long, id string, key long")
+    pairs = wanted.withColumnRenamed("id", "a").join(places, ["document_id", "key"]).select("document_id", "a", F.col("id").cast("int").alias("block_index")).distinct()
+    rows = pairs.join(asked.select("anchor_id", F.col("anchor_id").cast("string").alias("a"), "quote"), "a").join(b.select("document_id", "page_index", "block_index", "text"), ["document_id", "block_index"])
+    return rows.where(F.contains("text", "quote")).select("anchor_id", "document_id", "quote", "page_index", "block_index", "text")
+
+
 def recover_anchors(anchors: DataFrame, blocks: DataFrame, threshold: float | None = 0.8, blocks_per_page: int = 5) -> DataFrame:
     """anchor_id, method, block_index, pos (1-based in the block), moved: every anchor once; the stored anchor is not changed.
 
@@ -87,7 +149,7 @@ def recover_anchors(anchors: DataFrame, blocks: DataFrame, threshold: float | No
     a = anchors.select("anchor_id", "document_id", F.col("page_index").alias("a_page"), "quote", "prefix", "suffix", "rects")
     b = blocks.select("document_id", "page_index", "block_index", "text")
     hits = rect_hits(anchors, blocks).select("anchor_id", "document_id", "block_index")
-    cells = a.join(b, "document_id").where(F.contains("text", "quote"))
+    cells = places_of_quotes(a.select("anchor_id", "document_id", "quote"), blocks).join(a.drop("document_id", "quote"), "anchor_id")
     times = lambda s: F.floor((F.length("text") - F.length(F.replace("text", s))) / F.length(s))
     before, after = F.concat("prefix", "quote"), F.concat("quote", "suffix")
     both = F.concat("prefix", "quote", "suffix")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.columns import cosine, words_of
+from lectern.functions.columns import words_of
+from lectern.operators.index import GramIndex
+from lectern.operators.vectors import usual_length
+from lectern.sources.scratch import scratch
 
 
 def top_k(rows: DataFrame, k: int, score: str = "score", key: str = "query_id", tie: str = "document_id") -> DataFrame:
@@ -47,29 +50,13 @@ def fulltext_search(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1:
     return top_k(got, k) if k else got
 
 
-def quote_search(docs: DataFrame, quotes: DataFrame, seed: int = 6) -> DataFrame:
-    """query_id, document_id, pos: quotes found in documents word for word.
+def quote_search(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """query_id, document_id, pos: quotes of any length found in documents letter for letter, inside words too, by an index of character runs made for the call.
 
-    A hash of up to ``seed`` tokens inside the quote finds candidates by equality; ``contains`` decides. Quotes of one or two tokens
-    have no token inside and are compared with every text.
+    Keep a ``GramIndex`` where more than one search goes to the same documents.
     """
-    tokens = lambda c: F.split(c, r"\s+")
-    key = lambda arr, i, n: F.xxhash64(n, F.array_join(F.slice(arr, i, n), " "))
-    q = quotes.where("quote is not null and quote <> ''").select("query_id", "quote", tokens(F.col("quote")).alias("t"))
-    q = q.withColumn("n", F.least(F.size("t") - 2, F.lit(seed)))
-    lengths = sorted(r["n"] for r in q.where("n > 0").select("n").distinct().collect())  # at most ``seed`` of them
-    wanted = q.where("n > 0").select("query_id", "quote", key(F.col("t"), F.lit(2), F.col("n")).alias("k"))
-    text = docs.select("document_id", "text")
-    d = text.select("document_id", tokens(F.col("text")).alias("t"))
-    at = lambda n: F.when(F.size("t") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: key(F.col("t"), i, F.lit(n)))))
-    rest = q.where("n <= 0").select("query_id", "quote").join(text, F.contains("text", "quote"))
-    cols = ["query_id", "document_id", F.instr("text", F.col("quote")).alias("pos")]
-    if not lengths:
-        return rest.select(*cols)
-    places = d.select("document_id", F.explode(F.flatten(F.filter(F.array(*[at(n) for n in lengths]), lambda x: x.isNotNull()))).alias("k"))
-    pairs = places.join(wanted, "k").select("query_id", "quote", "document_id").distinct()
-    got = pairs.join(text, "document_id").where(F.contains("text", "quote"))
-    return got.select(*cols).union(rest.select(*cols))
+    spark = docs.sparkSession
+    return GramIndex(spark, scratch(spark, "grams")).append(docs).find(quotes, docs)
 
 
 def search_in_document(blocks: DataFrame, document_id: int, needle: str) -> DataFrame:
@@ -88,12 +75,12 @@ TILE = "g long, kind int, ids array<long>, x binary"
 def vector_search(embeddings: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
     """query_id, document_id, score, rank: exact cosine top k of (document_id, embedding) for a stated query set (query_id, embedding); all scores without ``k``.
 
-    Vectors are dealt to groups that a task holds; batches of queries go to every group and stream by, as matrix
+    Null vectors and those of another length than most take no part, nor do queries of another length. Vectors are dealt to groups that a task holds; batches of queries go to every group and stream by, as matrix
     products, and a task keeps its own k best of each query.
     """
     spark = embeddings.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = embeddings.count()
+    n, dim = embeddings.count(), usual_length(embeddings)
     groups = max(-(-n // GROUP_ROWS), min(parts, -(-n // 256)), 1)
 
     def tiles(kind: int, rows: int):
@@ -131,8 +118,8 @@ def vector_search(embeddings: DataFrame, queries: DataFrame, k: int | None = 10)
                     best = tuple(c[order][rank < k] for c in best)
             yield pa.record_batch([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "document_id", "score"])
 
-    rows = embeddings.where("embedding is not null").select(F.col("document_id").cast("long").alias("document_id"), "embedding")
-    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    rows = embeddings.where(F.size("embedding") == dim).select(F.col("document_id").cast("long").alias("document_id"), "embedding")
+    asked = queries.where(F.size("embedding") == dim).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     mine = rows.mapInArrow(tiles(0, 256), TILE).withColumn("g", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(groups)))
     every = asked.mapInArrow(tiles(1, 256), TILE).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     cols = ["g", "kind", "ids", "x"]
@@ -140,41 +127,72 @@ def vector_search(embeddings: DataFrame, queries: DataFrame, k: int | None = 10)
     return top_k(got, k) if k else got
 
 
-def vector_search_lsh(embeddings: DataFrame, queries: DataFrame, k: int = 10, tables: int = 40, bits: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate cosine top k: rows that share one of ``tables`` random sign patterns of ``bits`` bits are compared.
-
-    With 40 patterns of 6 bits two vectors 65 degrees apart share one with a probability of 0.94; tests hold the recall to 0.9.
-    """
-
-    @F.pandas_udf("array<int>")
-    def keys(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_list()).astype(float) if len(v) else np.zeros((0, 1))
-        planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-        signs = (x @ planes > 0).reshape(len(x), tables, bits)
-        return pd.Series(list((signs << np.arange(bits)).sum(2).astype(np.int32)))
-
-    d = embeddings.where("embedding is not null").select("document_id", "embedding", F.posexplode(keys("embedding")).alias("t", "key"))
-    q = queries.where("embedding is not null").select("query_id", F.col("embedding").alias("q"), F.posexplode(keys("embedding")).alias("t", "key"))
-    pairs = d.select("document_id", "t", "key").join(q.select("query_id", "t", "key"), ["t", "key"]).select("query_id", "document_id").distinct()
-    rows = pairs.join(embeddings.select("document_id", "embedding"), "document_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    return top_k(rows.select("query_id", "document_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where("score is not null"), k)
+Lister = Callable[[DataFrame, int], DataFrame]
 
 
-def hybrid_search(text_hits: DataFrame, quote_hits: DataFrame, vector_hits: DataFrame, context: DataFrame, weights: dict[str, float], k: int = 10) -> DataFrame:
-    """query_id, document_id, every part of the score, score, rank.
+def hybrid_search(queries: DataFrame, lists: dict[str, Lister], of_pairs: dict[str, Callable[[DataFrame], DataFrame]], context: Callable[[DataFrame], DataFrame], weights: dict[str, float], k: int = 10, depth: int = 256, grow: int = 4) -> DataFrame:
+    """query_id, document_id, every part of the score, score, rank: the ``k`` best of a weighted sum of parts, by a threshold over their sorted lists.
 
-    Hits are (query_id, document_id, score), all of them, so that every candidate has its true parts; text and vector scores are divided by their query's largest. ``context`` (query_id,
-    document_id, and 0/1 columns named as in ``weights``) gives boosts.
+    ``lists`` gives for some parts the first ``depth`` rows (query_id, document_id, score), best first, of the queries it is handed. The parts in ``of_pairs`` make a document a
+    candidate and are known there for stated pairs (query_id, document_id) too; text and vector scores are divided by their query's largest. All others are 0/1 columns of ``context``.
+    A round takes the lists' first rows, scores all documents in them fully, and closes each query whose ``k``-th score is above what a document in none of them can reach: the weighted
+    sum of the lists' last values (nothing where a list has ended, the whole weight for a part without list). The rest goes on ``grow`` times as deep. No weight is negative.
     """
-    top = lambda df, name: df.select("query_id", "document_id", F.try_divide(F.col("score"), F.max("score").over(W.partitionBy("query_id"))).alias(name))
-    parts = [top(text_hits, "text"), quote_hits.select("query_id", "document_id", F.lit(1.0).alias("quote")), top(vector_hits, "vector")]
-    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    rows = rows.groupBy("query_id", "document_id").agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("text", "quote", "vector")])
-    boosts = [c for c in weights if c not in ("text", "quote", "vector")]
-    rows = rows.join(context, ["query_id", "document_id"], "left").fillna(0.0, boosts)
-    score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
-    shown = [F.round(F.col(c).cast("double"), 6).alias(c) for c in weights]
-    return top_k(rows.withColumn("score", F.round(score, 6)), k).select("query_id", "document_id", *shown, "score", "rank")
+    spark = queries.sparkSession
+
+    def aside(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    scaled = [c for c in of_pairs if c in ("text", "vector")]
+    left, tops = queries.select("query_id").distinct(), []
+    while True:
+        rows = None
+        for name, lister in lists.items():
+            part = lister(left, depth).select("query_id", "document_id", F.lit(name).alias("part"), F.col("score").cast("double").alias("score"))
+            rows = part if rows is None else rows.union(part)
+        rows = aside(rows, "lists")
+        its = lambda name, c: F.when(F.col("part") == name, c)
+        ends = rows.groupBy("query_id").agg(*[f(its(n, c)).alias(f"{n}_{a}") for n in lists for f, c, a in ((F.count, F.col("score"), "n"), (F.min, F.col("score"), "last"), (F.max, F.col("score"), "most"))])
+        ends = aside(ends, "ends")
+        pairs = rows.select("query_id", "document_id").distinct()
+        values = rows.where(F.col("part").isin(*of_pairs))
+        for name, known in of_pairs.items():
+            cut = ends.where(F.col(f"{name}_n") >= depth).select("query_id")
+            missing = pairs.join(cut, "query_id", "left_semi").join(rows.where(F.col("part") == name), ["query_id", "document_id"], "left_anti")
+            values = values.union(known(missing).select("query_id", "document_id", F.lit(name), F.col("score").cast("double")))
+        found = values.groupBy("query_id", "document_id").agg(*[F.max(its(n, F.col("score"))).alias(n) for n in of_pairs])
+        found = found.join(ends, "query_id")
+        for name in scaled:
+            found = found.withColumn(name, F.try_divide(F.col(name), F.col(f"{name}_most")))
+        found = found.select("query_id", "document_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in of_pairs])
+        found = found.join(context(found.select("query_id", "document_id")), ["query_id", "document_id"], "left")
+        parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in weights]
+        score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+        best = aside(top_k(found.select("query_id", "document_id", *parts).withColumn("score", F.round(score, 6)), k), "best")
+
+        def next_of(name: str) -> Column:
+            last = F.col(f"{name}_last")
+            if name in scaled:  # where even the best is not above 0, dividing by it turns the order: to the list's end then
+                last = F.when(F.col(f"{name}_most") > 0, last / F.col(f"{name}_most")).otherwise(1e12)
+            return F.when(F.col(f"{name}_n") < depth, 0.0).otherwise(F.greatest(last, F.lit(0.0)))
+
+        bound = sum((next_of(c) * w if c in lists else F.lit(float(w)) for c, w in weights.items()), F.lit(0.0))
+        ended = [F.col(f"{n}_n") < depth for n in of_pairs]
+        state = ends.withColumn("bound", bound).withColumn("ended", reduce(Column.__and__, ended))
+        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        state = state.join(kth, "query_id", "left")
+        # Scores are rounded to six places, so a bound gives way by as much.
+        still = state.where(~F.col("ended") & (F.col("kth").isNull() | (F.col("bound") + 1e-6 >= F.col("kth")))).select("query_id")
+        still = aside(still, "left")
+        if still.isEmpty():
+            tops.append(best)
+            break
+        tops.append(best.join(still, "query_id", "left_anti"))
+        left, depth = still, depth * grow
+    out = reduce(DataFrame.unionByName, tops)
+    return out.select("query_id", "document_id", *[F.round(c, 6).alias(c) for c in weights], "score", "rank")
 
 
 def filter_commands(items: DataFrame, needle: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern import schemas
@@ -12,6 +13,7 @@ from lectern.functions import columns as C
 from lectern.functions import udfs
 from lectern.operators import graph, library, process, reader, search
 from lectern.operators.index import GramIndex, TextIndex
+from lectern.operators.vectors import VectorIndex
 from lectern.plans.fixtures import duck, view
 from lectern.sources import tables
 from lectern.sources.scratch import scratch
@@ -204,17 +206,12 @@ def _(v, spark, sf_dir):
     return reader.rect_hits(rects(v("fx_anchor")), v("fx_text_block"))
 
 
-@query("recover_anchors")
-def _(v, spark, sf_dir):
-    return reader.recover_anchors(rects(v("fx_anchor")), v("fx_text_block"))
-
-
 def n_of(s: str) -> str:
     return f"CAST((length(b.text) - length(replace(b.text, {s}, ''))) // length({s}) AS BIGINT)"
 
 
-@query("recover_anchors_exact", f"""
-    WITH h AS ({HITS}),
+EXACT = f"""
+    h AS ({HITS}),
     c AS (SELECT a.anchor_id, b.block_index, instr(b.text, a.quote) AS pos, {n_of('a.quote')} AS n,
           {n_of('concat(a.prefix, a.quote)')} + {n_of('concat(a.quote, a.suffix)')} - {n_of('concat(a.prefix, a.quote, a.suffix)')} AS nc,
           CASE WHEN instr(b.text, concat(a.prefix, a.quote)) > 0 THEN instr(b.text, concat(a.prefix, a.quote)) + length(a.prefix) WHEN instr(b.text, concat(a.quote, a.suffix)) > 0 THEN instr(b.text, concat(a.quote, a.suffix)) END AS pos_c,
@@ -222,13 +219,41 @@ def n_of(s: str) -> str:
           FROM fx_anchor a JOIN fx_text_block b ON a.document_id = b.document_id AND contains(b.text, a.quote) LEFT JOIN h ON h.anchor_id = a.anchor_id AND h.block_index = b.block_index),
     g AS (SELECT anchor_id, sum(n) AS n, sum(nc) AS nc, min(block_index) AS ab, arg_min(pos, block_index) AS ap,
           min(block_index) FILTER (WHERE hit) AS gb, arg_min(pos, block_index) FILTER (WHERE hit) AS gp, min(block_index) FILTER (WHERE nc > 0) AS cb, arg_min(pos_c, block_index) FILTER (WHERE nc > 0) AS cp FROM c GROUP BY 1),
-    r AS (SELECT a.anchor_id, a.page_index, CASE WHEN gb IS NOT NULL THEN 'geometry' WHEN n = 1 THEN 'quote' WHEN n > 1 AND nc = 1 THEN 'context' ELSE 'unresolved' END AS method, g.* EXCLUDE (anchor_id) FROM fx_anchor a LEFT JOIN g ON a.anchor_id = g.anchor_id),
-    p AS (SELECT *, CASE method WHEN 'geometry' THEN gb WHEN 'quote' THEN ab WHEN 'context' THEN cb END AS block_index, CASE method WHEN 'geometry' THEN gp WHEN 'quote' THEN ap WHEN 'context' THEN cp END AS pos FROM r)
+    r AS (SELECT a.anchor_id, a.document_id, a.quote, a.page_index, CASE WHEN gb IS NOT NULL THEN 'geometry' WHEN n = 1 THEN 'quote' WHEN n > 1 AND nc = 1 THEN 'context' ELSE 'unresolved' END AS method, g.* EXCLUDE (anchor_id) FROM fx_anchor a LEFT JOIN g ON a.anchor_id = g.anchor_id),
+    p AS (SELECT *, CASE method WHEN 'geometry' THEN gb WHEN 'quote' THEN ab WHEN 'context' THEN cb END AS block_index, CASE method WHEN 'geometry' THEN gp WHEN 'quote' THEN ap WHEN 'context' THEN cp END AS pos FROM r)"""
+#: The edit distance of the quote to the nearest stretch of a text from each of its characters on (both reversed), a column of its table as two numbers with a bit for each character of the quote.
+FUZZY = """
+    fk AS (SELECT anchor_id, block_index, length(text) AS n, length(quote) AS m, string_split(reverse(text), '') AS t, string_split(reverse(quote), '') AS q FROM {pairs} WHERE length(text) > 0),
+    fe AS (SELECT *, map_from_entries(list_transform(list_distinct(q), lambda c: {{'k': c, 'v': list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN q[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT}})) AS eq,
+                 (1::BIGINT << m) - 1 AS whole, 1::BIGINT << (m - 1) AS top FROM fk),
+    fs AS (SELECT anchor_id, block_index, n, m, list_reduce(list_zip(t, range(0, n)), lambda s, c: list_transform([coalesce(eq[c[1]], 0)], lambda x:
+                 list_transform([(xor(((x | s.down) & s.up) + s.up, s.up) | x | s.down) & whole], lambda z: list_transform([{{'z': z, 'more': (s.down | ~(z | s.up)) & whole, 'less': s.up & z}}], lambda w:
+                 list_transform([s.d + ((w.more & top) <> 0)::BIGINT - ((w.less & top) <> 0)::BIGINT], lambda d: {{
+                     'up': ((w.less << 1) | ~(w.z | (w.more << 1))) & whole, 'down': (w.more << 1) & w.z & whole, 'd': d, 'best': least(s.best, d),
+                     'high': CASE WHEN d < s.best THEN c[2] ELSE s.high END, 'low': CASE WHEN d <= s.best THEN c[2] ELSE s.low END}})[1])[1])[1])[1],
+                 {{'up': whole, 'down': 0::BIGINT, 'd': m, 'best': 99999::BIGINT, 'high': 0::BIGINT, 'low': 0::BIGINT}}) AS s FROM fe),
+    f AS (SELECT anchor_id, block_index, CAST(n - s.low AS INT) AS pos, 1 - s.best / m::DOUBLE AS similarity, s.low - s.high < m AS is_unique FROM fs)"""
+
+
+@query("recover_anchors_exact", f"""
+    WITH {EXACT}
     SELECT anchor_id, method, block_index, pos, coalesce(method IN ('quote', 'context') AND CAST(floor(block_index / 5) AS INT) <> page_index, false) AS moved FROM p""")
 def _(v, spark, sf_dir):
     return reader.recover_anchors(rects(v("fx_anchor")), v("fx_text_block"), threshold=None)
 
 
+@query("recover_anchors", f"""
+    WITH {EXACT},
+    fp AS (SELECT p.anchor_id, b.block_index, b.text, p.quote FROM p JOIN fx_text_block b ON p.document_id = b.document_id AND b.page_index BETWEEN p.page_index - 1 AND p.page_index + 1 WHERE p.method = 'unresolved' AND coalesce(p.n, 0) = 0),
+    {FUZZY.format(pairs='fp')},
+    ft AS (SELECT * FROM f WHERE similarity >= 0.8 QUALIFY similarity = max(similarity) OVER (PARTITION BY anchor_id)),
+    fb AS (SELECT anchor_id, min(block_index) AS block_index, min(pos) AS pos FROM ft GROUP BY 1 HAVING count(*) = 1 AND bool_and(is_unique)),
+    z AS (SELECT p.anchor_id, p.page_index, CASE WHEN fb.anchor_id IS NOT NULL THEN 'fuzzy' ELSE p.method END AS method, coalesce(fb.block_index, p.block_index) AS block_index, coalesce(fb.pos, p.pos) AS pos FROM p LEFT JOIN fb ON p.anchor_id = fb.anchor_id)
+    SELECT anchor_id, method, block_index, pos, coalesce(method IN ('quote', 'context', 'fuzzy') AND CAST(floor(block_index / 5) AS INT) <> page_index, false) AS moved FROM z""")
+def _(v, spark, sf_dir):
+    return reader.recover_anchors(rects(v("fx_anchor")), v("fx_text_block"))
+
+
 @query("asof_align", "WITH r AS (SELECT tag, ts, max(value) AS value FROM fx_reading GROUP BY tag, ts) SELECT e.event_id, e.tag, e.ts, r.value FROM fx_shift_event e ASOF LEFT JOIN r ON e.tag = r.tag AND e.ts >= r.ts")
 def _(v, spark, sf_dir):
     return process.asof_align(v("fx_shift_event"), v("fx_reading"))
@@ -500,10 +525,10 @@ def texts(v) -> DataFrame:
     return v("documents").select(F.col("doc_id").alias("document_id"), "text")
 
 
-INDEXES: dict[tuple, TextIndex | GramIndex] = {}
+INDEXES: dict[tuple, TextIndex | GramIndex | VectorIndex] = {}
 
 
-def stored(kind: type, spark: SparkSession, sf_dir: str, name: str, rows) -> TextIndex | GramIndex:
+def stored(kind: Callable, spark: SparkSession, sf_dir: str, name: str, rows) -> TextIndex | GramIndex | VectorIndex:
     """The index over ``rows()``, built by the first query of the application that asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in INDEXES:
@@ -560,9 +585,10 @@ def _(v, spark, sf_dir):
     return search.vector_search(vectors(v), vector_queries(v))
 
 
-@query("vector_search_lsh")
+@query("vector_search_lists")
 def _(v, spark, sf_dir):
-    return search.vector_search_lsh(vectors(v), vector_queries(v))
+    index = stored(lambda spark, path: VectorIndex(spark, path, vectors(v)), spark, sf_dir, "vectors", lambda: vectors(v))
+    return index.search(vector_queries(v), vectors(v))
 
 
 @query("cosine", "SELECT a.vec_id AS query_id, b.vec_id AS document_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -573,7 +599,10 @@ def _(v, spark, sf_dir):
     return pairs.select(F.col("vec_id").alias("query_id"), "document_id", F.round(udfs.cosine_batch("embedding", "other"), 6).alias("similarity"))
 
 
-@query("fuzzy_locate")
+@query("fuzzy_locate", f"""
+    WITH fp AS (SELECT a.anchor_id, b.block_index, b.text, a.quote FROM fx_anchor a JOIN fx_text_block b ON a.document_id = b.document_id AND a.page_index = b.page_index),
+    {FUZZY.format(pairs='fp')}
+    SELECT anchor_id, block_index, pos, similarity, is_unique FROM f UNION ALL SELECT anchor_id, block_index, NULL, 0.0::DOUBLE, false FROM fp WHERE text = ''""")
 def _(v, spark, sf_dir):
     rows = v("fx_anchor").select("anchor_id", "document_id", "page_index", "quote").join(v("fx_text_block").select("document_id", "page_index", "block_index", "text"), ["document_id", "page_index"])
     return rows.select("anchor_id", "block_index", udfs.fuzzy_locate("text", "quote", F.lit(0.0)).alias("f")).select("anchor_id", "block_index", "f.*")
@@ -595,17 +624,47 @@ WEIGHTS = {"text": 0.5, "quote": 0.3, "vector": 0.4, "local": 0.1, "adjacent": 0
     k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INT) AS rank FROM f)
     SELECT query_id, document_id, {', '.join(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in WEIGHTS)}, score, rank FROM k WHERE rank <= 10""")
 def _(v, spark, sf_dir):
-    q, d = v("fx_query"), v("fx_document")
-    text = search.fulltext_search(texts(v), q, k=None)
-    quote = search.quote_search(texts(v), q)
-    vector = search.vector_search(vectors(v), v("embeddings").join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"), k=None)
-    text, quote, vector = (staged(spark, df, f"hits-{n}") for n, df in enumerate((text, quote, vector)))  # each is read twice
-    found = text.select("query_id", "document_id").union(quote.select("query_id", "document_id")).union(vector.select("query_id", "document_id")).distinct()
-    rows = found.join(q.select("query_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("first"), "pool_id"), "query_id").join(d.select("document_id", "title", "doi"), "document_id", "left")
-    rows = rows.join(v("fx_pool").withColumn("pooled", F.lit(True)), ["document_id", "pool_id"], "left")
+    q, d, docs = v("fx_query").where("query_id is not null"), v("fx_document"), texts(v)
+    terms, grams = stored(TextIndex, spark, sf_dir, "terms", lambda: docs), stored(GramIndex, spark, sf_dir, "grams", lambda: docs)
+    titles = d.select("document_id", F.col("title").alias("text"))
+    named = stored(GramIndex, spark, sf_dir, "titles", lambda: titles)
+    first = q.select("query_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("quote"))
+    asked = lambda left: q.join(left, "query_id", "left_semi")
+    vq = v("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    context = rows.select("query_id", "document_id", flag(F.col("title").isNotNull()).alias("local"), flag(F.col("document_id") % 7 == F.col("query_id") % 7).alias("adjacent"), flag(F.contains("title", "first")).alias("exact_term"), flag(F.col("pooled")).alias("in_pool"), flag(F.col("doi").isNotNull()).alias("authority"))
-    return search.hybrid_search(text, quote, vector, context, WEIGHTS)
+
+    def some(rows: DataFrame, depth: int) -> DataFrame:
+        """The first rows of a list whose values are all 1."""
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("document_id"))
+        return rows.withColumn("nth", rank).where(F.col("nth") <= depth).select("query_id", "document_id", F.lit(1.0).alias("score"))
+
+    def exact_term(left: DataFrame, depth: int) -> DataFrame:
+        own = first.join(left, "query_id", "left_semi")
+        every = own.where("quote = ''").crossJoin(d.where("title is not null").select("document_id").orderBy("document_id").limit(depth))
+        return some(named.find(own, titles).select("query_id", "document_id").union(every.select("query_id", "document_id")), depth)
+
+    def vector_pairs(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(vq.withColumnRenamed("embedding", "a"), "query_id").join(vectors(v).withColumnRenamed("embedding", "b"), "document_id")
+        return rows.select("query_id", "document_id", F.round(udfs.cosine_batch("a", "b"), 6).alias("score")).where("score is not null")
+
+    def quote_pairs(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(q.select("query_id", "quote"), "query_id").join(docs, "document_id")
+        return rows.where(F.contains("text", "quote")).select("query_id", "document_id", F.lit(1.0).alias("score"))
+
+    def context(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(first.join(q.select("query_id", "pool_id"), "query_id"), "query_id").join(d.select("document_id", "title", "doi"), "document_id", "left")
+        rows = rows.join(v("fx_pool").withColumn("pooled", F.lit(True)), ["document_id", "pool_id"], "left")
+        return rows.select("query_id", "document_id", flag(F.col("title").isNotNull()).alias("local"), flag(F.col("document_id") % 7 == F.col("query_id") % 7).alias("adjacent"), flag(F.contains("title", "quote")).alias("exact_term"), flag(F.col("pooled")).alias("in_pool"), flag(F.col("doi").isNotNull()).alias("authority"))
+
+    lists = {
+        "text": lambda left, depth: terms.search(asked(left), depth),
+        "quote": lambda left, depth: some(grams.find(asked(left), docs), depth),
+        "vector": lambda left, depth: search.vector_search(vectors(v), vq.join(left, "query_id", "left_semi"), depth),
+        "exact_term": exact_term,
+        "in_pool": lambda left, depth: some(asked(left).select("query_id", "pool_id").join(v("fx_pool"), "pool_id"), depth),
+    }
+    of_pairs = {"text": lambda pairs: terms.scores(q, pairs), "quote": quote_pairs, "vector": vector_pairs}
+    return search.hybrid_search(q, lists, of_pairs, context, WEIGHTS)
 
 
 @query("filter_commands", "SELECT id, label, search_text FROM (SELECT id, label, concat(label, ' ', keyword1, ' ', keyword2) AS search_text FROM fx_item) WHERE contains(lower(search_text), 'brand#1') AND contains(lower(search_text), 'e')")

@@ -246,15 +246,6 @@ def test_rules_terms_and_hubs_have_no_cap(spark):
     assert [(r.related, r.n_shared, r.why, r.n_questions) for r in best] == [("p001", 2, "hub,m0", 1), ("p100", 2, "hub,x", 2), ("p002", 1, "hub", 1), ("p003", 1, "hub", 1)]
 
 
-def test_approximate_vectors_are_found(spark):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("document_id"), "embedding")
-    q = e.where("document_id % 50 = 0").withColumnRenamed("document_id", "query_id")
-    pairs = lambda df: {(r.query_id, r.document_id) for r in df.collect() if r.query_id != r.document_id}
-    exact, near = pairs(search.vector_search(e, q, 11)), pairs(search.vector_search_lsh(e, q, 11))
-    assert len(exact & near) >= 0.9 * len(exact)
-    assert search.vector_search_lsh(e, q.limit(0)).count() == search.vector_search(e, q.limit(0)).count() == 0
-
-
 def test_short_quotes_are_found_by_what_is_inside(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "xalpha beta gammay"), (3, "beta")], "document_id long, text string")
     quotes = spark.createDataFrame([(1, "pha beta gam"), (2, "beta"), (3, "beta gamma"), (4, "")], "query_id long, quote string")
