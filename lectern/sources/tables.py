@@ -49,5 +49,5 @@ def read_result_files(spark: SparkSession, path: str, tags: dict[str, str], proj
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append to a dataset of its own, one folder per key, one file per task and key."""
-    df.repartition(*keys).write.mode("append").partitionBy(*keys).parquet(path)
+    """Append to a dataset of its own, one folder per key. Rows are dealt by key, small keys together, and Spark cuts a key's rows over tasks where they are more than one should write."""
+    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)

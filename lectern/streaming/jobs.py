@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-
-from lectern.operators.process import alarm_transitions
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1000) -> DataFrame:
@@ -53,7 +53,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def run_closed(make: Callable[[DataFrame], DataFrame], rows: DataFrame, base: str) -> DataFrame:
     """The table of ``make(rows)`` for a stream that has ended: windows and sessions still open are closed too.
 
-    A second source is read beside the rows; once they are through, it gets one row of the year 9000, which moves the
+    A second source is read beside the rows; once they are through, it gets one row of the year 2262 (the last that Pandas can hold), which moves the
     watermark past everything (its own window stays open). Windows leave the state as the watermark passes them.
     """
     spark, end = rows.sparkSession, f"{base}/end"
@@ -61,122 +61,127 @@ def run_closed(make: Callable[[DataFrame], DataFrame], rows: DataFrame, base: st
     empty.write.parquet(end)
     stream = make(rows.unionByName(spark.readStream.schema(rows.schema).parquet(end)))
     run_to_table(stream, f"{base}/table", f"{base}/checkpoint")
-    last = spark.range(1).select(*[(F.lit("9000-01-01").cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    last = spark.range(1).select(*[(F.lit("2262-01-01").cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
     last.write.mode("append").parquet(end)
     run_to_table(stream, f"{base}/table", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table")
 
 
-# Tables kept in versions: version n is what batch n wrote, so a batch that runs again writes the same.
-
+NO_ID = -(1 << 63)
+HELD = "last_us long, last_id long, last_state string, us array<long>, ids array<long>, states array<string>"
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions below ``path``, one folder each."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
-    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
-
-
-def forget(spark: SparkSession, path: str, keep_from: int) -> None:
-    """Delete the versions below number ``keep_from``."""
-    jvm = spark.sparkContext._jvm
-    for n in versions(spark, path):
-        if n < keep_from:
-            old = jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
+def stream_alarm_transitions(classified: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """tag, ts, from_state, to_state, event_id: changes of a tag's state; rows may come out of order by ``delay``.
 
-def before(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
-    """The newest version below ``number``; an empty table if there is none."""
-    older = [n for n in versions(spark, path) if n < number]
-    return spark.read.schema(schema).parquet(f"{path}/v={older[-1]}") if older else spark.createDataFrame([], schema)
-
+    The state store holds one row a tag: the last settled reading and those newer than the watermark, which may still get predecessors. An event-time timer of the oldest of them
+    settles it as the watermark passes, with or without new rows of the tag. Readings at or before the last settled one are late and dropped; one without an id comes first at its instant, and one
+    without a state is no change and hides what was before.
+    """
+    rows = classified.select("tag", "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit(NO_ID)).alias("id"), "state").where("ts is not null")
+
+    def settle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = (NO_ID, NO_ID, None), []
+        if state.exists:
+            *last, us, ids, states = state.get
+            held = list(zip(us, ids, states, strict=True))
+        for part in parts:
+            new = zip(part["us"].tolist(), part["id"].tolist(), part["state"].where(part["state"].notna(), None).tolist(), strict=True)
+            held += [r for r in new if r[:2] > tuple(last[:2])]
+        held.sort(key=lambda r: r[:2])
+        past = state.getCurrentWatermarkMs()
+        out, n = [], 0
+        while n < len(held) and held[n][0] < past * 1000:
+            us, number, now = held[n]
+            if last[2] is not None and now is not None and now != last[2]:
+                out.append((key[0], us, last[2], now, number))
+            last, n = (us, number, now), n + 1
+        held = held[n:]
+        state.update((*last, *[list(c) for c in zip(*held, strict=True)]) if held else (*last, [], [], []))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000, past) + 1)
+        yield pd.DataFrame(out, columns=["tag", "us", "from_state", "to_state", "id"])
+
+    found = rows.withWatermark("ts", delay).groupBy("tag").applyInPandasWithState(settle, "tag string, us long, from_state string, to_state string, id long", HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("tag", F.timestamp_micros("us").alias("ts"), "from_state", "to_state", F.nullif("id", F.lit(NO_ID)).alias("event_id"))
 
-def write_version(df: DataFrame, path: str, number: int) -> None:
-    """Write version ``number``; the last two before it stay."""
-    df.write.mode("overwrite").parquet(f"{path}/v={number}")
-    older = [n for n in versions(df.sparkSession, path) if n < number]
-    if len(older) > 2:
-        forget(df.sparkSession, path, older[-2])
 
+def newest_annotations(log: DataFrame) -> DataFrame:
+    """annotation_id, document_id, page_index, tool, ts, event_id: the newest event of each; an erased one goes."""
+    cols = ["document_id", "page_index", "tool", "ts", "event_id"]
+    got = log.groupBy("annotation_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("r")).select("annotation_id", "r.*")
+    return got
 
-STATES = "tag string, ts timestamp, state string, event_id long"
 
+ANNOTATIONS = "annotation_id long, document_id long, page_index int, tool string, ts timestamp, event_id long"
+FAN = 4  # runs of a level that are merged into one of the next
 
-def transition_step(rows: DataFrame, base: str, number: int, delay: str | None) -> None:
-    """Write the changes of state that are settled by batch ``number`` to version ``number`` of ``base``/changes.
 
-    Kept in versions are the last settled row of each tag (one row a tag) and the rows newer than ``delay`` behind the newest, which may still get
-    predecessors. Settled rows are compared by the batch operator, which slices a tag by day, so no tag is one task's.
-    Rows before a tag's last settled one are late and dropped.
-    """
-    spark = rows.sparkSession
-    rows = rows.select("tag", "ts", "state", "event_id")
-    carry, pending = before(spark, f"{base}/carry", number, STATES), before(spark, f"{base}/pending", number, STATES)
-    newest = pending.unionByName(rows).agg(F.max("ts").alias("t")).first()["t"]
-    last = carry.select(F.col("tag").alias("c_tag"), F.struct("ts", "event_id").alias("c_at"))
-    every = pending.unionByName(rows).join(last, F.col("tag").eqNullSafe(F.col("c_tag")), "left").where("c_at is null or struct(ts, event_id) > c_at").drop("c_tag", "c_at")
-    ready = F.lit(True) if delay is None or newest is None else F.col("ts") <= F.lit(newest) - F.expr(f"interval {delay}")
-    settled = carry.unionByName(every.where(ready))
-    changes = alarm_transitions(settled).select("tag", "ts", "from_state", "to_state", "event_id")
-    changes.write.mode("overwrite").parquet(f"{base}/changes/v={number}")
-    write_version(settled.groupBy("tag").agg(F.max_by(F.struct("ts", "state", "event_id"), F.struct("ts", "event_id")).alias("r")).select("tag", "r.*"), f"{base}/carry", number)
-    write_version(every.where(~ready) if delay else every.limit(0), f"{base}/pending", number)
+def folder_numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished folders v=... below ``path``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(int(s.getPath().getParent().getName()[2:]) for s in found)
 
 
-def stream_alarm_transitions(classified: DataFrame, base: str, delay: str = "1 hour") -> StreamingQuery:
-    """Start a query that writes changes of a tag's state below ``base``; rows may come out of order by ``delay``. Give it back."""
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def step(batch: DataFrame, number: int) -> None:
-        transition_step(batch, base, number, delay)
 
-    return classified.select("tag", "ts", "state", "event_id").writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+MANIFEST = "runs array<string>, levels array<int>, gone array<string>, newest timestamp"
 
 
-def transitions(spark: SparkSession, base: str, ended: bool = True) -> DataFrame:
-    """tag, ts, from_state, to_state, event_id found so far; with ``ended`` what is pending is settled first."""
-    if ended:
-        done = versions(spark, f"{base}/changes")
-        transition_step(spark.createDataFrame([], STATES), base, done[-1] + 1 if done else 0, None)
-    return spark.read.parquet(f"{base}/changes").drop("v")
+def manifest_before(spark: SparkSession, path: str, number: int | None) -> Row:
+    """What the table was made of before batch ``number`` (after all batches, if null): runs and their levels, runs that had just been merged away, the newest event's time."""
+    known = [n for n in folder_numbers(spark, f"{path}/manifest") if number is None or n < number]
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest/v={known[-1]}").first() if known else Row(runs=[], levels=[], gone=[], newest=None)
 
 
-def newest_annotations(log: DataFrame) -> DataFrame:
-    """annotation_id, document_id, page_index, tool, ts, event_id: the newest event of each; an erased one goes."""
-    cols = ["document_id", "page_index", "tool", "ts", "event_id"]
-    got = log.groupBy("annotation_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("r")).select("annotation_id", "r.*")
-    return got
+def write_run(rows: DataFrame, path: str, name: str) -> None:
+    """The newest event of each annotation, in ranges of the annotation."""
+    newest_annotations(rows).repartitionByRange("annotation_id").sortWithinPartitions("annotation_id").write.mode("overwrite").parquet(f"{path}/runs/{name}")
 
 
-def stream_annotation_state(log: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", buckets: int = 64) -> StreamingQuery:
-    """Start a query that merges the log into the annotation table below ``path``; give it back.
+def stream_annotation_state(log: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """Start a query that adds the log to the annotation table below ``path``; give it back.
 
-    Repeated events are dropped within the watermark. The table is cut into ``buckets`` by a hash of the annotation; a batch rewrites only those
-    it touches, each from its newest version before the batch, so a batch that runs again gives the same; the last two versions before stay.
-    Tombstones stay in the table, so that a late event cannot bring an annotation back.
+    Repeated events are dropped within the watermark. A batch writes one run, the newest event of each annotation it names, whatever the table's size. As soon as a level has ``FAN`` runs they become
+    one of the next level; the newest event wins, and where nothing lies deeper an erasure goes with what it erased, once it is older than the watermark that holds for all later batches.
+    A manifest per batch, written last, names the runs; a batch that runs again starts from the manifest before it and writes the same. Runs merged away are deleted one batch later.
     """
     fresh = log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        marked = batch.withColumn("bucket", F.pmod(F.xxhash64("annotation_id"), F.lit(buckets)).cast("int"))
-        marked.persist()
-        touched = [r["bucket"] for r in marked.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        for b in touched:
-            old = before(spark, f"{path}/bucket={b}", number, batch.schema)
-            both = newest_annotations(old.unionByName(marked.where(F.col("bucket") == b).drop("bucket")))
-            write_version(both.select(*batch.columns), f"{path}/bucket={b}", number)
-        marked.unpersist()
-
-    return fresh.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def live_annotations(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
-    """The annotations that are not erased, from the newest version of each bucket."""
-    newest = [f"{path}/bucket={b}/v={n[-1]}" for b in range(buckets) if (n := versions(spark, f"{path}/bucket={b}"))]
-    return spark.read.parquet(*newest).where("tool <> 'erase'")
+        old = manifest_before(spark, path, number)
+        read = lambda names: spark.read.schema(ANNOTATIONS).parquet(*[f"{path}/runs/{r}" for r in names])
+        write_run(batch.select(*[f.split()[0] for f in ANNOTATIONS.split(", ")]), path, f"{number}-0")
+        newest = read([f"{number}-0"]).agg(F.greatest(F.max("ts"), F.lit(old["newest"]).cast("timestamp"))).first()[0]
+        runs, gone, level = dict(zip(old["runs"], old["levels"], strict=True)) | {f"{number}-0": 0}, [], 0
+        while len(full := [r for r, at in runs.items() if at == level]) >= FAN:
+            rows = newest_annotations(read(full))
+            if max(runs.values()) == level and old["newest"] is not None:
+                rows = rows.where(~F.col("tool").eqNullSafe("erase") | (F.col("ts") > F.lit(old["newest"]) - F.expr(f"interval {delay}")))
+            level += 1
+            write_run(rows, path, f"{number}-{level}")
+            gone += full
+            runs = {r: at for r, at in runs.items() if r not in full} | {f"{number}-{level}": level}
+        made = spark.createDataFrame([(list(runs), list(runs.values()), gone, newest)], MANIFEST)
+        made.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={number}")
+        for name in old["gone"]:
+            delete(spark, f"{path}/runs/{name}")
+
+    return fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """The annotations that are not erased; none where nothing was written yet."""
+    runs = manifest_before(spark, path, None)["runs"]
+    if not runs:
+        return spark.createDataFrame([], ANNOTATIONS)
+    return newest_annotations(spark.read.schema(ANNOTATIONS).parquet(*[f"{path}/runs/{r}" for r in runs])).where("tool is distinct from 'erase'")
 
 
 class LateRows(StreamingQueryListener):
@@ -207,7 +212,8 @@ class LateRows(StreamingQueryListener):
     def of(self, query: StreamingQuery, wait: float = 60) -> int:
         """Late rows of a query that has ended; its last report comes before its end does."""
         with self.news:
-            self.news.wait_for(lambda: str(query.runId) in self.ended, wait)
+            if not self.news.wait_for(lambda: str(query.runId) in self.ended, wait):
+                raise TimeoutError(f"the query's end was not reported within {wait} seconds, so its late rows are not known")
             return self.dropped.get(str(query.runId), 0)
 
 

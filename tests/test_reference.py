@@ -1,6 +1,7 @@
 """Every registered query against its SQL, golden cases, and properties."""
 
 import os
+from datetime import datetime
 from pathlib import Path
 
 import duckdb
@@ -208,20 +209,94 @@ def test_streams_of_many_batches_equal_the_batch_jobs(spark, sf, tmp_path):
     read = lambda: jobs.read_stream(spark, str(tmp_path), "events", max_files=1)
     state = F.when(F.col("value") >= 200, "alarm").when(F.col("value") >= 100, "warn").otherwise("normal")
     rows = read().select(F.col("event_type").alias("tag"), "ts", state.alias("state"), "event_id")
-    jobs.stream_alarm_transitions(rows, str(tmp_path / "changes")).awaitTermination()
     want = process.alarm_transitions(e.select(F.col("event_type").alias("tag"), "ts", state.alias("state"), "event_id"))
     key = lambda df: sorted((r.tag, r.event_id, r.from_state, r.to_state) for r in df.collect())
-    assert key(jobs.transitions(spark, str(tmp_path / "changes"))) == key(want)
-    assert len(jobs.versions(spark, str(tmp_path / "changes" / "carry"))) <= 3
+    assert key(jobs.run_closed(jobs.stream_alarm_transitions, rows, str(tmp_path / "changes"))) == key(want)
     log = lambda df: df.select((F.col("user_id") * 10 + F.col("event_id") % 7).alias("annotation_id"), F.col("user_id").alias("document_id"), F.lit(1).alias("page_index"), F.when(F.col("event_type") == "error", "erase").otherwise("note").alias("tool"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    jobs.stream_annotation_state(log(read()), str(tmp_path / "notes"), str(tmp_path / "c2"), buckets=5).awaitTermination()
-    got = jobs.live_annotations(spark, str(tmp_path / "notes"), buckets=5)
+    jobs.stream_annotation_state(log(read()), str(tmp_path / "notes"), str(tmp_path / "c2")).awaitTermination()
+    got = jobs.live_annotations(spark, str(tmp_path / "notes"))
     want = jobs.newest_annotations(log(e)).where("tool <> 'erase'")
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     got = jobs.run_closed(lambda r: jobs.stream_tag_windows(r, delay="40 minutes"), read().select(F.col("event_type").alias("tag"), "ts", "value", F.lit("u").alias("unit")), str(tmp_path / "windows"))
     assert got.agg(F.sum("n")).first()[0] == e.count()
 
 
+READINGS = "tag string, ts timestamp, state string, event_id long"
+
+
+def test_a_tag_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Runs of one query, each over what has come since: late rows within the delay are set in order, later ones dropped, a quiet tag is settled by the others' time."""
+    at = lambda h, m=0: datetime(2024, 5, 1, h, m)
+    files = [
+        [("a", at(1), "normal", 1), ("a", at(3), "alarm", 3), ("b", at(1), "warn", 4), (None, at(1), "warn", 20)],
+        [("a", at(2, 30), "warn", 2), ("a", at(9), "normal", 5), ("c", at(9), None, 6)],
+        [("a", at(2), "normal", 7), ("b", at(12), "alarm", None), (None, at(12), "alarm", 21), ("a", at(12), "normal", 9)],
+        [("b", at(12), "warn", 8), ("c", at(20), "warn", 10), ("c", at(20, 30), None, 11), ("c", at(21), "alarm", 12)],
+    ]
+    folder, base = str(tmp_path / "in"), tmp_path / "out"
+    spark.createDataFrame([], READINGS).write.parquet(folder)
+    make = lambda: jobs.stream_alarm_transitions(spark.readStream.schema(READINGS).parquet(folder))
+    for rows in [*files, [("z", at(23), "x", 99)], [("z", at(23, 59), "x", 100)]]:
+        spark.createDataFrame(rows, READINGS).coalesce(1).write.mode("append").parquet(folder)
+        jobs.run_to_table(make(), f"{base}/table", f"{base}/checkpoint")
+    got = sorted((str(r.tag), r.ts.hour, r.from_state, r.to_state, r.event_id) for r in spark.read.parquet(f"{base}/table").collect())
+    assert got == [("None", 12, "warn", "alarm", 21), ("a", 2, "normal", "warn", 2), ("a", 3, "warn", "alarm", 3), ("a", 9, "alarm", "normal", 5), ("b", 12, "alarm", "warn", 8), ("b", 12, "warn", "alarm", None)]
+
+
+def test_runs_of_annotations_are_merged(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "notes")
+    spark.createDataFrame([], jobs.ANNOTATIONS).write.parquet(folder)
+    stream = lambda: jobs.stream_annotation_state(spark.readStream.schema(jobs.ANNOTATIONS).parquet(folder), path, str(tmp_path / "c"))
+    stream().awaitTermination()
+    assert jobs.live_annotations(spark, path).count() == 0
+    sent = []
+    for n in range(18):
+        rows = [(i, 1, 0, "erase" if (i + n) % 4 == 0 else f"t{n}", datetime(2024, 5, 1, n % 24, i), 100 * n + i) for i in range(n % 3, 12, 2)]
+        rows += [rows[0], (50 + n, 1, 0, "erase", datetime(2024, 5, 1, n % 24, 1), 5000 + n)]
+        sent += rows
+        spark.createDataFrame(rows, jobs.ANNOTATIONS).coalesce(1).write.mode("append").parquet(folder)
+        stream().awaitTermination()
+    newest = {}
+    for r in sorted(set(sent), key=lambda r: (r[4], r[5])):
+        newest[r[0]] = r
+    want = sorted(r for r in newest.values() if r[3] != "erase")
+    live = lambda: sorted(map(tuple, jobs.live_annotations(spark, path).select("annotation_id", "document_id", "page_index", "tool", "ts", "event_id").collect()))
+    assert live() == want
+    last = jobs.manifest_before(spark, path, None)
+    assert max(last["levels"]) >= 2 and len(last["runs"]) <= 9
+    kept = {p.name for p in (tmp_path / "notes/runs").iterdir()}
+    assert len(kept) <= 14 and set(last["runs"]) <= kept
+    deep = [r for r, at in zip(last["runs"], last["levels"], strict=True) if at == max(last["levels"])]
+    assert spark.read.parquet(*[f"{path}/runs/{r}" for r in deep]).where("annotation_id = 50").count() == 0  # its erasure has gone with it
+    number = jobs.folder_numbers(spark, f"{path}/manifest")[-1]
+    jobs.delete(spark, f"{path}/manifest/v={number}")
+    jobs.delete(spark, f"{tmp_path}/c/commits/{number}")
+    stream().awaitTermination()  # the last batch runs again
+    assert live() == want
+
+
+def test_streams_of_empty_tables(spark, tmp_path):
+    schema = schemas.TABLES["events"]
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "events.parquet"))
+    e = jobs.read_stream(spark, str(tmp_path), "events")
+    rows = e.select(F.col("event_type").alias("tag"), "ts", "value", F.lit("u").alias("unit"), F.lit("normal").alias("state"), "event_id")
+    for n, make in enumerate((jobs.stream_tag_windows, jobs.stream_tag_trend, jobs.stream_alarm_transitions)):
+        assert jobs.run_closed(make, rows, str(tmp_path / f"run{n}")).count() == 0
+    assert jobs.run_closed(jobs.stream_reading_sessions, e.select("user_id", "ts"), str(tmp_path / "sessions")).count() == 0
+    log = e.select(F.col("event_id").alias("annotation_id"), F.col("user_id").alias("document_id"), F.lit(1).alias("page_index"), F.col("event_type").alias("tool"), "ts", "event_id")
+    jobs.stream_annotation_state(log, str(tmp_path / "notes"), str(tmp_path / "c")).awaitTermination()
+    assert jobs.live_annotations(spark, str(tmp_path / "notes")).count() == 0
+    assert jobs.late_rows(spark, lambda: jobs.run_to_table(jobs.stream_tag_windows(rows), str(tmp_path / "t"), str(tmp_path / "c2"))) == 0
+
+
+def test_a_key_with_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    df = spark.range(60_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(0).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    tables.write_partitioned(df, str(tmp_path / "w"), ["k"])
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "w/k=0").glob("*.parquet"))) > 3 and spark.read.parquet(str(tmp_path / "w")).count() == 60_000
+
+
 def test_rules_terms_and_hubs_have_no_cap(spark):
     log = spark.createDataFrame([(f"s{i}", "t", s, n, n) for i in range(1500) for n, s in enumerate((f"a{i}", f"b{i}"))], "source string, target string, status string, ts int, seq int")
     allowed = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(1499)], "from_status string, to_status string")
