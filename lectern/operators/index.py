@@ -57,10 +57,8 @@ class Stored:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={self.segments}")
 
     def write_buckets(self, rows: DataFrame, name: str, key: str) -> None:
-        """Rows by bucket and key; a range of both is a task, so no bucket is one task's."""
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = rows.withColumn("bucket", bucket_of(F.col(key)))
-        placed = placed.repartitionByRange(parts, "bucket", key, "chunk").sortWithinPartitions("bucket", key, "chunk")
+        """Rows by bucket and key; Spark cuts a bucket over tasks where it is more than one should write."""
+        placed = rows.withColumn("bucket", bucket_of(F.col(key))).hint("rebalance", "bucket").sortWithinPartitions("bucket", key, "chunk")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/segment={self.segments}")
 
     def numbered(self, docs: DataFrame) -> DataFrame:
@@ -75,16 +73,16 @@ class Stored:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def of_keys(self, name: str, key: str, wanted: DataFrame) -> DataFrame:
-        """Rows of a bucketed table whose key is in ``wanted`` (one column, distinct)."""
-        rows = self.read(name)
+    def of_keys(self, names: tuple[str, ...], key: str, wanted: DataFrame) -> list[DataFrame]:
+        """Rows of bucketed tables whose key is in ``wanted`` (one column, distinct)."""
         some = [r[0] for r in wanted.limit(MAX_KEYS + 1).collect()]
         if len(some) > MAX_KEYS:
-            return rows.join(wanted.withColumn("bucket", bucket_of(F.col(key))), ["bucket", key], "left_semi")
-        if not some:
-            return rows.where("false")
-        kept = self.spark.createDataFrame([(k,) for k in some], wanted.schema).select(bucket_of(F.col(key)).alias("b")).distinct()
-        return rows.where(F.col("bucket").isin([r["b"] for r in kept.collect()]) & F.col(key).isin(some))
+            return [self.read(n).join(wanted.withColumn("bucket", bucket_of(F.col(key))), ["bucket", key], "left_semi") for n in names]
+        own = F.col(key).isin(some) if some else F.lit(False)
+        if 0 < len(some) < BUCKETS:  # more keys are in nearly all buckets
+            kept = self.spark.createDataFrame([(k,) for k in some], wanted.schema).select(bucket_of(F.col(key)).alias("b")).distinct()
+            own &= F.col("bucket").isin([r["b"] for r in kept.collect()])
+        return [self.read(n).where(own) for n in names]
 
 
 def chunk_of(doc_no: Column) -> Column:
@@ -99,6 +97,7 @@ class TextIndex(Stored):
 
     SCHEMAS = {
         "docs": "document_id long, doc_no long, len int",
+        "terms": "term string, df long, bucket int",
         "postings": "term string, chunk long, docs array<long>, tfs array<int>, lens array<int>, n int, max_tf int, min_len int, bucket int",
     }
 
@@ -110,31 +109,48 @@ class TextIndex(Stored):
         blocks = terms.groupBy("term", chunk_of(F.col("doc_no")).alias("chunk")).agg(one.alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
         blocks = blocks.select("term", "chunk", F.col("p.doc_no").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), F.size("p").alias("n"), "max_tf", "min_len")
         self.write_buckets(blocks, "postings", "term")
+        self.write(self.table("postings").where(F.col("segment") == self.segments).groupBy("term", "bucket").agg(F.sum("n").alias("df")).select("term", "df", "bucket"), "terms")
         self.write(words.select("document_id", "doc_no", F.size("w").alias("len")), "docs")
         self.segments += 1
         return self
 
+    def size(self) -> tuple[int, float]:
+        """Documents and their mean length, known until the next append."""
+        if self.known[0] != self.segments:
+            row = self.read("docs").agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
+            self.known = (self.segments, row["n"], float(row["a"] or 1.0))
+        return self.known[1:]
+
+    known: tuple = (-1, 0, 1.0)
+
     def term_stats(self) -> DataFrame:
         """term, df, blocks, max_tf over the whole index."""
         return self.read("postings").groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks"), F.max("max_tf").alias("max_tf"))
 
-    def blocks(self, queries: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
-        """Blocks of the terms of ``queries`` with ``idf`` and ``top``, the most that a document of the block can get of the term, and the queries' terms."""
+    def chunks(self, queries: DataFrame, k1: float, b: float, pairs: DataFrame | None = None) -> DataFrame:
+        """query_id, chunk, bound (the most that a document of the chunk can get), parts (idf, docs, tfs, lens of each of the query's terms) and a, the mean length;
+        with ``pairs`` (query_id, chunk, wanted) of these chunks alone, and of the documents in ``wanted``. The queries' blocks are read once."""
         asked = queries.select("query_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-        rows = self.of_keys("postings", "term", asked.select("term").distinct())
-        size = self.read("docs").agg(F.count("*").alias("n"), F.avg("len").alias("a")).first()
-        df = rows.groupBy("term").agg(F.sum("n").alias("df"))
-        idf = F.log(1 + (F.lit(size["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        rows = rows.join(df.select("term", idf.alias("idf")), "term").withColumn("a", F.lit(float(size["a"] or 1.0)))
-        top = F.col("idf") * F.col("max_tf") * (k1 + 1) / (F.col("max_tf") + k1 * (1 - b + b * F.col("min_len") / F.col("a")))
-        return rows.withColumn("top", top), asked
-
-    def scored(self, wanted: DataFrame, k1: float, b: float) -> DataFrame:
-        """query_id, document_id, score of all documents in blocks of (query_id, and a block's columns), perhaps restricted to ``doc_no``."""
-        one = F.explode(F.arrays_zip("docs", "tfs", "lens"))
-        rows = wanted.select("query_id", "idf", "a", one.alias("p"))
-        part = F.col("idf") * F.col("p.tfs") * (k1 + 1) / (F.col("p.tfs") + k1 * (1 - b + b * F.col("p.lens") / F.col("a")))
-        return rows.groupBy("query_id", F.col("p.docs").alias("doc_no")).agg(F.sum(part).alias("exact"))
+        terms = asked.select("term").distinct()
+        n, mean = self.size()
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        df, rows = self.of_keys(("terms", "postings"), "term", terms)
+        df = df.groupBy("term").agg(F.sum("df").alias("df"))
+        rows = rows.join(asked.join(df.select("term", idf.alias("idf")), "term"), "term")
+        if pairs is not None:
+            kept = F.filter(F.arrays_zip("docs", "tfs", "lens"), lambda p: F.array_contains(F.col("wanted"), p["docs"]))
+            rows = rows.join(pairs, ["query_id", "chunk"]).withColumn("p", kept).withColumns({c: F.col(f"p.{c}") for c in ("docs", "tfs", "lens")})
+        top = F.col("idf") * F.col("max_tf") * (k1 + 1) / (F.col("max_tf") + k1 * (1 - b + b * F.col("min_len") / mean))
+        one = F.collect_list(F.struct("idf", "docs", "tfs", "lens"))  # of one chunk, a query's terms
+        return rows.groupBy("query_id", "chunk").agg(F.sum(top).alias("bound"), one.alias("parts")).withColumn("a", F.lit(mean))
+
+    def scored(self, chunks: DataFrame, k1: float, b: float) -> DataFrame:
+        """query_id, doc_no, exact: the scores of all documents of the chunks."""
+        rows = chunks.select("query_id", "a", F.explode("parts").alias("t"))
+        rows = rows.select("query_id", "a", "t.idf", F.explode(F.arrays_zip("t.docs", "t.tfs", "t.lens")).alias("p"))
+        rows = rows.select("query_id", "a", "idf", F.col("p.docs").alias("doc_no"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len"))
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("a")))
+        return rows.groupBy("query_id", "doc_no").agg(F.sum(part).alias("exact"))
 
     def named(self, scores: DataFrame) -> DataFrame:
         ids = scores.join(self.read("docs").select("document_id", "doc_no"), "doc_no")
@@ -144,33 +160,26 @@ class TextIndex(Stored):
         """query_id, document_id, score, rank: the ``k`` best by BM25 of (query_id, text).
 
         Of each query the chunks with the highest bounds (sums of block maxima) are scored first, ``seeds`` of them and what ``k`` documents need; their ``k``-th score is a floor, and of the other
-        chunks only those whose bound reaches it are read. Scores are rounded after the choice, so bounds give way by as much.
+        chunks only those whose bound reaches it are scored. Scores are rounded after the choice, so bounds give way by as much.
         """
-        blocks, asked = self.blocks(queries, k1, b)
-        bounds = blocks.select("term", "chunk", "top").join(asked, "term").groupBy("query_id", "chunk").agg(F.sum("top").alias("bound"))
-        order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "chunk"))
         n = max(seeds, 2 * -(-k // CHUNK))
-        ranked = bounds.withColumn("nth", order)
-        # A bound's rank decides once; the table of bounds has a row per chunk, not per document.
-        first = ranked.where(F.col("nth") <= n).select("query_id", "chunk")
-        got = self.scored(blocks.join(asked, "term").join(first, ["query_id", "chunk"]), k1, b)
-        floor = got.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("exact"), "doc_no"))).where(F.col("nth") == k).select("query_id", F.col("exact").alias("floor"))
-        rest = bounds.join(first, ["query_id", "chunk"], "left_anti").join(floor, "query_id", "left")
-        rest = rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6)).select("query_id", "chunk")
-        more = self.scored(blocks.join(asked, "term").join(rest, ["query_id", "chunk"]), k1, b)
-        every = self.named(got.union(more))
+        order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "chunk"))  # over chunks, not documents
+        chunks = self.put_aside(self.chunks(queries, k1, b).withColumn("nth", order))
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("exact"), "doc_no"))
+        first = self.put_aside(self.scored(chunks.where(F.col("nth") <= n), k1, b))
+        floor = first.withColumn("place", nth).where(F.col("place") == k).select("query_id", F.col("exact").alias("floor"))
+        rest = chunks.where(F.col("nth") > n).join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-6))
+        # What is below the floor by more than the rounding cannot come in.
+        found = first.unionByName(self.scored(rest, k1, b)).join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("exact") >= F.col("floor") - 1e-6)).drop("floor")
+        every = self.named(found)
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "document_id"))
         return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
     def scores(self, queries: DataFrame, pairs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """query_id, document_id, score of stated pairs; none for a pair without a common term."""
-        blocks, asked = self.blocks(queries, k1, b)
         at = pairs.select("query_id", "document_id").join(self.read("docs").select("document_id", "doc_no"), "document_id").select("query_id", "doc_no", chunk_of(F.col("doc_no")).alias("chunk"))
-        chunks = at.groupBy("query_id", "chunk").agg(F.collect_set("doc_no").alias("wanted"))  # of one chunk
-        wanted = blocks.join(asked, "term").join(chunks, ["query_id", "chunk"])
-        kept = F.filter(F.arrays_zip("docs", "tfs", "lens"), lambda p: F.array_contains(F.col("wanted"), p["docs"]))
-        wanted = wanted.withColumn("p", kept).withColumns({c: F.col(f"p.{c}") for c in ("docs", "tfs", "lens")})
-        return self.named(self.scored(wanted, k1, b))
+        wanted = at.groupBy("query_id", "chunk").agg(F.collect_set("doc_no").alias("wanted"))  # of one chunk
+        return self.named(self.scored(self.chunks(queries, k1, b, wanted), k1, b))
 
 
 def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
@@ -260,7 +269,7 @@ class GramIndex(Stored):
         nth = F.row_number().over(W.partitionBy("query_id", "quote").orderBy("df", "gram"))
         rare = keyed.join(df, "gram", "left").withColumn("nth", nth).where(F.col("nth") <= self.RAREST)
         rare = rare.withColumn("n", F.count("*").over(W.partitionBy("query_id", "quote")))
-        rows = self.of_keys("grams", "gram", rare.select("gram").distinct())
+        (rows,) = self.of_keys(("grams",), "gram", rare.select("gram").distinct())
         both = rare.join(rows.select("gram", "chunk", "bits"), "gram").groupBy("query_id", "quote", "chunk", "n").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("have"))
         both = both.where("have = n and bits <> 0")
         bit = F.explode(F.sequence(F.lit(0), F.lit(CHUNK - 1)))

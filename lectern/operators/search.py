@@ -130,7 +130,7 @@ def vector_search(embeddings: DataFrame, queries: DataFrame, k: int | None = 10)
 Lister = Callable[[DataFrame, int], DataFrame]
 
 
-def hybrid_search(queries: DataFrame, lists: dict[str, Lister], of_pairs: dict[str, Callable[[DataFrame], DataFrame]], context: Callable[[DataFrame], DataFrame], weights: dict[str, float], k: int = 10, depth: int = 256, grow: int = 4) -> DataFrame:
+def hybrid_search(queries: DataFrame, lists: dict[str, Lister], of_pairs: dict[str, Callable[[DataFrame], DataFrame]], context: Callable[[DataFrame], DataFrame], weights: dict[str, float], k: int = 10, depth: int = 256, grow: int = 8) -> DataFrame:
     """query_id, document_id, every part of the score, score, rank: the ``k`` best of a weighted sum of parts, by a threshold over their sorted lists.
 
     ``lists`` gives for some parts the first ``depth`` rows (query_id, document_id, score), best first, of the queries it is handed. The parts in ``of_pairs`` make a document a
@@ -146,12 +146,16 @@ def hybrid_search(queries: DataFrame, lists: dict[str, Lister], of_pairs: dict[s
         return spark.read.schema(df.schema).parquet(path)
 
     scaled = [c for c in of_pairs if c in ("text", "vector")]
-    left, tops = queries.select("query_id").distinct(), []
+    left, tops, before = queries.select("query_id").distinct(), [], None
+    open_lists = list(lists)
     while True:
         rows = None
-        for name, lister in lists.items():
-            part = lister(left, depth).select("query_id", "document_id", F.lit(name).alias("part"), F.col("score").cast("double").alias("score"))
+        for name in open_lists:
+            part = lists[name](left, depth).select("query_id", "document_id", F.lit(name).alias("part"), F.col("score").cast("double").alias("score"))
             rows = part if rows is None else rows.union(part)
+        if before is not None:  # lists that have ended for every query left are as they were
+            ended = before.where(~F.col("part").isin(open_lists)).join(left, "query_id", "left_semi")
+            rows = ended if rows is None else rows.union(ended)
         rows = aside(rows, "lists")
         its = lambda name, c: F.when(F.col("part") == name, c)
         ends = rows.groupBy("query_id").agg(*[f(its(n, c)).alias(f"{n}_{a}") for n in lists for f, c, a in ((F.count, F.col("score"), "n"), (F.min, F.col("score"), "last"), (F.max, F.col("score"), "most"))])
@@ -190,7 +194,9 @@ def hybrid_search(queries: DataFrame, lists: dict[str, Lister], of_pairs: dict[s
             tops.append(best)
             break
         tops.append(best.join(still, "query_id", "left_anti"))
-        left, depth = still, depth * grow
+        more = state.join(still, "query_id", "left_semi").agg(*[F.max((F.col(f"{n}_n") >= depth).cast("int")).alias(n) for n in lists]).first()
+        open_lists = [n for n in lists if more[n]]
+        left, depth, before = still, depth * grow, rows
     out = reduce(DataFrame.unionByName, tops)
     return out.select("query_id", "document_id", *[F.round(c, 6).alias(c) for c in weights], "score", "rank")
 

@@ -626,8 +626,6 @@ WEIGHTS = {"text": 0.5, "quote": 0.3, "vector": 0.4, "local": 0.1, "adjacent": 0
 def _(v, spark, sf_dir):
     q, d, docs = v("fx_query").where("query_id is not null"), v("fx_document"), texts(v)
     terms, grams = stored(TextIndex, spark, sf_dir, "terms", lambda: docs), stored(GramIndex, spark, sf_dir, "grams", lambda: docs)
-    titles = d.select("document_id", F.col("title").alias("text"))
-    named = stored(GramIndex, spark, sf_dir, "titles", lambda: titles)
     first = q.select("query_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("quote"))
     asked = lambda left: q.join(left, "query_id", "left_semi")
     vq = v("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -638,11 +636,6 @@ def _(v, spark, sf_dir):
         rank = F.row_number().over(W.partitionBy("query_id").orderBy("document_id"))
         return rows.withColumn("nth", rank).where(F.col("nth") <= depth).select("query_id", "document_id", F.lit(1.0).alias("score"))
 
-    def exact_term(left: DataFrame, depth: int) -> DataFrame:
-        own = first.join(left, "query_id", "left_semi")
-        every = own.where("quote = ''").crossJoin(d.where("title is not null").select("document_id").orderBy("document_id").limit(depth))
-        return some(named.find(own, titles).select("query_id", "document_id").union(every.select("query_id", "document_id")), depth)
-
     def vector_pairs(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(vq.withColumnRenamed("embedding", "a"), "query_id").join(vectors(v).withColumnRenamed("embedding", "b"), "document_id")
         return rows.select("query_id", "document_id", F.round(udfs.cosine_batch("a", "b"), 6).alias("score")).where("score is not null")
@@ -660,11 +653,10 @@ def _(v, spark, sf_dir):
         "text": lambda left, depth: terms.search(asked(left), depth),
         "quote": lambda left, depth: some(grams.find(asked(left), docs), depth),
         "vector": lambda left, depth: search.vector_search(vectors(v), vq.join(left, "query_id", "left_semi"), depth),
-        "exact_term": exact_term,
         "in_pool": lambda left, depth: some(asked(left).select("query_id", "pool_id").join(v("fx_pool"), "pool_id"), depth),
     }
     of_pairs = {"text": lambda pairs: terms.scores(q, pairs), "quote": quote_pairs, "vector": vector_pairs}
-    return search.hybrid_search(q, lists, of_pairs, context, WEIGHTS)
+    return search.hybrid_search(q, lists, of_pairs, context, WEIGHTS, depth=1024)
 
 
 @query("filter_commands", "SELECT id, label, search_text FROM (SELECT id, label, concat(label, ' ', keyword1, ' ', keyword2) AS search_text FROM fx_item) WHERE contains(lower(search_text), 'brand#1') AND contains(lower(search_text), 'e')")

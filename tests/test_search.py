@@ -70,10 +70,12 @@ def test_bounds_leave_chunks_unread(spark, tmp_path):
     rows = [(i, "common word") for i in range(3000)] + [(5000 + i, "common rare " * (1 + i)) for i in range(20)]
     at = TextIndex(spark, f"file://{tmp_path}/t").append(frame(spark, rows).coalesce(1))
     queries = spark.createDataFrame([(1, "common rare")], "query_id long, text string")
-    blocks, asked = at.blocks(queries, 1.2, 0.75)
-    assert blocks.select("chunk").distinct().count() > 40
+    assert at.chunks(queries, 1.2, 0.75).count() > 40
+    scored, asked = at.scored, []
+    at.scored = lambda rows, *a: asked.append(rows.count()) or scored(rows, *a)
     got = [r.document_id for r in at.search(queries, 10).orderBy("rank").collect()]
-    assert len(got) == 10 and min(got) >= 5000
+    assert len(got) == 10 and min(got) >= 5000 and sum(asked) < 12
+    at.scored = scored
     plan = at.search(queries, 10)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
 
