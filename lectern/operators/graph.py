@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.columns import is_valid
 from lectern.schemas import EDGE_CLASSES
+from lectern.sources.scratch import put_aside
 
 
 def edges_with_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,13 +44,26 @@ def trace_provenance(evidence: DataFrame, anchors: DataFrame, documents: DataFra
     return rows.select("evidence_id", "document_id", "anchor_id", "page_index", "quote", "title", status.alias("status"))
 
 
+def pair_facts(edges: DataFrame, evidence: DataFrame | None = None, since: str | None = None) -> DataFrame:
+    """source, target and what the signals ask of a pair, from one grouping of edges and evidence together: is_edge, is_contradicted, is_opposed (rejected edges ignored), n_evidence, confidence, n_new, is_first."""
+    live = F.coalesce(F.col("status") != "rejected", F.lit(True)) if "status" in edges.columns else F.lit(True)
+    rows = edges.select("source", "target", F.lit(True).alias("edge"), F.when(live, F.col("kind")).alias("kind"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    if evidence is not None:
+        rows = rows.unionAll(evidence.select("source", "target", F.lit(False), F.lit(None).cast("string"), F.col("confidence").cast("double"), F.col("created_at").cast("timestamp_ntz")))
+    has = lambda k: F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False))
+    after = F.lit(since).cast("timestamp_ntz")
+    got = rows.groupBy("source", "target").agg(F.bool_or("edge").alias("is_edge"), has("contradicts").alias("is_contradicted"), (has("increases") & has("decreases")).alias("is_opposed"), F.count_if(~F.col("edge")).alias("n_evidence"), F.avg("confidence").alias("confidence"), F.count_if(F.col("created_at") > after).alias("n_new"), (F.min("created_at") > after).alias("is_first"))
+    return got
+
+
+def contradictions_of(facts: DataFrame) -> DataFrame:
+    reason = F.explode(F.filter(F.array(F.when(F.col("is_contradicted"), F.lit("contradicts")), F.when(F.col("is_opposed"), F.lit("opposite_effects"))), lambda x: x.isNotNull()))
+    return facts.where("is_contradicted or is_opposed").select("source", "target", reason.alias("reason"))
+
+
 def contradictions(edges: DataFrame) -> DataFrame:
     """source, target, reason: edges of class contradicts, and pairs that both increase and decrease; rejected edges are ignored."""
-    live = edges.where(F.coalesce(F.col("status") != "rejected", F.lit(True))) if "status" in edges.columns else edges
-    has = lambda k: F.max(F.when(F.col("kind") == k, 1).otherwise(0))
-    pairs = live.groupBy("source", "target").agg(has("contradicts").alias("c"), (has("increases") * has("decreases")).alias("o"))
-    reason = F.explode(F.filter(F.array(F.when(F.col("c") == 1, F.lit("contradicts")), F.when(F.col("o") == 1, F.lit("opposite_effects"))), lambda x: x.isNotNull()))
-    return pairs.select("source", "target", reason.alias("reason"))
+    return contradictions_of(pair_facts(edges))
 
 
 def new_evidence(evidence: DataFrame, since: str) -> DataFrame:
@@ -91,32 +105,36 @@ def sharing_pairs(left: DataFrame, right: DataFrame, ordered: bool, min_shared:
 
 def method_overlaps(edges: DataFrame, min_shared: int = 2) -> DataFrame:
     """paper_a, paper_b, shared, jaccard: pairs of papers that share methods, whatever the number of papers of a method."""
-    sets = rare_first(edges)
+    sets = put_aside(rare_first(edges), "rare-first")
     shared = F.size("common")
     jaccard = F.round(shared / (F.col("na") + F.col("nb") - shared), 6)
     return sharing_pairs(sets, sets, True, min_shared).select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), shared.cast("long").alias("shared"), jaccard.alias("jaccard"))
 
 
-def weak_connections(edges: DataFrame, evidence: DataFrame, min_evidence: int, min_conf: float, min_degree: int) -> DataFrame:
-    """source, target, n_evidence, confidence, label: edges with little evidence; a sparse surrounding is insufficient data, never a gap."""
-    links = edges.select("source", "target").distinct()
-    proof = evidence.groupBy("source", "target").agg(F.count("*").alias("n_evidence"), F.avg("confidence").alias("confidence"))
+def weak_of(facts: DataFrame, min_evidence: int, min_conf: float, min_degree: int) -> DataFrame:
+    links = facts.where("is_edge").select("source", "target", "n_evidence", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     degree = links.select(F.col("source").alias("id")).unionAll(links.select("target")).groupBy("id").agg(F.count("*").alias("degree"))
-    rows = links.join(proof, ["source", "target"], "left").join(degree.select(F.col("id").alias("source"), F.col("degree").alias("ds")), "source").join(degree.select(F.col("id").alias("target"), F.col("degree").alias("dt")), "target")
-    n, c = F.coalesce("n_evidence", F.lit(0)), F.coalesce("confidence", F.lit(0.0))
+    weak = links.where((F.col("n_evidence") < min_evidence) | (F.col("confidence") < min_conf))
+    rows = weak.join(degree.select(F.col("id").alias("source"), F.col("degree").alias("ds")), "source").join(degree.select(F.col("id").alias("target"), F.col("degree").alias("dt")), "target")
     label = F.when(F.least("ds", "dt") < min_degree, "insufficient_data").otherwise("weak")
-    return rows.where((n < min_evidence) | (c < min_conf)).select("source", "target", n.alias("n_evidence"), F.round(c, 6).alias("confidence"), label.alias("label"))
+    return rows.select("source", "target", "n_evidence", F.round("confidence", 6).alias("confidence"), label.alias("label"))
+
+
+def weak_connections(edges: DataFrame, evidence: DataFrame, min_evidence: int, min_conf: float, min_degree: int) -> DataFrame:
+    """source, target, n_evidence, confidence, label: edges with little evidence; a sparse surrounding is insufficient data, never a gap."""
+    return weak_of(put_aside(pair_facts(edges, evidence), "pair-facts"), min_evidence, min_conf, min_degree)
 
 
 def evidence_signals(edges: DataFrame, evidence: DataFrame, questions: DataFrame, answers: DataFrame, uses: DataFrame, since: str) -> DataFrame:
-    """signal, subject, object, score, detail: the five signals in one schema."""
+    """signal, subject, object, score, detail: the five signals in one schema. Edges and evidence are read and grouped once, for three of them."""
+    facts = put_aside(pair_facts(edges, evidence, since), "pair-facts")
     shape = lambda df, s, subject, obj, score, detail: df.select(F.lit(s).alias("signal"), F.col(subject).alias("subject"), F.expr(obj).cast("string").alias("object"), F.expr(score).cast("double").alias("score"), F.expr(detail).cast("string").alias("detail"))
     parts = [
-        shape(contradictions(edges), "contradiction", "source", "target", "1", "reason"),
-        shape(new_evidence(evidence, since), "new_evidence", "source", "target", "n_new", "if(is_first, 'first', 'more')"),
+        shape(contradictions_of(facts), "contradiction", "source", "target", "1", "reason"),
+        shape(facts.where("n_new > 0"), "new_evidence", "source", "target", "n_new", "if(is_first, 'first', 'more')"),
         shape(open_questions(questions, answers), "open_question", "id", "about", "1", "reason"),
         shape(method_overlaps(uses), "method_overlap", "paper_a", "paper_b", "jaccard", "concat('shared ', shared)"),
-        shape(weak_connections(edges, evidence, 2, 0.6, 2), "weak_connection", "source", "target", "confidence", "label"),
+        shape(weak_of(facts, 2, 0.6, 2), "weak_connection", "source", "target", "confidence", "label"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import parse_quantity
+from lectern.sources.scratch import put_aside
+
+#: About this many rows of a series are one task's slice.
+SLICE_ROWS = 1 << 22
 
 
 def unit_guard(readings: DataFrame) -> DataFrame:
@@ -22,22 +26,42 @@ def classify_readings(readings: DataFrame, limits: DataFrame) -> DataFrame:
     return readings.join(limits.select("tag", "warn", "alarm"), "tag", "left").withColumn("state", state).drop("warn", "alarm")
 
 
-def asof_align(events: DataFrame, readings: DataFrame, tolerance: str | None = None, slice_by: str = "day") -> DataFrame:
+def sliced(rows: DataFrame, keys: list[str], slice_rows: int | None = None) -> DataFrame:
+    """``rows`` with ``part``, the number of their slice: runs of about ``slice_rows`` rows in the order of ``keys``, whatever the keys' values are.
+
+    A series, or one hour of it, is cut into as many slices as its rows need; only rows equal in all keys stay together. What a slice needs from those before it comes from a
+    scan over one row per series and slice. The slices are put aside: bounds found anew in a later step could lie elsewhere.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    if slice_rows is None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        count = max(-(-n // SLICE_ROWS), min(parts, -(-n // 4096)), 1)
+    else:
+        count = max(-(-n // slice_rows), 1)
+    return put_aside(rows.repartitionByRange(count, *keys).withColumn("part", F.spark_partition_id()), "slices")
+
+
+def with_slice(rows: DataFrame, slices: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``slices`` for their tag and part; null tags meet as well."""
+    own = slices.withColumnsRenamed({"tag": "s_tag", "part": "s_part"})
+    return rows.join(own, F.col("tag").eqNullSafe(F.col("s_tag")) & (F.col("part") == F.col("s_part")), "left").drop("s_tag", "s_part")
+
+
+def asof_align(events: DataFrame, readings: DataFrame, tolerance: str | None = None, slice_rows: int | None = None) -> DataFrame:
     """event_id, tag, ts, value: events with the tag's newest reading at or before them; one older than ``tolerance`` gives null.
 
-    Rows are partitioned by tag and time slice, so a tag's history is never one task; each slice is given the last
-    reading before it, from one row per tag and slice. Readings of one instant: the largest value counts.
+    Both are cut into slices of even size in time order; each slice is given the last reading before it. Readings of one instant: the largest value counts. An event without
+    tag or time gets null; a reading without them takes no part.
     """
-    part = F.date_trunc(slice_by, F.col("ts")).cast("timestamp_ntz")
-    r = readings.select("tag", "ts", part.alias("part"), F.lit(0).alias("side"), "value", F.lit(None).cast("long").alias("event_id"))
-    e = events.select("tag", "ts", part.alias("part"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("value"), "event_id")
-    last = r.groupBy("tag", "part").agg(F.max(F.struct("ts", "value")).alias("last"))
-    parts = last.unionByName(e.select("tag", "part").distinct(), allowMissingColumns=True).groupBy("tag", "part").agg(F.max("last").alias("last"))
+    r = readings.where("tag is not null and ts is not null").select("tag", "ts", F.lit(0).alias("side"), "value", F.lit(None).cast("long").alias("event_id"))
+    e = events.select("tag", "ts", F.lit(1).alias("side"), F.lit(None).cast("double").alias("value"), "event_id")
+    rows = sliced(r.unionByName(e), ["tag", "ts", "side", "value"], slice_rows)
+    reading = F.when(F.col("side") == 0, F.struct("ts", "value"))
     before = F.last("last", ignorenulls=True).over(W.partitionBy("tag").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    carry = parts.withColumn("c", before).where("c is not null").select("tag", "c.ts", "part", F.lit(-1).alias("side"), "c.value", F.lit(None).cast("long").alias("event_id"))
+    parts = rows.groupBy("tag", "part").agg(F.max(reading).alias("last")).select("tag", "part", before.alias("carried"))
     w = W.partitionBy("tag", "part").orderBy("ts", "side", "value").rowsBetween(W.unboundedPreceding, 0)
-    near = F.last(F.when(F.col("side") < 1, F.struct("ts", "value")), ignorenulls=True).over(w)
-    rows = r.unionByName(e).unionByName(carry).withColumn("near", near).where("side = 1")
+    rows = with_slice(rows.withColumn("own", F.last(reading, ignorenulls=True).over(w)).where("side = 1"), parts)
+    rows = rows.withColumn("near", F.coalesce("own", "carried"))
     fresh = F.lit(True) if tolerance is None else F.col("near.ts") >= F.col("ts") - F.expr(f"interval {tolerance}")
     return rows.select("event_id", "tag", "ts", F.when(fresh, F.col("near.value")).alias("value"))
 
@@ -63,23 +87,12 @@ def metric_trend(readings: DataFrame, period: str = "day") -> DataFrame:
     return got.withColumn("change", change).withColumn("direction", F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down"))
 
 
-def slice_of(unit: str) -> Column:
-    return F.date_trunc(unit, F.col("ts").cast("timestamp"))
-
-
-def with_slice(rows: DataFrame, slices: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``slices`` for their tag and part; null tags meet as well."""
-    own = slices.withColumnsRenamed({"tag": "s_tag", "part": "s_part"})
-    on = F.col("tag").eqNullSafe(F.col("s_tag")) & F.col("part").eqNullSafe(F.col("s_part"))
-    return rows.join(own, on, "left").drop("s_tag", "s_part")
-
-
-def sparkline_points(readings: DataFrame, slice_by: str = "day") -> DataFrame:
+def sparkline_points(readings: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """tag, i, x, y: points in a 100 by 36 box in time order; a flat series lies at 36, a single point at 0.
 
-    Points are numbered within a tag's time slice, after the number of points in the slices before it.
+    Points are numbered within a slice of even size, after the number of the tag's points in the slices before it.
     """
-    rows = readings.withColumn("part", slice_of(slice_by))
+    rows = sliced(readings.select("tag", "ts", "event_id", "value"), ["tag", "ts", "event_id"], slice_rows)
     w, of_tag = W.partitionBy("tag", "part"), W.partitionBy("tag")
     parts = rows.groupBy("tag", "part").agg(F.count("*").alias("k"), F.min("value").alias("low"), F.max("value").alias("high"))
     earlier = F.sum("k").over(of_tag.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
@@ -98,14 +111,14 @@ def last_n_readings(readings: DataFrame, n: int = 7) -> DataFrame:
     return got.select("tag", k.alias("k"), "ts", "value")
 
 
-def alarm_transitions(classified: DataFrame, slice_by: str = "day") -> DataFrame:
+def alarm_transitions(classified: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """tag, ts, from_state, to_state, seconds_before: changes of a tag's state, and how long the state left had lasted.
 
-    Rows are compared within a tag's time slice; its first one is compared with the last state, and the last change, of
-    the slices before, which are one row per tag and slice.
+    Rows are compared within a slice of even size; a tag's first one there is compared with the tag's last state, and last
+    change, in the slices before, which are one row per tag and slice.
     """
     w, by_part = W.partitionBy("tag", "part").orderBy("ts", "event_id"), W.partitionBy("tag").orderBy("part")
-    rows = classified.withColumn("part", slice_of(slice_by))
+    rows = sliced(classified.select("tag", "ts", "event_id", "state"), ["tag", "ts", "event_id"], slice_rows)
     ends = rows.groupBy("tag", "part").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
     ends = ends.select("tag", "part", F.lag("state").over(by_part).alias("held"))
     changes = with_slice(rows.withColumn("lagged", F.lag("state").over(w)), ends)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.udfs import fuzzy_locate
+from lectern.sources.scratch import put_aside
 
 
 def text_blocks(documents: DataFrame, blocks_per_page: int = 5) -> DataFrame:
@@ -34,20 +35,21 @@ def apply_glossary(terms: DataFrame, glossary: DataFrame) -> DataFrame:
     return rows.select("term", F.coalesce("user", "model", "term").alias("rendering"), scope.alias("scope"))
 
 
-#: Up to this many glossary terms go along as constants; more are joined. The result is the same.
+#: Up to this many glossary terms go along as constants; more are met as a trie. The result is the same.
 MAX_TERMS = 2000
 
 
-def spot_terms(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
+def spot_terms(blocks: DataFrame, glossary: DataFrame, max_terms: int | None = None) -> DataFrame:
     """document_id, block_index, pos, term, n_words: every place of a glossary term, of any number of words, the longest at a place."""
     tokens = F.transform(F.split("text", r"[ \t]+"), lambda t: F.lower(F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
     rows = blocks.select("document_id", "block_index", tokens.alias("t"))
     terms = glossary.select("term", F.size(F.split("term", " ")).alias("n_words")).where("term is not null").distinct()
     cols = ["document_id", "block_index", "pos", "term", "n_words"]
-    some = terms.limit(MAX_TERMS + 1).collect()
+    most_terms = MAX_TERMS if max_terms is None else max_terms
+    some = terms.limit(most_terms + 1).collect()
     if not some:
         return rows.select("document_id", "block_index", F.lit(0).alias("pos"), F.lit("").alias("term"), F.lit(0).alias("n_words")).where("false")
-    if len(some) <= MAX_TERMS:
+    if len(some) <= most_terms:
         most = max(r["n_words"] for r in some)
         firsts = sorted({r["term"].split(" ")[0] for r in some})
         # Each token beside those after it, so that no position looks into the text again.
@@ -61,22 +63,85 @@ def spot_terms(blocks: DataFrame, glossary: DataFrame) -> DataFrame:
 
         best = F.coalesce(*[found(n) for n in sorted({r["n_words"] for r in some}, reverse=True)])
         return places.withColumn("m", best).where("m is not null").select("document_id", "block_index", "pos", "m.term", "m.n_words").select(*cols)
-    gram = lambda t, i, n: F.when(i + n <= F.size(t), F.array_join(F.slice(t, i + 1, n), " "))
-    longest = terms.groupBy(F.substring_index("term", " ", 1).alias("first")).agg(F.max("n_words").alias("most"))
-    starts = rows.select("document_id", "block_index", F.posexplode("t").alias("pos", "first"))
-    starts = starts.join(longest, "first").groupBy("document_id", "block_index").agg(F.collect_list(F.struct("pos", "most")).alias("at"))  # of one block
-    grams = rows.join(starts, ["document_id", "block_index"]).select("document_id", "block_index", "t", F.explode("at").alias("a"))
-    grams = grams.select("document_id", "block_index", "a.pos", F.explode(F.transform(F.sequence(F.lit(1), F.col("a.most")), lambda n: gram(F.col("t"), F.col("a.pos"), n))).alias("term"))
-    hits = grams.join(terms, "term").groupBy("document_id", "block_index", "pos").agg(F.max(F.struct("n_words", "term")).alias("m"))
-    return hits.select("document_id", "block_index", "pos", "m.term", "m.n_words").select(*cols)
+    return walk_trie(rows, term_trie(terms)).select(*cols)
+
+
+def term_trie(terms: DataFrame) -> DataFrame:
+    """depth, parent, word, node, term, most of (term): one row per prefix of words; ``term`` where one ends there, ``most`` the words of the longest through it. The root is -1."""
+    words = F.split("term", " ")
+    steps = terms.select("term", words.alias("w"), F.posexplode(words).alias("at", "word"))
+    upto = lambda n: F.array_join(F.slice("w", 1, n), " ")
+    steps = steps.select((F.col("at") + 1).alias("depth"), upto(F.col("at")).alias("before"), "word", F.when(F.col("at") == F.size("w") - 1, F.col("term")).alias("term"), F.size("w").alias("n"))
+    nodes = steps.groupBy("depth", "before", "word").agg(F.max("term").alias("term"), F.max("n").alias("most"))
+    nodes = put_aside(nodes.withColumn("node", F.monotonically_increasing_id()), "trie-nodes")
+    prefix = F.when(F.col("depth") == 1, F.col("word")).otherwise(F.concat("before", F.lit(" "), "word"))
+    above = nodes.select((F.col("depth") + 1).alias("depth"), prefix.alias("before"), F.col("node").alias("parent"))
+    return put_aside(nodes.join(above, ["depth", "before"], "left").select("depth", F.coalesce("parent", F.lit(-1)).alias("parent"), "word", "node", "term", "most"), "trie")
+
+
+def walk_trie(rows: DataFrame, trie: DataFrame) -> DataFrame:
+    """document_id, block_index, pos, term, n_words: the longest term of ``trie`` at each place of (document_id, block_index, t).
+
+    A level joins places by (node, next word); only those with a longer term ahead go on, with the words that such a term can have, and the walk ends when none is left. So a place costs the
+    words that it shares with some term, not a run of words for each length.
+    """
+    place = ["document_id", "block_index", "pos"]
+    level = lambda depth: trie.where(F.col("depth") == depth).select("parent", "word", "node", "term", "most")
+    hit = lambda df, depth: df.where("term is not null").select(*place, "term", F.lit(depth).alias("n_words"))
+    starts = rows.select("document_id", "block_index", F.posexplode("t").alias("pos", "word")).join(level(1), "word")
+    starts = put_aside(starts.select(*place, "node", "term", "most"), "trie-starts")
+    hits, depth = hit(starts, 1), 1
+    at = starts.where("most > 1").groupBy("document_id", "block_index").agg(F.collect_list(F.struct("pos", "node", "most")).alias("at"))  # of one block
+    live = rows.join(at, ["document_id", "block_index"]).select("document_id", "block_index", "t", F.explode("at").alias("a"))
+    live = put_aside(live.select("document_id", "block_index", "a.pos", "a.node", F.slice("t", F.col("a.pos") + 2, F.col("a.most") - 1).alias("ahead")), "trie-live")
+    while not live.isEmpty():
+        depth += 1
+        step = live.withColumnRenamed("node", "parent").withColumn("word", F.get("ahead", F.lit(0))).join(level(depth), ["parent", "word"])
+        step = put_aside(step.select(*place, "node", "term", "most", F.slice("ahead", 2, F.greatest(F.col("most") - depth, F.lit(0))).alias("ahead")), "trie-step")
+        hits = hits.union(hit(step, depth))
+        live = step.where((F.col("most") > depth) & (F.size("ahead") > 0)).select(*place, "node", "ahead")
+    best = hits.groupBy(*place).agg(F.max(F.struct("n_words", "term")).alias("m"))
+    return best.select(*place, "m.term", "m.n_words")
+
+
+PAGE = ["document_id", "page_index"]
+
+
+def grid_steps(*sides: DataFrame) -> DataFrame:
+    """document_id, page_index, step_x, step_y: each page's cell size, the root mean square of its rects' widths and heights.
+
+    With it n rects of a page lie in 4 n cells at most, however unequal they are: the sum of (w / step_x + 1) (h / step_y + 1) is bounded by n in each of its four terms.
+    """
+    every = [s.select(*PAGE, "r.width", "r.height") for s in sides]
+    square = lambda c: F.sqrt(F.avg(F.col(c).cast("double") * F.col(c)))
+    rows = every[0]
+    for more in every[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy(*PAGE).agg(square("width").alias("step_x"), square("height").alias("step_y"))
+
+
+def in_cells(rects: DataFrame, steps: DataFrame) -> DataFrame:
+    """A row of ``rects`` for every cell (cell_x, cell_y) of its page's grid that its rect ``r`` reaches."""
+    cells = lambda at, size, step: F.sequence(F.floor(F.col(f"r.{at}") / F.col(step)), F.floor((F.col(f"r.{at}") + F.col(f"r.{size}")) / F.col(step)))
+    rows = rects.join(steps, PAGE).withColumn("cell_x", F.explode(cells("x", "width", "step_x")))
+    return rows.withColumn("cell_y", F.explode(cells("y", "height", "step_y")))
 
 
 def rect_hits(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
-    """anchor_id, block_index, area: blocks of the anchor's page that a stored rect overlaps (half-open), equal page first, range after."""
-    r = anchors.select("anchor_id", "document_id", "page_index", F.explode("rects").alias("r"))
-    b = blocks.select("document_id", "page_index", "block_index", F.struct("x", "y", "width", "height").alias("b"))
-    over = lambda at, size: F.least(F.col(f"r.{at}") + F.col(f"r.{size}"), F.col(f"b.{at}") + F.col(f"b.{size}")) - F.greatest(F.col(f"r.{at}"), F.col(f"b.{at}"))
-    rows = r.join(b, ["document_id", "page_index"]).select("anchor_id", "document_id", "block_index", over("x", "width").alias("w"), over("y", "height").alias("h"))
+    """anchor_id, block_index, area: blocks of the anchor's page that a stored rect overlaps (half-open).
+
+    Rects are dealt to the cells of a grid of their page, of a size that follows from the page's own rects, and met there; a pair is reported only by the cell of the upper left
+    corner of its intersection, so once. Rects without area or with a null side take no part.
+    """
+    area = lambda df: df.where("r.x is not null and r.y is not null and r.width > 0 and r.height > 0")
+    a = area(anchors.select("anchor_id", *PAGE, F.explode("rects").alias("r")))
+    b = area(blocks.select(*PAGE, "block_index", F.struct("x", "y", "width", "height").alias("r")))
+    steps = grid_steps(a, b)
+    mine, theirs = in_cells(a, steps), in_cells(b, steps).drop("step_x", "step_y").withColumnRenamed("r", "b")
+    left = lambda at: F.greatest(F.col(f"r.{at}"), F.col(f"b.{at}"))
+    over = lambda at, size: F.least(F.col(f"r.{at}") + F.col(f"r.{size}"), F.col(f"b.{at}") + F.col(f"b.{size}")) - left(at)
+    owner = (F.floor(left("x") / F.col("step_x")) == F.col("cell_x")) & (F.floor(left("y") / F.col("step_y")) == F.col("cell_y"))
+    rows = mine.join(theirs, [*PAGE, "cell_x", "cell_y"]).where(owner).select("anchor_id", "document_id", "block_index", over("x", "width").alias("w"), over("y", "height").alias("h"))
     return rows.where("w > 0 and h > 0").groupBy("anchor_id", "document_id", "block_index").agg(F.sum(F.col("w") * F.col("h")).cast("long").alias("area"))
 
 
