@@ -9,7 +9,7 @@ next two, then within one bucket of four, so a window sees at most 256 sums of a
 still missing, so that a source meets its target to the word.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; a source without words
-has target 0; rows that repeat id and text at the cutoff share what is missing, and their source meets its target nearly; without any
+has target 0; rows that repeat id and text at the cutoff share what is missing to the word, whatever the table's splits; without any
 words all targets are 0; an empty table gives an empty result; columns of any name are allowed.
 """
 
@@ -86,24 +86,42 @@ def plan(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
     return goals.join(cut, goals["source"].eqNullSafe(cut["c_source"]), "left").drop("c_source")
 
 
+def shared_cutoff(rows: DataFrame) -> DataFrame:
+    """``rows`` at their sources' cutoffs with ``extra``: equal parts of what is missing, and one word more for the first ones in the order of a hash of all columns.
+
+    Rows are counted by source, hash and task, and numbered within these, after the rows of the groups before; so copies may be any part of the table and
+    are never one group, and which of them a task holds does not matter, since rows of one hash are the same.
+    """
+    rows = stage(rows.withColumns({"rh": F.xxhash64(F.to_json("row")), "task": F.spark_partition_id()}), "cutoff")
+    groups = rows.groupBy("p_source", "rh", "task").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("p_source").orderBy("rh", "task").rowsBetween(W.unboundedPreceding, -1))
+    groups = groups.select(F.col("p_source").alias("g_source"), F.col("rh").alias("g_rh"), F.col("task").alias("g_task"), F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("p_source", "rh", "task").orderBy("h"))
+    same = F.col("p_source").eqNullSafe(F.col("g_source")) & (F.col("rh") == F.col("g_rh")) & (F.col("task") == F.col("g_task"))
+    rows = rows.withColumn("nth", nth).join(groups, same)
+    more = F.when(F.col("before") + F.col("nth") <= F.expr("rest % cut_rows"), 1).otherwise(0)
+    return rows.withColumn("extra", F.expr("rest div cut_rows") + more).drop("rh", "task", "nth", "before", "g_source", "g_rh", "g_task")
+
+
 def planned(docs: DataFrame, max_epochs: int, seed: int) -> DataFrame:
     """``row`` (all columns of ``docs``) with size, source_size, target, whole (repetitions), extra (words of one more, partial or whole) and taken.
 
     The plan has a row per source; it is broadcast if it has at most ``MAX_BROADCAST_SOURCES`` rows, and joined by shuffle (where
-    Spark splits a hot source) beyond. Rows equal in id and text that share the cutoff get equal parts of what is missing, and
-    each gets one word more with a chance that makes up the rest, by a hash of its row number.
+    Spark splits a hot source) beyond. Rows equal in id and text that share the cutoff share what is missing, see ``shared_cutoff``.
     """
     own = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), hash_order(F.col("doc_id"), F.col("text"), seed).alias("h"))
     sizes = stage(own.select("source", "size", "h"), "sizes")
     p = stage(plan(sizes, max_epochs), "plan").withColumnRenamed("source", "p_source")
     if p.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         p = F.broadcast(p)
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
-    rows = own.withColumn("chance", chance).join(p.drop("extra"), F.col("source").eqNullSafe(F.col("p_source")))
-    share, left = F.expr("rest div cut_rows"), F.expr("(rest % cut_rows) / cut_rows")
-    part = F.when(F.col("size") > 0, share + F.when(F.col("chance") < left, 1).otherwise(0)).otherwise(0)
-    extra = F.when(F.col("h") < F.col("cutoff"), F.col("size")).when(F.col("h") == F.col("cutoff"), part).otherwise(0).cast("long")
-    rows = rows.select("row", "size", "source_size", "target", "whole", extra.alias("extra"))
+    rows = own.join(p.drop("extra"), F.col("source").eqNullSafe(F.col("p_source")))
+    extra = F.when(F.col("h") < F.col("cutoff"), F.col("size")).when(F.col("h") == F.col("cutoff"), F.col("rest")).otherwise(0).cast("long")
+    if p.where("cut_rows > 1").isEmpty():
+        rows = rows.withColumn("extra", extra)
+    else:
+        tied = F.coalesce((F.col("h") == F.col("cutoff")) & (F.col("cut_rows") > 1), F.lit(False))
+        rows = rows.where(~tied).withColumn("extra", extra).unionByName(shared_cutoff(rows.where(tied)))
+    rows = rows.select("row", "size", "source_size", "target", "whole", "extra")
     return rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
 
 

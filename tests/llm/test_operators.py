@@ -701,3 +701,17 @@ def test_key_starts_take_bounded_work():
         spans = anchors.find_spans(text)
         assert time.process_time() - began < 6
         assert len(spans["secret"]) == (1 if text[:5] in ("AKIAA", "-AKIA", "ghp_g") else 0)
+
+
+def test_tied_rows_share_the_cutoff_whatever_the_splits(spark):
+    rows = [(None, "a b c", "s", None, i % 3) for i in range(50)] + [(i, "w " * 40, "t", 80, 0) for i in range(4)] + [(7, "x y", None, 3, 0)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, task int")
+    seen = []
+    for parts in (1, 2, 7):
+        got = mixture.mix(df.repartition(parts)).collect()
+        assert len(got) == len(rows)
+        for source in ("s", "t", None):
+            mine = [r for r in got if r.source == source]
+            assert sum(r.mix_taken for r in mine) == round(mine[0].mix_target) and all(r.mix_taken <= 3 * r.mix_size for r in mine)
+        seen.append(sorted(map(str, got)))
+    assert seen[0] == seen[1] == seen[2]
