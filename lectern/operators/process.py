@@ -139,9 +139,16 @@ def alarm_queue(classified: DataFrame) -> DataFrame:
 
 
 def line_balance(equipment: DataFrame) -> DataFrame:
-    """line, seq, rate, step_yield, overall_yield: throughput against the step before and the first."""
-    rows = equipment.select("line", "seq", parse_quantity(F.col("throughput"))["value"].alias("rate"))
+    """line, seq, rate, step_yield, overall_yield: throughput against the step before and the first.
+
+    A rate is the number that the text begins with, in any notation, else the quantity in it. Yields are floating-point quotients: against a rate of zero infinite, or NaN for zero
+    itself; they are rounded as such, by the value times 10^6, not by its decimal digits.
+    """
+    number = F.split_part("throughput", F.lit(" "), F.lit(1)).try_cast("double")
+    rows = equipment.select("line", "seq", F.coalesce(number, parse_quantity(F.col("throughput"))["value"]).alias("rate"))
     w = W.partitionBy("line").orderBy("seq")
     first = F.first("rate").over(w.rowsBetween(W.unboundedPreceding, 0))
-    part = lambda by: F.round(F.try_divide(F.col("rate"), by), 6)
-    return rows.select("line", "seq", "rate", part(F.lag("rate").over(w)).alias("step_yield"), part(first).alias("overall_yield"))
+    rows = rows.select("line", "seq", "rate", F.lag("rate").over(w).alias("before"), first.alias("first"))
+    quotient = lambda by: F.when(F.col(by) == 0, F.col("rate") * F.pow(F.col(by), F.lit(-1.0))).otherwise(F.try_divide("rate", by))
+    part = lambda by: F.round(quotient(by) * 1e6) / 1e6
+    return rows.select("line", "seq", "rate", part("before").alias("step_yield"), part("first").alias("overall_yield"))

@@ -83,6 +83,16 @@ def test_process_line_and_series(spark):
     assert p["flow", 0] == (0, 36) and p["flow", 4][1] == 6 and p["flow", 6][0] == 100 and p["flat", 1] == (50, 36) and p["one", 0] == (0, 36)
 
 
+def test_yields_are_floating_point_quotients(spark):
+    """As the query's SQL has them: infinite against a rate of zero, NaN for zero against zero, rounded by the value times 10^6."""
+    rates = ["0.0", "5.0", "0.0", "-0.0", "6.4", "6.71", "1.0E-4", "1.0E7"]
+    line = spark.createDataFrame([(1, i, f"{r} t/h raw") for i, r in enumerate(rates)] + [(2, 0, "6.4 t/h raw"), (2, 1, "6.71 t/h raw")], "line int, seq int, throughput string")
+    got = process.line_balance(line).orderBy("line", "seq").collect()
+    assert [r.rate for r in got[:8]] == [float(r) for r in rates]
+    assert [str(r.step_yield) for r in got[:8]] == ["None", "inf", "0.0", "nan", "-inf", "1.048437", "1.5e-05", "100000000000.0"]
+    assert str(got[0].overall_yield) == "nan" and got[1].overall_yield == float("inf") and got[9].overall_yield == 1.048437
+
+
 def test_graph_case(spark):
     e = spark.createDataFrame([("a", "uses", "b"), ("a", "uses", "c"), ("b", "uses", "d"), ("c", "uses", "e")], "source string, kind string, target string")
     n = spark.createDataFrame([(x, "concept", x, 1.0) for x in "abcde"], "id string, kind string, title string, strength double")
