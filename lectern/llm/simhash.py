@@ -10,7 +10,8 @@ A group sends out a spanning forest of its links, never all pairs. Components ar
 
 That is exact for few bits, which only near-identical texts are within. ``drop_near_copies`` reaches down to a given similarity of shingle sets:
 it takes 128 bits, groups by masks drawn at random (as many as the recall asks for), searches each group by the same tree, and confirms
-links on the whole texts.
+links on the whole texts. A first pass over a forest of each group joins most of what belongs together; a second one compares all that a mask
+brings together and that is still apart, in groups of any size, so no link depends on a group's size or on a forest's choice.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; null ids are kept and never
 are a component's id unless all of it is null; repeated rows each get a row; an empty table gives an empty result.
@@ -74,15 +75,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class Index:
     """Trees over the codes of groups: rows in Gray order, and above them nodes of ``fan`` with the bits that their members share.
 
-    ``x`` has one row of one or more 64-bit words per code; groups are ordered by the Gray rank of the first word.
+    ``x`` has one row of one or more 64-bit words per code; groups are ordered by the Gray rank of the first word. With ``label``, pairs of
+    nodes that hold one and the same label are left out.
     """
 
-    def __init__(self, group: np.ndarray, x: np.ndarray, fan: int = 4):
+    def __init__(self, group: np.ndarray, x: np.ndarray, fan: int = 4, label: np.ndarray | None = None):
         self.order = np.lexsort((gray_rank(x[:, 0]), group))
         g, v = group[self.order], x[self.order]
         starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         heads, counts = starts, np.diff(np.append(starts, len(v)))
         self.levels = [(np.arange(len(v)), np.arange(len(v)) + 1, v, v, None)]  # first row, end, AND, OR, first child
+        self.labels = None if label is None else [(label[self.order],) * 2]  # least and largest
         while counts.max() > 1:
             up = -(-counts // fan)
             step = np.arange(up.sum()) - np.repeat(np.cumsum(up) - up, up)
@@ -90,6 +93,9 @@ class Index:
             low, high, a, o, _ = self.levels[-1]
             last = np.append(child[1:], len(low)) - 1
             self.levels.append((low[child], high[last], np.bitwise_and.reduceat(a, child), np.bitwise_or.reduceat(o, child), np.append(child, len(low))))
+            if self.labels:
+                least, most = self.labels[-1]
+                self.labels.append((np.minimum.reduceat(least, child), np.maximum.reduceat(most, child)))
             heads, counts = np.cumsum(up) - up, up
 
     def near(self, k: int, most: int = 1 << 19) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,6 +115,9 @@ class Index:
             differ = (both[a] ^ both[b]) & shared
             far = np.bitwise_count(differ).sum(1)  # the lower bound: differences in shared bits
             ok = far <= k
+            if self.labels:
+                low, high = self.labels[depth]
+                ok &= (low[a] != high[b]) | (high[a] != low[b])
             if depth == 0:
                 yield False, a[ok], b[ok], far[ok]
                 continue
@@ -143,19 +152,24 @@ def group_links(group: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def group_forest(group: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that form, in each group, a smallest spanning forest of its links within ``k`` bits."""
-    index = Index(group, x)
-    found, walk = [], index.near(k)
+def every_pair(index: Index, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, rows and distances of all pairs within ``k`` bits, block by block."""
+    walk = index.near(k)
     step = next(walk, None)
     while step is not None:
         if not step[0]:
             keep = step[1] != step[2]
-            found.append(tuple(c[keep] for c in step[1:]))
+            yield tuple(c[keep] for c in step[1:])
         try:
-            step = walk.send(True)  # all pairs are wanted: the forest is chosen by distance
+            step = walk.send(True)
         except StopIteration:
             step = None
+
+
+def group_forest(group: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that form, in each group, a smallest spanning forest of its links within ``k`` bits."""
+    index = Index(group, x)
+    found = list(every_pair(index, k))  # the forest is chosen by distance
     a, b, d = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((b, a, d))
     a, b = a[order], b[order]
@@ -328,27 +342,39 @@ def masks_for(n: int, differ: float, recall: float) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differ) ** bits))))
 
 
-def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chunk: int = 1024, rows_at_once: int = 4096, seed: int = 42) -> DataFrame:
-    """u, v: links between near ``nodes`` (node, hi, lo), a smallest spanning forest for each group of each mask.
+def masked(nodes: DataFrame, n: int, differ: float, recall: float, seed: int = 42) -> tuple[DataFrame, int, int]:
+    """The ``nodes`` (node, hi, lo and others) once for each mask, with mask and key; how many low bits of a key are not the mask's; within how many bits a pair is near.
 
-    A row's sort key is its mask's number, its bits under the mask, and the Gray rank of some other bits. Range partitions split groups of any size;
-    a task goes over a group above ``chunk`` rows along its Gray order in stretches that overlap by half, so that a row meets ``chunk`` / 2 others on either side at least; the order differs from mask to mask.
+    A key is the bits under the mask, and below them the Gray rank of some other bits.
     """
     bits, n_masks = masks_for(n, differ, recall)
     k = int(128 * differ + 3 * np.sqrt(128 * differ * (1 - differ)))
     rng = np.random.default_rng(seed)
     places = [rng.permutation(128)[:55] for _ in range(n_masks)]
     rest = 55 - bits
+    names = nodes.columns
+    hi, lo = names.index("hi"), names.index("lo")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(c).to_numpy() for c in (1, 2)], axis=1) if batch.num_rows else np.zeros((0, 2), np.int64)
+            x = np.stack([batch.column(c).to_numpy() for c in (hi, lo)], axis=1) if batch.num_rows else np.zeros((0, 2), np.int64)
             each = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
             for m, at in enumerate(places):
                 code = np.ascontiguousarray(np.packbits(np.pad(each[:, at], ((0, 0), (9, 0))), axis=1)).view(">u8").ravel().astype(U64)
                 low = code & U64((1 << rest) - 1)
                 key = (code ^ low) | gray_rank(low)
-                yield pa.record_batch([pa.array(np.full(len(key), m, np.int32)), pa.array(key.view(np.int64)), *batch.columns], names=["mask", "key", "node", "hi", "lo"])
+                yield pa.record_batch([pa.array(np.full(len(key), m, np.int32)), pa.array(key.view(np.int64)), *batch.columns], names=["mask", "key", *names])
+
+    return nodes.mapInArrow(keys, "mask int, key long, " + ", ".join(f"{c} long" for c in names)), rest, k
+
+
+def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chunk: int = 1024, rows_at_once: int = 4096) -> DataFrame:
+    """u, v: links between near ``nodes`` (node, hi, lo), a smallest spanning forest for each group of each mask: a first choice, which ``links_apart`` completes.
+
+    Range partitions split groups of any size;
+    a task goes over a group above ``chunk`` rows along its Gray order in stretches that overlap by half, so that a row meets ``chunk`` / 2 others on either side at least; the order differs from mask to mask.
+    """
+    rows, rest, k = masked(nodes.select("node", "hi", "lo"), n, differ, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def heads(mask: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -382,11 +408,64 @@ def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chun
         if held and len(held[0][0]):
             yield from found(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    rows = nodes.select("node", "hi", "lo").mapInArrow(keys, "mask int, key long, node long, hi long, lo long")
     dealt = rows.repartitionByRange(partitions(nodes.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def links_apart(nodes: DataFrame, n: int, differ: float, recall: float, similarity: float = 0.0, chunk: int = 4096) -> DataFrame:
+    """u, v: all pairs of near ``nodes`` (node, hi, lo, size, root) that share a mask's pattern, have different roots, and sizes of sets that ``similarity`` allows.
+
+    A group above ``chunk`` rows is cut into parts by a hash, and every two of its parts meet in a task of their own; so each pair of a group is compared, whatever the group's size, and no task holds
+    more than about two parts. Groups that are one component by now, as those of a text's many copies, are left out.
+    """
+    rows, rest, k = masked(nodes.select("node", "hi", "lo", "size", "root"), n, differ, recall)
+    group = ["mask", "key"]
+    rows = rows.withColumn("key", F.shiftright("key", rest))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("apart"))
+    hot = stage(sizes.where(F.col("n") > chunk).select(*group, F.ceil(F.col("n") / chunk).alias("parts"), "apart"), "hot")
+    cols = ["mask", "key", "a", "b", "part", "node", "hi", "lo", "size", "root"]
+    zero = F.lit(0).cast("long")
+    if hot.isEmpty():
+        dealt = rows.select(*group, zero.alias("a"), zero.alias("b"), zero.alias("part"), *cols[5:])
+    else:
+        dealt = rows.join(hot, group, "left_anti").select(*group, zero.alias("a"), zero.alias("b"), zero.alias("part"), *cols[5:])
+        cut = rows.join(hot.where("apart"), group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        cut = cut.withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
+        dealt = dealt.unionByName(cut.select(*group, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", *cols[5:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            mask, key, a, b, part, node, hi, lo, size, root = (np.concatenate(c) for c in zip(*parts, strict=True))
+            index = Index(np.cumsum(heads([mask, key, a, b])), np.stack([hi, lo], axis=1).view(U64), label=root)
+            for u, v, _ in every_pair(index, k):
+                u, v = index.order[u], index.order[v]
+                new = (a[u] == b[u]) | (part[u] != part[v])  # pairs within a part meet in its own task
+                new &= np.minimum(size[u], size[v]) + 1e-6 >= similarity * np.maximum(size[u], size[v])  # the most that sets of these sizes can share
+                pair = np.sort(np.stack([node[u[new]], node[v[new]]]), axis=0)
+                yield pa.record_batch([pa.array(pair[1]), pa.array(pair[0])], names=["u", "v"])
+
+        def heads(key: list[np.ndarray]) -> np.ndarray:
+            return np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in key])))
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(c[0]) for c in held) < 2 * chunk:
+                continue
+            every = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = np.flatnonzero(heads(every[:4]))[-1]  # the last group may go on
+            if cut:
+                yield from found([[c[:cut] for c in every]])
+            held = [[c[cut:] for c in every]]
+        if held:
+            yield from found(held)
+
+    by = ["mask", "key", "a", "b"]
+    return dealt.select(*cols).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").distinct()
+
+
 def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The ``links`` (u, v) whose texts (node, text) have that similarity of their sets of shingles."""
 
@@ -408,26 +487,40 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     """``docs`` with one row of each component of near copies, that of the smallest id, all columns kept.
 
     Two documents are linked if their sets of ``words``-word shingles have at least ``similarity`` (Jaccard) and a mask of the index brings them together,
-    which it does for pairs at that similarity with about the probability ``recall``, and for nearer ones more often. Links of a forest are confirmed on the whole texts;
-    texts with equal 128-bit fingerprints are taken as linked.
+    which it does for pairs at that similarity with about the probability ``recall``, and for nearer ones more often. Links are confirmed on the whole texts: first those of
+    forests, then every other pair that a mask brings together and that these leave apart. Texts with equal 128-bit fingerprints are taken as linked.
     """
     text = F.coalesce("text", F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            x = np.frombuffer(b"".join([wide_fingerprint(t, words) for t in as_bytes(batch.column(1))]), np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, x.T.copy())], names=["doc_id", "raw_hash", "hi", "lo"])
+            texts = as_bytes(batch.column(1))
+            x = np.frombuffer(b"".join([wide_fingerprint(t, words) for t in texts]), np.int64).reshape(-1, 2)
+            size = pa.array([len(set(shingles(t, words))) for t in texts], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, x.T.copy()), size], names=["doc_id", "raw_hash", "hi", "lo", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("raw_hash"))
-    prints = rows.mapInArrow(run, "doc_id long, raw_hash long, hi long, lo long")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw_hash")).alias("m")
+    prints = rows.mapInArrow(run, "doc_id long, raw_hash long, hi long, lo long, size long")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw_hash", "size")).alias("m")
     nodes = stage(prints.groupBy("hi", "lo").agg(least).withColumn("node", F.monotonically_increasing_id()), "nodes")
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    links = stage(candidate_links(nodes, nodes.count(), differ, recall), "links")
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    wanted = nodes.join(ends, "node").select("node", F.col("m.doc_id").alias("w_id"), F.col("m.raw_hash").alias("w_raw"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_id"]) & (rows["raw_hash"] == wanted["w_raw"])).select("node", "text")
-    texts = stage(texts.dropDuplicates(["node"]), "texts")
-    roots = components(confirmed(links, texts, words, similarity))
+    n = nodes.count()
+
+    def checked(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+        wanted = nodes.join(ends, "node").select("node", F.col("m.doc_id").alias("w_id"), F.col("m.raw_hash").alias("w_raw"))
+        texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_id"]) & (rows["raw_hash"] == wanted["w_raw"])).select("node", "text")
+        texts = stage(texts.dropDuplicates(["node"]), "texts")
+        good = stage(confirmed(links, texts, words, similarity), "confirmed")
+        unstage(texts)
+        return good
+
+    links = stage(candidate_links(nodes, n, differ, recall), "links")
+    good = checked(links)
+    roots = components(good)
+    rooted = stage(nodes.join(roots, "node", "left").select("node", "hi", "lo", F.col("m.size").alias("size"), F.coalesce("root", "node").alias("root")), "rooted")
+    more = stage(links_apart(rooted, n, differ, recall, similarity).join(links, ["u", "v"], "left_anti"), "more-links")
+    if not more.isEmpty():
+        roots = components(good.union(checked(more)))
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
     return keep_rows(docs, best.select("m.doc_id", "m.raw_hash"))

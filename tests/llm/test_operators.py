@@ -695,6 +695,51 @@ def test_near_pairs_in_large_groups_are_found(spark):
     assert sum((i, i + 6000) in links for i in range(3000)) >= 0.9 * 3000
 
 
+def test_every_pair_of_a_large_group_is_compared(spark):
+    """Groups of thousands, cut into parts of 300: all pairs within the distance that share a mask's pattern, no more and no fewer."""
+    rng = np.random.default_rng(5)
+    bits = np.zeros((2500, 128), np.uint8)
+    at = rng.permutation(128)[:40]
+    bits[:, at] = rng.integers(0, 2, (2500, 40))
+    prints = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    nodes = spark.createDataFrame([(i, int(h), int(x), 9 if i % 10 else 20, i % 50) for i, (h, x) in enumerate(prints)], "node long, hi long, lo long, size long, root long")
+    keyed, rest, k = simhash.masked(nodes, 2500, 0.05, 0.9)
+    groups = keyed.selectExpr("mask", f"key >> {rest} AS key", "node").groupBy("mask", "key").agg(F.collect_list("node").alias("n")).collect()
+    assert max(len(g.n) for g in groups) > 600
+    near = (np.bitwise_count(prints.view(np.uint64)[:, None] ^ prints.view(np.uint64)[None]).sum(2) <= k) & (np.arange(2500)[:, None] % 50 != np.arange(2500) % 50)
+    near &= (np.arange(2500)[:, None] % 10 == 0) == (np.arange(2500) % 10 == 0)  # sizes 9 and 20 cannot be as similar as 0.8
+    together = np.zeros((2500, 2500), bool)
+    for g in groups:
+        together[np.ix_(g.n, g.n)] = True
+    want = {(int(v), int(u)) for v, u in np.argwhere(near & together) if v < u}
+    for chunk in (300, 4096):
+        got = simhash.links_apart(nodes, 2500, 0.05, 0.9, 0.8, chunk=chunk).collect()
+        assert len(got) == len(want) > 100 and {(r.v, r.u) for r in got} == want
+
+
+def test_links_that_a_forest_leaves_out_are_tried(spark):
+    """Families whose members lie on both sides of the similarity: a forest's links fail in part, others between the same parts hold."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    data = []
+    for _ in range(30):
+        first = words(220)
+        for _ in range(30):
+            other = list(first)
+            for at in rng.sample(range(0, 220, 5), rng.randint(2, 9)):
+                other[at] = words(1)[0]
+            data.append((len(data), " ".join(other)))
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in data]
+    label = list(range(len(data)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i, j in ((i, j) for f in range(0, len(data), 30) for i, j in combinations(range(f, f + 30), 2)):
+        if simhash.similar(sets[i], sets[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            label[b] = a
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == {find(i) for i in range(len(data))}
+
+
 def test_key_starts_take_bounded_work():
     for text in ("AKIA" * 262_144, "-AKIA0000" * 100_000, " AKIA" * 200_000, "ghp_" * 250_000, "key=" * 250_000, "a@" * 500_000, "+1" * 500_000):
         began = time.process_time()
