@@ -28,11 +28,11 @@ def validate_edges(edges: DataFrame, nodes: DataFrame, classes: list[str] = EDGE
 
 
 def nodes_without_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
-    return nodes.join(evidence.select(F.col("source").alias("id")), "id", "left_anti")
+    return nodes.join(evidence.select(F.col("source").alias("id")).distinct(), "id", "left_anti")
 
 
 def nodes_with_evidence(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
-    return nodes.join(evidence.select(F.col("source").alias("id")), "id", "left_semi")
+    return nodes.join(evidence.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
 
 
 def trace_provenance(evidence: DataFrame, anchors: DataFrame, documents: DataFrame) -> DataFrame:

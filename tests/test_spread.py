@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import process, reader
+from lectern.operators import graph, process, reader
 from lectern.operators.sketches import PoolReaders
 
 START = dt.datetime(2024, 1, 1)
@@ -144,3 +144,15 @@ def test_sketches_unite_days(spark, tmp_path):
     assert all(abs(got[p].n_readers_approx - n) <= 0.05 * n and got[p].last_activity == max(t for d, _, t in seen if d % 3 == p) for p, n in exact(6).items())
     part = {r.pool_id: r.n_readers_approx for r in stored.summary(until="2024-01-03").collect()}
     assert all(abs(part[p] - n) <= 0.05 * n for p, n in exact(2).items())
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_reduced_to_its_sources_before_nodes_meet_it(spark):
+    nodes = spark.createDataFrame([("a", "k"), ("b", "k"), (None, "k")], "id string, kind string")
+    evidence = spark.createDataFrame([("a", "x")] * 50 + [(None, "x")], "source string, target string")
+    for f, ids in ((graph.nodes_with_evidence, ["a"]), (graph.nodes_without_evidence, [None, "b"])):
+        out = f(nodes, evidence)
+        assert sorted((r.id for r in out.collect()), key=str) == ids and "Aggregate" in plan_of(out)
