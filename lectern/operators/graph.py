@@ -178,11 +178,13 @@ def neighbors(edges: DataFrame) -> DataFrame:
 
 
 def graph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """source, kind, target, change: edges added, removed and kept between two snapshots."""
+    """source, kind, target, change: edges added, removed and kept between two snapshots, from one grouping of both; an edge that comes n times more in one is n rows, one in both is kept once."""
     cols = ["source", "kind", "target"]
-    o, n = old.select(*cols), new.select(*cols)
-    mark = lambda df, c: df.withColumn("change", F.lit(c))
-    return mark(n.exceptAll(o), "added").union(mark(o.exceptAll(n), "removed")).union(mark(o.intersect(n), "kept"))
+    side = lambda df, o: df.select(*cols, F.lit(o).alias("o"), F.lit(1 - o).alias("n"))
+    rows = side(old, 1).unionAll(side(new, 0)).groupBy(*cols).agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
+    more = F.abs(F.col("n") - F.col("o")).cast("int")
+    changes = F.concat(F.array_repeat(F.when(F.col("n") > F.col("o"), "added").otherwise("removed"), more), F.when((F.col("o") > 0) & (F.col("n") > 0), F.array(F.lit("kept"))).otherwise(F.array().cast("array<string>")))
+    return rows.select(*cols, F.explode(changes).alias("change"))
 
 
 def recommend_papers(uses: DataFrame, questions: DataFrame, answers: DataFrame, read: DataFrame, k: int = 5) -> DataFrame:

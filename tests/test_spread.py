@@ -156,3 +156,12 @@ def test_evidence_is_reduced_to_its_sources_before_nodes_meet_it(spark):
     for f, ids in ((graph.nodes_with_evidence, ["a"]), (graph.nodes_without_evidence, [None, "b"])):
         out = f(nodes, evidence)
         assert sorted((r.id for r in out.collect()), key=str) == ids and "Aggregate" in plan_of(out)
+
+
+def test_graph_diff_reads_each_snapshot_once(spark):
+    old = spark.createDataFrame([("a", "uses", "b")] * 3 + [("a", "uses", "c"), ("d", None, "e")], "source string, kind string, target string")
+    new = spark.createDataFrame([("a", "uses", "b")] + [("x", "uses", None)] * 2 + [("d", None, "e")] * 2, "source string, kind string, target string")
+    out = graph.graph_diff(old, new)
+    want = [("a", "uses", "b", "removed")] * 2 + [("a", "uses", "b", "kept"), ("a", "uses", "c", "removed"), ("d", None, "e", "added"), ("d", None, "e", "kept")] + [("x", "uses", None, "added")] * 2
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert plan_of(out).count("LogicalRDD") + plan_of(out).count("Scan") + plan_of(out).count("LocalRelation") == 2
