@@ -2,7 +2,8 @@
 
 Both number documents densely per task and take ``CHUNK`` consecutive ones as a chunk, so a block of postings is (key, chunk) whatever the key's frequency: no
 key is ever one group. Tables are folders of Parquet, bucketed by key; a search reads the buckets and keys that it asks for. ``append`` adds
-documents as one more segment and reads nothing of the others.
+documents as one more segment and reads nothing of the others. A chunk lies in one task, which makes its blocks whole; they are shuffled once, to be written by bucket, with
+a row for the chunk's documents among them (key null, bucket -1), so that numbers are given once and nothing else is put aside.
 """
 
 from __future__ import annotations
@@ -58,9 +59,15 @@ class Stored:
 
     def write_buckets(self, rows: DataFrame, name: str, key: str) -> None:
         """Rows by bucket and key; Spark cuts a bucket over tasks where it is more than one should write."""
-        placed = rows.withColumn("bucket", bucket_of(F.col(key))).hint("rebalance", "bucket").sortWithinPartitions("bucket", key, "chunk")
+        bucket = F.when(F.col(key).isNull(), -1).otherwise(bucket_of(F.col(key)))
+        placed = rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", key, "chunk")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/segment={self.segments}")
 
+    def written(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """Of the segment that is being written: the rows of keys, and those of documents."""
+        new = self.table(name).where(F.col("segment") == self.segments)
+        return new.where("bucket >= 0"), new.where("bucket = -1")
+
     def numbered(self, docs: DataFrame) -> DataFrame:
         """document_id, text, doc_no: numbers are the segment's, the task's and the row's in the task (at most 2**20 tasks and 2**28 rows in each)."""
         at = F.monotonically_increasing_id()
@@ -89,6 +96,27 @@ def chunk_of(doc_no: Column) -> Column:
     return F.shiftright(doc_no, CHUNK.bit_length() - 1)
 
 
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each chunk, by a first column of consecutive doc_no."""
+    at, held = None, []
+    for batch in batches:
+        chunk = batch.column(0).to_numpy() // CHUNK
+        cuts = np.concatenate(([0], np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, [len(chunk)])) if len(chunk) else []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if chunk[i] != at and held:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(chunk[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """``values`` cut at ``ends``, as a column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values, kind))
+
+
 class TextIndex(Stored):
     """Postings of terms. A block has its chunk's documents with counts and lengths, and for its maximum the largest count and the smallest length.
 
@@ -98,19 +126,38 @@ class TextIndex(Stored):
     SCHEMAS = {
         "docs": "document_id long, doc_no long, len int",
         "terms": "term string, df long, bucket int",
-        "postings": "term string, chunk long, docs array<long>, tfs array<int>, lens array<int>, n int, max_tf int, min_len int, bucket int",
+        "postings": "term string, chunk long, docs array<long>, tfs array<int>, lens array<int>, n int, max_tf int, min_len int, ids array<long>, bucket int",
     }
 
     def append(self, docs: DataFrame) -> TextIndex:
         """Add documents (document_id, text) as one more segment."""
-        words = self.put_aside(self.numbered(docs).select("document_id", "doc_no", words_of(F.col("text")).alias("w")))
-        terms = words.select("doc_no", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", "doc_no", "len").agg(F.count("*").cast("int").alias("tf"))
-        one = F.array_sort(F.collect_list(F.struct("doc_no", "tf", "len")))
-        blocks = terms.groupBy("term", chunk_of(F.col("doc_no")).alias("chunk")).agg(one.alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-        blocks = blocks.select("term", "chunk", F.col("p.doc_no").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), F.size("p").alias("n"), "max_tf", "min_len")
-        self.write_buckets(blocks, "postings", "term")
-        self.write(self.table("postings").where(F.col("segment") == self.segments).groupBy("term", "bucket").agg(F.sum("n").alias("df")).select("term", "df", "bucket"), "terms")
-        self.write(words.select("document_id", "doc_no", F.size("w").alias("len")), "docs")
+        words = self.numbered(docs).select("doc_no", "document_id", words_of(F.col("text")).alias("w"))
+        columns = self.SCHEMAS["postings"].removesuffix(", bucket int")
+        names = [c.split()[0] for c in columns.split(", ")]
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, rows in by_chunk(batches):
+                rows = rows.combine_chunks()
+                no, w = rows.column(0).to_numpy(), rows.column(2).combine_chunks()
+                size = w.value_lengths().to_numpy()
+                every = w.flatten().cast(pa.string()).dictionary_encode()
+                # One number for each term and document; equal ones are counted.
+                key, tf = np.unique(every.indices.to_numpy().astype(np.int64) * len(no) + np.repeat(np.arange(len(no)), size), return_counts=True)
+                term, doc = key // len(no), key % len(no)
+                whole = [len(no)]
+                made = [pa.nulls(1, pa.string()), pa.array([chunk]), lists(whole, no, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), lists(whole, size, pa.int32()), pa.array(whole, pa.int32()), *[pa.nulls(1, pa.int32())] * 2, lists(whole, rows.column(1).combine_chunks(), pa.int64())]
+                yield pa.record_batch(made, names=names)
+                if len(key):
+                    first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+                    ends = np.append(first[1:], len(term))
+                    made = [every.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), chunk)), lists(ends, no[doc], pa.int64()), lists(ends, tf, pa.int32()), lists(ends, size[doc], pa.int32())]
+                    made += [pa.array(c, pa.int32()) for c in (ends - first, np.maximum.reduceat(tf, first), np.minimum.reduceat(size[doc], first))]
+                    yield pa.record_batch([*made, pa.nulls(len(first), pa.list_(pa.int64()))], names=names)
+
+        self.write_buckets(words.mapInArrow(blocks, columns), "postings", "term")
+        terms, of_docs = self.written("postings")
+        self.write(terms.groupBy("term", "bucket").agg(F.sum("n").alias("df")).select("term", "df", "bucket"), "terms")
+        self.write(of_docs.select(F.explode(F.arrays_zip("ids", "docs", "lens")).alias("d")).select(F.col("d.ids").alias("document_id"), F.col("d.docs").alias("doc_no"), F.col("d.lens").alias("len")), "docs")
         self.segments += 1
         return self
 
@@ -125,7 +172,7 @@ class TextIndex(Stored):
 
     def term_stats(self) -> DataFrame:
         """term, df, blocks, max_tf over the whole index."""
-        return self.read("postings").groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks"), F.max("max_tf").alias("max_tf"))
+        return self.read("postings").where("bucket >= 0").groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks"), F.max("max_tf").alias("max_tf"))
 
     def chunks(self, queries: DataFrame, k1: float, b: float, pairs: DataFrame | None = None) -> DataFrame:
         """query_id, chunk, bound (the most that a document of the chunk can get), parts (idf, docs, tfs, lens of each of the query's terms) and a, the mean length;
@@ -202,43 +249,33 @@ class GramIndex(Stored):
     texts that cannot match. Defined results: null and empty quotes are not found; a null text has no runs; documents that repeat an id each count.
     """
 
-    SCHEMAS = {"docs": "document_id long, doc_no long", "grams": "gram long, chunk long, bits long, bucket int", "stats": "gram long, df long"}
+    SCHEMAS = {"docs": "document_id long, doc_no long", "grams": "gram long, chunk long, bits long, ids array<long>, bucket int", "stats": "gram long, df long"}
     RAREST = 4
 
     def append(self, docs: DataFrame) -> GramIndex:
         """Add documents (document_id, text) as one more segment."""
-        rows = self.put_aside(self.numbered(docs))
+        rows = self.numbered(docs)
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, keys = None, []
-
-            def block() -> pa.RecordBatch:
-                both = np.concatenate(keys)
-                gram, bit = both[:, 0], both[:, 1]
+            for at, part in by_chunk(b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
+                keys = []
+                for bit, text in enumerate(part.column(2).to_pylist()):
+                    codes = codes_of(text)
+                    own = np.unique(np.concatenate([gram_keys(codes, n) for n in (1, 2, 3)]))
+                    keys.append(np.stack([own, np.full(len(own), bit)], axis=1))
+                gram, bit = np.concatenate(keys).T
                 order = np.argsort(gram, kind="stable")
                 gram, bit = gram[order], bit[order]
                 first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
                 bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), bit.astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
-                return pa.record_batch([pa.array(gram[first]), pa.array(np.full(len(first), at)), pa.array(bits.view(np.int64))], names=["gram", "chunk", "bits"])
-
-            for batch in (b.slice(i, CHUNK) for b in batches for i in range(0, b.num_rows, CHUNK)):
-                for no, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    chunk = no // CHUNK
-                    if chunk != at and keys:
-                        yield block()
-                        keys = []
-                    at = chunk
-                    codes = codes_of(text)
-                    own = np.unique(np.concatenate([gram_keys(codes, n) for n in (1, 2, 3)]))
-                    keys.append(np.stack([own, np.full(len(own), no % CHUNK)], axis=1))
-            if keys:
-                yield block()
-
-        found = rows.select("doc_no", "text").mapInArrow(blocks, "gram long, chunk long, bits long").groupBy("gram", "chunk").agg(F.bit_or("bits").alias("bits"))
-        self.write_buckets(found, "grams", "gram")
-        new = self.table("grams").where(F.col("segment") == self.segments)
-        self.write(new.groupBy("gram").agg(F.sum(F.bit_count("bits")).cast("long").alias("df")), "stats")
-        self.write(rows.select("document_id", "doc_no"), "docs")
+                yield pa.record_batch([pa.array([None], pa.int64()), pa.array([at]), pa.array([0]), lists([part.num_rows], part.column(1).combine_chunks(), pa.int64())], names=["gram", "chunk", "bits", "ids"])
+                yield pa.record_batch([pa.array(gram[first]), pa.array(np.full(len(first), at)), pa.array(bits.view(np.int64)), pa.nulls(len(first), pa.list_(pa.int64()))], names=["gram", "chunk", "bits", "ids"])
+
+        self.write_buckets(rows.select("doc_no", "document_id", "text").mapInArrow(blocks, "gram long, chunk long, bits long, ids array<long>"), "grams", "gram")
+        grams, of_docs = self.written("grams")
+        self.write(grams.groupBy("gram").agg(F.sum(F.bit_count("bits")).cast("long").alias("df")), "stats")
+        numbers = of_docs.select("chunk", F.posexplode("ids").alias("i", "document_id"))
+        self.write(numbers.select("document_id", (F.col("chunk") * CHUNK + F.col("i")).alias("doc_no")), "docs")
         self.segments += 1
         return self
 

@@ -223,3 +223,17 @@ def test_gram_stats_read_back(spark, tmp_path):
     at = GramIndex(spark, f"file://{tmp_path}/g").append(frame(spark, [(1, "añ😀b"), (2, "añ")]))
     assert {r.gram: r.df for r in at.gram_stats(2).collect()} == {"añ": 2, "ñ😀": 1, "😀b": 1}
     assert {r.gram for r in at.gram_stats(3).collect()} == {"añ😀", "ñ😀b"} and at.gram_stats(1).where(F.col("df") == 2).count() == 2
+
+
+def test_an_index_is_made_in_one_pass(spark, tmp_path):
+    """A chunk is counted in the task that numbers it: nothing but the index's own tables is put aside, also where texts are empty, null or repeat an id."""
+    docs = spark.createDataFrame([(i % 150, None if i % 7 == 0 else "" if i % 11 == 0 else f"a b b w{i % 30}") for i in range(200)], "document_id long, text string").repartition(3)
+    for kind in (TextIndex, GramIndex):
+        index = kind(spark, f"{tmp_path}/{kind.__name__}")
+        index.put_aside = None
+        index.append(docs).append(docs.limit(0)).append(docs.limit(5))
+        assert index.read("docs").count() == 205 and index.read("docs").select("doc_no").distinct().count() == 205
+    terms = TextIndex(spark, f"{tmp_path}/TextIndex").term_stats().where("term in ('a', 'b')").collect()
+    five = sum(bool(r.text) for r in docs.limit(5).collect())
+    full = docs.where("text <> ''").count()
+    assert {(r.term, r.df, r.max_tf) for r in terms} == {("a", full + five, 1), ("b", full + five, 2)}
