@@ -11,7 +11,8 @@ A group sends out a spanning forest of its links, never all pairs. Components ar
 That is exact for few bits, which only near-identical texts are within. ``drop_near_copies`` reaches down to a given similarity of shingle sets:
 it takes 128 bits, groups by masks drawn at random (as many as the recall asks for), searches each group by the same tree, and confirms
 links on the whole texts. A first pass over a forest of each group joins most of what belongs together; a second one compares all that a mask
-brings together and that is still apart, in groups of any size, so no link depends on a group's size or on a forest's choice.
+brings together and that is still apart, in groups of any size, so no link depends on a group's size or on a forest's choice. It compares sketches
+that bound the similarity from above, in the groups' own tasks, so that only pairs which may be links leave them.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; null ids are kept and never
 are a component's id unless all of it is null; repeated rows each get a row; an empty table gives an empty result.
@@ -334,6 +335,35 @@ def similar(a: set[bytes], b: set[bytes]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+def sketch(text: bytes, words: int) -> bytes:
+    """The parity of the number of shingles at each of some bits, four or more for each shingle of the set, 256 at least, a power of two.
+
+    What two sets share falls out when their sketches are XORed, so the bits left are at most as many as the shingles in which the sets differ. A sketch of half
+    the bits is the XOR of the halves.
+    """
+    every = [xxhash.xxh3_64_intdigest(x) for x in set(shingles(text, words))]
+    bits = 1 << max(8, (4 * len(every) - 1).bit_length())
+    return np.packbits(np.bincount(np.array(every, U64).astype(np.int64) & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_link(sketches: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, similarity: float, at_once: int = 1 << 21) -> np.ndarray:
+    """Which pairs of rows may have that similarity: sets of sizes a and b have it if they differ in (a + b) (1 - similarity) / (1 + similarity) shingles at most; by ``sketch`` no pair that has it is lost."""
+    out = np.zeros(len(u), bool)
+    width = np.array([len(x) // 8 for x in sketches])
+    most = (size[u] + size[v]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    narrow = np.minimum(width[u], width[v])
+    for w in np.unique(narrow):
+        here = np.flatnonzero(narrow == w)
+        ends, place = np.unique(np.concatenate((u[here], v[here])), return_inverse=True)
+        x = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], U64).reshape(-1, w)) for i in ends])
+        step = max(1, at_once // int(w))
+        for i in range(0, len(here), step):
+            some = slice(i, i + step)
+            differ = np.bitwise_count(x[place[: len(here)][some]] ^ x[place[len(here) :][some]]).sum(1, dtype=np.int64)
+            out[here[some]] = differ <= most[here[some]]
+    return out
+
+
 def masks_for(n: int, differ: float, recall: float) -> tuple[int, int]:
     """Bits of a mask and number of masks for ``n`` fingerprints: about 64 fingerprints share a pattern (fewer in small tables), and two whose bits differ
     with probability ``differ`` share one of their patterns with probability ``recall``. More rows get longer and more masks without an end, so recall does not fall: at a similarity
@@ -365,7 +395,7 @@ def masked(nodes: DataFrame, n: int, differ: float, recall: float, seed: int = 4
                 key = (code ^ low) | gray_rank(low)
                 yield pa.record_batch([pa.array(np.full(len(key), m, np.int32)), pa.array(key.view(np.int64)), *batch.columns], names=["mask", "key", *names])
 
-    return nodes.mapInArrow(keys, "mask int, key long, " + ", ".join(f"{c} long" for c in names)), rest, k
+    return nodes.mapInArrow(keys, "mask int, key long, " + ", ".join(f"{c} {t}" for c, t in nodes.dtypes).replace("bigint", "long")), rest, k
 
 
 def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chunk: int = 1024, rows_at_once: int = 4096) -> DataFrame:
@@ -412,18 +442,21 @@ def candidate_links(nodes: DataFrame, n: int, differ: float, recall: float, chun
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def links_apart(nodes: DataFrame, n: int, differ: float, recall: float, similarity: float = 0.0, chunk: int = 4096) -> DataFrame:
-    """u, v: all pairs of near ``nodes`` (node, hi, lo, size, root) that share a mask's pattern, have different roots, and sizes of sets that ``similarity`` allows.
+def links_apart(nodes: DataFrame, n: int, differ: float, recall: float, similarity: float = 0.0, chunk: int = 4096, ends_only: bool = False) -> DataFrame:
+    """u, v: all pairs of near ``nodes`` (node, hi, lo, size, root, and sketch if there is one) that share a mask's pattern, have different roots, and sizes of sets and sketches that ``similarity`` allows.
+
+    With ``ends_only`` node: the ends of these pairs. So nodes without a pair need no sketch, and pairs that sketches rule out are never rows.
 
     A group above ``chunk`` rows is cut into parts by a hash, and every two of its parts meet in a task of their own; so each pair of a group is compared, whatever the group's size, and no task holds
     more than about two parts. Groups that are one component by now, as those of a text's many copies, are left out.
     """
-    rows, rest, k = masked(nodes.select("node", "hi", "lo", "size", "root"), n, differ, recall)
+    names = ["node", "hi", "lo", "size", "root", *(["sketch"] if "sketch" in nodes.columns else [])]
+    rows, rest, k = masked(nodes.select(*names), n, differ, recall)
     group = ["mask", "key"]
     rows = rows.withColumn("key", F.shiftright("key", rest))
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("apart"))
     hot = stage(sizes.where(F.col("n") > chunk).select(*group, F.ceil(F.col("n") / chunk).alias("parts"), "apart"), "hot")
-    cols = ["mask", "key", "a", "b", "part", "node", "hi", "lo", "size", "root"]
+    cols = ["mask", "key", "a", "b", "part", *names]
     zero = F.lit(0).cast("long")
     if hot.isEmpty():
         dealt = rows.select(*group, zero.alias("a"), zero.alias("b"), zero.alias("part"), *cols[5:])
@@ -435,14 +468,24 @@ def links_apart(nodes: DataFrame, n: int, differ: float, recall: float, similari
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            mask, key, a, b, part, node, hi, lo, size, root = (np.concatenate(c) for c in zip(*parts, strict=True))
+            mask, key, a, b, part, node, hi, lo, size, root, *sketches = (np.concatenate(c) for c in zip(*parts, strict=True))
             index = Index(np.cumsum(heads([mask, key, a, b])), np.stack([hi, lo], axis=1).view(U64), label=root)
+            ends = np.zeros(len(node), bool)
             for u, v, _ in every_pair(index, k):
                 u, v = index.order[u], index.order[v]
                 new = (a[u] == b[u]) | (part[u] != part[v])  # pairs within a part meet in its own task
                 new &= np.minimum(size[u], size[v]) + 1e-6 >= similarity * np.maximum(size[u], size[v])  # the most that sets of these sizes can share
-                pair = np.sort(np.stack([node[u[new]], node[v[new]]]), axis=0)
+                u, v = u[new], v[new]
+                if sketches:
+                    ok = may_link(sketches[0], size, u, v, similarity)
+                    u, v = u[ok], v[ok]
+                if ends_only:
+                    ends[u] = ends[v] = True
+                    continue
+                pair = np.sort(np.stack([node[u], node[v]]), axis=0)
                 yield pa.record_batch([pa.array(pair[1]), pa.array(pair[0])], names=["u", "v"])
+            if ends_only:
+                yield pa.record_batch([pa.array(np.unique(node[ends]))], names=["node"])
 
         def heads(key: list[np.ndarray]) -> np.ndarray:
             return np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in key])))
@@ -451,7 +494,7 @@ def links_apart(nodes: DataFrame, n: int, differ: float, recall: float, similari
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy() for c in batch.columns])
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if sum(len(c[0]) for c in held) < 2 * chunk:
                 continue
             every = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -463,7 +506,7 @@ def links_apart(nodes: DataFrame, n: int, differ: float, recall: float, similari
             yield from found(held)
 
     by = ["mask", "key", "a", "b"]
-    return dealt.select(*cols).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").distinct()
+    return dealt.select(*cols).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "node long" if ends_only else "u long, v long").distinct()
 
 
 def confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -488,7 +531,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
     Two documents are linked if their sets of ``words``-word shingles have at least ``similarity`` (Jaccard) and a mask of the index brings them together,
     which it does for pairs at that similarity with about the probability ``recall``, and for nearer ones more often. Links are confirmed on the whole texts: first those of
-    forests, then every other pair that a mask brings together and that these leave apart. Texts with equal 128-bit fingerprints are taken as linked.
+    forests, then every other pair that a mask brings together, that these leave apart and whose sketches do not rule it out. Texts with equal 128-bit fingerprints are taken as linked.
     """
     text = F.coalesce("text", F.lit(""))
 
@@ -506,21 +549,28 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = nodes.count()
 
-    def checked(links: DataFrame) -> DataFrame:
-        ends = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    def texts_of(ends: DataFrame) -> DataFrame:
         wanted = nodes.join(ends, "node").select("node", F.col("m.doc_id").alias("w_id"), F.col("m.raw_hash").alias("w_raw"))
         texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["w_id"]) & (rows["raw_hash"] == wanted["w_raw"])).select("node", "text")
-        texts = stage(texts.dropDuplicates(["node"]), "texts")
-        good = stage(confirmed(links, texts, words, similarity), "confirmed")
-        unstage(texts)
-        return good
+        return stage(texts.dropDuplicates(["node"]), "texts")
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            yield pa.record_batch([batch.column(0), pa.array([sketch(t, words) for t in as_bytes(batch.column(1))], pa.binary())], names=["node", "sketch"])
 
     links = stage(candidate_links(nodes, n, differ, recall), "links")
-    good = checked(links)
+    texts = texts_of(links.select(F.col("u").alias("node")).union(links.select("v")).distinct())
+    good = stage(confirmed(links, texts, words, similarity), "confirmed")
+    unstage(texts)
     roots = components(good)
     rooted = stage(nodes.join(roots, "node", "left").select("node", "hi", "lo", F.col("m.size").alias("size"), F.coalesce("root", "node").alias("root")), "rooted")
-    more = stage(links_apart(rooted, n, differ, recall, similarity).join(links, ["u", "v"], "left_anti"), "more-links")
-    if not more.isEmpty():
-        roots = components(good.union(checked(more)))
+    ends = stage(links_apart(rooted, n, differ, recall, similarity, ends_only=True), "ends")
+    if not ends.isEmpty():
+        texts = texts_of(ends)
+        sketched = stage(rooted.join(texts.mapInArrow(drawn, "node long, sketch binary"), "node"), "sketched")
+        more = stage(links_apart(sketched, n, differ, recall, similarity).join(links, ["u", "v"], "left_anti"), "more-links")
+        if not more.isEmpty():
+            roots = components(good.union(stage(confirmed(more, texts, words, similarity), "confirmed")))
+        unstage(texts, sketched)
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
     return keep_rows(docs, best.select("m.doc_id", "m.raw_hash"))

@@ -760,3 +760,44 @@ def test_tied_rows_share_the_cutoff_whatever_the_splits(spark):
             assert sum(r.mix_taken for r in mine) == round(mine[0].mix_target) and all(r.mix_taken <= 3 * r.mix_size for r in mine)
         seen.append(sorted(map(str, got)))
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_sketches_lose_no_link():
+    rng = random.Random(4)
+    texts = []
+    for n in (0, 3, 5, 40, 68, 70, 130, 1100):  # either side of where sketches get wider
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(base + [f"x{i}" for i in range(more)]) for more in range(0, n // 3 + 2, max(1, n // 20))]
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    sketches = np.array([simhash.sketch(t.encode(), 5) for t in texts], object)
+    assert len({len(x) for x in sketches}) > 3
+    u, v = (np.array(c) for c in zip(*combinations(range(len(texts)), 2), strict=True))
+    ok = simhash.may_link(sketches, np.array([len(x) for x in sets]), u, v, 0.8)
+    alike = np.array([simhash.similar(sets[a], sets[b]) for a, b in zip(u, v, strict=True)])
+    size = np.array([len(x) for x in sets])
+    other = (alike < 0.7) & (np.minimum(size[u], size[v]) >= 0.8 * np.maximum(size[u], size[v])) & (size[u] > 20)  # those that their sizes do not rule out
+    assert (alike >= 0.8).sum() > 40 and ok[alike >= 0.8].all() and other.sum() > 10 and ok[other].mean() < 0.05
+
+
+def test_texts_just_below_the_similarity_make_few_pairs(spark, monkeypatch):
+    """300 texts that share some 0.7 of their shingles pairwise, and 40 copies of some of them that are linked to theirs alone."""
+    rng = random.Random(6)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(5, 395), 7):
+            words[at] = f"own{i}-{at}"
+        texts.append(words)
+    texts += [[*t[:-2], f"end{i}"] for i, t in enumerate(texts[:40])]
+    made, stage = {}, simhash.stage
+
+    def counted(df, name, *codec):
+        out = stage(df, name, *codec)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    monkeypatch.setattr(simhash, "candidate_links", lambda *a, **k: spark.createDataFrame([], "u long, v long"))  # all is left to the second pass
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == list(range(300))
+    assert 40 <= made["more-links"] <= 1000  # 30,000 and more when every pair of a group was a row
