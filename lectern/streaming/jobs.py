@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import threading
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -68,39 +70,60 @@ def run_closed(make: Callable[[DataFrame], DataFrame], rows: DataFrame, base: st
 
 
 NO_ID = -(1 << 63)
-HELD = "last_us long, last_id long, last_state string, us array<long>, ids array<long>, states array<string>"
+HELD = "last_us long, last_id long, last_state string, held binary, states array<string>"
+
+
+def packed(us: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> bytes:
+    """Held readings as one value: instants and ids column by column, and the places of their states in a list of distinct ones."""
+    return zlib.compress(np.concatenate((np.diff(us, prepend=0), ids)).tobytes() + codes.astype(np.int32).tobytes(), 1)
+
+
+def unpacked(held: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``packed`` was given."""
+    every = zlib.decompress(bytes(held)) if held else b""
+    n = len(every) // 20
+    return np.cumsum(np.frombuffer(every, np.int64, n)), np.frombuffer(every, np.int64, n, 8 * n), np.frombuffer(every, np.int32, n, 16 * n)
 
 
 def stream_alarm_transitions(classified: DataFrame, delay: str = "1 hour") -> DataFrame:
     """tag, ts, from_state, to_state, event_id: changes of a tag's state; rows may come out of order by ``delay``.
 
-    The state store holds one row a tag: the last settled reading and those newer than the watermark, which may still get predecessors. An event-time timer of the oldest of them
+    The state store holds one row a tag: the last settled reading and those newer than the watermark, which may still get predecessors, packed into one value. An event-time timer of the oldest of them
     settles it as the watermark passes, with or without new rows of the tag. Readings at or before the last settled one are late and dropped; one without an id comes first at its instant, and one
-    without a state is no change and hides what was before.
+    without a state is no change and hides what was before. A tag's readings are sorted and compared as columns, some 20 bytes each; no reading is a value of its own.
     """
     rows = classified.select("tag", "ts", F.unix_micros("ts").alias("us"), F.coalesce("event_id", F.lit(NO_ID)).alias("id"), "state").where("ts is not null")
 
     def settle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = (NO_ID, NO_ID, None), []
-        if state.exists:
-            *last, us, ids, states = state.get
-            held = list(zip(us, ids, states, strict=True))
+        last_us, last_id, last_state, held, names = state.get if state.exists else (NO_ID, NO_ID, None, None, [])
+        code = {name: i for i, name in enumerate(names)}
+        if last_state is not None:
+            code.setdefault(last_state, len(code))
+        cols = [[c] for c in unpacked(held)]
         for part in parts:
-            new = zip(part["us"].tolist(), part["id"].tolist(), part["state"].where(part["state"].notna(), None).tolist(), strict=True)
-            held += [r for r in new if r[:2] > tuple(last[:2])]
-        held.sort(key=lambda r: r[:2])
+            us, ids = part["us"].to_numpy(np.int64), part["id"].to_numpy(np.int64)
+            at, distinct = pd.factorize(part["state"])  # -1: none
+            known = np.array([code.setdefault(str(x), len(code)) for x in distinct] + [-1], np.int32)
+            new = (us > last_us) | (us == last_us) & (ids > last_id)
+            for col, more in zip(cols, (us, ids, known[at]), strict=True):
+                col.append(more[new])
+        us, ids, states = (np.concatenate(c) for c in cols)
+        order = np.lexsort((ids, us))
+        us, ids, states = us[order], ids[order], states[order]
         past = state.getCurrentWatermarkMs()
-        out, n = [], 0
-        while n < len(held) and held[n][0] < past * 1000:
-            us, number, now = held[n]
-            if last[2] is not None and now is not None and now != last[2]:
-                out.append((key[0], us, last[2], now, number))
-            last, n = (us, number, now), n + 1
-        held = held[n:]
-        state.update((*last, *[list(c) for c in zip(*held, strict=True)]) if held else (*last, [], [], []))
-        if held:
-            state.setTimeoutTimestamp(max(held[0][0] // 1000, past) + 1)
-        yield pd.DataFrame(out, columns=["tag", "us", "from_state", "to_state", "id"])
+        n = int(np.searchsorted(us, past * 1000))  # settled: older than the watermark
+        before = np.concatenate(([-1 if last_state is None else code[last_state]], states[:n]))[:n]
+        change = np.flatnonzero((before >= 0) & (states[:n] >= 0) & (before != states[:n]))
+        name = np.array([*code, None], object)
+        if n:
+            last_us, last_id, last_state = int(us[n - 1]), int(ids[n - 1]), name[states[n - 1]]
+        left, places = np.unique(np.append(states[n:], -1), return_inverse=True)  # the first: no state
+        state.update((last_us, last_id, last_state, packed(us[n:], ids[n:], places[:-1] - 1) if n < len(us) else None, name[left[1:]].tolist()))
+        if n < len(us):
+            state.setTimeoutTimestamp(max(int(us[n]) // 1000, past) + 1)
+        for i in range(0, len(change), 1 << 16):
+            at = change[i : i + (1 << 16)]
+            yield pd.DataFrame({"tag": [key[0]] * len(at), "us": us[at], "from_state": name[before[at]], "to_state": name[states[at]], "id": ids[at]})
 
     found = rows.withWatermark("ts", delay).groupBy("tag").applyInPandasWithState(settle, "tag string, us long, from_state string, to_state string, id long", HELD, "append", GroupStateTimeout.EventTimeTimeout)
     return found.select("tag", F.timestamp_micros("us").alias("ts"), "from_state", "to_state", F.nullif("id", F.lit(NO_ID)).alias("event_id"))

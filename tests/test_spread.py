@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import graph, process, reader
 from lectern.operators.sketches import PoolReaders
+from lectern.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
 
@@ -165,3 +167,11 @@ def test_graph_diff_reads_each_snapshot_once(spark):
     want = [("a", "uses", "b", "removed")] * 2 + [("a", "uses", "b", "kept"), ("a", "uses", "c", "removed"), ("d", None, "e", "added"), ("d", None, "e", "kept")] + [("x", "uses", None, "added")] * 2
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert plan_of(out).count("LogicalRDD") + plan_of(out).count("Scan") + plan_of(out).count("LocalRelation") == 2
+
+
+def test_held_readings_are_one_small_value():
+    rng = np.random.default_rng(1)
+    us, ids, codes = np.sort(rng.integers(0, 10**15, 50_000)), rng.integers(jobs.NO_ID, 10**9, 50_000), rng.integers(-1, 3, 50_000)
+    value = jobs.packed(us, ids, codes)
+    assert len(value) <= 20 * 50_000 and all((a == b).all() for a, b in zip(jobs.unpacked(value), (us, ids, codes), strict=True))
+    assert all(len(c) == 0 for c in jobs.unpacked(None)) and "array<long>" not in jobs.HELD
