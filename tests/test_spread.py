@@ -175,3 +175,13 @@ def test_held_readings_are_one_small_value():
     value = jobs.packed(us, ids, codes)
     assert len(value) <= 20 * 50_000 and all((a == b).all() for a, b in zip(jobs.unpacked(value), (us, ids, codes), strict=True))
     assert all(len(c) == 0 for c in jobs.unpacked(None)) and "array<long>" not in jobs.HELD
+
+
+def test_places_of_terms_never_meet_their_blocks_again(spark):
+    """The places found are unions of what the walk has put aside: no join back to the blocks, no grouping."""
+    blocks = spark.createDataFrame([(1, n, "the end of the line and of the " * 3) for n in range(20)], "document_id long, block_index int, text string")
+    terms = spark.createDataFrame([(t,) for t in ("the", "of the", "and of the")], "term string")
+    out = reader.spot_terms(blocks, terms, max_terms=0)
+    assert "Aggregate" not in plan_of(out) and "Join" not in plan_of(out)
+    got = {r.term: r["count"] for r in out.groupBy("term").count().collect()}
+    assert got == {"the": 180, "of the": 120, "and of the": 60}
