@@ -122,7 +122,8 @@ def weak_of(facts: DataFrame, min_evidence: int, min_conf: float, min_degree: in
 
 def weak_connections(edges: DataFrame, evidence: DataFrame, min_evidence: int, min_conf: float, min_degree: int) -> DataFrame:
     """source, target, n_evidence, confidence, label: edges with little evidence; a sparse surrounding is insufficient data, never a gap."""
-    return weak_of(pair_facts(edges, evidence), min_evidence, min_conf, min_degree)
+    facts = pair_facts(edges, evidence).where("is_edge").select("source", "target", "is_edge", "n_evidence", "confidence")
+    return weak_of(put_aside(facts, "weak-facts"), min_evidence, min_conf, min_degree)  # read three times, grouped once
 
 
 def evidence_signals(edges: DataFrame, evidence: DataFrame, questions: DataFrame, answers: DataFrame, uses: DataFrame, since: str) -> DataFrame:

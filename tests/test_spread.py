@@ -185,3 +185,12 @@ def test_places_of_terms_never_meet_their_blocks_again(spark):
     assert "Aggregate" not in plan_of(out) and "Join" not in plan_of(out)
     got = {r.term: r["count"] for r in out.groupBy("term").count().collect()}
     assert got == {"the": 180, "of the": 120, "and of the": 60}
+
+
+def test_weak_connections_group_their_pairs_once(spark):
+    edges = spark.createDataFrame([("a", "k", "x"), ("a", "k", "y"), ("b", "l", "x"), ("b", "k", "y"), ("c", "k", "y")], "source string, kind string, target string")
+    at = START
+    evidence = spark.createDataFrame([("a", "x", 0.9, at), ("a", "x", 0.8, at), ("a", "y", 0.1, at), ("a", "y", 0.2, at), ("d", "z", 0.1, at)], "source string, target string, confidence double, created_at timestamp_ntz")
+    out = graph.weak_connections(edges, evidence, 2, 0.6, 2)
+    want = [("a", "y", 2, 0.15, "weak"), ("b", "x", 0, 0.0, "weak"), ("b", "y", 0, 0.0, "weak"), ("c", "y", 0, 0.0, "insufficient_data")]
+    assert sorted(map(tuple, out.collect())) == want and "bool_or" not in plan_of(out) and "avg" not in plan_of(out)
