@@ -194,3 +194,57 @@ def test_weak_connections_group_their_pairs_once(spark):
     out = graph.weak_connections(edges, evidence, 2, 0.6, 2)
     want = [("a", "y", 2, 0.15, "weak"), ("b", "x", 0, 0.0, "weak"), ("b", "y", 0, 0.0, "weak"), ("c", "y", 0, 0.0, "insufficient_data")]
     assert sorted(map(tuple, out.collect())) == want and "bool_or" not in plan_of(out) and "avg" not in plan_of(out)
+
+
+def odd_anchors(spark):
+    """Anchors and blocks of documents with repeated quotes, null sides, quotes of any length and blocks without a rect."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    blocks = [(d, n // 5, n, rng.choice([text(90), text(30), "", None]), 50, 72 + 100 * (n % 5), rng.choice([500, 0, None]), 90) for d in (1, 2, None) for n in range(30)]
+    anchors = []
+    for i in range(150):
+        d, page, _, t, *box = rng.choice(blocks)
+        at, n = rng.randrange(60), rng.choice([1, 2, 5, 20, 21, 40])
+        quote = rng.choice([(t or "")[at : at + n], (t or "")[at : at + n][::-1], None])
+        anchors.append((f"a{i}", d, rng.choice([page, page + 1, None]), quote, rng.choice([(t or "")[max(0, at - 4) : at], "zz", None]), rng.choice([(t or "")[at + n : at + n + 4], ""]), rng.choice([[], [tuple(box)], [(50, None, 5, 5), (60, 80, 10, 900)], None])))
+    a = spark.createDataFrame(anchors, "anchor_id string, document_id long, page_index int, quote string, prefix string, suffix string, rects array<struct<x:int,y:int,width:int,height:int>>")
+    return a, spark.createDataFrame(blocks, "document_id long, page_index int, block_index int, text string, x int, y int, width int, height int"), anchors, blocks
+
+
+def exact_by_hand(anchors, blocks):
+    count = lambda text, s: (len(text) - len(text.replace(s, ""))) // len(s)
+    out = []
+    for name, doc, page, quote, prefix, suffix, boxes in anchors:
+        own = [b for b in blocks if doc is not None and b[0] == doc and quote and b[3] and quote in b[3]]
+        sides = None not in (prefix, suffix, quote)
+        nc = lambda t: count(t, prefix + quote) + count(t, quote + suffix) - count(t, prefix + quote + suffix) if sides else 0
+        hit = lambda b: page == b[1] and any(None not in (*r, *b[4:]) and min(r[2], r[3], b[6], b[7]) > 0 and all(r[i] < b[4 + i] + b[6 + i] and b[4 + i] < r[i] + r[2 + i] for i in (0, 1)) for r in boxes or [])
+        n, under, near = sum(count(b[3], quote) for b in own), [b for b in own if hit(b)], [b for b in own if nc(b[3]) > 0]
+        if under:
+            got = ("geometry", under[0][2], under[0][3].find(quote) + 1)
+        elif n == 1:
+            got = ("quote", own[0][2], own[0][3].find(quote) + 1)
+        elif n > 1 and sum(nc(b[3]) for b in own) == 1:
+            t = near[0][3]
+            got = ("context", near[0][2], t.find(prefix + quote) + len(prefix) + 1 if prefix + quote in t else t.find(quote + suffix) + 1)
+        else:
+            got = ("unresolved", None, None)
+        out.append((name, *got, got[0] in ("quote", "context") and page is not None and got[1] // 5 != page))
+    return sorted(out)
+
+
+def test_anchors_meet_blocks_in_documents_of_any_size(spark):
+    a, b, anchors, blocks = odd_anchors(spark)
+    want = exact_by_hand(anchors, blocks)
+    assert {w[1] for w in want} == {"geometry", "quote", "context", "unresolved"}
+    for limits in ({}, {"max_blocks": 0}, {"max_anchors": 60}):
+        out = reader.recover_anchors(a, b, threshold=None, **limits)
+        assert sorted(map(tuple, out.collect())) == want
+    fuzzy = [sorted(map(tuple, reader.recover_anchors(a, b, max_blocks=n).collect())) for n in (0, 1024)]
+    assert fuzzy[0] == fuzzy[1]
+
+
+def test_exact_recovery_deals_anchors_and_blocks_once(spark):
+    a, b, _, _ = odd_anchors(spark)
+    plan = reader.recover_anchors(a, b, threshold=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "MapInArrow" not in plan and plan.count("Exchange") <= 2
