@@ -248,3 +248,23 @@ def test_exact_recovery_deals_anchors_and_blocks_once(spark):
     a, b, _, _ = odd_anchors(spark)
     plan = reader.recover_anchors(a, b, threshold=None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and "MapInArrow" not in plan and plan.count("Exchange") <= 2
+
+
+def test_only_what_lies_around_pieces_is_measured():
+    """Far places of pieces are measured apart from each other, and windows as near in several of them are told from one."""
+    from lectern.functions import udfs
+
+    quote, gap = "abcdefghijklmnopqrst", "-" * 500
+    text = "abcdef" + gap + "abcdefghijXlmnopqrst" + gap + "opqrst"
+    assert sum(b - a for a, b in udfs.stretches(text, quote, 2)) < 120
+    assert udfs.best_window(text, quote, 0.8) == {"pos": 507, "similarity": 0.95, "is_unique": True}
+    assert udfs.best_window(text + gap + "abcdefghijXlmnopqrst", quote, 0.8) == {"pos": 507, "similarity": 0.95, "is_unique": False}
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abc") for _ in range(rng.randrange(n)))
+    texts, quotes, least = zip(*[(some(90), some(30), rng.choice([0.5, 0.7, 0.8, 1.0])) for _ in range(3000)], strict=True)
+    for t, q, x, got in zip(texts, quotes, least, udfs.best_windows(list(texts), list(quotes), list(least)), strict=True):
+        if t and q:
+            d = udfs.end_distances(t[::-1], q[::-1])
+            starts = [len(t) - i for i, v in enumerate(d) if v == min(d)]
+            want = {"pos": min(starts), "similarity": 1 - min(d) / len(q), "is_unique": max(starts) - min(starts) < len(q)} if 1 - min(d) / len(q) >= x else {"pos": None, "similarity": None, "is_unique": False}
+            assert got == want
