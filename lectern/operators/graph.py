@@ -44,16 +44,23 @@ def trace_provenance(evidence: DataFrame, anchors: DataFrame, documents: DataFra
     return rows.select("evidence_id", "document_id", "anchor_id", "page_index", "quote", "title", status.alias("status"))
 
 
+EDGE, CONTRADICTS, INCREASES, DECREASES = 1, 2, 4, 8
+
+
 def pair_facts(edges: DataFrame, evidence: DataFrame | None = None, since: str | None = None) -> DataFrame:
-    """source, target and what the signals ask of a pair, from one grouping of edges and evidence together: is_edge, is_contradicted, is_opposed (rejected edges ignored), n_evidence, confidence, n_new, is_first."""
+    """source, target and what the signals ask of a pair, from one grouping of edges and evidence together: is_edge, is_contradicted, is_opposed (rejected edges ignored), n_evidence, confidence, n_new, is_first.
+
+    What an edge says is a set of bits, so that a pair is few numbers when it is shuffled.
+    """
     live = F.coalesce(F.col("status") != "rejected", F.lit(True)) if "status" in edges.columns else F.lit(True)
-    rows = edges.select("source", "target", F.lit(True).alias("edge"), F.when(live, F.col("kind")).alias("kind"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    kind = F.when(live & (F.col("kind") == "contradicts"), CONTRADICTS).when(live & (F.col("kind") == "increases"), INCREASES).when(live & (F.col("kind") == "decreases"), DECREASES).otherwise(0)
+    rows = edges.select("source", "target", (kind + EDGE).alias("says"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
     if evidence is not None:
-        rows = rows.unionAll(evidence.select("source", "target", F.lit(False), F.lit(None).cast("string"), F.col("confidence").cast("double"), F.col("created_at").cast("timestamp_ntz")))
-    has = lambda k: F.coalesce(F.bool_or(F.col("kind") == k), F.lit(False))
+        rows = rows.unionAll(evidence.select("source", "target", F.lit(0), F.col("confidence").cast("double"), F.col("created_at").cast("timestamp_ntz")))
     after = F.lit(since).cast("timestamp_ntz")
-    got = rows.groupBy("source", "target").agg(F.bool_or("edge").alias("is_edge"), has("contradicts").alias("is_contradicted"), (has("increases") & has("decreases")).alias("is_opposed"), F.count_if(~F.col("edge")).alias("n_evidence"), F.avg("confidence").alias("confidence"), F.count_if(F.col("created_at") > after).alias("n_new"), (F.min("created_at") > after).alias("is_first"))
-    return got
+    got = rows.groupBy("source", "target").agg(F.bit_or("says").alias("says"), F.count_if(F.col("says") == 0).alias("n_evidence"), F.avg("confidence").alias("confidence"), F.count_if(F.col("created_at") > after).alias("n_new"), (F.min("created_at") > after).alias("is_first"))
+    has = lambda bits: F.col("says").bitwiseAND(F.lit(bits)) == bits
+    return got.select("source", "target", has(EDGE).alias("is_edge"), has(CONTRADICTS).alias("is_contradicted"), has(INCREASES | DECREASES).alias("is_opposed"), "n_evidence", "confidence", "n_new", "is_first")
 
 
 def contradictions_of(facts: DataFrame) -> DataFrame:
@@ -83,11 +90,15 @@ def open_questions(questions: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce("answered", F.lit(False)) | unanswered).select("id", "about", F.when(unanswered, "unanswered_by").otherwise("no_answer").alias("reason"))
 
 
-def rare_first(edges: DataFrame) -> DataFrame:
-    """source, items: the targets of each source, those of fewest sources first."""
+def rare_first(edges: DataFrame, numbers: bool = False) -> DataFrame:
+    """source, items: the targets of each source, those of fewest sources first; with ``numbers`` each target is a number of its own, which takes less room than its name."""
     degree = edges.groupBy("target").agg(F.count("*").alias("degree"))
-    item = F.struct("degree", "target")
-    return edges.join(degree, "target").groupBy("source").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["target"]).alias("items"))
+    if numbers:
+        edges = edges.join(put_aside(degree.withColumn("number", F.monotonically_increasing_id()), "targets"), "target")
+    else:
+        edges = edges.join(degree, "target")
+    name = "number" if numbers else "target"
+    return edges.groupBy("source").agg(F.transform(F.array_sort(F.collect_set(F.struct("degree", name))), lambda x: x[name]).alias("items"))
 
 
 def sharing_pairs(left: DataFrame, right: DataFrame, ordered: bool, min_shared: int = 2) -> DataFrame:
@@ -105,18 +116,21 @@ def sharing_pairs(left: DataFrame, right: DataFrame, ordered: bool, min_shared:
 
 def method_overlaps(edges: DataFrame, min_shared: int = 2) -> DataFrame:
     """paper_a, paper_b, shared, jaccard: pairs of papers that share methods, whatever the number of papers of a method."""
-    sets = put_aside(rare_first(edges), "rare-first")
+    edges = put_aside(edges.select("source", "target"), "uses")  # read for the degrees and for the lists
+    sets = put_aside(rare_first(edges, numbers=True), "rare-first")
     shared = F.size("common")
     jaccard = F.round(shared / (F.col("na") + F.col("nb") - shared), 6)
     return sharing_pairs(sets, sets, True, min_shared).select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), shared.cast("long").alias("shared"), jaccard.alias("jaccard"))
 
 
 def weak_of(facts: DataFrame, min_evidence: int, min_conf: float, min_degree: int) -> DataFrame:
+    """The weak edges of ``facts``. A degree is asked for only where it is below ``min_degree``; those ends are put aside, so that edges need not be shuffled where they are few."""
     links = facts.where("is_edge").select("source", "target", "n_evidence", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    degree = links.select(F.col("source").alias("id")).unionAll(links.select("target")).groupBy("id").agg(F.count("*").alias("degree"))
-    weak = links.where((F.col("n_evidence") < min_evidence) | (F.col("confidence") < min_conf))
-    rows = weak.join(degree.select(F.col("id").alias("source"), F.col("degree").alias("ds")), "source").join(degree.select(F.col("id").alias("target"), F.col("degree").alias("dt")), "target")
-    label = F.when(F.least("ds", "dt") < min_degree, "insufficient_data").otherwise("weak")
+    degree = links.select(F.col("source").alias("id")).unionAll(links.select("target")).where("id is not null").groupBy("id").agg(F.count("*").alias("degree"))
+    sparse = put_aside(degree.where(F.col("degree") < min_degree).select("id"), "sparse-ends")
+    weak = links.where("source is not null and target is not null").where((F.col("n_evidence") < min_evidence) | (F.col("confidence") < min_conf))
+    rows = weak.join(sparse.select(F.col("id").alias("source"), F.lit(True).alias("s")), "source", "left").join(sparse.select(F.col("id").alias("target"), F.lit(True).alias("t")), "target", "left")
+    label = F.when(F.col("s") | F.col("t"), "insufficient_data").otherwise("weak")
     return rows.select("source", "target", "n_evidence", F.round("confidence", 6).alias("confidence"), label.alias("label"))
 
 

@@ -268,3 +268,19 @@ def test_only_what_lies_around_pieces_is_measured():
             starts = [len(t) - i for i, v in enumerate(d) if v == min(d)]
             want = {"pos": min(starts), "similarity": 1 - min(d) / len(q), "is_unique": max(starts) - min(starts) < len(q)} if 1 - min(d) / len(q) >= x else {"pos": None, "similarity": None, "is_unique": False}
             assert got == want
+
+
+def test_signals_shuffle_numbers_not_names(spark):
+    """Targets are numbers in the lists that are shuffled, and edges are labelled by sparse ends put aside, not by a join with every degree."""
+    uses = spark.createDataFrame([(p, m) for p, ms in {"a": "xyz", "b": "xyw", "c": "yx", "d": "w"}.items() for m in ms] + [("a", "x"), ("e", None), (None, "x")], "source string, target string")
+    sets = graph.rare_first(uses, numbers=True)
+    assert sets.schema["items"].dataType.elementType.typeName() == "long"
+    want = [("a", "b", 2, 0.5), ("a", "c", 2, 0.666667), ("b", "c", 2, 0.666667)]
+    assert sorted(map(tuple, graph.method_overlaps(uses).collect())) == want
+    edges = spark.createDataFrame([("a", "increases", "x", None), ("a", "decreases", "x", "rejected"), ("b", "decreases", "x", None), ("b", "increases", "x", "proposed"), ("b", "contradicts", "y", None), (None, "k", "y", None), ("b", None, "z", None)], "source string, kind string, target string, status string")
+    facts = {(r.source, r.target): (r.is_edge, r.is_contradicted, r.is_opposed) for r in graph.pair_facts(edges).collect()}
+    assert facts == {("a", "x"): (True, False, False), ("b", "x"): (True, False, True), ("b", "y"): (True, True, False), (None, "y"): (True, False, False), ("b", "z"): (True, False, False)}
+    evidence = spark.createDataFrame([("b", "x", 0.1, START)], "source string, target string, confidence double, created_at timestamp_ntz")
+    out = graph.weak_connections(edges, evidence, 2, 0.6, 2)
+    assert "Aggregate" not in plan_of(out) and plan_of(out).count("Join") == 2
+    assert sorted((r.source, r.target, r.label) for r in out.collect()) == [("a", "x", "insufficient_data"), ("b", "x", "weak"), ("b", "y", "weak"), ("b", "z", "insufficient_data")]
