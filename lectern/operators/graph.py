@@ -12,8 +12,8 @@ from lectern.sources.scratch import put_aside
 
 
 def edges_with_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with kind, title and strength of both ends; a missing end gives nulls."""
-    end = lambda side: nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "title", "strength")])
+    """Edges with kind, title and strength of both ends; a missing end gives nulls. Where nodes are too many to be sent everywhere, a task holds its nodes and edges stream past them unsorted."""
+    end = lambda side: nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("kind", "title", "strength")]).hint("shuffle_hash")
     return edges.join(end("source"), "source", "left").join(end("target"), "target", "left")
 
 

@@ -284,3 +284,19 @@ def test_signals_shuffle_numbers_not_names(spark):
     out = graph.weak_connections(edges, evidence, 2, 0.6, 2)
     assert "Aggregate" not in plan_of(out) and plan_of(out).count("Join") == 2
     assert sorted((r.source, r.target, r.label) for r in out.collect()) == [("a", "x", "insufficient_data"), ("b", "x", "weak"), ("b", "y", "weak"), ("b", "z", "insufficient_data")]
+
+
+def test_edges_stream_past_their_nodes(spark):
+    """Where nodes are not sent everywhere, no task sorts edges or nodes to join them."""
+    edges = spark.createDataFrame([("a", "k", "x"), ("a", "l", "none"), (None, "k", "x")], "source string, kind string, target string")
+    nodes = spark.createDataFrame([("a", "V", "t", 1.0), ("x", "R", "u", None)], "id string, kind string, title string, strength double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (graph.edges_with_nodes(edges, nodes), graph.kind_counts(edges, nodes)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan.replace("SortAggregate", "")
+        got = {(r.source, r.kind, r.target, r.source_kind, r.target_title) for r in graph.edges_with_nodes(edges, nodes).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {("a", "k", "x", "V", "u"), ("a", "l", "none", "V", None), (None, "k", "x", None, "u")}
